@@ -12,8 +12,12 @@ from shelf.functions.text import blank, filled
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of shops.  A file that is no list fails while reading."""
-    raw = spark.read.option("wholetext", True).text(path)
-    checked = raw.select(
+    return parse_config(spark.read.option("wholetext", True).text(path))
+
+
+def parse_config(documents: DataFrame) -> DataFrame:
+    """Shops of JSON lists held in ``value``."""
+    checked = documents.select(
         F.when(F.ltrim("value").startswith("["), F.col("value"))
         .otherwise(F.raise_error(F.lit("the shop list has to be a JSON list"))).alias("value"))
     rows = checked.select(F.inline(F.from_json(

@@ -16,6 +16,7 @@ from shelf.functions import prices, roast, rules
 from shelf.functions.fields import with_fields
 from shelf.functions.text import blank, clean_text, filled, page_text
 from shelf.functions.urls import site_root
+from shelf.operators.grouping import title_groups
 
 PLACE = ["strategy", "candidate_ord", "ord"]
 SHOP_COLUMNS = ("price_variant_filter", "skip_sources", "tag_aliases")
@@ -126,17 +127,11 @@ def woo_items(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.API_P
     """
     rows = _read_pages(payloads, schemas.WOO, pages, size)
     rows = rows.withColumn("title", clean_text(F.col("p.name"))).where("title <> ''")
-    names = F.transform("p.categories", lambda c: F.lower(blank(c["name"])))
-
-    def seen(word):
-        return F.bool_or(F.coalesce(F.exists(names, lambda n: F.contains(n, F.lit(word))), F.lit(False)))
-
     key = ["roaster", "strategy", "candidate_ord", "title"]
-    groups = rows.groupBy(*key).agg(
-        F.min_by(F.struct("p", "ord", "listing_url", *SHOP_COLUMNS), "ord").alias("first"),
-        F.bool_or(F.coalesce("p.is_in_stock", F.lit(True))).alias("in_stock"),
-        seen("espresso").alias("espresso_seen"), seen("filter").alias("filter_seen"))
-    first = groups.where("in_stock").select(*key, "espresso_seen", "filter_seen", "first.*")
+    groups = title_groups(
+        rows, key, F.col("ord"), F.struct("p", "ord", "listing_url", *SHOP_COLUMNS),
+        F.col("p.is_in_stock"), F.transform("p.categories", lambda c: c["name"]))
+    first = groups.select(*key, "espresso_seen", "filter_seen", "first.*")
 
     def joined(entries):
         none = F.array().cast("array<struct<name:string>>")
