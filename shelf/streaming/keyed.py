@@ -1,0 +1,108 @@
+"""Keyed state: last write wins with a time to live, and the cool-down."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from shelf import vocabulary as V
+from shelf.streaming.base import rocksdb_state, run_available
+
+_DAY_MS = 24 * 60 * 60 * 1000
+
+
+def _last_write_processor(fields: list[str], order: list[str], state_schema, ttl_ms: int):
+    class LastWrite(StatefulProcessor):
+        """Keeps the change that ranks highest; an older one that comes late loses."""
+
+        def init(self, handle) -> None:
+            self.latest = handle.getValueState("latest", state_schema, ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows, timer_values):
+            best = None
+            for chunk in rows:
+                top = chunk.sort_values(order).iloc[-1]
+                if best is None or tuple(top[order]) > tuple(best[order]):
+                    best = top
+            rank = tuple(best[order])
+            if self.latest.exists():
+                held = dict(zip(fields, self.latest.get()))
+                held_rank = tuple(pd.Timestamp(held[c]) if isinstance(best[c], pd.Timestamp) else held[c] for c in order)
+                if held_rank >= rank:
+                    return
+            plain = [best[c].to_pydatetime() if isinstance(best[c], pd.Timestamp) else best[c] for c in fields]
+            plain = [v.item() if isinstance(v, np.generic) else v for v in plain]
+            self.latest.update(tuple(plain))
+            yield pd.DataFrame([[*key, *[best[c] for c in fields]]], columns=self.columns)
+
+        def close(self) -> None:
+            pass
+
+    return LastWrite
+
+
+def follow_last_writes(changes: DataFrame, keys: Sequence[str], order: Sequence[str], on_batch,
+                       checkpoint: str, ttl_days: int = V.FAVOURITE_TTL_DAYS) -> None:
+    """Hand every batch's changed winners (deletions included) to ``on_batch``.
+
+    A key's state is renewed by each winning write and dropped ``ttl_days`` later.
+    """
+    fields = [c for c in changes.columns if c not in keys]
+    names = [*keys, *fields]
+    types = {f.name: f.dataType for f in changes.schema.fields}
+    state = T.StructType([T.StructField(c, types[c]) for c in fields])
+    output = T.StructType([T.StructField(c, types[c]) for c in names])
+    processor = _last_write_processor(fields, list(order), state, ttl_days * _DAY_MS)
+    processor.columns = names
+    with rocksdb_state(changes.sparkSession):
+        stream = changes.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=processor(), outputStructType=output, outputMode="Update",
+            timeMode="ProcessingTime")
+        run_available(stream, on_batch, checkpoint, "update")
+
+
+def _cooldown_processor(columns: list[str], time: str, tie: str, gap_micros: int, state_schema):
+    class Cooldown(StatefulProcessor):
+        """Holds one number per key: when it last accepted an event."""
+
+        def init(self, handle) -> None:
+            self.last = handle.getValueState("last", state_schema)
+
+        def handleInputRows(self, key, rows, timer_values):
+            # one key's rows of one batch; the batch size bounds them
+            batch = pd.concat(list(rows)).sort_values([time, tie], kind="stable")
+            times = batch[time].to_numpy()
+            last = self.last.get()[0] if self.last.exists() else -(1 << 62)
+            kept = []
+            at = int(np.searchsorted(times, last + gap_micros, side="left"))
+            while at < len(times):
+                kept.append(at)
+                last = int(times[at])
+                at = int(np.searchsorted(times, last + gap_micros, side="left"))
+            if kept:
+                self.last.update((last,))
+                yield batch.iloc[kept][columns]
+
+        def close(self) -> None:
+            pass
+
+    return Cooldown
+
+
+def follow_cooldown(events: DataFrame, key: str, time: str, tie: str, on_batch, checkpoint: str,
+                    gap_seconds: int = V.COOLDOWN_SECONDS) -> None:
+    """Hand accepted events to ``on_batch``.  ``time`` is in microseconds.  An event
+    that comes after a later one was accepted is refused, as it would be live."""
+    state = T.StructType([T.StructField("last", T.LongType())])
+    processor = _cooldown_processor(
+        events.columns, time, tie, gap_seconds * 1_000_000, state)
+    with rocksdb_state(events.sparkSession):
+        stream = events.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=processor(), outputStructType=events.schema, outputMode="Append",
+            timeMode="None")
+        run_available(stream, on_batch, checkpoint)
