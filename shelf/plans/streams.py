@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelf.operators import merge, select
+from shelf.operators import merge
 from shelf.plans.registry import query, table
 from shelf.plans.selection import _HOUR, _LWW, changes
 from shelf.plans.views import shipped
@@ -42,13 +42,14 @@ def lww_stream(spark, sf_dir):
     folder = new_folder(spark, "favourites")
     # the later half lands first, so that much of what follows comes too late
     follow = lambda stream: keyed.follow_last_writes(
-        stream, ["code", "key"], ["ts", "deleted", "event_id"],
+        stream.drop("step"), ["code", "key"], ["ts", "deleted", "event_id"],
         base.append_batches(f"{folder}/log"), f"{folder}/checkpoint")
-    rows = changes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    in_steps(rows, folder, 1 - day_step(), 2, follow)
+    rows = changes(spark, sf_dir).withColumn("step", 1 - day_step()).withColumn(
+        "ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    in_steps(rows, folder, F.col("step"), 2, follow)
     log = spark.read.parquet(f"{folder}/log")
-    latest = select.last_per_key(log, ["code", "key"], F.col("batch"))
-    return latest.where("NOT deleted").select("code", "key", "event_id", "value")
+    return keyed.kept_writes(log, ["code", "key"], "code", F.current_timestamp()).select(
+        "code", "key", "event_id", "value")
 
 
 @query("cooldown_stream", """
@@ -73,8 +74,8 @@ def cooldown_stream(spark, sf_dir):
 
 @query("favourites_log", """
 WITH docs AS (SELECT user_id AS code, event_type = 'error' AS gone, json_extract_string(props, '$.k') AS k,
-                     epoch_us(ts) AS at FROM events),
-latest AS (SELECT code, k AS key, max(at) FILTER (WHERE NOT gone) AS kept, max(at) FILTER (WHERE gone) AS lost FROM docs GROUP BY 1, 2)
+                     epoch_us(ts) AS micros FROM events),
+latest AS (SELECT code, k AS key, max(micros) FILTER (WHERE NOT gone) AS kept, max(micros) FILTER (WHERE gone) AS lost FROM docs GROUP BY 1, 2)
 SELECT code, key, CAST(kept AS DOUBLE) AS ts FROM latest WHERE kept IS NOT NULL AND (lost IS NULL OR kept > lost)""")
 def favourites_log(spark, sf_dir):
     # every event is a device's document with one item or one tombstone

@@ -6,64 +6,41 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from shelf import vocabulary as V
+from shelf.operators.select import last_per_key
 from shelf.streaming.base import rocksdb_state, run_available
 
-_DAY_MS = 24 * 60 * 60 * 1000
-
-
-def _last_write_processor(fields: list[str], order: list[str], state_schema, ttl_ms: int):
-    class LastWrite(StatefulProcessor):
-        """Keeps the change that ranks highest; an older one that comes late loses."""
-
-        def init(self, handle) -> None:
-            self.latest = handle.getValueState("latest", state_schema, ttlDurationMs=ttl_ms)
-
-        def handleInputRows(self, key, rows, timer_values):
-            best = None
-            for chunk in rows:
-                top = chunk.sort_values(order).iloc[-1]
-                if best is None or tuple(top[order]) > tuple(best[order]):
-                    best = top
-            rank = tuple(best[order])
-            if self.latest.exists():
-                held = dict(zip(fields, self.latest.get()))
-                held_rank = tuple(pd.Timestamp(held[c]) if isinstance(best[c], pd.Timestamp) else held[c] for c in order)
-                if held_rank >= rank:
-                    return
-            plain = [best[c].to_pydatetime() if isinstance(best[c], pd.Timestamp) else best[c] for c in fields]
-            plain = [v.item() if isinstance(v, np.generic) else v for v in plain]
-            self.latest.update(tuple(plain))
-            yield pd.DataFrame([[*key, *[best[c] for c in fields]]], columns=self.columns)
-
-        def close(self) -> None:
-            pass
-
-    return LastWrite
-
 
 def follow_last_writes(changes: DataFrame, keys: Sequence[str], order: Sequence[str], on_batch,
-                       checkpoint: str, ttl_days: int = V.FAVOURITE_TTL_DAYS) -> None:
+                       checkpoint: str) -> None:
     """Hand every batch's changed winners (deletions included) to ``on_batch``.
 
-    A key's state is renewed by each winning write and dropped ``ttl_days`` later.
+    The winner per key is a streaming aggregate, so each task first reduces its
+    own rows and state stays inside the JVM; an older change that comes late
+    loses.  Every row says when it was written, which ``kept_writes`` needs.
     """
-    fields = [c for c in changes.columns if c not in keys]
-    names = [*keys, *fields]
-    types = {f.name: f.dataType for f in changes.schema.fields}
-    state = T.StructType([T.StructField(c, types[c]) for c in fields])
-    output = T.StructType([T.StructField(c, types[c]) for c in names])
-    processor = _last_write_processor(fields, list(order), state, ttl_days * _DAY_MS)
-    processor.columns = names
+    rest = [c for c in changes.columns if c not in keys]
+    winners = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    winners = winners.select(
+        *keys, *[F.col("_row")[c].alias(c) for c in rest], F.current_timestamp().alias("written_at"))
     with rocksdb_state(changes.sparkSession):
-        stream = changes.groupBy(*keys).transformWithStateInPandas(
-            statefulProcessor=processor(), outputStructType=output, outputMode="Update",
-            timeMode="ProcessingTime")
-        run_available(stream, on_batch, checkpoint, "update")
+        run_available(winners, on_batch, checkpoint, "update")
+
+
+def kept_writes(log: DataFrame, keys: Sequence[str], owner: str, now: Column,
+                deleted: str = "deleted", ttl_days: int = V.FAVOURITE_TTL_DAYS) -> DataFrame:
+    """The merged state from the log: last batch per key, no deletions, and no
+    owner who has written nothing for ``ttl_days``."""
+    latest = last_per_key(log, keys, F.col("batch"))
+    active = log.groupBy(owner).agg(F.max("written_at").alias("_last")).where(
+        F.col("_last") >= now - F.make_interval(days=F.lit(ttl_days)))
+    return latest.where(~F.col(deleted)).join(active.select(owner), owner, "left_semi").drop(
+        "written_at", "batch")
 
 
 def _cooldown_processor(columns: list[str], time: str, tie: str, gap_micros: int, state_schema):
