@@ -144,15 +144,24 @@ def origin_from_text(text: Column) -> Column:
     labelled = _captured(text, r"(?:origin|country)\s*[:\-]\s*([A-Za-z ,/&]+)", stops, 80)
     grown = _captured(text, r"(?:from|grown in)\s+([A-Za-z ,/&]+)", stops, 80)
     grown = F.regexp_extract(grown, "(?is)^.*(?:" + "|".join(V.COUNTRIES) + r").*\z", 0)
-    lower = F.lower(text)
     titles = sorted((c.upper() if c == "png" else c.title(), c) for c in V.COUNTRIES)
-    named = F.concat_ws(", ", *[F.when(F.contains(lower, F.lit(c)), F.lit(t)) for t, c in titles])
+    named = let(F.lower(text), lambda low: F.concat_ws(
+        ", ", *[F.when(F.contains(low, F.lit(c)), F.lit(t)) for t, c in titles]))
     return F.coalesce(labelled, filled(grown), named)
 
 
+_TERM = r"(?iU)\b(" + "|".join(p for p, _ in V.PROCESS_TERMS) + r")\b"
+
+
 def _process_terms(text: Column) -> Column:
-    terms = [F.when(text.rlike(rf"(?iU)\b{p}\b"), F.lit(label)) for p, label in V.PROCESS_TERMS]
-    return filled(F.concat_ws(", ", *terms))
+    """Labels of the terms in the text, in list order; NULL if there are none."""
+    def listed(seen):
+        return F.concat_ws(", ", *[
+            F.when(F.exists(seen, lambda t: t.rlike(rf"(?iU)^{p}\z")), F.lit(label))
+            for p, label in V.PROCESS_TERMS])
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM), F.lit(1)))
+    return let(found, lambda seen: F.when(F.size(seen) > 0, listed(seen)))
 
 
 def process_from_text(text: Column, title: Column | None = None, url: Column | None = None) -> Column:
@@ -203,18 +212,32 @@ def with_fields(df: DataFrame, *, text: str, body: str, tags: str | None = None,
                 skip: str | None = None, aliases: str | None = None) -> DataFrame:
     """Add origin, process, varietal and flavour_profile to product rows.
 
-    Structured values win over free text; every value passes its guard.  The
-    steps are separate columns so no step is computed twice.
+    Structured values win over free text; every value passes its guard.  A
+    field's two candidates go through one copy of its guard, and the free-text
+    rules only look at rows whose structured value was refused or missing.
     """
     col = lambda name: F.col(name) if name else None
     df = df.withColumn("_raw", raw_fields(col(tags), F.col(body), col(skip), col(aliases)))
-    df = df.withColumn("_found", guard_fields(F.col("_raw")))
-    found = lambda f: filled(F.col("_found")[f])
     free = F.col(text)
-    return df.withColumns({
-        "origin": GUARDS["origin"](F.coalesce(found("origin"), origin_from_text(free))),
-        "process": F.coalesce(
-            found("process"), GUARDS["process"](process_from_text(free, col(title), col(url)))),
-        "varietal": F.coalesce(found("varietal"), GUARDS["varietal"](varietal_from_text(free))),
-        "flavour_profile": GUARDS["flavour"](F.coalesce(found("flavour"), flavour_from_text(free))),
-    }).drop("_raw", "_found")
+    rules = {
+        "origin": lambda: origin_from_text(free),
+        "process": lambda: process_from_text(free, col(title), col(url)),
+        "varietal": lambda: varietal_from_text(free),
+        "flavour": lambda: flavour_from_text(free),
+    }
+    names = {"flavour": "flavour_profile"}
+    found = {f: F.col("_raw")[f] for f in V.FIELDS}
+    df = df.withColumns({f"_{f}": GUARDS[f](c) for f, c in found.items()})
+    for f in V.FIELDS:
+        given = F.col(f"_{f}")
+        loose = F.when(given == "", rules[f]())
+        df = df.withColumn(f"_free_{f}", loose)
+    for f in V.FIELDS:
+        given, loose = F.col(f"_{f}"), F.col(f"_free_{f}")
+        if f in ("origin", "flavour"):
+            # these two guards see their own result once more, as trimming can go on
+            value = let(F.coalesce(filled(given), loose), GUARDS[f])
+        else:
+            value = F.when(given != "", given).otherwise(let(loose, GUARDS[f]))
+        df = df.withColumn(names.get(f, f), value)
+    return df.drop("_raw", *[f"_{f}" for f in V.FIELDS], *[f"_free_{f}" for f in V.FIELDS])

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.functions.text import blank, cut, words
+from shelf.functions.text import blank, cut, let, words
 
 EDGES = " ,;:-"
 
@@ -36,20 +36,24 @@ def _any_of(texts) -> str:
 
 
 def process_guard(c: Column) -> Column:
-    """Known process phrases in list order; one inside a longer one is dropped."""
-    c = blank(c)
-
-    def holds(phrases):
-        return c.rlike("(?iU)" + words(re.escape(p) for p in phrases))
-
-    terms = []
-    for i, phrase in enumerate(V.PROCESS_PHRASES):
-        wider = [p for p in V.PROCESS_PHRASES[:i] if phrase.lower() in p.lower()]
-        test = holds([phrase])
-        if wider:
-            test = test & ~holds(wider)
-        terms.append(F.when(test, F.lit(phrase)))
-    return F.concat_ws(", ", *terms)
+    """Known process phrases in list order; one inside a longer one is dropped.
+
+    One alternation, longer phrases first, finds them all in one pass.
+    """
+    pattern = r"(?U)\b(" + "|".join(re.escape(p.lower()) for p in V.PROCESS_PHRASES) + r")\b"
+    found = F.regexp_extract_all(F.lower(blank(c)), F.lit(pattern), F.lit(1))
+
+    def listed(seen):
+        terms = []
+        for i, phrase in enumerate(V.PROCESS_PHRASES):
+            test = F.array_contains(seen, phrase.lower())
+            for wider in V.PROCESS_PHRASES[:i]:
+                if phrase.lower() in wider.lower():
+                    test = test & ~F.array_contains(seen, wider.lower())
+            terms.append(F.when(test, F.lit(phrase)))
+        return F.concat_ws(", ", *terms)
+
+    return let(F.array_distinct(found), listed)
 
 
 def varietal_guard(c: Column) -> Column:

@@ -62,8 +62,9 @@ def tag_roasts(tags: Column) -> Column:
         F.array_compact(F.transform(tags, roast_of)))
 
 
-def listed_roast(title: Column, variant_titles: Column, tags: Column, text: Column) -> Column:
-    """Title, then variants that show both ways of brewing, then tags, then text."""
+def listed_roast(title: Column, variant_titles: Column, tags: Column) -> Column:
+    """Title, then variants that show both ways of brewing, then tags; NULL if
+    none of them decides and the text has to."""
     joined = F.lower(F.array_join(F.transform(variant_titles, blank), " "))
     both = F.contains(joined, F.lit("espresso")) & joined.rlike("|".join(V.FILTER_VARIANT_WORDS))
     of_tags = let(
@@ -74,14 +75,12 @@ def listed_roast(title: Column, variant_titles: Column, tags: Column, text: Colu
         filled(roast_of_title(title)),
         F.when(F.coalesce(both, F.lit(False)), F.lit("omni")),
         of_tags,
-        roast_of_text(text),
     )
 
 
-def category_roast(espresso_seen: Column, filter_seen: Column, text: Column) -> Column:
-    """Categories over a whole title group decide, else the text."""
-    known = _decide(F.lit(False), filter_seen, espresso_seen)
-    return F.coalesce(filled(known), roast_of_text(text))
+def category_roast(espresso_seen: Column, filter_seen: Column) -> Column:
+    """What the categories of a title group say; NULL leaves it to the text."""
+    return filled(_decide(F.lit(False), filter_seen, espresso_seen))
 
 
 def roast_bucket(profile: Column) -> Column:

@@ -11,7 +11,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -21,7 +21,7 @@ from shelf import vocabulary as V
 # ampersand cannot start another entity
 _COMMON_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0",
-    "copy": "©", "middot": "·", "ndash": "–", "mdash": "—",
+    "#36": "$", "#x24": "$", "copy": "©", "middot": "·", "ndash": "–", "mdash": "—",
     "rsquo": "’", "lsquo": "‘", "hellip": "…", "amp": "&",
 }
 _RARE_ENTITY = "&(?!(?:" + "|".join(_COMMON_ENTITIES) + ");)[#A-Za-z]"
@@ -66,12 +66,15 @@ def words(fragments) -> str:
     return r"\b(?:" + "|".join(fragments) + r")\b"
 
 
-def decode_entities(c: Column) -> Column:
-    native = c
+def _decode_common(c: Column) -> Column:
     for name, char in _COMMON_ENTITIES.items():
-        native = F.replace(native, F.lit(f"&{name};"), F.lit(char))
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
+def decode_entities(c: Column) -> Column:
     rare = _unescape(F.when(c.rlike(_RARE_ENTITY), c))
-    return F.coalesce(rare, native)
+    return F.coalesce(rare, _decode_common(c))
 
 
 def squeeze(c: Column) -> Column:
@@ -105,19 +108,29 @@ def key_text(c: Column) -> Column:
     return F.lower(squeeze(F.translate(normal, V.DASHES, "-" * len(V.DASHES))))
 
 
-def visible_text(html_text: Column) -> Column:
-    """Text nodes of a page joined by a space."""
+def strip_markup(html_text: Column) -> Column:
+    """Comments, scripts, styles and tags out of a page; entities stay."""
     body = F.regexp_replace(blank(html_text), "(?s)<!--.*?-->", " ")
     body = F.regexp_replace(
         body, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " "
     )
-    body = F.regexp_replace(body, "<[!?/A-Za-z][^>]*>", " ")
-    return squeeze(decode_entities(body))
+    return squeeze(F.regexp_replace(body, "<[!?/A-Za-z][^>]*>", " "))
+
+
+def plain_text(html_text: Column) -> Column:
+    """Text of a short piece of a page, common entities decoded."""
+    return squeeze(_decode_common(strip_tags(blank(html_text))))
 
 
-def page_text(html_text: Column) -> Column:
-    """Visible text, cleaned once more as every free text is."""
-    return clean_text(visible_text(html_text))
+def with_page_text(df: DataFrame, **pages: Column) -> DataFrame:
+    """Add the text of pages: markup out, entities decoded, then cleaned once more
+    as every free text is.  Each step is a column of its own, used by the next, so
+    plans stay small and no step is computed twice."""
+    names = list(pages)
+    df = df.withColumns({f"_{n}": strip_markup(c) for n, c in pages.items()})
+    df = df.withColumns({f"_{n}": decode_entities(F.col(f"_{n}")) for n in names})
+    df = df.withColumns({n: clean_text(F.col(f"_{n}")) for n in names})
+    return df.drop(*[f"_{n}" for n in names])
 
 
 def unescape_slashes(c: Column) -> Column:

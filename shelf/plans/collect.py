@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.operators import select
+from shelf.operators import extract, select
 from shelf.sources import catalogue, feeds, pages
 
 HOST = 100
@@ -40,10 +40,16 @@ def allowed(config: DataFrame) -> DataFrame:
     return pairs.where(keep).select("roaster", "strategy")
 
 
-def source_items(config: DataFrame, payloads: DataFrame, details: DataFrame | None = None,
-                 listings: DataFrame | None = None, captured_pages: DataFrame | None = None) -> DataFrame:
-    """Items of every allowed strategy, not yet chosen between."""
-    payloads = feeds.with_shops(payloads.join(allowed(config), ["roaster", "strategy"]), config)
+def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame | None = None,
+                    listings: DataFrame | None = None, captured_pages: DataFrame | None = None,
+                    sitemap_found: DataFrame | None = None) -> DataFrame:
+    """Products of every allowed strategy, not yet chosen between.
+
+    ``listings`` are captured listing pages with a strategy; ``sitemap_found``
+    (site, listing_url, url, ord, pos) comes from ``crawl.expand_sitemaps``.
+    """
+    allow = allowed(config)
+    payloads = feeds.with_shops(payloads.join(allow, ["roaster", "strategy"]), config)
 
     def of(*names):
         return payloads.where(F.col("strategy").isin(*names))
@@ -53,31 +59,37 @@ def source_items(config: DataFrame, payloads: DataFrame, details: DataFrame | No
         "candidate_ord").drop("_host", "n_rows")
     # a discovered collection is read without the shop's size
     found = of("discovered_collection").withColumn("price_variant_filter", F.lit(None).cast("string"))
-    items = (
-        feeds.collection_items(of("collection"), details)
-        .unionByName(best(feeds.collection_items(found, details)))
-        .unionByName(best(feeds.collection_items(of("all_products"), whole_shop=True)))
-        .unionByName(feeds.woo_items(of("woo")))
-        .unionByName(feeds.wordpress_items(of("wordpress"))))
+    products = (
+        feeds.collection_products(of("collection"), details)
+        .unionByName(best(feeds.collection_products(found, details)))
+        .unionByName(best(feeds.collection_products(of("all_products"), whole_shop=True)))
+        .unionByName(feeds.woo_products(of("woo")))
+        .unionByName(feeds.wordpress_products(of("wordpress"))))
     if listings is not None:
         for name in pages.LINKS:
-            own = listings.where(F.col("strategy") == name).join(allowed(config), ["roaster", "strategy"])
-            linked = pages.linked_items(pages.listing_links(own, name), captured_pages)
-            items = items.unionByName(linked.select(items.columns))
-    return items
-
-
-def collect(config: DataFrame, items: DataFrame, reasons: DataFrame) -> DataFrame:
+            own = listings.where(F.col("strategy") == name).join(allow, ["roaster", "strategy"])
+            links = pages.listing_links(feeds.with_shops(own, config), name)
+            products = products.unionByName(pages.linked_products(links, captured_pages, name))
+    if sitemap_found is not None:
+        links = pages.sitemap_links(sitemap_found).select(
+            F.col("site").alias("roaster"), "listing_url", "ord", F.col("url").alias("product_url"),
+            F.lit(0).alias("candidate_ord"), F.lit("sitemap").alias("strategy"))
+        links = feeds.with_shops(links.join(allow, ["roaster", "strategy"]), config)
+        products = products.unionByName(pages.linked_products(links, captured_pages, "sitemap"))
+    return products
+
+
+def collect(config: DataFrame, products: DataFrame, reasons: DataFrame) -> DataFrame:
     """Per shop the items of its first source that has any; a shop without gets
-    one error row that tells why.
+    one error row that tells why.  Fields are read only for what was chosen.
 
     ``reasons``: roaster, candidate_ord, listing_url, strategy, reason - at most
     a few per shop, so joining their texts stays small.
     """
-    ranked = items.withColumn("priority", priority(F.col("strategy"), host_of(F.col("candidate_ord"))))
-    chosen = select.pick_source(ranked, ["roaster"], "priority").drop("priority")
+    ranked = products.withColumn("priority", priority(F.col("strategy"), host_of(F.col("candidate_ord"))))
+    chosen = extract.items(select.pick_source(ranked, ["roaster"], "priority"))
     named = config.where("listing_url IS NOT NULL")
-    lost = named.join(items.select("roaster").distinct(), "roaster", "left_anti")
+    lost = named.join(products.select("roaster").distinct(), "roaster", "left_anti")
     told = reasons.withColumn("host", host_of(F.col("candidate_ord"))).withColumn(
         "rank", priority(F.col("strategy"), F.col("host")))
     told = told.groupBy("roaster", "host", "listing_url").agg(

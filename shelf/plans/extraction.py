@@ -256,6 +256,7 @@ def roast_profile(spark, sf_dir):
         F.lit("for pour over or Espresso"), F.lit("filter"))
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", title.alias("title"), variants.alias("variants"), tags.alias("tags"), text.alias("text"))
-    profile = roast.listed_roast(F.col("title"), F.col("variants"), F.col("tags"), F.col("text"))
+    profile = F.coalesce(
+        roast.listed_roast(F.col("title"), F.col("variants"), F.col("tags")), roast.roast_of_text(F.col("text")))
     return rows.select("p_partkey", profile.alias("roast_profile")).withColumn(
         "colour", roast.roast_colour(F.col("roast_profile")))

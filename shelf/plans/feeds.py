@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelf.functions import fields, prices
-from shelf.operators import crawl, select
+from shelf.operators import crawl, extract, select
 from shelf.plans.extraction import TERMS, choose, pick, sql_pick, text_of
 from shelf.plans.registry import query, table
 from shelf.sources import catalogue, feeds, pages
@@ -132,14 +132,14 @@ def payload_products(spark, sf_dir):
     sized = captured["collection"].withColumns({
         "price_variant_filter": F.lit("250g"), "skip_sources": F.lit(None).cast("array<string>"),
         "tag_aliases": F.lit(None).cast("map<string,array<string>>")})
-    shop = feeds.collection_items(feeds.with_shops(captured["all_products"]), whole_shop=True)
+    shop = feeds.collection_products(feeds.with_shops(captured["all_products"]), whole_shop=True)
     best = select.best_of(shop, ["roaster"], "candidate_ord", "candidate_ord").drop("n_rows")
-    items = (
-        feeds.collection_items(sized)
+    products = (
+        feeds.collection_products(sized)
         .unionByName(best)
-        .unionByName(feeds.woo_items(feeds.with_shops(captured["woo"])))
-        .unionByName(feeds.wordpress_items(feeds.with_shops(captured["wordpress"]))))
-    return items.select(*_SHOWN)
+        .unionByName(feeds.woo_products(feeds.with_shops(captured["woo"])))
+        .unionByName(feeds.wordpress_products(feeds.with_shops(captured["wordpress"]))))
+    return extract.items(products).select(*_SHOWN)
 
 
 @query("payload_reasons", f"""
@@ -255,9 +255,10 @@ SELECT p_partkey, CASE WHEN state IN ('feed', 'blocked') THEN 'skip' WHEN state
 FROM cases""")
 def page_records(spark, sf_dir):
     rows = part_pages(spark, sf_dir).withColumnRenamed("url", "product_url").withColumns({
-        "roaster": F.lit("a shop"), "listing_url": F.lit("https://shop.example.com/list")})
-    return pages.page_items(rows).select(
-        "p_partkey", "status", "error", "bean_name", "price_aud", "process", "roast_profile", "source_url")
+        "roaster": F.lit("a shop"), "listing_url": F.lit("https://shop.example.com/list"),
+        "ord": F.col("p_partkey").cast("int")})
+    return extract.items(pages.page_products(rows)).select(
+        F.col("ord").cast("long").alias("p_partkey"), "status", "error", "bean_name", "price_aud", "process", "roast_profile", "source_url")
 
 
 def part_listings(spark, sf_dir, path, escaped):
@@ -288,15 +289,15 @@ def link_driven_sources(spark, sf_dir):
         captured = part_pages(spark, sf_dir, path).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
         listings = part_listings(spark, sf_dir, path, strategy == "shop_slug")
         links = pages.listing_links(listings, strategy)
-        items = pages.linked_items(links, captured).withColumn("strategy", F.lit(strategy))
-        out = items if out is None else out.unionByName(items, allowMissingColumns=True)
+        found = pages.linked_products(links, captured, strategy)
+        out = found if out is None else out.unionByName(found)
     found, _ = crawl.expand_sitemaps(*part_sitemaps(spark, sf_dir))
     links = pages.sitemap_links(found).select(
         F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord",
         F.col("url").alias("product_url"))
     captured = part_pages(spark, sf_dir).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
-    items = pages.linked_items(links, captured).withColumn("strategy", F.lit("sitemap"))
-    return out.unionByName(items, allowMissingColumns=True).groupBy("strategy", "roaster").agg(
+    products = out.unionByName(pages.linked_products(links, captured, "sitemap"))
+    return products.groupBy("strategy", "roaster").agg(
         F.count("*").alias("n_items"), F.count_if(F.col("status") == "ok").alias("n_ok"),
         F.count_if(F.col("error") == "product_page_error: not captured").alias("n_missing"))
 

@@ -118,10 +118,10 @@ def collection_run(spark, sf_dir):
         F.lit("shop without").alias("roaster"), F.lit(None).cast("string").alias("listing_url")).withColumns(
         {**switches, "force_woo_api": F.lit(False)})
     config = config.unionByName(nameless)
-    items = run.source_items(config, payloads)
+    products = run.source_products(config, payloads)
     addresses = payloads.select("roaster", "strategy", "candidate_ord", "listing_url").distinct()
-    reasons = feeds.feed_reasons(payloads, items).join(addresses, ["roaster", "strategy", "candidate_ord"])
-    return run.collect(config, items, reasons).groupBy("roaster", "strategy").agg(
+    reasons = feeds.feed_reasons(payloads, products).join(addresses, ["roaster", "strategy", "candidate_ord"])
+    return run.collect(config, products, reasons).groupBy("roaster", "strategy").agg(
         F.count("*").alias("n_items"), F.max("error").alias("error"))
 
 

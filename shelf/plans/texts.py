@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelf.functions import rules, text, urls
 from shelf.operators import crawl, select
 from shelf.plans.registry import query, table
-from shelf.sources.pages import page_title as title_of_page
+from shelf.sources.pages import with_page_title
 from shelf.vocabulary import BLOCKED_PATTERNS, BLOCKED_PHRASES
 
 _MATCH = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -71,9 +71,8 @@ SELECT page_id, {_SQUEEZE.format(_VISIBLE)} AS page_text,
        {_SQUEEZE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")} AS tagless
 FROM pages""")
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", text.page_text(F.col("html")).alias("page_text"),
-        text.strip_html(F.col("html")).alias("tagless"))
+    pages = text.with_page_text(table(spark, sf_dir, "pages"), page_text=F.col("html"))
+    return pages.select("page_id", "page_text", text.strip_html(F.col("html")).alias("tagless"))
 
 
 _H1 = "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
@@ -83,7 +82,7 @@ _H1 = "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
 SELECT page_id, {_SQUEEZE.format(
     "replace(replace(" + _H1 + ", '&quot;', '\"'), '&amp;', '&')")} AS title FROM pages""")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", title_of_page(F.col("html")).alias("title"))
+    return with_page_title(table(spark, sf_dir, "pages"), F.col("html")).select("page_id", "title")
 
 
 _LINKS = """
@@ -107,7 +106,7 @@ def page_links(spark, sf_dir):
 
 @query("same_site_links", _LINKS + """
 SELECT page_id, count(*) AS n_links FROM absolute
-WHERE page_id % 3 <> 1 AND length(link) % 4 <> 0 GROUP BY page_id""")
+WHERE (page_id % 3 = 0 OR page_id % 3 = 2 AND NOT contains(link, '//www.')) AND length(link) % 4 <> 0 GROUP BY page_id""")
 def same_site_links(spark, sf_dir):
     # links are moved to a 'www.' host, to another site, below a product path or a feed
     links = urls.product_links(F.col("url"), F.col("html"), markers=("/",))

@@ -1,8 +1,9 @@
-"""Captured JSON feeds to catalogue items, with a reason where there are none.
+"""Captured JSON feeds to products, with a reason where there are none.
 
-Input is the table of captured payloads (``schemas.PAYLOAD``), joined with the
-shop columns of ``sources.catalogue.shops`` (size, rules).  Output has the item
-columns and ``strategy``, ``candidate_ord`` and ``ord`` (position in the feed).
+Input is the table of captured payloads (``schemas.PAYLOAD``) with the shop
+columns of ``with_shops``.  A reader parses, filters and prices products but
+leaves the text alone; ``operators.extract.items`` reads the fields later, once,
+for the products that were chosen.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from pyspark.sql import functions as F
 from shelf import schemas
 from shelf import vocabulary as V
 from shelf.functions import prices, roast, rules
-from shelf.functions.fields import with_fields
-from shelf.functions.text import blank, clean_text, filled, page_text
+from shelf.functions.text import blank, clean_text, filled, with_page_text
 from shelf.functions.urls import site_root
+from shelf.operators.extract import as_products
 from shelf.operators.grouping import title_groups
 
-PLACE = ["strategy", "candidate_ord", "ord"]
 SHOP_COLUMNS = ("price_variant_filter", "skip_sources", "tag_aliases")
 _SHOP_TYPES = ("string", "array<string>", "map<string,array<string>>")
 
@@ -31,15 +31,9 @@ def with_shops(payloads: DataFrame, config: DataFrame | None = None) -> DataFram
     return payloads.join(config.select("roaster", *SHOP_COLUMNS), "roaster", "left")
 
 
-def _items(df: DataFrame, **given: Column) -> DataFrame:
-    ok = {"status": F.lit("ok"), "error": F.lit("")}
-    columns = {**ok, **given}
-    return df.select(*PLACE, *[columns.get(c, F.col(c)).alias(c) for c in schemas.ITEM_COLUMNS])
-
-
-def collection_items(payloads: DataFrame, details: DataFrame | None = None,
-                     whole_shop: bool = False) -> DataFrame:
-    """Items of collection feeds.
+def collection_products(payloads: DataFrame, details: DataFrame | None = None,
+                        whole_shop: bool = False) -> DataFrame:
+    """Products of collection feeds.
 
     ``whole_shop`` reads all-products feeds: the block list then sees the tags
     too, and price and roast come from the listing alone.  ``details`` (roaster,
@@ -64,20 +58,14 @@ def collection_items(payloads: DataFrame, details: DataFrame | None = None,
         "product_url": F.coalesce(
             F.concat(site_root(F.col("listing_url")), F.lit("/products/"), handle), F.col("listing_url")),
         "tags": F.col("p.tags"),
-        "body": page_text(F.col("p.body_html")),
     })
     if details is not None and not whole_shop:
         rows = with_details(rows, details)
-    rows = rows.withColumn("text", F.concat_ws(" ", "title", "tag_text", "body"))
-    rows = with_fields(
-        rows, text="text", body="body", tags="tags", title="title", url="product_url",
-        skip="skip_sources", aliases="tag_aliases")
-    variant_titles = F.transform("p.variants", lambda v: v.title)
-    profile = roast.roast_of_text(F.col("text")) if whole_shop else roast.listed_roast(
-        F.col("title"), variant_titles, F.col("tags"), F.col("text"))
-    return _items(
-        rows, source_url=F.col("product_url"), bean_name=F.col("title"), roast_profile=profile,
-        price_aud=F.col("price"))
+    rows = with_page_text(rows, body=F.col("p.body_html"))
+    shown_roast = None if whole_shop else roast.listed_roast(
+        F.col("title"), F.transform("p.variants", lambda v: v.title), F.col("tags"))
+    return as_products(
+        rows, text=F.concat_ws(" ", "title", "tag_text", "body"), shown_roast=shown_roast)
 
 
 def with_details(rows: DataFrame, details: DataFrame) -> DataFrame:
@@ -118,8 +106,8 @@ def _read_pages(payloads: DataFrame, schema: str, pages: int, size: int) -> Data
     return rows.withColumn("ord", ((F.col("page") - 1) * size + F.col("pos")).cast("int"))
 
 
-def woo_items(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.API_PAGE_SIZE) -> DataFrame:
-    """Items of a paged store feed, products of one title taken together.
+def woo_products(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.API_PAGE_SIZE) -> DataFrame:
+    """Products of a paged store feed, those of one title taken together.
 
     The first product of a title speaks for it, even if that one is sold out;
     the title goes only if all of them are.  Stock and categories of the group
@@ -140,40 +128,33 @@ def woo_items(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.API_P
 
     first = first.withColumns({
         "product_url": clean_text(F.col("p.permalink")),
-        "short": page_text(F.col("p.short_description")),
-        "long": page_text(F.col("p.description")),
         "cats": joined(F.col("p.categories")), "tag_text": joined(F.col("p.tags")),
+        "price": prices.minor_unit_price(F.col("p.prices.price"), F.col("p.prices.currency_minor_unit")),
     })
     blocked = rules.is_blocked_for(
         F.col("roaster"), F.concat_ws(" ", "title", "product_url", "cats", "tag_text"))
     first = first.where((F.col("product_url") != "") & ~blocked)
-    first = first.withColumn("text", F.concat_ws(" ", "title", "short", "long", "cats", "tag_text"))
-    first = with_fields(first, text="text", body="text", title="title", url="product_url",
-                        skip="skip_sources")
-    return _items(
-        first, source_url=F.col("product_url"), bean_name=F.col("title"),
-        price_aud=prices.minor_unit_price(F.col("p.prices.price"), F.col("p.prices.currency_minor_unit")),
-        roast_profile=roast.category_roast(F.col("espresso_seen"), F.col("filter_seen"), F.col("text")))
+    first = with_page_text(
+        first, short=F.col("p.short_description"), long=F.col("p.description"))
+    text = F.concat_ws(" ", "title", "short", "long", "cats", "tag_text")
+    return as_products(
+        first.withColumn("body", text), text=F.col("body"),
+        shown_roast=roast.category_roast(F.col("espresso_seen"), F.col("filter_seen")))
 
 
-def wordpress_items(payloads: DataFrame, pages: int = V.API_PAGES,
+def wordpress_products(payloads: DataFrame, pages: int = V.API_PAGES,
                     size: int = V.API_PAGE_SIZE) -> DataFrame:
-    """Items of a paged product feed of plain posts."""
+    """Products of a paged feed of plain posts."""
     rows = _read_pages(payloads, schemas.WORDPRESS, pages, size).withColumns({
-        "title": clean_text(F.col("p.title.rendered")), "product_url": clean_text(F.col("p.link")),
-        "excerpt": page_text(F.col("p.excerpt.rendered")),
-        "content": page_text(F.col("p.content.rendered")),
-    })
+        "title": clean_text(F.col("p.title.rendered")), "product_url": clean_text(F.col("p.link"))})
+    rows = rows.where((F.col("title") != "") & (F.col("product_url") != ""))
+    rows = with_page_text(
+        rows, excerpt=F.col("p.excerpt.rendered"), content=F.col("p.content.rendered"))
     shown = F.concat_ws(" ", "title", "product_url", "excerpt")
-    rows = rows.where(
-        (F.col("title") != "") & (F.col("product_url") != "")
-        & ~rules.is_blocked_for(F.col("roaster"), shown))
-    rows = rows.withColumn("text", F.concat_ws(" ", "title", "excerpt", "content"))
-    rows = with_fields(rows, text="text", body="text", title="title", url="product_url",
-                       skip="skip_sources")
-    return _items(
-        rows, source_url=F.col("product_url"), bean_name=F.col("title"),
-        price_aud=prices.dollar_price(F.col("text")), roast_profile=roast.roast_of_text(F.col("text")))
+    rows = rows.where(~rules.is_blocked_for(F.col("roaster"), shown))
+    rows = rows.withColumn("body", F.concat_ws(" ", "title", "excerpt", "content"))
+    return as_products(
+        rows.withColumn("price", prices.dollar_price(F.col("body"))), text=F.col("body"))
 
 
 # --- reasons ---------------------------------------------------------------------------

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelf import schemas
 from shelf import vocabulary as V
-from shelf.functions import prices, roast, rules
-from shelf.functions.fields import with_fields
-from shelf.functions.text import blank, clean_text, filled, page_text
+from shelf.functions import prices, rules
+from shelf.functions.text import blank, filled, plain_text, with_page_text
 from shelf.functions.urls import product_links, shop_links, url_path
+from shelf.operators.extract import as_products
 
 
 def _meta(html: Column, prop: str) -> Column:
@@ -20,11 +19,11 @@ def _meta(html: Column, prop: str) -> Column:
         rf"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']{prop}["'])[^>]*?\bcontent\s*=\s*(["'])(.*?)\1""", 2)
 
 
-def page_title(html: Column) -> Column:
+def with_page_title(df: DataFrame, html: Column, out: str = "title") -> DataFrame:
     """``og:title``, else the first heading."""
+    meta = _meta(html, "og:title")
     heading = F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)
-    return F.coalesce(
-        filled(clean_text(_meta(html, "og:title"))), page_text(heading))
+    return with_page_text(df, **{out: F.when(plain_text(meta) != "", meta).otherwise(heading)})
 
 
 def _element(class_pattern: str, depth: int = 3) -> str:
@@ -52,58 +51,47 @@ def page_price(html: Column, text: Column) -> Column:
     ld = F.regexp_extract(
         html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script""", 1)
     stated = F.coalesce(
-        filled(clean_text(_meta(html, "product:price:amount"))),
+        filled(plain_text(_meta(html, "product:price:amount"))),
         filled(F.regexp_extract(ld, r'"price"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)"?', 1)))
     shown = [
-        F.nullif(filled(prices.dollar_price(page_text(F.regexp_extract(html, e, 2)))), F.lit("0"))
+        F.nullif(filled(prices.dollar_price(plain_text(F.regexp_extract(html, e, 2)))), F.lit("0"))
         for e in _PRICE_ELEMENTS
     ]
     return F.coalesce(F.nullif(F.coalesce(stated, *shown), F.lit("0")), prices.dollar_price(text))
 
 
-def page_items(pages: DataFrame) -> DataFrame:
-    """Product pages to items with a status: ok, skip or error.
+def page_products(pages: DataFrame) -> DataFrame:
+    """Product pages to products with a status: ok, skip or error.
 
-    Needs roaster, listing_url, product_url, http_status, content_type, html;
-    every other column is kept.
+    Needs roaster, listing_url, product_url, http_status, content_type, html.
     """
-    extra = [c for c in pages.columns if c not in (*schemas.ITEM_COLUMNS, "html", "http_status", "content_type")]
     fetched = F.coalesce(F.col("http_status") == 200, F.lit(False))
     feed = rules.is_feed(F.col("content_type"))
     rows = pages.withColumns({
         "_state": F.when(~fetched, "page").when(feed, "feed").otherwise("html"),
-        "html": F.when(fetched & ~feed, F.col("html")),
-    })
-    rows = rows.withColumn("text", page_text(F.col("html")))
-    rows = rows.withColumns({
-        "title": page_title(blank(F.col("html"))),
-        "price": page_price(blank(F.col("html")), F.col("text")),
+        "html": F.when(fetched & ~feed, blank(F.col("html"))).otherwise(""),
     })
+    rows = with_page_text(with_page_title(rows, F.col("html")), text=F.col("html"))
     blocked = rules.is_blocked_for(F.col("roaster"), F.concat_ws(" ", "title", "product_url"))
     rows = rows.withColumn("_state", F.when(
         (F.col("_state") == "html") & blocked, "blocked").otherwise(F.col("_state")))
-    rows = with_fields(rows, text="text", body="text", title="title", url="product_url",
-                       skip="skip_sources" if "skip_sources" in pages.columns else None)
-    read = F.col("_state") == "html"
+    untitled = (F.col("_state") == "html") & (F.col("title") == "")
     status = (
         F.when(F.col("_state").isin("feed", "blocked"), "skip")
-        .when(read & (F.col("title") != ""), "ok").otherwise("error"))
+        .when((F.col("_state") == "page") | untitled, "error").otherwise("ok"))
     error = (
         F.when(F.col("_state") == "feed", "non_product_feed_page")
         .when(F.col("_state") == "blocked", "excluded_non_beans")
         .when(F.col("_state") == "page", F.concat(
             F.lit("product_page_error: "),
             F.coalesce(F.col("http_status").cast("string"), F.lit("not captured"))))
-        .when(F.col("title") == "", "missing_product_title").otherwise(""))
-    only = lambda c: F.when(read, c).otherwise("")
-    given = {
+        .when(untitled, "missing_product_title").otherwise(""))
+    rows = rows.withColumns({
+        "status": status, "error": error, "body": F.col("text"),
+        "price": page_price(F.col("html"), F.col("text")),
         "source_url": F.when(F.col("_state") == "page", F.col("listing_url")).otherwise(F.col("product_url")),
-        "bean_name": F.col("title"), "price_aud": F.col("price"), "status": status, "error": error,
-        "roast_profile": only(roast.roast_of_text(F.col("text"))),
-        **{c: only(F.col(c)) for c in ("origin", "process", "varietal", "flavour_profile")},
-    }
-    return rows.select(*extra, *[
-        given.get(c, F.col(c)).alias(c) for c in schemas.ITEM_COLUMNS if c not in extra])
+    })
+    return as_products(rows)
 
 
 # --- sources that follow links --------------------------------------------------------
@@ -128,11 +116,11 @@ def listing_links(listings: DataFrame, strategy: str) -> DataFrame:
     return rows.where(~F.contains(F.lower(path), F.lit("/feed")))
 
 
-def linked_items(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items behind links; a page that was not captured gives an error row and
+def linked_products(links: DataFrame, pages: DataFrame, strategy: str) -> DataFrame:
+    """Products behind links; a page that was not captured gives an error row and
     skipped pages go.  Pages: url, http_status, content_type, html."""
     found = links.join(pages.withColumnRenamed("url", "product_url"), "product_url", "left")
-    return page_items(found).where("status <> 'skip'")
+    return page_products(found.withColumn("strategy", F.lit(strategy))).where("status <> 'skip'")
 
 
 def listing_reasons(listings: DataFrame, links: DataFrame, items: DataFrame, strategy: str) -> DataFrame:
