@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.operators import extract, select
+from shelf.operators import extract
+from shelf.session import written
 from shelf.sources import catalogue, feeds, pages
 
 HOST = 100
@@ -43,7 +44,8 @@ def allowed(config: DataFrame) -> DataFrame:
 def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame | None = None,
                     listings: DataFrame | None = None, captured_pages: DataFrame | None = None,
                     sitemap_found: DataFrame | None = None) -> DataFrame:
-    """Products of every allowed strategy, not yet chosen between.
+    """Products of every allowed strategy and candidate, not yet chosen between.
+    They are parsed once and written; all later steps read that table.
 
     ``listings`` are captured listing pages with a strategy; ``sitemap_found``
     (site, listing_url, url, ord, pos) comes from ``crawl.expand_sitemaps``.
@@ -54,15 +56,12 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
     def of(*names):
         return payloads.where(F.col("strategy").isin(*names))
 
-    best = lambda df: select.best_of(
-        df.withColumn("_host", host_of(F.col("candidate_ord"))), ["roaster", "_host"], "candidate_ord",
-        "candidate_ord").drop("_host", "n_rows")
     # a discovered collection is read without the shop's size
     found = of("discovered_collection").withColumn("price_variant_filter", F.lit(None).cast("string"))
     products = (
         feeds.collection_products(of("collection"), details)
-        .unionByName(best(feeds.collection_products(found, details)))
-        .unionByName(best(feeds.collection_products(of("all_products"), whole_shop=True)))
+        .unionByName(feeds.collection_products(found, details))
+        .unionByName(feeds.collection_products(of("all_products"), whole_shop=True))
         .unionByName(feeds.woo_products(of("woo")))
         .unionByName(feeds.wordpress_products(of("wordpress"))))
     if listings is not None:
@@ -76,7 +75,22 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
             F.lit(0).alias("candidate_ord"), F.lit("sitemap").alias("strategy"))
         links = feeds.with_shops(links.join(allow, ["roaster", "strategy"]), config)
         products = products.unionByName(pages.linked_products(links, captured_pages, "sitemap"))
-    return products
+    return written(products, "products")
+
+
+def chosen_source(products: DataFrame) -> DataFrame:
+    """Per shop the products of its first strategy that has any; where a strategy
+    has several candidates, of the one with most rows, the earlier on ties.
+
+    All deciding is done on a table of counts, which is then joined back once.
+    """
+    key = ["roaster", "strategy", "candidate_ord"]
+    sizes = products.groupBy(*key).agg(F.count("*").alias("n"))
+    order = F.struct(
+        priority(F.col("strategy"), host_of(F.col("candidate_ord"))), -F.col("n"), "candidate_ord")
+    best = sizes.groupBy("roaster").agg(
+        F.min_by(F.struct("strategy", "candidate_ord"), order).alias("best"))
+    return products.join(best.select("roaster", "best.*"), key)
 
 
 def collect(config: DataFrame, products: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -86,8 +100,7 @@ def collect(config: DataFrame, products: DataFrame, reasons: DataFrame) -> DataF
     ``reasons``: roaster, candidate_ord, listing_url, strategy, reason - at most
     a few per shop, so joining their texts stays small.
     """
-    ranked = products.withColumn("priority", priority(F.col("strategy"), host_of(F.col("candidate_ord"))))
-    chosen = extract.items(select.pick_source(ranked, ["roaster"], "priority"))
+    chosen = extract.items(chosen_source(products))
     named = config.where("listing_url IS NOT NULL")
     lost = named.join(products.select("roaster").distinct(), "roaster", "left_anti")
     told = reasons.withColumn("host", host_of(F.col("candidate_ord"))).withColumn(

@@ -8,6 +8,7 @@ from shelf.functions import fields, prices
 from shelf.operators import crawl, extract, select
 from shelf.plans.extraction import TERMS, choose, pick, sql_pick, text_of
 from shelf.plans.registry import query, table
+from shelf.session import written
 from shelf.sources import catalogue, feeds, pages
 from shelf.functions.guards import origin_guard
 
@@ -132,7 +133,9 @@ def payload_products(spark, sf_dir):
     sized = captured["collection"].withColumns({
         "price_variant_filter": F.lit("250g"), "skip_sources": F.lit(None).cast("array<string>"),
         "tag_aliases": F.lit(None).cast("map<string,array<string>>")})
-    shop = feeds.collection_products(feeds.with_shops(captured["all_products"]), whole_shop=True)
+    # choosing reads the products twice, so they are parsed once and written
+    shop = written(feeds.collection_products(
+        feeds.with_shops(captured["all_products"]), whole_shop=True), "all-products")
     best = select.best_of(shop, ["roaster"], "candidate_ord", "candidate_ord").drop("n_rows")
     products = (
         feeds.collection_products(sized)

@@ -20,9 +20,10 @@ def write_snapshot(items: DataFrame, folder: str, snapshot: str = "snapshot") ->
     """Items by snapshot and roast bucket, plus a summary row per snapshot.
 
     Buckets are folders rather than arrays in one document: one bucket can hold
-    most of a snapshot.
+    most of a snapshot.  Rebalancing gives every folder few files and splits a
+    folder that is too large for one task.
     """
-    with_bucket(items).write.mode("append").partitionBy(snapshot, "bucket").parquet(f"{folder}/items")
+    with_bucket(items).hint("rebalance", snapshot, "bucket").write.mode("append").partitionBy(snapshot, "bucket").parquet(f"{folder}/items")
     snapshot_summary(items, [snapshot]).write.mode("append").parquet(f"{folder}/summary")
 
 
