@@ -12,9 +12,17 @@ from shelf.functions.text import blank, clean_text, match_text
 
 
 def phrase_pattern(phrases, patterns=()) -> str:
-    """All phrases and patterns as one alternation, built once on the driver."""
-    bounded = [r"\b" + r"\s+".join(re.escape(w) for w in p.split()) + r"\b" for p in phrases]
-    return "|".join(bounded + list(patterns))
+    """All phrases and patterns as one alternation, built once on the driver.
+
+    Phrases share their word boundaries and are grouped by first letter, so that
+    at most a few of them are tried, and only where a word starts.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for phrase in phrases:
+        by_letter.setdefault(phrase[0], []).append(
+            r"\s+".join(re.escape(w) for w in phrase.split())[len(re.escape(phrase[0])):])
+    groups = [re.escape(letter) + "(?:" + "|".join(rest) + ")" for letter, rest in by_letter.items()]
+    return "|".join([r"\b(?:" + "|".join(groups) + r")\b", *patterns])
 
 
 BLOCKED = phrase_pattern(V.BLOCKED_PHRASES, V.BLOCKED_PATTERNS)

@@ -25,7 +25,9 @@ _COMMON_ENTITIES = {
     "rsquo": "’", "lsquo": "‘", "hellip": "…", "amp": "&",
 }
 _RARE_ENTITY = "&(?!(?:" + "|".join(_COMMON_ENTITIES) + ");)[#A-Za-z]"
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
+# white space other than one plain blank, which most of it is and can stay
+_SPACE = r"(?U)(?: [\s\x1c-\x1f]|[\s\x1c-\x1f&&[^ ]])[\s\x1c-\x1f]*"
+_NOT_PLAIN = "(?: [^a-z0-9]|[^a-z0-9 ])[^a-z0-9]*"
 
 
 def _text_udf(change):
@@ -74,7 +76,8 @@ def _decode_common(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     rare = _unescape(F.when(c.rlike(_RARE_ENTITY), c))
-    return F.coalesce(rare, _decode_common(c))
+    common = F.when(F.contains(c, F.lit("&")), _decode_common(c)).otherwise(c)
+    return F.coalesce(rare, common)
 
 
 def squeeze(c: Column) -> Column:
@@ -98,7 +101,8 @@ def clean_text(c: Column) -> Column:
 
 def match_text(c: Column) -> Column:
     """Lower-case ASCII letters and digits, all else one space."""
-    return F.btrim(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", " "))
+    plain = F.lower(strip_tags(decode_entities(blank(c))))
+    return F.btrim(F.regexp_replace(plain, _NOT_PLAIN, " "))
 
 
 def key_text(c: Column) -> Column:

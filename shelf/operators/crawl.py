@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.functions.text import clean_text
 from shelf.functions.urls import same_site, url_path
-from shelf.session import settle
+from shelf.session import written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 100) -> DataFrame:
     """Nodes reached from the seeds with their depth.  Each level joins the
     frontier to the edges and drops what was seen, so cycles end; levels are
-    checkpointed to keep the plan short."""
-    seen = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    written out to keep the plan short."""
+    seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     frontier = seen
     for depth in range(1, max_depth + 1):
         found = (
@@ -24,7 +23,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 100) -> DataFrame
             .join(seen.select("node"), "node", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = settle(found)
+        frontier = written(found, "level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -74,10 +73,10 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
     ``max_files`` of them are opened.
     """
     order = Window.partitionBy("site").orderBy("ord", "pos")
-    seen = settle(
+    seen = written(
         seeds.groupBy("site", "listing_url", "url").agg(F.min("ord").alias("ord"))
         .withColumn("pos", F.lit(0))
-        .withColumn("ord", F.row_number().over(order) - 1).drop("pos"))
+        .withColumn("ord", F.row_number().over(order) - 1).drop("pos"), "files")
     level = seen
     products, errors = None, None
     while True:
@@ -90,7 +89,8 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
             .when(F.col("http_status") != 200,
                   F.concat(F.lit("sitemap_http_"), F.col("http_status").cast("string"), F.lit(":"), "url"))
             .otherwise(F.concat(F.lit("sitemap_no_locs:"), "url")).alias("error"))
-        locs = settle(pages.select("site", "listing_url", "ord", F.posexplode("locs").alias("pos", "loc")))
+        locs = written(pages.select(
+            "site", "listing_url", "ord", F.posexplode("locs").alias("pos", "loc")), "locs")
         listed = locs.where(~is_sitemap(F.col("loc")) & is_site_product(F.col("listing_url"), F.col("loc")))
         listed = listed.select("site", F.col("loc").alias("url"), "ord", "pos")
         products = listed if products is None else products.unionByName(listed)
@@ -105,11 +105,11 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
         files = files.withColumn("place", F.row_number().over(order))
         if max_files is not None:
             files = files.where(F.col("place") <= max_files)
-        level = settle(
+        level = written(
             files.join(known, "site")
-            .select("site", "listing_url", "url", (F.col("last") + F.col("place")).alias("ord")))
+            .select("site", "listing_url", "url", (F.col("last") + F.col("place")).alias("ord")), "files")
         if level.isEmpty():
             break
-        seen = settle(seen.unionByName(level))
+        seen = seen.unionByName(level)
     first = products.groupBy("site", "url").agg(F.min(F.struct("ord", "pos")).alias("at"))
     return first.select("site", "url", "at.ord", "at.pos"), errors

@@ -25,7 +25,7 @@ def _is_finite(value: Column) -> Column:
     return number & F.coalesce(size < F.lit(float("inf")), F.lit(False))
 
 
-def reject_reason(code: Column, body: Column) -> Column:
+def reject_reason(code: Column, body: Column, max_chars: int = V.MAX_BODY_CHARS) -> Column:
     """Why a favourites document is refused; NULL if it is good."""
     doc = F.try_parse_json(blank(body))
     items = F.try_variant_get(doc, "$.items", "map<string,variant>")
@@ -35,7 +35,7 @@ def reject_reason(code: Column, body: Column) -> Column:
         graves.isNull() | (_is_object(graves) & F.forall(grave_values, _is_finite)))
     return (
         F.when(~F.coalesce(code.rlike(V.CODE_PATTERN), F.lit(False)), "bad_code")
-        .when(F.length(blank(body)) > V.MAX_BODY_CHARS, "too_large")
+        .when(F.length(blank(body)) > max_chars, "too_large")
         .when(doc.isNull(), "bad_json")
         .when(~F.coalesce(good, F.lit(False)), "bad_shape")
     )
@@ -75,9 +75,41 @@ def _accepted(times: np.ndarray, last: float, gap: float) -> list[int]:
     return found
 
 
+def _runs(batches, key: str, columns: Sequence[str]):
+    """Runs of one (key, span) in batches sorted by both, as arrays; a run may go
+    over batches.  Yields (key value, span, arrays)."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        keys, spans = batch[key].to_numpy(), batch["_span"].to_numpy()
+        starts = np.flatnonzero(
+            np.concatenate([[True], (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])]))
+        arrays = [batch[c].to_numpy() for c in columns]
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield keys[a], spans[a], [x[a:b] for x in arrays]
+        held = batch.iloc[starts[-1]:]
+    if held is not None:
+        yield held[key].iloc[0], held["_span"].iloc[0], [held[c].to_numpy() for c in columns]
+
+
+def _in_batches(rows, columns: list[str], size: int = 10_000):
+    """Row tuples as frames of a fair size."""
+    some = []
+    for row in rows:
+        some.append(row)
+        if len(some) == size:
+            yield pd.DataFrame(some, columns=columns)
+            some = []
+    if some:
+        yield pd.DataFrame(some, columns=columns)
+
+
 def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int = V.COOLDOWN_SECONDS,
              span_gaps: int = 1440) -> DataFrame:
-    """Events accepted under a cool-down that counts from the last accepted event.
+    """Events (key, tie) accepted under a cool-down that counts from the last accepted.
 
     The rule is a recurrence per key.  To keep a busy key out of one task, its
     time line is cut into spans of ``span_gaps`` cool-downs:
@@ -91,21 +123,18 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int =
     """
     gap = gap_seconds * 1_000_000
     span = gap * span_gaps
-    moment = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.withColumns({"_t": moment}).withColumn(
-        "_span", F.floor(F.col("_t") / F.lit(span)).cast("long"))
-    key_type = dict(events.dtypes)[key]
     never = -(1 << 62)
+    types = dict(events.dtypes)
+    key_type, tie_type = types[key], types[tie]
 
-    def ends(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["_t"].to_numpy())
-        start = int(group["_span"].iloc[0]) * span
-        head = int(np.searchsorted(times, start + gap, side="left"))
-        firsts = list(range(min(head + 1, len(times))))
-        last_of = [int(times[_accepted(times[i:], never, gap)[-1] + i]) for i in firsts]
-        return pd.DataFrame({
-            key: [group[key].iloc[0]], "_span": [int(group["_span"].iloc[0])],
-            "_firsts": [[int(times[i]) for i in firsts]], "_lasts": [last_of]})
+    def ends(batches):
+        def rows():
+            for k, at, (times,) in _runs(batches, key, ["_t"]):
+                head = int(np.searchsorted(times, int(at) * span + gap, side="left"))
+                firsts = times[:head + 1]
+                lasts = [int(times[i:][_accepted(times[i:], never, gap)[-1]]) for i in range(len(firsts))]
+                yield k, int(at), [int(t) for t in firsts], lasts
+        yield from _in_batches(rows(), [key, "_span", "_firsts", "_lasts"])
 
     def entries(batches):
         current, last = None, never
@@ -120,19 +149,23 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int =
                     last = int(lasts[at])
             yield pd.DataFrame({key: batch[key], "_span": batch["_span"], "_before": before})
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_t", tie], kind="stable")
-        keep = _accepted(group["_t"].to_numpy(), int(group["_before"].iloc[0]), gap)
-        return group.iloc[keep][[key, tie, ts]]
+    def resolve(batches):
+        def rows():
+            for k, _, (times, ties, before) in _runs(batches, key, ["_t", tie, "_before"]):
+                for i in _accepted(times, int(before[0]), gap):
+                    yield k, ties[i]
+        yield from _in_batches(rows(), [key, tie])
 
-    table = rows.select(key, "_span", "_t").groupBy(key, "_span").applyInPandas(
-        ends, f"`{key}` {key_type}, _span long, _firsts array<long>, _lasts array<long>")
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(key, tie, moment.alias("_t")).withColumn(
+        "_span", F.floor(F.col("_t") / F.lit(span)).cast("long"))
+    table = (
+        rows.select(key, "_span", "_t").repartition(key, "_span").sortWithinPartitions(key, "_span", "_t")
+        .mapInPandas(ends, f"`{key}` {key_type}, _span long, _firsts array<long>, _lasts array<long>"))
     before = (
         table.repartition(key).sortWithinPartitions(key, "_span")
         .mapInPandas(entries, f"`{key}` {key_type}, _span long, _before long"))
-    types = dict(events.dtypes)
     return (
-        rows.select(key, tie, ts, "_t", "_span").join(before, [key, "_span"])
-        .groupBy(key, "_span")
-        .applyInPandas(resolve, ", ".join(f"`{c}` {types[c]}" for c in (key, tie, ts)))
-    )
+        rows.join(before, [key, "_span"])
+        .repartition(key, "_span").sortWithinPartitions(key, "_span", "_t", tie)
+        .mapInPandas(resolve, f"`{key}` {key_type}, `{tie}` {tie_type}"))

@@ -237,12 +237,12 @@ def doc_validation(spark, sf_dir):
         .when(way == 4, text_of('{"items": {}, "tombstones": {"b": "', k, '"}}'))
         .when(way == 5, text_of("[", good, "]"))
         .when(way == 6, text_of('{"items": {"a": ', F.col("props"), '}, "tombstones": null}'))
-        .when(way == 7, F.concat(good, F.repeat(F.lit(" "), 262144)))
+        .when(way == 7, F.concat(good, F.repeat(F.lit(" "), 1000)))
         .when(way == 9, text_of('{"items": {"a": ', F.col("props"), '}, "x": null}'))
         .otherwise(good))
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.when(way == 1, F.upper(code)).otherwise(code).alias("code"), body.alias("body"))
-    checked = rows.withColumn("reject_reason", merge.reject_reason(F.col("code"), F.col("body")))
+    checked = rows.withColumn("reject_reason", merge.reject_reason(F.col("code"), F.col("body"), 1000))
     good_docs = catalogue.favourites(checked.where("reject_reason IS NULL"), "event_id").select(
         "event_id", F.col("updated_at").cast("int").alias("n"))
     return checked.select("event_id", "reject_reason").join(good_docs, "event_id", "left")

@@ -44,18 +44,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from there: what follows reads
-    only the columns it needs, and a lost executor costs no recomputation."""
+    """Write a table to the shared folder and go on from there.
+
+    This cuts lineage and survives lost executors.  Unlike a checkpoint the rows
+    are computed once, their size is known to later joins, and what follows reads
+    only the columns it needs.
+    """
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
