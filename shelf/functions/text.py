@@ -58,6 +58,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, array: Column | str, pos: str, value: str, *keep) -> DataFrame:
+    """One row per element.  The outer form with a filter behind it, because the
+    plain form makes Spark compute the array a second time to see if it is empty -
+    a second parse of every payload."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.where(F.col(pos).isNotNull())
+
+
 def cut(c: Column, pattern: str, flags: str = "iUs") -> Column:
     """Drop everything from the first match on."""
     return F.regexp_replace(c, f"(?{flags})(?:{pattern}).*\\z", "")

@@ -65,22 +65,26 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.array_join(walked, "/")).otherwise(path)
 
 
+def base_parts(base: Column) -> Column:
+    """What resolving needs of the page's own address, worked out once per page."""
+    path = url_path(base)
+    folder = F.coalesce(filled(F.regexp_extract(path, "^.*/", 0)), F.lit("/"))
+    return F.struct(
+        base.alias("whole"), url_scheme(base).alias("scheme"), site_root(base).alias("root"),
+        path.alias("path"), folder.alias("folder"), site_host(base).alias("host"))
+
+
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
+    """Absolute form of a link found on a page; ``base`` are its ``base_parts``."""
+    place = F.regexp_extract(ref, "^[^?#]*", 0)
     return (
         F.when(ref.rlike(_SCHEME), ref)
-        .when(ref.startswith("//"), F.concat(url_scheme(base), F.lit(":"), ref))
-        .when(ref == "", base)
-        .when(ref.rlike("^[?#]"), F.concat(site_root(base), url_path(base), ref))
+        .when(ref.startswith("//"), F.concat(base.scheme, F.lit(":"), ref))
+        .when(ref == "", base.whole)
+        .when(ref.rlike("^[?#]"), F.concat(base.root, base.path, ref))
         .otherwise(F.concat(
-            site_root(base),
-            _without_dots(
-                F.when(ref.startswith("/"), F.regexp_extract(ref, "^[^?#]*", 0))
-                .otherwise(F.concat(
-                    F.coalesce(filled(F.regexp_extract(url_path(base), "^.*/", 0)), F.lit("/")),
-                    F.regexp_extract(ref, "^[^?#]*", 0),
-                ))
-            ),
+            base.root,
+            _without_dots(F.when(ref.startswith("/"), place).otherwise(F.concat(base.folder, place))),
             F.regexp_extract(ref, "[?#].*$", 0),
         ))
     )
@@ -98,6 +102,12 @@ def product_url(base: Column, ref: Column, markers=tuple(V.PRODUCT_PATHS)) -> Co
     return let(resolve(base, F.btrim(ref)), tidy)
 
 
+def _addresses(base: Column, refs: Column, to_url) -> Column:
+    """Distinct addresses of distinct links, first seen first."""
+    found = let(base_parts(base), lambda b: F.transform(F.array_distinct(refs), lambda r: to_url(b, r)))
+    return F.array_distinct(F.array_compact(found))
+
+
 # --- links of a page -------------------------------------------------------------
 
 def _all(c: Column, pattern: str, group: int) -> Column:
@@ -127,8 +137,7 @@ def product_links(base: Column, html: Column, markers=tuple(V.PRODUCT_PATHS)) ->
 
     found = F.concat(_decode_amp(_anchors(html)), _decode_amp(attributes),
                      blob(html), blob(unescape_slashes(html)))
-    urls = F.transform(found, lambda r: product_url(base, r, markers))
-    return F.array_distinct(F.array_compact(urls))
+    return _addresses(base, found, lambda b, r: product_url(b, r, markers))
 
 
 def shop_links(base: Column, html: Column) -> Column:
@@ -139,15 +148,18 @@ def shop_links(base: Column, html: Column) -> Column:
             _all(text, r"""["'](/shop/[^"']+)["']""", 1),
         )
 
-    def tidy(full):
-        slug = F.regexp_extract(F.rtrim(url_path(full), F.lit("/")), "^/shop/((?:[^/]+/)?[^/]+)$", 1)
-        first = F.lower(F.substring_index(slug, "/", 1))
-        keep = same_site(base, full) & (slug != "") & ~first.isin(V.SHOP_SLUG_STOPS)
-        return F.when(keep, F.concat(site_root(base), F.lit("/shop/"), slug))
+    def shop_url(b, ref):
+        def tidy(full):
+            slug = F.regexp_extract(
+                F.rtrim(url_path(full), F.lit("/")), "^/shop/((?:[^/]+/)?[^/]+)$", 1)
+            first = F.lower(F.substring_index(slug, "/", 1))
+            keep = (b.host == site_host(full)) & (slug != "") & ~first.isin(V.SHOP_SLUG_STOPS)
+            return F.when(keep, F.concat(b.root, F.lit("/shop/"), slug))
+
+        return let(resolve(b, F.btrim(ref)), tidy)
 
     found = F.concat(blob(html), blob(unescape_slashes(html)), _decode_amp(_anchors(html)))
-    urls = F.transform(found, lambda r: let(resolve(base, F.btrim(r)), tidy))
-    return F.array_distinct(F.array_compact(urls))
+    return _addresses(base, found, shop_url)
 
 
 def collection_handles(html: Column) -> Column:

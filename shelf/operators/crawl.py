@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
+from shelf.functions.text import unnest
 from shelf.functions.urls import same_site, url_path
 from shelf.session import written
 
@@ -89,8 +90,8 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
             .when(F.col("http_status") != 200,
                   F.concat(F.lit("sitemap_http_"), F.col("http_status").cast("string"), F.lit(":"), "url"))
             .otherwise(F.concat(F.lit("sitemap_no_locs:"), "url")).alias("error"))
-        locs = written(pages.select(
-            "site", "listing_url", "ord", F.posexplode("locs").alias("pos", "loc")), "locs")
+        locs = written(
+            unnest(pages, "locs", "pos", "loc", "site", "listing_url", "ord"), "locs")
         listed = locs.where(~is_sitemap(F.col("loc")) & is_site_product(F.col("listing_url"), F.col("loc")))
         listed = listed.select("site", F.col("loc").alias("url"), "ord", "pos")
         products = listed if products is None else products.unionByName(listed)

@@ -100,8 +100,7 @@ absolute AS (
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS ord, link FROM absolute""")
 def page_links(spark, sf_dir):
     links = urls.product_links(F.col("url"), F.col("html"), markers=("/",))
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.posexplode(links).alias("ord", "link"))
+    return text.unnest(table(spark, sf_dir, "pages"), links, "ord", "link", "page_id")
 
 
 @query("same_site_links", _LINKS + """
@@ -110,7 +109,7 @@ WHERE (page_id % 3 = 0 OR page_id % 3 = 2 AND NOT contains(link, '//www.')) AND
 def same_site_links(spark, sf_dir):
     # links are moved to a 'www.' host, to another site, below a product path or a feed
     links = urls.product_links(F.col("url"), F.col("html"), markers=("/",))
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(links).alias("link"))
+    rows = text.unnest(table(spark, sf_dir, "pages"), links, "ord", "link", "page_id", "url")
     host = F.upper(urls.url_authority(F.col("url")))
     moved = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("cdn."), host)).when(
         F.col("page_id") % 3 == 2, F.concat(F.lit("www."), F.lower(host))).otherwise(host)
@@ -138,9 +137,9 @@ def sitemap_locs(spark, sf_dir):
     robots = F.concat(
         F.lit("User-agent: *\r\nDisallow: /cart\n sitemap:  https://r.example.com/"),
         F.col("page_id").cast("string"), F.lit(".xml \nSitemap: two words\n"))
-    rows = table(spark, sf_dir, "pages").select(
-        "page_id", "url", F.array_join(crawl.robots_sitemaps(robots), " ").alias("robots"),
-        F.posexplode(crawl.sitemap_locs(body)).alias("ord", "loc"))
+    rows = text.unnest(
+        table(spark, sf_dir, "pages"), crawl.sitemap_locs(body), "ord", "loc",
+        "page_id", "url", F.array_join(crawl.robots_sitemaps(robots), " ").alias("robots"))
     return rows.select(
         "page_id", "ord", "loc", crawl.is_sitemap(F.col("loc")).alias("is_file"),
         crawl.is_site_product(F.col("url"), F.col("loc")).alias("is_product"), "robots")
@@ -166,9 +165,9 @@ def handle_ranking(spark, sf_dir):
         F.lit('<a href="/collections/'), F.translate("p_name", " ", "-"), F.lit('">x</a><a href="/collections/'),
         kind, F.upper("p_type"), F.lit('-?page=2">y</a><a href="/collections/all">'),
         F.lit('</a><a href="/collections/frontpage/z">'))
-    found = table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("roaster"), "p_partkey",
-        F.posexplode(urls.collection_handles(html)).alias("pos", "handle"))
+    found = text.unnest(
+        table(spark, sf_dir, "part"), urls.collection_handles(html), "pos", "handle",
+        F.col("p_brand").alias("roaster"), "p_partkey")
     firsts = found.groupBy("roaster", "handle").agg(F.min(F.struct("p_partkey", "pos")).alias("at"))
     scored = firsts.withColumn("score", urls.handle_score(F.col("handle")))
     order = [F.desc("score"), F.length("handle"), F.col("at")]
@@ -188,8 +187,7 @@ def shop_slug_links(spark, sf_dir):
         F.lit('">o</a><a href="/shop/tag/'), slug, F.lit('">t</a><a href="'), slug, F.lit("-"),
         F.col("p_partkey").cast("string"), F.lit('">r</a><a href="/shop/a/b/c">deep</a>'))
     base = F.lit("https://www.shop.example.com/shop/")
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", F.posexplode(urls.shop_links(base, html)).alias("ord", "link"))
+    return text.unnest(table(spark, sf_dir, "part"), urls.shop_links(base, html), "ord", "link", "p_partkey")
 
 
 @query("fetch_plan", """

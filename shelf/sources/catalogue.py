@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelf import schemas
 from shelf.functions.localised import localised
-from shelf.functions.text import blank, filled
+from shelf.functions.text import blank, filled, unnest
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +93,7 @@ def diary_entries(documents: DataFrame) -> DataFrame:
     are read as JSON text first, so both forms of them are accepted."""
     loose = schemas.DIARY_ENTRY.replace("MAP<STRING, STRING>", "STRING")
     parsed = F.from_json("value", f"struct<entries: array<struct<{_with_colons(loose)}>>>")
-    rows = documents.select(F.posexplode(parsed["entries"]).alias("ord", "e")).select("ord", "e.*")
+    rows = unnest(documents, parsed["entries"], "ord", "e").select("ord", "e.*")
     rows = rows.withColumns({c: localised(F.col(c)) for c in _LOCALISED})
     return rows.withColumns({
         "tags": F.transform("tags", localised),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelf import schemas
 from shelf import vocabulary as V
 from shelf.functions import prices, roast, rules
-from shelf.functions.text import blank, clean_text, filled, with_page_text
+from shelf.functions.text import blank, clean_text, filled, unnest, with_page_text
 from shelf.functions.urls import site_root
 from shelf.operators.extract import as_products
 from shelf.operators.grouping import title_groups
@@ -41,9 +41,9 @@ def collection_products(payloads: DataFrame, details: DataFrame | None = None,
     a usable one keeps its listed price.
     """
     good = payloads.where("http_status = 200")
-    rows = good.withColumn("doc", F.from_json("body", schemas.COLLECTION)).select(
-        "roaster", "strategy", "candidate_ord", "listing_url", *SHOP_COLUMNS,
-        F.posexplode("doc.products").alias("ord", "p"))
+    rows = unnest(
+        good, F.from_json("body", schemas.COLLECTION)["products"], "ord", "p",
+        "roaster", "strategy", "candidate_ord", "listing_url", *SHOP_COLUMNS)
     tags = F.array_join(F.coalesce("p.tags", F.array().cast("array<string>")), " ")
     rows = rows.withColumns({"title": clean_text(F.col("p.title")), "tag_text": tags})
     shown = F.concat_ws(" ", "title", "tag_text") if whole_shop else F.col("title")
@@ -101,8 +101,8 @@ def _read_pages(payloads: DataFrame, schema: str, pages: int, size: int) -> Data
     stop = stop.where(F.col("_void").isNull() | (F.col("_void") > F.col("_stop"))).drop("_void")
     read = marked.where(~F.col("_refused") & (F.col("_n") > 0)).join(stop, key)
     read = read.where(F.col("page") <= F.coalesce(F.col("_stop"), F.lit(pages)))
-    rows = read.withColumn("doc", F.from_json("body", schema)).select(
-        *key, "page", "listing_url", *SHOP_COLUMNS, F.posexplode("doc").alias("pos", "p"))
+    rows = unnest(
+        read, F.from_json("body", schema), "pos", "p", *key, "page", "listing_url", *SHOP_COLUMNS)
     return rows.withColumn("ord", ((F.col("page") - 1) * size + F.col("pos")).cast("int"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions import prices, rules
-from shelf.functions.text import blank, filled, plain_text, with_page_text
+from shelf.functions.text import blank, filled, plain_text, unnest, with_page_text
 from shelf.functions.urls import product_links, shop_links, url_path
 from shelf.operators.extract import as_products
 
@@ -107,9 +107,10 @@ def listing_links(listings: DataFrame, strategy: str) -> DataFrame:
     http_status, html.  Paths that the block list refuses go before any page is
     read (HTML listings); feed paths go (shop listings)."""
     _, links = LINKS[strategy]
-    rows = listings.where("http_status = 200").select(
-        *[c for c in listings.columns if c not in ("html", "http_status", "content_type")],
-        F.posexplode(links(F.col("listing_url"), F.col("html"))).alias("ord", "product_url"))
+    rows = unnest(
+        listings.where("http_status = 200"), links(F.col("listing_url"), F.col("html")),
+        "ord", "product_url",
+        *[c for c in listings.columns if c not in ("html", "http_status", "content_type")])
     path = url_path(F.col("product_url"))
     if strategy == "html_listing":
         return rows.where(~rules.is_blocked_for(F.col("roaster"), rules.path_words(path)))
