@@ -28,17 +28,17 @@ def phrase_pattern(phrases, patterns=()) -> str:
 BLOCKED = phrase_pattern(V.BLOCKED_PHRASES, V.BLOCKED_PATTERNS)
 
 
-def is_blocked(text: Column, pattern: str = BLOCKED) -> Column:
-    return match_text(text).rlike(pattern)
+def is_blocked(text: Column, pattern: str = BLOCKED, cleaned: bool = False) -> Column:
+    return match_text(text, cleaned).rlike(pattern)
 
 
 def is_blocked_for(shop: Column, text: Column, pattern: str = BLOCKED,
-                   shop_patterns: dict[str, list[str]] | None = None) -> Column:
+                   shop_patterns: dict[str, list[str]] | None = None, cleaned: bool = False) -> Column:
     """The general list, and what a single shop adds to it."""
-    blocked = is_blocked(text, pattern)
+    blocked = is_blocked(text, pattern, cleaned)
     own = V.SHOP_BLOCKED_PATTERNS if shop_patterns is None else shop_patterns
     for name, extra in own.items():
-        hit = F.lower(clean_text(text)).rlike("(?U)" + "|".join(extra))
+        hit = F.lower(text if cleaned else clean_text(text)).rlike("(?U)" + "|".join(extra))
         blocked = blocked | ((F.lower(F.trim(shop)) == name) & hit)
     return blocked
 

@@ -107,10 +107,14 @@ def clean_text(c: Column) -> Column:
     return squeeze(strip_tags(decode_entities(blank(c))))
 
 
-def match_text(c: Column) -> Column:
-    """Lower-case ASCII letters and digits, all else one space."""
-    plain = F.lower(strip_tags(decode_entities(blank(c))))
-    return F.btrim(F.regexp_replace(plain, _NOT_PLAIN, " "))
+def match_text(c: Column, cleaned: bool = False) -> Column:
+    """Lower-case ASCII letters and digits, all else one space.
+
+    ``cleaned`` says that the text has been through ``clean_text`` or is an
+    address, so that it need not be decoded again.
+    """
+    plain = blank(c) if cleaned else strip_tags(decode_entities(blank(c)))
+    return F.btrim(F.regexp_replace(F.lower(plain), _NOT_PLAIN, " "))
 
 
 def key_text(c: Column) -> Column:

@@ -67,7 +67,7 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
     if listings is not None:
         for name in pages.LINKS:
             own = listings.where(F.col("strategy") == name).join(allow, ["roaster", "strategy"])
-            links = pages.listing_links(feeds.with_shops(own, config), name)
+            links = written(pages.listing_links(feeds.with_shops(own, config), name), "links")
             products = products.unionByName(pages.linked_products(links, captured_pages, name))
     if sitemap_found is not None:
         links = pages.sitemap_links(sitemap_found).select(
@@ -75,7 +75,7 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
             F.lit(0).alias("candidate_ord"), F.lit("sitemap").alias("strategy"))
         links = feeds.with_shops(links.join(allow, ["roaster", "strategy"]), config)
         products = products.unionByName(pages.linked_products(links, captured_pages, "sitemap"))
-    return written(products, "products")
+    return pages.not_skipped(written(products, "products"))
 
 
 def chosen_source(products: DataFrame) -> DataFrame:

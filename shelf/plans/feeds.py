@@ -291,7 +291,7 @@ def link_driven_sources(spark, sf_dir):
     for strategy, path in (("html_listing", "/products/"), ("shop_slug", "/shop/")):
         captured = part_pages(spark, sf_dir, path).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
         listings = part_listings(spark, sf_dir, path, strategy == "shop_slug")
-        links = pages.listing_links(listings, strategy)
+        links = written(pages.listing_links(listings, strategy), "links")
         found = pages.linked_products(links, captured, strategy)
         out = found if out is None else out.unionByName(found)
     found, _ = crawl.expand_sitemaps(*part_sitemaps(spark, sf_dir))
@@ -299,8 +299,8 @@ def link_driven_sources(spark, sf_dir):
         F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord",
         F.col("url").alias("product_url"))
     captured = part_pages(spark, sf_dir).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
-    products = out.unionByName(pages.linked_products(links, captured, "sitemap"))
-    return products.groupBy("strategy", "roaster").agg(
+    products = written(out.unionByName(pages.linked_products(links, captured, "sitemap")), "products")
+    return pages.not_skipped(products).groupBy("strategy", "roaster").agg(
         F.count("*").alias("n_items"), F.count_if(F.col("status") == "ok").alias("n_ok"),
         F.count_if(F.col("error") == "product_page_error: not captured").alias("n_missing"))
 

@@ -49,7 +49,7 @@ def collection_products(payloads: DataFrame, details: DataFrame | None = None,
     shown = F.concat_ws(" ", "title", "tag_text") if whole_shop else F.col("title")
     rows = rows.where(
         (F.col("title") != "") & ~prices.sold_out(F.col("p.variants"))
-        & ~rules.is_blocked_for(F.col("roaster"), shown))
+        & ~rules.is_blocked_for(F.col("roaster"), shown, cleaned=not whole_shop))
     size = F.lit(None).cast("string") if whole_shop else F.col("price_variant_filter")
     handle = filled(F.col("p.handle"))
     rows = rows.withColumns({
@@ -132,7 +132,7 @@ def woo_products(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.AP
         "price": prices.minor_unit_price(F.col("p.prices.price"), F.col("p.prices.currency_minor_unit")),
     })
     blocked = rules.is_blocked_for(
-        F.col("roaster"), F.concat_ws(" ", "title", "product_url", "cats", "tag_text"))
+        F.col("roaster"), F.concat_ws(" ", "title", "product_url", "cats", "tag_text"), cleaned=True)
     first = first.where((F.col("product_url") != "") & ~blocked)
     first = with_page_text(
         first, short=F.col("p.short_description"), long=F.col("p.description"))
@@ -151,7 +151,7 @@ def wordpress_products(payloads: DataFrame, pages: int = V.API_PAGES,
     rows = with_page_text(
         rows, excerpt=F.col("p.excerpt.rendered"), content=F.col("p.content.rendered"))
     shown = F.concat_ws(" ", "title", "product_url", "excerpt")
-    rows = rows.where(~rules.is_blocked_for(F.col("roaster"), shown))
+    rows = rows.where(~rules.is_blocked_for(F.col("roaster"), shown, cleaned=True))
     rows = rows.withColumn("body", F.concat_ws(" ", "title", "excerpt", "content"))
     return as_products(
         rows.withColumn("price", prices.dollar_price(F.col("body"))), text=F.col("body"))

@@ -72,7 +72,7 @@ def page_products(pages: DataFrame) -> DataFrame:
         "html": F.when(fetched & ~feed, blank(F.col("html"))).otherwise(""),
     })
     rows = with_page_text(with_page_title(rows, F.col("html")), text=F.col("html"))
-    blocked = rules.is_blocked_for(F.col("roaster"), F.concat_ws(" ", "title", "product_url"))
+    blocked = rules.is_blocked_for(F.col("roaster"), F.concat_ws(" ", "title", "product_url"), cleaned=True)
     rows = rows.withColumn("_state", F.when(
         (F.col("_state") == "html") & blocked, "blocked").otherwise(F.col("_state")))
     untitled = (F.col("_state") == "html") & (F.col("title") == "")
@@ -113,15 +113,23 @@ def listing_links(listings: DataFrame, strategy: str) -> DataFrame:
         *[c for c in listings.columns if c not in ("html", "http_status", "content_type")])
     path = url_path(F.col("product_url"))
     if strategy == "html_listing":
-        return rows.where(~rules.is_blocked_for(F.col("roaster"), rules.path_words(path)))
+        return rows.where(~rules.is_blocked_for(F.col("roaster"), rules.path_words(path), cleaned=True))
     return rows.where(~F.contains(F.lower(path), F.lit("/feed")))
 
 
 def linked_products(links: DataFrame, pages: DataFrame, strategy: str) -> DataFrame:
-    """Products behind links; a page that was not captured gives an error row and
-    skipped pages go.  Pages: url, http_status, content_type, html."""
+    """Products behind links; a page that was not captured gives an error row.
+    Pages: url, http_status, content_type, html.
+
+    Skipped pages are still there: dropping them here would make Spark work out
+    every page's status twice.  Write the table, then use ``not_skipped``.
+    """
     found = links.join(pages.withColumnRenamed("url", "product_url"), "product_url", "left")
-    return page_products(found.withColumn("strategy", F.lit(strategy))).where("status <> 'skip'")
+    return page_products(found.withColumn("strategy", F.lit(strategy)))
+
+
+def not_skipped(products: DataFrame) -> DataFrame:
+    return products.where("status <> 'skip'")
 
 
 def listing_reasons(listings: DataFrame, links: DataFrame, items: DataFrame, strategy: str) -> DataFrame:
