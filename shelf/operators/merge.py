@@ -63,6 +63,12 @@ def last_write(changes: DataFrame, keys: Sequence[str], order: Sequence[str],
     return latest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).where(~F.col(deleted))
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds of a time without zone, the same in every session zone."""
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
+    return F.unix_micros(local.cast("timestamp"))
+
+
 # --- cool-down -----------------------------------------------------------------------
 
 def _accepted(times: np.ndarray, last: float, gap: float) -> list[int]:
@@ -156,8 +162,7 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int =
                     yield k, ties[i]
         yield from _in_batches(rows(), [key, tie])
 
-    moment = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(key, tie, moment.alias("_t")).withColumn(
+    rows = events.select(key, tie, micros(F.col(ts).cast("timestamp_ntz")).alias("_t")).withColumn(
         "_span", F.floor(F.col("_t") / F.lit(span)).cast("long"))
     table = (
         rows.select(key, "_span", "_t").repartition(key, "_span").sortWithinPartitions(key, "_span", "_t")

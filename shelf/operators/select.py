@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 def newest(df: DataFrame, by: str, count: int = 2) -> DataFrame:
     """Rows of the newest ``count`` snapshots, with ``age`` 1 for the newest.
 
-    The list of snapshots is cut to ``count`` rows before it is sent to the
-    executors, so what is broadcast does not grow; on a table partitioned by
-    ``by`` the join prunes all other partitions.
+    The ``count`` names are looked up first and then filtered on as literals, so
+    a table partitioned by ``by`` is pruned before anything is read, and no join
+    is needed.
     """
-    recent = df.select(by).distinct().orderBy(F.desc(by)).limit(count)
-    recent = recent.select(by, F.row_number().over(Window.orderBy(F.desc(by))).alias("age"))
-    return df.join(F.broadcast(recent), by)
+    names = [r[0] for r in df.select(by).distinct().orderBy(F.desc(by)).limit(count).collect()]
+    age = F.lit(None).cast("int")
+    for place, name in reversed(list(enumerate(names, 1))):
+        age = F.when(F.col(by) == F.lit(name), F.lit(place)).otherwise(age)
+    return df.where(F.col(by).isin(names)).withColumn("age", age)
 
 
 def expired(df: DataFrame, by: str, keep: int = 2) -> DataFrame:

@@ -45,7 +45,7 @@ def lww_stream(spark, sf_dir):
         stream.drop("step"), ["code", "key"], ["ts", "deleted", "event_id"],
         base.append_batches(f"{folder}/log"), f"{folder}/checkpoint")
     rows = changes(spark, sf_dir).withColumn("step", 1 - day_step()).withColumn(
-        "ts", F.unix_micros(F.col("ts").cast("timestamp")))
+        "ts", merge.micros("ts"))
     in_steps(rows, folder, F.col("step"), 2, follow)
     log = spark.read.parquet(f"{folder}/log")
     return keyed.kept_writes(log, ["code", "key"], "code", F.current_timestamp()).select(
@@ -64,7 +64,7 @@ SELECT user_id, event_id FROM accepted""")
 def cooldown_stream(spark, sf_dir):
     folder = new_folder(spark, "cooldown")
     rows = table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        "user_id", "event_id", merge.micros("ts").alias("micros"),
         day_step().alias("step"))
     in_steps(rows, folder, F.col("step"), 2, lambda stream: keyed.follow_cooldown(
         stream.drop("step"), "user_id", "micros", "event_id", base.append_batches(f"{folder}/kept"),
@@ -79,7 +79,7 @@ latest AS (SELECT code, k AS key, max(micros) FILTER (WHERE NOT gone) AS kept, m
 SELECT code, key, CAST(kept AS DOUBLE) AS ts FROM latest WHERE kept IS NOT NULL AND (lost IS NULL OR kept > lost)""")
 def favourites_log(spark, sf_dir):
     # every event is a device's document with one item or one tombstone
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    at = merge.micros("ts").cast("double")
     gone, key = F.col("event_type") == "error", F.get_json_object("props", "$.k")
     docs = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("code"),
