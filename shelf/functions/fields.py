@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions.guards import GUARDS, accept
-from shelf.functions.text import blank, clean_text, cut, filled, let, squeeze, words
+from shelf.functions.text import blank, cut, filled, let, squeeze, words
 from shelf.functions.urls import url_path
 
 _TAG = r"(?d)^\s*([A-Za-z][A-Za-z /]*?)\s*[:._]\s*(.+)$"

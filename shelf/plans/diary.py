@@ -1,4 +1,4 @@
-"""Queries: diary entries, search, months, levels, tracker filters."""
+"""Queries: diary entries, search, months, levels, facet filters."""
 
 from __future__ import annotations
 
@@ -26,10 +26,10 @@ def facet_search(spark, sf_dir):
     return found.orderBy("roaster", "bean_name", "ord").select(*PUBLISHED)
 
 
-@query("tracker_groups", _PUBLISHED + """
+@query("shop_groups", _PUBLISHED + """
 SELECT roaster, count(*) AS n_items, count(*) FILTER (WHERE key NOT IN (SELECT key FROM before)) AS n_new
 FROM shown GROUP BY roaster""")
-def tracker_groups(spark, sf_dir):
+def shop_groups(spark, sf_dir):
     return browse.facet_filter(published(spark, sf_dir)).groupBy("roaster").agg(
         F.count("*").alias("n_items"), F.count_if("is_new").alias("n_new"))
 

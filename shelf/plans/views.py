@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.functions.text import filled
 from shelf.operators.select import newest
 from shelf.plans.registry import table
 

@@ -8,7 +8,7 @@ for the products that were chosen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf import schemas
@@ -75,7 +75,7 @@ def with_details(rows: DataFrame, details: DataFrame) -> DataFrame:
     """
     read = details.where("http_status = 200").select(
         "roaster", "handle", F.from_json("body", schemas.DETAIL)["product"]["variants"].alias("dv"))
-    read = read.groupBy("roaster", "handle").agg(F.first("dv", ignorenulls=True).alias("dv"))
+    read = read.groupBy("roaster", "handle").agg(F.max("dv").alias("dv"))
     joined = rows.join(read, ["roaster", "handle"], "left")
     return joined.where(~prices.out_of_stock(F.col("dv"))).withColumn(
         "price", prices.detail_price(F.col("dv"), F.col("price_variant_filter"), F.col("price"))
