@@ -168,3 +168,42 @@ def test_top_per_group_limits_before_the_shuffle(spark, sf_dir):
 def test_one_per_key_reduces_before_the_shuffle(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts")
     assert "partial_max_by" in _plan(select.last_per_key(events, ["user_id"], F.col("ts")))
+
+
+def test_collection_run_over_links_and_sitemaps(spark):
+    from shelf import schemas
+
+    config = catalogue.parse_config(spark.createDataFrame([(json.dumps([
+        {"name": "L", "url": "https://l.com/list"}, {"name": "M", "url": "https://m.com/"},
+        {"name": "W", "url": "https://w.com/", "force_woo_api": True},
+        {"name": "E", "url": "https://e.com/"}]),)], "value string"))
+    payloads = spark.createDataFrame([
+        ("E", "woo", 0, 1, "https://e.com/", "https://e.com/x", 500, "", ""),
+    ], schemas.PAYLOAD)
+    listing = '<a href="/products/one">1</a><a href="/products/gift-card">2</a><a href="/products/gone">3</a>'
+    listings = spark.createDataFrame([
+        ("L", "html_listing", 0, "https://l.com/list", 200, "text/html", listing),
+        ("W", "html_listing", 0, "https://w.com/", 200, "text/html", listing),
+    ], "roaster string, strategy string, candidate_ord int, listing_url string, http_status int, "
+       "content_type string, html string")
+    page = "<h1>{}</h1><p>Origin: Huila, Colombia Process: Washed</p><b class='price'>$9.50</b>"
+    captured = spark.createDataFrame([
+        ("https://l.com/products/one", 200, "text/html", page.format("One")),
+        ("https://m.com/products/two", 200, "text/html", page.format("Two espresso")),
+    ], "url string, http_status int, content_type string, html string")
+    found = spark.createDataFrame(
+        [("M", "https://m.com/", "https://m.com/products/two", 0, 0)],
+        "site string, listing_url string, url string, ord int, pos int")
+    products = collect.source_products(config, payloads, None, listings, captured, found)
+    reasons = spark.createDataFrame(
+        [("E", 0, "https://e.com/", "woo", "woocommerce_http_500")],
+        "roaster string, candidate_ord int, listing_url string, strategy string, reason string")
+    rows = collect.collect(config, products, reasons).select(
+        "roaster", "bean_name", "origin", "process", "price_aud", "status", "error").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("E", "", "", "", "", "error", "https://e.com/ => woocommerce_http_500"),
+        ("L", "", "", "", "", "error", "product_page_error: not captured"),
+        ("L", "One", "Huila, Colombia", "Washed", "9.50", "ok", ""),
+        ("M", "Two espresso", "Huila, Colombia", "Washed", "9.50", "ok", ""),
+        ("W", "", "", "", "", "error", "unknown_scrape_error"),
+    ]
