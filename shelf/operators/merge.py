@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions.text import blank
 
+# the helpers used inside tasks travel with them, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- favourites documents ---------------------------------------------------------
 
 
