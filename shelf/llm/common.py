@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelf.session import shared_folder
 
@@ -66,3 +69,42 @@ class Workspace:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable[[], Callable], rows: int = 256) -> DataFrame:
+    """The columns ``keep`` with new ones computed from the texts (null: empty).
+
+    ``make`` is called once in a task and gives a function from a list of texts to a
+    list of columns, which sees at most ``rows`` texts at a time.  Kept columns pass
+    through as they are, nulls and types included."""
+    source = docs.select(F.col("text").alias("own text"), *keep)
+    out = T.StructType(source.schema.fields[1:] + T.StructType.fromDDL(fields).fields)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                new = compute([t or "" for t in part.column(0).to_pylist()])
+                kept = part.columns[1:]
+                types = [f.type for f in arrow][len(kept):]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *[pa.array(c, type=t) for c, t in zip(new, types, strict=True)]], names=out.names)
+
+    return source.mapInArrow(run, out)
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable], rows: int = 256) -> DataFrame:
+    """The rows whose text (null: empty) passes, with all their columns.  ``make`` as
+    above; its function gives a list of booleans."""
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(passes([t or "" for t in part.column(at_text).to_pylist()]), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

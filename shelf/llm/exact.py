@@ -45,9 +45,11 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, digests: DataFrame) -> None:
-        """Append what ``digests`` (doc_id, digest) has and the index has not."""
-        batch = digests.groupBy("digest").agg(
-            F.min("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        """Append what ``digests`` (doc_id, digest) has and the index has not.  The
+        batch is written first: else the join would be moved below its aggregate, and
+        all copies of a text would be dealt to one task."""
+        batch = Workspace(self.spark, "batch").write(digests.groupBy("digest").agg(
+            F.min("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch")
         fresh = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         fresh.select("digest", "keep_id", "group_size").write.insertInto(self.name)
 

@@ -21,8 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelf.llm.common import Workspace, per_worker, text_of
 from shelf.llm.tokens import tokenizer_path
@@ -89,23 +92,25 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 
 def tokenized(docs: DataFrame, capacity: int, path: str, end_id: int, with_ids: bool) -> DataFrame:
     """One row per piece, with a checksum of its ids and, if wanted, the ids."""
-    schema = _PIECE + (", ids array<int>" if with_ids else "")
+    schema = T.StructType.fromDDL(_PIECE + (", ids array<int>" if with_ids else ""))
+    arrow = to_arrow_schema(schema)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, len(batch), 256):
+            for at in range(0, batch.num_rows, 256):
                 rows = []
-                for doc_id, text in batch.iloc[at:at + 256].itertuples(index=False):
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     ids = np.concatenate([encode(text).astype("<u4", copy=False), end])
                     start = 0
                     for piece, n in enumerate(cut_lengths(len(ids), capacity)):
                         own = ids[start:start + n]
                         rows.append((doc_id, piece, start, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] * with_ids)))
                         start += n
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(cut, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, schema)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import chat, exact, packing, tokens
-from shelf.llm.common import table
+from shelf.llm import chat, exact, langid, minhash, packing, tiling, tokens, toxic
+from shelf.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -43,6 +48,28 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op7_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", fold(docs, 4) == 2)
+    model = toxic.fit(toxic.labelled(docs.where("NOT held_out"), table(spark, sf_dir, "labels")))
+    return toxic.score(docs, model, "doc_id", "held_out")
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", fold(docs, 5) == 0)
+    model = langid.fit(docs.where("NOT held_out"))
+    # the contract keeps 'und' for texts without a letter, so no cosine is too low
+    return langid.predict(docs, model, "doc_id", "held_out", reject=0.0)
+
+
 _STATED_TURNS = r"""
     SELECT conv_id, turn, role, text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm.common import per_worker, text_of
+from shelf.llm.common import map_texts, per_worker, text_of
 
 #: Entries of the broadcast table, and the longest piece in it: at most 4 MB of text.
 TABLE_ENTRIES, TABLE_PIECE = 65_536, 64
@@ -140,28 +140,31 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512,
     path = path or tokenizer_path()
     shared = spark.sparkContext.broadcast(frequent_pieces(docs, path) if table is None else table)
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counter():
         encode, added, known, by_piece = library(path), added_tokens(path), _Lengths(shared.value), cuts_at_blanks(path)
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                cut = [pieces(t, added) if by_piece else None for t in part["text"]]
-                numbers = [0 if c is None else sum(map(known.__getitem__, c)) for c in cut]
-                if known.missing:
-                    new = list(known.missing)
-                    if len(known) + len(new) > CACHED:
-                        known.clear()
-                    known.update(zip(new, map(len, encode([whole(p) for p in new])), strict=True))
-                    again = known.missing
-                    known.missing = set()
-                    numbers = [n if c is None or again.isdisjoint(c) else sum(map(known.__getitem__, c))
-                               for n, c in zip(numbers, cut, strict=True)]
-                at = [i for i, c in enumerate(cut) if c is None]
-                for i, ids in zip(at, encode([part["text"].iat[i] for i in at]), strict=True):
-                    numbers[i] = len(ids)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": numbers,
-                                    "n_bytes": [len(t.encode()) for t in part["text"]]})
-
-    counted = docs.select("doc_id", text_of().alias("text")).mapInPandas(
-        counts, "doc_id long, n_tokens long, n_bytes long")
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+        def count(texts: list[str]) -> list[list[int]]:
+            cut = [pieces(t, added) if by_piece else None for t in texts]
+            numbers = [0 if c is None else sum(map(known.__getitem__, c)) for c in cut]
+            if known.missing:
+                new, known.missing = known.missing, set()
+                if len(known) + len(new) > CACHED:
+                    known.clear()
+                own = list(new)
+                known.update(zip(own, map(len, encode([whole(p) for p in own])), strict=True))
+                # pieces of this part that were dropped just now are encoded again
+                for i, c in enumerate(cut):
+                    if c is not None and not new.isdisjoint(c):
+                        numbers[i] = sum(map(known.__getitem__, c))
+                        if known.missing:
+                            again, known.missing = list(known.missing), set()
+                            known.update(zip(again, map(len, encode([whole(p) for p in again])), strict=True))
+                            numbers[i] = sum(map(known.__getitem__, c))
+            at = [i for i, c in enumerate(cut) if c is None]
+            for i, ids in zip(at, encode([texts[i] for i in at]), strict=True):
+                numbers[i] = len(ids)
+            return [[len(t.encode()) for t in texts], numbers]
+
+        return count
+
+    return map_texts(docs, ("doc_id",), "n_bytes long, n_tokens long", counter).withColumn("over_limit", F.col("n_tokens") > limit)
