@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import chat, exact, langid, minhash, packing, tiling, tokens, toxic
+from shelf.llm import chat, exact, langid, minhash, packing, repeats, tiling, tokens, toxic
 from shelf.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op2_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
