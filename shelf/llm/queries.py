@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import chat, exact, langid, minhash, packing, repeats, tiling, tokens, toxic
+from shelf.llm import chat, ctw, exact, langid, minhash, packing, repeats, tiling, tokens, toxic
 from shelf.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op6_context_tree_weighting")
+def context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.score_texts(docs.withColumn("held_out", fold(docs, 7) == 2), "held_out")
+
+
 @query("op7_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(table(spark, sf_dir, "documents"))
