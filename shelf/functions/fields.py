@@ -87,7 +87,7 @@ def label_fields(text: Column) -> Column:
     def value_of(piece):
         value = F.substring_index(piece, _SEP, -1)
         value = cut(F.btrim(value, F.lit(" ,;:-")), "[.;]", "s")
-        return F.substring(F.btrim(value), 1, V.LABEL_VALUE_LIMIT)
+        return F.btrim(value)
 
     def pick(found):
         out = []
@@ -130,17 +130,17 @@ def guard_fields(raw: Column) -> Column:
 
 # --- free text --------------------------------------------------------------------
 
-def _captured(text: Column, pattern: str, stops: str, limit: int) -> Column:
+def _captured(text: Column, pattern: str, stops: str) -> Column:
     """Group 1 of the pattern, cut at the stops; NULL if the pattern is not there."""
     found = squeeze(filled(F.regexp_extract(text, "(?iU)" + pattern, 1)))
-    return F.btrim(F.substring(cut(found, stops), 1, limit), F.lit(" ,"))
+    return F.btrim(cut(found, stops), F.lit(" ,"))
 
 
 def origin_from_text(text: Column) -> Column:
     """Label, else 'from …' with a country in it, else the countries named."""
     stops = "[.|;]| process| variety| roast"
-    labelled = _captured(text, r"(?:origin|country)\s*[:\-]\s*([A-Za-z ,/&]+)", stops, 80)
-    grown = _captured(text, r"(?:from|grown in)\s+([A-Za-z ,/&]+)", stops, 80)
+    labelled = _captured(text, r"(?:origin|country)\s*[:\-]\s*([A-Za-z ,/&]+)", stops)
+    grown = _captured(text, r"(?:from|grown in)\s+([A-Za-z ,/&]+)", stops)
     grown = F.regexp_extract(grown, "(?is)^.*(?:" + "|".join(V.COUNTRIES) + r").*\z", 0)
     titles = sorted((c.upper() if c == "png" else c.title(), c) for c in V.COUNTRIES)
     named = let(F.lower(text), lambda low: F.concat_ws(
@@ -165,7 +165,7 @@ def _process_terms(text: Column) -> Column:
 def process_from_text(text: Column, title: Column | None = None, url: Column | None = None) -> Column:
     """Label, else terms of the title, of the address, of the text."""
     labelled = _captured(
-        text, r"process(?:ing)?\s*[:\-]\s*([A-Za-z ,/&-]+)", "[.|;]| origin| variety| roast", 80
+        text, r"process(?:ing)?\s*[:\-]\s*([A-Za-z ,/&-]+)", "[.|;]| origin| variety| roast"
     )
     tries = [labelled]
     if title is not None:
@@ -178,7 +178,7 @@ def process_from_text(text: Column, title: Column | None = None, url: Column | N
 def varietal_from_text(text: Column) -> Column:
     stops = "[.;]| origin| process| roast| altitude| notes?"
     pattern = r"(?:variet(?:al|y|ies)|cultivar)\s*[:\-]\s*([A-Za-z0-9 ,/&()+-]+)"
-    return blank(_captured(text, pattern, stops, 120))
+    return blank(_captured(text, pattern, stops))
 
 
 def _note_candidate(raw: Column) -> Column:
@@ -189,18 +189,17 @@ def _note_candidate(raw: Column) -> Column:
     hints = "|".join(V.NOTE_HINTS)
     few = rf"(?=.*,)(?=\s*\S+(?:\s+\S+){{0,{V.FLAVOUR_LIST_WORDS - 1}}}\s*\z)"
     needs = rf"(?=.{{6}})(?!.*(?:{'|'.join(V.NOTE_REJECTS)}))(?:(?=.*(?:{hints}))|{few})"
-    # the upper length is a cut, not a rejection, so the limit here is the capture's
-    return F.substring(accept(F.btrim(c, F.lit(" ,:-")), (180, 20), needs), 1, 160)
+    return accept(F.btrim(c, F.lit(" ,:-")), (None, 20), needs)
 
 
 def flavour_from_text(text: Column) -> Column:
     """The first labelled list that reads like notes, else a list after 'cup'."""
     tries = [
         filled(_note_candidate(
-            F.regexp_extract(text, rf"(?iU){label}({V.NOTE_CHARS}{{6,180}})", 1)))
+            F.regexp_extract(text, rf"(?iU){label}({V.NOTE_CHARS}{{6,}})", 1)))
         for label in V.NOTE_LABELS
     ]
-    loose = _note_candidate(F.regexp_extract(text, rf"(?iU)\bcup\b\s+({V.NOTE_CHARS}{{8,140}})", 1))
+    loose = _note_candidate(F.regexp_extract(text, rf"(?iU)\bcup\b\s+({V.NOTE_CHARS}{{8,}})", 1))
     loose = F.regexp_extract(loose, r"(?is)^.*(?:,| and ).*\z", 0)
     return F.coalesce(*tries, loose)
 
@@ -238,4 +237,10 @@ def with_fields(df: DataFrame, *, text: str, body: str, tags: str | None = None,
         else:
             value = F.when(given != "", given).otherwise(let(loose, GUARDS[f]))
         df = df.withColumn(names.get(f, f), value)
+    # what a guard refused stays to be seen: the structured value, by field
+    refused = F.map_filter(F.map_from_arrays(
+        F.array(*[F.lit(names.get(f, f)) for f in V.FIELDS]),
+        F.array(*[F.when((F.col("_raw")[f] != "") & (F.col(f"_{f}") == ""), F.col("_raw")[f]) for f in V.FIELDS])),
+        lambda _, v: v.isNotNull())
+    df = df.withColumn("refused", refused)
     return df.drop("_raw", *[f"_{f}" for f in V.FIELDS], *[f"_free_{f}" for f in V.FIELDS])

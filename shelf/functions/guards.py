@@ -19,9 +19,10 @@ from shelf.functions.text import blank, cut, let, words
 EDGES = " ,;:-"
 
 
-def accept(c: Column, limits: tuple[int, int], needs: str = "") -> Column:
-    """Keep the value if it is short enough and meets the look-aheads."""
+def accept(c: Column, limits: tuple[int | None, int], needs: str = "") -> Column:
+    """Keep the value if it is short enough (characters, words) and meets the look-aheads."""
     chars, count = limits
+    chars = "" if chars is None else chars
     return F.regexp_extract(
         c, rf"(?iUs)^(?=.{{1,{chars}}}\z){needs}{_word_run(count)}\z", 0
     )

@@ -16,11 +16,12 @@ LANGUAGES = ("zh", "en")
 
 
 def localised(raw: Column) -> Column:
-    """JSON text of a localised value to a map: an object as it is, a string for both."""
-    plain = F.when(~F.ltrim(raw).startswith("{"), F.btrim(raw, F.lit('"')))
-    return F.when(
-        plain.isNotNull(), F.create_map(F.lit("en"), plain, F.lit("zh"), plain)
-    ).otherwise(F.from_json(raw, "map<string,string>"))
+    """A localised value, read as VARIANT, to a map: an object as it is, a string for
+    both languages, and nothing for a null or any other kind of value."""
+    kind = F.schema_of_variant(raw)
+    plain = F.when(kind == "STRING", F.try_variant_get(raw, "$", "string"))
+    return F.when(plain.isNotNull(), F.create_map(F.lit("en"), plain, F.lit("zh"), plain)).when(
+        kind.startswith("OBJECT"), F.try_variant_get(raw, "$", "map<string,string>"))
 
 
 def in_language(value: Column, lang: Column | str) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from shelf.functions.text import blank, filled, let
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,2)"
 
 
 def money_text(c: Column) -> Column:
-    """Two decimals, halves up.  Prices come with two decimals already."""
-    return c.cast(MONEY).cast("string")
+    """Two decimals, halves up; NULL if it has too many digits."""
+    return c.try_cast(MONEY).cast("string")
 
 
 def dollar_price(text: Column) -> Column:
@@ -59,11 +59,22 @@ def detail_price(variants: Column, size: Column, base: Column) -> Column:
 
 
 def minor_unit_price(raw: Column, minor: Column) -> Column:
-    """Digits in minor units to two decimals; '' if not all digits."""
-    raw = F.btrim(blank(raw))
-    amount = raw.try_cast("decimal(38,0)").cast("decimal(38,8)") / F.pow(
-        F.lit(10), F.coalesce(minor, F.lit(2))).cast("decimal(12,0)")
-    return F.when(raw.rlike(r"^\d+$"), blank(money_text(amount))).otherwise("")
+    """Digits in minor units to two decimals, halves up; '' if not all digits.
+
+    The point is moved in the text, so digits and units of any number do: only the
+    digit behind the second decimal decides whether one cent is added.  Negative units
+    multiply.  Amounts beyond 38 digits are given without the rounding.
+    """
+    raw, unit = F.btrim(blank(raw)), F.coalesce(minor, F.lit(2)).cast("int")
+    digits = F.concat(raw, F.repeat(F.lit("0"), F.greatest(-unit, F.lit(0))))
+    digits = F.lpad(digits, F.greatest(F.length(digits), unit + 1), "0")
+    places = F.greatest(unit, F.lit(0))
+    whole = F.regexp_replace(F.substr(digits, F.lit(1), F.length(digits) - places), "^0+(?=.)", "")
+    rest = F.rpad(F.substr(digits, F.length(digits) - places + 1), F.greatest(places, F.lit(3)), "0")
+    down = F.concat(whole, F.lit("."), F.substring(rest, 1, 2))
+    up = F.substring(rest, 3, 1) >= "5"
+    more = (down.try_cast(MONEY) + F.lit("0.01").cast("decimal(3,2)")).try_cast(MONEY).cast("string")
+    return F.when(raw.rlike(r"^\d+$"), F.when(up, F.coalesce(more, down)).otherwise(down)).otherwise("")
 
 
 def sold_out(variants: Column) -> Column:

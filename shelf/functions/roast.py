@@ -32,13 +32,6 @@ def roast_of_text(text: Column) -> Column:
         _says(text, r"omni(?:\s*roast)?"), _says(text, *V.FILTER_WORDS), _says(text, "espresso"))
 
 
-def roast_profile(text: Column, title: Column | None = None) -> Column:
-    """A title that names a roast decides; else the text."""
-    if title is None:
-        return roast_of_text(blank(text))
-    return F.coalesce(filled(roast_of_title(blank(title))), roast_of_text(blank(text)))
-
-
 def tag_roasts(tags: Column) -> Column:
     """Roast values in tags.  The last 'Coffee Type' with a known roast stands
     alone; else every 'Roast: …' value and every known 'Brew Method'."""

@@ -114,19 +114,41 @@ def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+# an attribute's value: in either kind of quotes, or up to the next blank
+_VALUE = r""""[^"]*"|'[^']*'|[^\s"'=<>`]+"""
+
+
 def _anchors(html: Column) -> Column:
-    return _all(html, r"""(?is)<a\b[^>]*?\shref\s*=\s*(["'])(.*?)\1""", 2)
+    return _unquoted(_all(html, rf"""(?is)<a\b[^>]*?\shref\s*=\s*({_VALUE})""", 1))
+
+
+def _unquoted(values: Column) -> Column:
+    return F.transform(values, lambda v: F.regexp_replace(v, r"""(?s)\A(["'])(.*)\1\z""", "$2"))
+
+
+def _decoded(refs: Column) -> Column:
+    """Distinct links with their entities decoded: numbers up to 255, some names, and
+    '&amp;' last, so that it starts no other entity."""
+    def number(code):
+        hexed = F.conv(F.regexp_extract(code, r"(?i)#x([0-9a-f]+)", 1), 16, 10)
+        return F.coalesce(filled(F.regexp_extract(code, r"#([0-9]+)", 1)), hexed).cast("int")
 
+    def decode(r):
+        codes = F.array_distinct(F.regexp_extract_all(r, F.lit(r"(?i)&#(?:[0-9]{1,4}|x[0-9a-f]{1,3});"), F.lit(0)))
+        r = F.aggregate(codes, r, lambda done, code: F.when(
+            number(code) < 256, F.replace(done, code, F.char(number(code)))).otherwise(done))
+        for name, char in V.LINK_ENTITIES.items():
+            r = F.replace(r, F.lit(f"&{name};"), F.lit(char))
+        return F.replace(r, F.lit("&amp;"), F.lit("&"))
 
-def _decode_amp(refs: Column) -> Column:
-    return F.transform(refs, lambda r: F.replace(r, F.lit("&amp;"), F.lit("&")))
+    return F.transform(F.array_distinct(refs), lambda r: F.when(F.contains(r, F.lit("&")), decode(r)).otherwise(r))
 
 
 def product_links(base: Column, html: Column, markers=tuple(V.PRODUCT_PATHS)) -> Column:
     """Product addresses of a page, first seen first: anchors, link attributes,
     quoted paths and full addresses in scripts, the latter two unescaped as well."""
-    attributes = _all(
-        html, r"""(?is)\s(?:data-product-url|data-url|data-href|href)\s*=\s*(["'])(.*?)\1""", 2)
+    attributes = _unquoted(_all(
+        html, rf"""(?is)\s(?:data-product-url|data-url|data-href|href)\s*=\s*({_VALUE})""", 1))
     attributes = F.filter(attributes, lambda r: r.rlike("/products?/"))
 
     def blob(text):
@@ -135,8 +157,7 @@ def product_links(base: Column, html: Column, markers=tuple(V.PRODUCT_PATHS)) ->
             _all(text, r"""(https?://[^"'>\s]+/products?/[^"'>\s]+)""", 1),
         )
 
-    found = F.concat(_decode_amp(_anchors(html)), _decode_amp(attributes),
-                     blob(html), blob(unescape_slashes(html)))
+    found = _decoded(F.concat(_anchors(html), attributes, blob(html), blob(unescape_slashes(html))))
     return _addresses(base, found, lambda b, r: product_url(b, r, markers))
 
 
@@ -158,7 +179,7 @@ def shop_links(base: Column, html: Column) -> Column:
 
         return let(resolve(b, F.btrim(ref)), tidy)
 
-    found = F.concat(blob(html), blob(unescape_slashes(html)), _decode_amp(_anchors(html)))
+    found = _decoded(F.concat(blob(html), blob(unescape_slashes(html)), _anchors(html)))
     return _addresses(base, found, shop_url)
 
 

@@ -35,9 +35,11 @@ def facet_filter(df: DataFrame, *, roast: str = ALL, month: str = ALL, query: st
     if new_only:
         df = df.where("is_new")
     if month != ALL:
-        df = df.where(month_key(F.col("date")) == month)
+        df = df.where(F.col("date").startswith(month) if month else blank(F.col("date")) == "")
     query = query.strip().lower()
-    if query and search is not None:
+    if query:
+        if search is None:
+            raise ValueError("a query needs the column or expression to search in")
         df = df.where(F.contains(search, F.lit(query)))
     return df
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,16 @@ from shelf.functions.urls import same_site, url_path
 from shelf.session import written
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 100) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reached from the seeds with their depth.  Each level joins the
     frontier to the edges and drops what was seen, so cycles end; levels are
-    written out to keep the plan short."""
+    written out to keep the plan short.  Goes on until nothing new is found, or for
+    ``max_depth`` levels."""
     seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         found = (
             frontier.select(F.col("node").alias("src")).join(edges, "src")
             .select(F.col("dst").alias("node")).distinct()
@@ -50,6 +55,14 @@ def robots_sitemaps(body):
     return F.filter(found, lambda u: u != "")
 
 
+def robots_seeds(robots: DataFrame) -> DataFrame:
+    """Seeds for ``expand_sitemaps`` from captured robots files (site, listing_url,
+    http_status, body): the files they name, in order, before the usual places."""
+    named = unnest(
+        robots.where("http_status = 200"), robots_sitemaps(F.col("body")), "pos", "url", "site", "listing_url")
+    return named.groupBy("site", "listing_url", "url").agg(F.min("pos").alias("ord"))
+
+
 def is_sitemap(url):
     low = F.lower(url)
     return low.endswith(".xml") | F.contains(low, F.lit("sitemap"))
@@ -65,13 +78,13 @@ def is_site_product(site_url, url):
 
 
 def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
-                    max_files: int | None = V.SITEMAP_FILE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Bounded breadth-first pass from sitemap files to product addresses.
+                    max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first pass from sitemap files to product addresses.
 
     ``docs``: url, http_status, body.  ``seeds``: site, listing_url, url, ord.
     Returns (products: site, url, ord) and (errors: site, ord, error).
-    A site's files are numbered in the order they are found; at most
-    ``max_files`` of them are opened.
+    A site's files are numbered in the order they are found; all of them are opened,
+    or with ``max_files`` at most so many.
     """
     order = Window.partitionBy("site").orderBy("ord", "pos")
     seen = written(

@@ -30,6 +30,14 @@ def flag_new(current: DataFrame, previous: DataFrame, keys: Sequence[str],
         flag, F.col("_seen").isNull()).drop("_seen")
 
 
+def flag_new_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Rows with ``is_new``: without an error, and of an identity not seen before."""
+    named = current.withColumn("_identity", item_identity())
+    seen = previous.select(item_identity().alias("_identity"))
+    flagged = flag_new(named, seen, ["_identity"]).drop("_identity")
+    return flagged.withColumn("is_new", F.col("is_new") & (F.col("status") == "ok"))
+
+
 def new_keys(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Set difference of identities."""
     return current.select(key).distinct().join(previous.select(key), key, "left_anti")
@@ -39,10 +47,10 @@ def arrivals_by_snapshot(rows: DataFrame, keys: Sequence[str], by: str) -> DataF
     """Every (snapshot, key) with a flag: was it missing one snapshot earlier?
 
     A key that leaves and returns is new again.  Snapshots are numbered from
-    their own short list; a key then needs only its own earlier appearance.
+    their own short list, the only rows that meet in one task; a key then needs only its own earlier appearance.
     """
     seen = rows.select(by, *keys).distinct()
-    numbered = rows.select(by).distinct().select(
+    numbered = seen.select(by).distinct().select(
         by, F.dense_rank().over(Window.orderBy(by)).alias("_seq"))
     before = F.lag("_seq").over(Window.partitionBy(*keys).orderBy("_seq"))
     return seen.join(numbered, by).withColumn("_before", before).select(

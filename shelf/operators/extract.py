@@ -12,7 +12,7 @@ from shelf.functions.roast import roast_of_text
 # what a source reader hands on; ``body`` is labelled text, ``text`` all text,
 # ``shown_roast`` a roast that decides before the text does
 PRODUCT = {
-    "roaster": "string", "strategy": "string", "candidate_ord": "int", "ord": "int", "title": "string",
+    "roaster": "string", "strategy": "string", "candidate_ord": "int", "ord": "bigint", "title": "string",
     "source_url": "string", "product_url": "string", "tags": "array<string>", "body": "string",
     "text": "string", "price": "string", "shown_roast": "string", "skip_sources": "array<string>",
     "tag_aliases": "map<string,array<string>>", "status": "string", "error": "string",

@@ -30,18 +30,43 @@ def _is_finite(value: Column) -> Column:
     return number & F.coalesce(size < F.lit(float("inf")), F.lit(False))
 
 
+def _units(text: Column) -> Column:
+    """Length in 16-bit units, of which characters beyond the first plane have two."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def _is_json(body: Column) -> Column:
+    """One JSON value and nothing behind it: it has to be one element of a list and one
+    member of an object alike.  Repeated keys are fine."""
+    one = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    member = F.get_json_object(F.concat(F.lit('{"d":'), body, F.lit(',"e":0}')), "$.e") == "0"
+    return F.coalesce(one & member, F.lit(False))
+
+
+def _loose_shape(body: Column) -> Column:
+    """The shape rule for a document that repeats keys, of which the last counts."""
+    doc = F.from_json(body, "struct<items: string, tombstones: string>")
+    values = lambda c: F.map_values(F.from_json(c, "map<string,string>"))
+    graves = doc["tombstones"]
+    return F.forall(values(doc["items"]), lambda v: F.coalesce(v.startswith("{"), F.lit(False))) & (
+        graves.isNull() | (graves.startswith("{") & F.forall(
+            values(graves), lambda v: F.coalesce(F.abs(v.try_cast("double")) < F.lit(float("inf")), F.lit(False)))))
+
+
 def reject_reason(code: Column, body: Column, max_chars: int = V.MAX_BODY_CHARS) -> Column:
-    """Why a favourites document is refused; NULL if it is good."""
+    """Why a favourites document is refused; NULL if it is good.  ``max_chars`` counts
+    16-bit units, as the service that stores the documents does."""
     doc = F.try_parse_json(blank(body))
     items = F.try_variant_get(doc, "$.items", "map<string,variant>")
     graves = F.try_variant_get(doc, "$.tombstones", "variant")
     grave_values = F.map_values(F.try_variant_get(doc, "$.tombstones", "map<string,variant>"))
     good = F.forall(F.map_values(items), _is_object) & (
         graves.isNull() | (_is_object(graves) & F.forall(grave_values, _is_finite)))
+    good = F.when(doc.isNotNull(), good).otherwise(_loose_shape(body))
     return (
         F.when(~F.coalesce(code.rlike(V.CODE_PATTERN), F.lit(False)), "bad_code")
-        .when(F.length(blank(body)) > max_chars, "too_large")
-        .when(doc.isNull(), "bad_json")
+        .when(_units(blank(body)) > max_chars, "too_large")
+        .when(~_is_json(blank(body)), "bad_json")
         .when(~F.coalesce(good, F.lit(False)), "bad_shape")
     )
 
@@ -86,24 +111,37 @@ def _accepted(times: np.ndarray, last: float, gap: float) -> list[int]:
     return found
 
 
+def _last_accepted(times: np.ndarray, gap: float) -> list[int]:
+    """For each event of a sorted run, the last one accepted if it is the first.  One
+    pass from the end: what follows an event is settled before it."""
+    after = np.searchsorted(times, times + gap, side="left").tolist()
+    last = times.tolist()
+    for i in range(len(last) - 1, -1, -1):
+        if after[i] < len(last):
+            last[i] = last[after[i]]
+    return last
+
+
 def _runs(batches, key: str, columns: Sequence[str]):
     """Runs of one (key, span) in batches sorted by both, as arrays; a run may go
     over batches.  Yields (key value, span, arrays)."""
-    held = None
+    run, parts = None, []
     for batch in batches:
         if not len(batch):
             continue
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
         keys, spans = batch[key].to_numpy(), batch["_span"].to_numpy()
         starts = np.flatnonzero(
             np.concatenate([[True], (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])]))
         arrays = [batch[c].to_numpy() for c in columns]
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield keys[a], spans[a], [x[a:b] for x in arrays]
-        held = batch.iloc[starts[-1]:]
-    if held is not None:
-        yield held[key].iloc[0], held["_span"].iloc[0], [held[c].to_numpy() for c in columns]
+        for a, b in zip(starts, [*starts[1:], len(batch)]):
+            if run != (keys[a], spans[a]):
+                if run is not None:
+                    yield *run, [np.concatenate(x) for x in zip(*parts)]
+                run, parts = (keys[a], spans[a]), []
+            # a part of a run is kept as it came, so a long run is put together once
+            parts.append([x[a:b] for x in arrays])
+    if run is not None:
+        yield *run, [np.concatenate(x) for x in zip(*parts)]
 
 
 def _in_batches(rows, columns: list[str], size: int = 10_000):
@@ -143,8 +181,7 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int =
             for k, at, (times,) in _runs(batches, key, ["_t"]):
                 head = int(np.searchsorted(times, int(at) * span + gap, side="left"))
                 firsts = times[:head + 1]
-                lasts = [int(times[i:][_accepted(times[i:], never, gap)[-1]]) for i in range(len(firsts))]
-                yield k, int(at), [int(t) for t in firsts], lasts
+                yield k, int(at), firsts.tolist(), _last_accepted(times, gap)[:head + 1]
         yield from _in_batches(rows(), [key, "_span", "_firsts", "_lasts"])
 
     def entries(batches):

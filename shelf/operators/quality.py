@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions.text import blank, filled
-from shelf.operators.select import last_per_key
+from shelf.operators.select import last_per_key, top_per_group
+
+
+def good_items(items: DataFrame) -> DataFrame:
+    """The rows that quality is measured on: those without an error."""
+    return items.where("status = 'ok'")
 
 
 def is_empty(c: Column) -> Column:
@@ -38,10 +43,6 @@ def contamination(items: DataFrame, column: str = "process",
     )
 
 
-def contaminated_samples(items: DataFrame, column: str = "process", count: int = 8) -> DataFrame:
-    return items.where(is_contaminated(F.col(column))).orderBy("ord").limit(count)
-
-
 def newly_filled(before: DataFrame, after: DataFrame, keys: Sequence[str], order: str,
                  fields: Sequence[str] = tuple(V.QUALITY_FIELDS)) -> DataFrame:
     """Per field: rows blank before and filled after, over keys on both sides.
@@ -67,11 +68,10 @@ def health_alert(items: DataFrame, threshold: int = V.ALERT_SHOPS) -> DataFrame:
 
 
 def joined_errors(errors: DataFrame, keys: Sequence[str], order: str, message: str,
-                  count: int = 4, separator: str = "; ") -> DataFrame:
-    """First ``count`` messages per key in order, joined.  The rest never leaves its task."""
-    from shelf.operators.select import top_per_group
-
-    few = top_per_group(errors, keys, [F.col(order)], count)
+                  count: int | None = None, separator: str = "; ") -> DataFrame:
+    """Messages per key in order, joined; with ``count`` only the first ones, and the
+    rest never leaves its task."""
+    few = errors if count is None else top_per_group(errors, keys, [F.col(order)], count)
     listed = F.array_sort(F.collect_list(F.struct(order, message)))
     return few.groupBy(*keys).agg(
         F.array_join(F.transform(listed, lambda e: e[message]), separator).alias("errors"))

@@ -10,6 +10,7 @@ from shelf.plans.registry import query, table
 from shelf.plans.views import HIDDEN_SHOP, OFFERS, newest_offers, offers, shipped
 from shelf.session import new_folder
 from shelf.sinks import files
+from shelf.sources import catalogue
 
 _PUBLISHED = f"""
 WITH {OFFERS},
@@ -57,6 +58,15 @@ def identity_difference(spark, sf_dir):
     return diff.new_keys(named[0].where("status = 'ok'"), named[1], "identity")
 
 
+@query("new_row_flags", f"""
+WITH {OFFERS}, named AS (SELECT *, {_IDENTITY} AS identity FROM keyed)
+SELECT ord, roaster, status, status = 'ok' AND identity NOT IN (SELECT identity FROM named WHERE age = 2) AS is_new
+FROM named WHERE age = 1""")
+def new_row_flags(spark, sf_dir):
+    latest, previous = newest_offers(spark, sf_dir)
+    return diff.flag_new_rows(latest, previous).select("ord", "roaster", "status", "is_new")
+
+
 @query("publish_stats", _PUBLISHED + """
 SELECT count(*) AS total, count(*) FILTER (WHERE key NOT IN (SELECT key FROM before)) AS new,
        count(DISTINCT roaster) AS roasters FROM shown""")
@@ -155,17 +165,32 @@ def snapshot_sink(spark, sf_dir):
         F.count("*").alias("n_items"), F.count_if(F.col("status") == "error").alias("n_errors"))
 
 
+@query("snapshot_scan", f"""
+WITH {OFFERS}
+SELECT DISTINCT snapshot, roaster, ord, key NOT IN (SELECT key FROM keyed WHERE age = 2) AS is_new FROM keyed WHERE age = 1""")
+def snapshot_scan(spark, sf_dir):
+    # snapshots as the sink writes them; only the folders of the newest two are read
+    folder = new_folder(spark, "snapshots")
+    files.write_snapshot(offers(spark, sf_dir), folder)
+    recent = select.newest(catalogue.written_snapshots(spark, folder), "snapshot", 2).withColumns(diff.publish_key())
+    return diff.flag_new(recent.where("age = 1"), recent.where("age = 2"), list(diff.publish_key())).select(
+        "snapshot", "roaster", F.col("ord").cast("long").alias("ord"), "is_new").distinct()
+
+
 @query("published_sink", _PUBLISHED + """
 SELECT roaster, bean_name, url, price_aud, key NOT IN (SELECT key FROM before) AS is_new,
-       (SELECT count(*) FROM shown) AS total FROM shown""")
+       (SELECT count(*) FROM shown) AS total, '2026-02-27 20:01' AS generated_at,
+       (SELECT string_agg(roaster, '|' ORDER BY roaster) FROM (SELECT DISTINCT roaster FROM shown)) AS roasters FROM shown""")
 def published_sink(spark, sf_dir):
     folder = new_folder(spark, "published")
     files.write_published(published(spark, sf_dir), F.lit("2026-02-27 20:01"), folder)
     items = spark.read.schema(
         "roaster STRING, bean_name STRING, url STRING, price_aud STRING, is_new BOOLEAN"
     ).json(f"{folder}/items")
-    stats = spark.read.schema("total LONG").json(f"{folder}/stats")
-    return items.join(F.broadcast(stats))
+    stats = spark.read.schema("total LONG, generated_at STRING").json(f"{folder}/stats")
+    shops = spark.read.schema("roaster STRING").json(f"{folder}/roasters").agg(
+        F.array_join(F.array_sort(F.collect_list("roaster")), "|").alias("roasters"))
+    return items.join(F.broadcast(stats)).join(F.broadcast(shops))
 
 
 @query("csv_sink", f"""

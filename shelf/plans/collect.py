@@ -48,7 +48,8 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
     They are parsed once and written; all later steps read that table.
 
     ``listings`` are captured listing pages with a strategy; ``sitemap_found``
-    (site, listing_url, url, ord, pos) comes from ``crawl.expand_sitemaps``.
+    (site, listing_url, url, ord, pos and, for the second host variant, candidate_ord)
+    comes from ``crawl.expand_sitemaps``.
     """
     allow = allowed(config)
     payloads = feeds.with_shops(payloads.join(allow, ["roaster", "strategy"]), config)
@@ -70,9 +71,12 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
             links = written(pages.listing_links(feeds.with_shops(own, config), name), "links")
             products = products.unionByName(pages.linked_products(links, captured_pages, name))
     if sitemap_found is not None:
+        # which host variant's sitemaps they are; the configured one if nothing is said
+        known = "candidate_ord" in sitemap_found.columns
+        host = (F.col("candidate_ord") if known else F.lit(0)).alias("candidate_ord")
         links = pages.sitemap_links(sitemap_found).select(
             F.col("site").alias("roaster"), "listing_url", "ord", F.col("url").alias("product_url"),
-            F.lit(0).alias("candidate_ord"), F.lit("sitemap").alias("strategy"))
+            host, F.lit("sitemap").alias("strategy"))
         links = feeds.with_shops(links.join(allow, ["roaster", "strategy"]), config)
         products = products.unionByName(pages.linked_products(links, captured_pages, "sitemap"))
     return pages.not_skipped(written(products, "products"))

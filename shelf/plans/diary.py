@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions import localised as L
@@ -61,12 +64,22 @@ def month_groups(spark, sf_dir):
 
 
 @query("diary_order", _ENTRIES + """
-SELECT date, ord, strftime(TRY_CAST(date AS DATE), '%-d %B %Y') AS long_date FROM entries
-WHERE roast_profile = 'filter' AND starts_with(date, '1998-0') ORDER BY date DESC, ord""")
+SELECT date, ord, coalesce(strftime(TRY_CAST(date AS DATE), '%-d %B %Y'), date) AS long_date FROM entries
+ORDER BY date DESC, ord""")
 def diary_order(spark, sf_dir):
-    rows = browse.facet_filter(order_entries(spark, sf_dir), roast="filter").where(
-        F.col("date").startswith("1998-0"))
-    return browse.in_diary_order(rows).select("date", "ord", L.long_date(F.col("date")).alias("long_date"))
+    return browse.in_diary_order(order_entries(spark, sf_dir)).select("date", "ord", L.long_date(F.col("date")).alias("long_date"))
+
+
+@query("diary_facets", _ENTRIES + """
+SELECT 'month' AS facet, ord FROM entries WHERE starts_with(date, '1995-03') AND roast_profile = 'filter'
+UNION ALL SELECT 'no month', ord FROM entries WHERE date = ''
+UNION ALL SELECT 'roaster', ord FROM (SELECT *, 'shop ' || ord % 9 AS roaster FROM entries) WHERE roaster = 'shop 4'
+UNION ALL SELECT 'all', ord FROM entries""")
+def diary_facets(spark, sf_dir):
+    entries = order_entries(spark, sf_dir).withColumn("roaster", text_of("shop ", (F.col("ord") % 9).cast("string")))
+    facets = {"month": {"month": "1995-03", "roast": "filter"}, "no month": {"month": ""}, "roaster": {"roaster": "shop 4"}, "all": {}}
+    parts = [browse.facet_filter(entries, **given).select(F.lit(name).alias("facet"), "ord") for name, given in facets.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("month_timeline", _ENTRIES + """
@@ -85,8 +98,8 @@ SELECT doc_id, text AS own, CASE WHEN lang IN ('en', 'es') THEN text ELSE '' END
        CASE WHEN lang IN ('en', 'es') THEN text ELSE '' END AS english FROM documents""")
 def localised_text(spark, sf_dir):
     # a text in its own language; Spanish ones are plain strings, which serve any language
-    quoted = F.concat(F.lit('"'), "text", F.lit('"'))
-    value = F.when(F.col("lang") == "es", L.localised(quoted)).otherwise(F.create_map("lang", "text"))
+    plain = F.try_variant_get(F.parse_json(F.to_json(F.struct("text"))), "$.text", "variant")
+    value = F.when(F.col("lang") == "es", L.localised(plain)).otherwise(F.create_map("lang", "text"))
     return table(spark, sf_dir, "documents").select("doc_id", value.alias("v"), "lang").select(
         "doc_id", L.in_language(F.col("v"), F.col("lang")).alias("own"),
         L.in_language(F.col("v"), "zh").alias("chinese"), L.in_language(F.col("v"), "en").alias("english"))
@@ -165,7 +178,8 @@ specs AS (
   UNION ALL SELECT p_partkey, 4, 'process', p_type FROM part)
 SELECT r.p_partkey, 'bean-' || r.p_partkey AS slug, p_name AS bean_name, p_brand AS roaster,
   CASE p_size % 3 WHEN 0 THEN 'var(--wash-peach)' WHEN 1 THEN 'var(--wash-cocoa)' ELSE 'var(--wash-pink)' END AS theme,
-  CAST(CASE WHEN story IS NULL THEN 0 ELSE 2 END AS INT) AS n_paragraphs, s.ord, s.label, s.value
+  CAST(CASE WHEN story IS NULL THEN 0 ELSE len(string_split('{"The "' || story || chr(10) || chr(10) || 'end', chr(10) || chr(10))) END AS INT) AS n_paragraphs,
+  CASE WHEN story IS NULL THEN '' ELSE '{"The "' || story || chr(10) || chr(10) || 'end' END AS story, s.ord, s.label, s.value
 FROM rows r JOIN specs s USING (p_partkey)""")
 def diary_entries(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
@@ -173,13 +187,13 @@ def diary_entries(spark, sf_dir):
     count = parts.agg(F.count("*").alias("n"))
     notes = table(spark, sf_dir, "documents").join(F.broadcast(count)).groupBy(
         (F.col("doc_id") % F.col("n")).alias("p_partkey")).agg(F.min("text").alias("story"))
-    story = F.translate(F.regexp_replace("story", r"\n{2,}", "\n"), "{", "(")
+    story = F.col("story")
     entry = F.struct(
         text_of("bean-", F.col("p_partkey").cast("string")).alias("slug"), F.lit("2026-07-27").alias("date"),
         F.struct(F.lit("豆").alias("zh"), F.col("p_name").alias("en")).alias("bean_name"), F.col("p_brand").alias("roaster"),
         F.when(F.col("p_size") % 3 == 0, "peach").when(F.col("p_size") % 3 == 1, "cocoa")
         .otherwise("none such").alias("color"),
-        F.when(F.col("story").isNotNull(), F.struct(F.concat(story, F.lit("\n\n"), F.lit("end")).alias("en"))).alias("story"),
+        F.when(F.col("story").isNotNull(), F.concat(F.lit('{"The "'), story, F.lit("\n\n"), F.lit("end"))).alias("story"),
         F.struct(
             F.col("p_brand").alias("producer"), F.lit("").alias("farm"),
             F.when(F.col("p_size") % 2 == 0, text_of(F.col("p_size").cast("string"), " m")).alias("altitude"),
@@ -192,6 +206,7 @@ def diary_entries(spark, sf_dir):
         F.substring_index("slug", "-", -1).cast("long").alias("p_partkey"), "slug",
         L.in_language(F.col("bean_name"), "en").alias("bean_name"), L.in_language(F.col("roaster"), "zh").alias("roaster"),
         L.theme_of(F.col("color")).alias("theme"),
-        F.size(L.paragraphs(L.in_language(F.col("story"), "en"))).alias("n_paragraphs"), "details")
+        F.size(L.paragraphs(L.in_language(F.col("story"), "en"))).alias("n_paragraphs"),
+        L.in_language(F.col("story"), "en").alias("story"), "details")
     return rows.select(
         *[c for c in rows.columns if c != "details"], F.inline(L.spec_rows(F.col("details"))))

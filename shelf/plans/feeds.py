@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelf.functions import fields, prices
@@ -12,24 +13,20 @@ from shelf.session import written
 from shelf.sources import catalogue, feeds, pages
 from shelf.functions.guards import origin_guard
 
-# A shop of these feeds holds 700 parts in 7 pages of 100; a few parts are not
-# listed, which makes their page a short one.
+# A shop of these feeds holds 700 parts in 7 pages of 100, the first shop one less.
 _TERM = sql_pick(TERMS, "p_size")
 _LISTED = f"""
 listed AS (
   SELECT *, CAST(p_partkey // 700 AS VARCHAR) AS shop, p_partkey % 700 // 100 + 1 AS page, {_TERM} AS term,
          CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS VARCHAR) AS price
-  FROM part WHERE NOT (p_size = 1 AND p_type = 'SMALL')),
-stops AS (
-  SELECT shop, min(page) AS stop FROM (SELECT shop, page, count(*) AS n FROM listed GROUP BY 1, 2) WHERE n < 100 GROUP BY 1),
-paged AS (SELECT l.* FROM listed l LEFT JOIN stops s ON s.shop = l.shop WHERE page <= 5 AND (stop IS NULL OR page <= stop))
+  FROM part),
+paged AS (SELECT * FROM listed)
 """
 
 
 def listed_parts(spark, sf_dir):
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").where(~((F.col("p_size") == 1) & (F.col("p_type") == "SMALL")))
-    return parts.withColumns({
+    return table(spark, sf_dir, "part").withColumns({
         "shop": F.floor(key / 700).cast("string"),
         "page": (F.floor(key % 700 / 100) + 1).cast("int"),
         "term": pick(TERMS, F.col("p_size")),
@@ -145,33 +142,49 @@ def payload_products(spark, sf_dir):
     return extract.items(products).select(*_SHOWN)
 
 
+# the state of a shop's feed: 0 answers, 1 is refused, 2 is broken JSON, 3 is empty, 4 has
+# nothing usable, 5 holds a document that is no list
+_FEED_STATES = 6
+
+
 @query("payload_reasons", f"""
 WITH {_LISTED}, shops AS (SELECT DISTINCT shop, CAST(shop AS INT) AS n FROM listed),
-states AS (SELECT shop, strategy, (n + k) % 5 AS state FROM shops,
-  (VALUES ('collection', 0), ('all_products', 1), ('woo', 2), ('wordpress', 3)) AS s(strategy, k)),
-names AS (SELECT *, CASE strategy WHEN 'woo' THEN 'woocommerce' WHEN 'wordpress' THEN 'wp_product' ELSE 'shopify_json' END AS p FROM states)
+candidates AS (
+  SELECT shop, n, s.strategy, (n + k) % 6 AS state, c AS candidate
+  FROM shops, (VALUES ('collection', 0, 0), ('all_products', 1, 3), ('woo', 2, 0), ('wordpress', 3, 0)) AS s(strategy, k, most), range(4) AS r(c)
+  WHERE c <= most AND EXISTS (
+    SELECT 1 FROM listed l WHERE l.shop = shops.shop AND (s.strategy <> 'all_products' OR c IN (1, 2) OR p_size % 2 = CAST(c = 3 AS INT)))),
+single AS (
+  SELECT shop, strategy, state, CASE strategy WHEN 'woo' THEN 'woocommerce' WHEN 'wordpress' THEN 'wp_product' ELSE 'shopify_json' END AS p
+  FROM candidates WHERE strategy <> 'all_products'),
+many AS (
+  SELECT shop, state, string_agg('https://s' || shop || '.example.com:' || CASE state WHEN 1 THEN 'http_404' ELSE 'error' END, '; ') AS told
+  FROM candidates WHERE strategy = 'all_products' GROUP BY 1, 2)
 SELECT 'shop ' || shop AS roaster, strategy, CASE state
-  WHEN 1 THEN p || '_http_404'
-  WHEN 2 THEN CASE WHEN strategy IN ('woo', 'wordpress') THEN p || '_invalid_payload' ELSE p || '_error' END
+  WHEN 1 THEN p || '_http_404' WHEN 2 THEN p || '_error'
   WHEN 3 THEN CASE strategy WHEN 'wordpress' THEN p || '_no_items' ELSE p || '_no_products' END
+  WHEN 5 THEN CASE strategy WHEN 'collection' THEN p || '_no_products' ELSE p || '_invalid_payload' END
   ELSE p || '_no_parsed_items' END AS reason
-FROM names WHERE state > 0""")
+FROM single WHERE state > 0
+UNION ALL SELECT 'shop ' || shop, 'all_products',
+  CASE WHEN state IN (1, 2) THEN 'shopify_all_json_failed: ' || told ELSE 'shopify_all_json_no_results' END
+FROM many WHERE state > 0""")
 def payload_reasons(spark, sf_dir):
     captured = captured_feeds(spark, sf_dir)
     everything = None
     for i, (strategy, payloads) in enumerate(captured.items()):
-        state = (F.substring_index("roaster", " ", -1).cast("int") + i) % 5
-        paged = strategy in ("woo", "wordpress")
-        broken = payloads.where("candidate_ord IN (0, 1) AND page = 1").groupBy("roaster", "strategy").agg(
-            F.first("url").alias("url"), F.first("body").alias("body")).withColumns({
-                "candidate_ord": F.lit(0), "page": F.lit(1),
-                "http_status": F.when(state == 1, 404).otherwise(200),
-                "body": F.when(state == 2, "{not json").when(state == 3, "[]" if paged else '{"products": []}')
-                .otherwise(F.col("body"))})
+        state = (F.substring_index("roaster", " ", -1).cast("int") + i) % _FEED_STATES
+        empty = "[]" if strategy in ("woo", "wordpress") else '{"products": []}'
+        # of a feed of many pages the last one is broken or no list, the others are good
+        last = F.col("page") == F.max("page").over(Window.partitionBy("roaster", "candidate_ord"))
+        broken = payloads.withColumn("body", (
+            F.when((state == 2) & last, "[not json").when(state == 3, empty)
+            .when((state == 5) & last, '{"message": "none"}').otherwise(F.col("body")))).withColumn(
+            "http_status", F.when(state == 1, 404).otherwise(200))
         everything = broken if everything is None else everything.unionByName(broken)
     number = F.substring_index("roaster", " ", -1).cast("int")
     place = F.array_position(F.array(*[F.lit(s) for s in captured]), F.col("strategy")) - 1
-    items = everything.where((number + place) % 5 == 0)
+    items = everything.where((number + place) % _FEED_STATES == 0)
     return feeds.feed_reasons(everything, items).select("roaster", "strategy", "reason")
 
 

@@ -89,9 +89,8 @@ def error_summary(spark, sf_dir):
 
 @query("collection_run", """
 WITH listed AS (
-  SELECT *, p_partkey // 700 AS shop, p_partkey % 700 // 100 + 1 AS page FROM part WHERE NOT (p_size = 1 AND p_type = 'SMALL')),
-stops AS (SELECT shop, min(page) AS stop FROM (SELECT shop, page, count(*) AS n FROM listed GROUP BY 1, 2) WHERE n < 100 GROUP BY 1),
-paged AS (SELECT l.* FROM listed l LEFT JOIN stops s ON s.shop = l.shop WHERE page <= 5 AND (stop IS NULL OR page <= stop)),
+  SELECT *, p_partkey // 700 AS shop FROM part),
+paged AS (SELECT * FROM listed),
 pairs AS (SELECT shop, p_partkey // 2 AS pair, bool_or(p_size % 3 <> 0) AS in_stock FROM paged GROUP BY 1, 2)
 SELECT 'shop ' || shop AS roaster, 'collection' AS strategy, count(*) AS n_items, '' AS error
 FROM listed WHERE shop % 4 = 0 AND p_size <> 2 AND p_size % 3 <> 0 GROUP BY shop
@@ -99,7 +98,7 @@ UNION ALL SELECT 'shop ' || shop, 'woo', count(*), '' FROM pairs WHERE shop % 4
 UNION ALL SELECT 'shop ' || shop, 'wordpress', count(*), '' FROM paged WHERE shop % 4 = 2 AND p_size <> 2 GROUP BY shop
 UNION ALL SELECT DISTINCT 'shop ' || shop, NULL, 1, 'https://s' || shop || '.example.com/collections/coffee => shopify_json_http_404'
   || ' | woocommerce_http_404 | wp_product_http_404' FROM listed WHERE shop % 4 = 3
-UNION ALL SELECT 'shop without', NULL, 1, 'missing_url' FROM part WHERE p_partkey = 0""")
+UNION ALL SELECT DISTINCT 'shop without ' || shop, NULL, 1, 'missing_url' FROM listed WHERE shop % 5 = 2""")
 def collection_run(spark, sf_dir):
     captured = captured_feeds(spark, sf_dir)
     payloads = captured["collection"].unionByName(captured["woo"]).unionByName(captured["wordpress"])
@@ -114,9 +113,10 @@ def collection_run(spark, sf_dir):
                 "force_woo_api": number == 1, "skip_sources": F.lit(None).cast("array<string>"),
                 "tag_aliases": F.lit(None).cast("map<string,array<string>>")}
     config = payloads.select("roaster", "listing_url").distinct().withColumns(switches)
-    nameless = table(spark, sf_dir, "part").where("p_partkey = 0").select(
-        F.lit("shop without").alias("roaster"), F.lit(None).cast("string").alias("listing_url")).withColumns(
-        {**switches, "force_woo_api": F.lit(False)})
+    # besides them, every fifth shop once more without an address
+    nameless = config.where(F.substring_index("roaster", " ", -1).cast("int") % 5 == 2).withColumns({
+        "roaster": F.replace("roaster", F.lit("shop "), F.lit("shop without ")),
+        "listing_url": F.lit(None).cast("string"), "force_woo_api": F.lit(False)})
     config = config.unionByName(nameless)
     products = run.source_products(config, payloads)
     addresses = payloads.select("roaster", "strategy", "candidate_ord", "listing_url").distinct()
@@ -134,10 +134,11 @@ def judged_documents(spark, sf_dir):
     return documents.join(labels, "doc_id", "left").select(
         "doc_id", F.when(F.col("quality") == 1, F.col("source")).otherwise(F.lit("  ")).alias("origin"),
         F.col("text").alias("process"), F.when(F.col("toxic").isNotNull(), F.col("lang")).alias("varietal"),
-        F.when(F.col("toxic") == 0, "ok").otherwise("").alias("flavour_profile"))
+        F.when(F.col("toxic") == 0, "ok").otherwise("").alias("flavour_profile"),
+        F.when(F.col("toxic") == 1, "error").otherwise("ok").alias("status"))
 
 
-_JUDGED = "documents LEFT JOIN labels USING (doc_id)"
+_JUDGED = "(SELECT * FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1)"
 
 
 @query("quality_completeness", f"""
@@ -146,29 +147,30 @@ UNION ALL SELECT 'process', count(*) FILTER (WHERE trim(text) = ''), count(*) FR
 UNION ALL SELECT 'varietal', count(*) FILTER (WHERE toxic IS NULL), count(*) FROM {_JUDGED}
 UNION ALL SELECT 'flavour_profile', count(*) FILTER (WHERE toxic IS DISTINCT FROM 0), count(*) FROM {_JUDGED}""")
 def quality_completeness(spark, sf_dir):
-    return quality.completeness(judged_documents(spark, sf_dir))
+    return quality.completeness(quality.good_items(judged_documents(spark, sf_dir)))
 
 
 @query("quality_contamination", """
 SELECT count(*) FILTER (WHERE regexp_matches(lower(text),
   'altitude|producer|region|varieties|variety|masl|notes|tasting|elevation|relationship|oner')) AS n_contaminated,
-  count(*) AS n_rows FROM documents""")
+  count(*) AS n_rows FROM documents WHERE lang <> 'de'""")
 def quality_contamination(spark, sf_dir):
     from shelf.vocabulary import CONTAMINANTS
 
+    items = table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("lang") == "de", "error").otherwise("ok"))
     return quality.contamination(
-        table(spark, sf_dir, "documents"), "text", [*CONTAMINANTS, "oner"])
+        quality.good_items(items), "text", [*CONTAMINANTS, "oner"])
 
 
 @query("quality_newly_filled", """
 WITH runs AS (
-  SELECT o_custkey, date_trunc('month', o_orderdate) AS month, o_orderkey,
+  SELECT o_custkey, date_trunc('month', o_orderdate) AS month, o_orderkey, o_orderstatus <> 'P' AS good,
          CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE ' ' END AS origin,
          CASE WHEN o_totalprice > 200000 THEN 'x' END AS process FROM orders),
 months AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS age FROM (SELECT DISTINCT month FROM runs)),
 lasts AS (
   SELECT age, o_custkey, trim(arg_max(origin, o_orderkey)) AS origin, arg_max(coalesce(process, ''), o_orderkey) AS process
-  FROM runs JOIN months USING (month) WHERE age <= 6 GROUP BY 1, 2),
+  FROM runs JOIN months USING (month) WHERE age <= 6 AND good GROUP BY 1, 2),
 pairs AS (
   SELECT b.origin = '' AND a.origin <> '' AS origin, b.process = '' AND a.process <> '' AS process
   FROM (SELECT o_custkey, arg_max(origin, -age) AS origin, arg_max(process, -age) AS process FROM lasts WHERE age <= 3 GROUP BY 1) a
@@ -180,9 +182,10 @@ def quality_newly_filled(spark, sf_dir):
     # a run is a quarter: the newest three months against the three before
     runs = table(spark, sf_dir, "orders").select(
         "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("ok").alias("status"),
         F.when(F.col("o_orderstatus") == "F", "x").otherwise(" ").alias("origin"),
         F.when(F.col("o_totalprice") > 200000, "x").alias("process"))
-    recent = select.newest(runs, "month", 6).withColumn(
+    recent = quality.good_items(select.newest(runs, "month", 6)).withColumn(
         "ord", F.struct("month", "o_orderkey"))
     return quality.newly_filled(
         recent.where("age > 3"), recent.where("age <= 3"), ["o_custkey"], "ord", ["origin", "process"])
@@ -232,13 +235,14 @@ def doc_validation(spark, sf_dir):
     code = F.md5(F.col("user_id").cast("string"))
     good = text_of('{"items": {"a": ', F.col("props"), '}, "tombstones": {"b": ', k, '.5e0}, "updated_at": ', k, "}")
     body = (
-        F.when(way == 2, text_of("{", F.col("props")))
+        F.when(way == 2, F.when(F.col("event_id") % 20 == 2, text_of("{", F.col("props"))).otherwise(F.concat(good, F.lit(" trailing"))))
         .when(way == 3, text_of('{"items": {"a": ', k, "}}"))
         .when(way == 4, text_of('{"items": {}, "tombstones": {"b": "', k, '"}}'))
         .when(way == 5, text_of("[", good, "]"))
         .when(way == 6, text_of('{"items": {"a": ', F.col("props"), '}, "tombstones": null}'))
-        .when(way == 7, F.concat(good, F.repeat(F.lit(" "), 1000)))
+        .when(way == 7, F.concat(good, F.repeat(F.lit("\U0001f600"), 500)))
         .when(way == 9, text_of('{"items": {"a": ', F.col("props"), '}, "x": null}'))
+        .when(way == 8, text_of('{"items": {"a": 1}, "items": {"a": ', F.col("props"), '}, "updated_at": ', k, "}"))
         .otherwise(good))
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.when(way == 1, F.upper(code)).otherwise(code).alias("code"), body.alias("body"))

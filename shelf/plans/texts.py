@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelf import vocabulary as V
 from shelf.functions import rules, text, urls
 from shelf.operators import crawl, select
 from shelf.plans.registry import query, table
@@ -23,15 +24,18 @@ def match_normalise(spark, sf_dir):
 _PHRASES = [*BLOCKED_PHRASES, "of the", "de la", "und der", "red ring", "hot gear"]
 
 
-def _sql_pattern() -> str:
-    return rules.phrase_pattern(_PHRASES, BLOCKED_PATTERNS).replace("'", "''")
+def _sql_blocked(match: str) -> str:
+    """One bounded search per phrase, and the patterns as they are listed."""
+    tests = [f"contains(m, ' {p} ')" for p in _PHRASES]
+    tests += [f"regexp_matches(m, '{p}')" for p in BLOCKED_PATTERNS]
+    return f"(SELECT {' OR '.join(tests)} FROM (SELECT ' ' || {match} || ' ' AS m))"
 
 
 @query("phrase_exclusion", f"""
 SELECT 'document' AS kind, doc_id AS id,
-       regexp_matches({_MATCH.format('text')}, '{_sql_pattern()}') AS blocked FROM documents
+       {_sql_blocked(_MATCH.format('text'))} AS blocked FROM documents
 UNION ALL
-SELECT 'part', p_partkey, regexp_matches({_MATCH.format("p_name || ' ' || p_type")}, '{_sql_pattern()}') FROM part""")
+SELECT 'part', p_partkey, {_sql_blocked(_MATCH.format("p_name || ' ' || p_type"))} FROM part""")
 def phrase_exclusion(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
@@ -171,7 +175,7 @@ def handle_ranking(spark, sf_dir):
     firsts = found.groupBy("roaster", "handle").agg(F.min(F.struct("p_partkey", "pos")).alias("at"))
     scored = firsts.withColumn("score", urls.handle_score(F.col("handle")))
     order = [F.desc("score"), F.length("handle"), F.col("at")]
-    return select.top_per_group(scored, ["roaster"], order, 6, rank="place").drop("at")
+    return select.top_per_group(scored, ["roaster"], order, V.HANDLE_LIMIT, rank="place").drop("at")
 
 
 @query("shop_slug_links", """

@@ -7,11 +7,12 @@ only agree after normalisation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf.operators.select import newest
 from shelf.plans.registry import table
+from shelf.session import written
 
 ROAST_OF_TYPE = {
     "ECONOMY": "filter", "SMALL": "espresso", "PROMO": "omni", "STANDARD": "Filter",
@@ -21,9 +22,12 @@ HIDDEN_SHOP = "brand#7"
 SITE = "https://shop.example.com"
 
 
-def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(snapshot, p_partkey), repeated as often as shipped."""
-    return table(spark, sf_dir, "lineitem").select(
+def shipped(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    """(snapshot, p_partkey), repeated as often as shipped, all or since a date."""
+    lines = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        lines = lines.where(F.col("l_shipdate") >= since)
+    return lines.select(
         F.date_format("l_shipdate", "yyyy-MM").alias("snapshot"), F.col("l_partkey").alias("p_partkey"))
 
 
@@ -53,9 +57,13 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The newest snapshot and the one before; older months are cut first."""
-    recent = newest(shipped(spark, sf_dir), "snapshot", 2)
-    rows = as_offers(recent, table(spark, sf_dir, "part"))
+    """The newest snapshot and the one before.  Two dates are looked up; the rows since
+    the earlier one are a range on the raw date, which is pushed to the scan."""
+    months = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("m")).distinct()
+    since = min((r.m for r in months.orderBy(F.desc("m")).limit(2).collect()), default=None)
+    recent = shipped(spark, sf_dir, F.lit(since).cast("timestamp_ntz"))
+    # both ages are read, and more than once
+    rows = written(as_offers(newest(recent, "snapshot", 2), table(spark, sf_dir, "part")), "offers")
     return rows.where("age = 1"), rows.where("age = 2")
 
 

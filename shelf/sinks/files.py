@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions.text import clean_text
+from shelf.session import dropped, written
 from shelf.operators.publish import (
     in_publish_order, publish_stats, published_shops, snapshot_summary, with_bucket,
 )
@@ -21,18 +22,27 @@ def write_snapshot(items: DataFrame, folder: str, snapshot: str = "snapshot") ->
 
     Buckets are folders rather than arrays in one document: one bucket can hold
     most of a snapshot.  Rebalancing gives every folder few files and splits a
-    folder that is too large for one task.
+    folder that is too large for one task.  The input is computed once.  Writing a
+    snapshot again replaces its folders, so a repeated run changes nothing.
     """
-    with_bucket(items).hint("rebalance", snapshot, "bucket").write.mode("append").partitionBy(snapshot, "bucket").parquet(f"{folder}/items")
-    snapshot_summary(items, [snapshot]).write.mode("append").parquet(f"{folder}/summary")
+    items = written(items, "items")
+
+    def write(df, name, *by):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
+
+    write(with_bucket(items).hint("rebalance", snapshot, "bucket"), "items", snapshot, "bucket")
+    write(snapshot_summary(items, [snapshot]), "summary", snapshot)
+    dropped(items)
 
 
 def write_published(items: DataFrame, generated_at: Column, folder: str) -> None:
     """Sorted items, one row of statistics and the list of shops."""
+    items = written(items, "items")
     in_publish_order(items).write.mode("overwrite").json(f"{folder}/items")
     publish_stats(items).withColumn("generated_at", generated_at).write.mode("overwrite").json(
         f"{folder}/stats")
     published_shops(items).write.mode("overwrite").json(f"{folder}/roasters")
+    dropped(items)
 
 
 def hyperlink(url: Column, label: Column) -> Column:

@@ -80,6 +80,13 @@ def read_snapshots(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select("snapshot", "generated_at", "ord", "item.*")
 
 
+def written_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots in the folders that ``files.write_snapshot`` makes.  A filter on
+    ``snapshot`` reads only the folders it names."""
+    return spark.read.option("basePath", f"{folder}/items").parquet(f"{folder}/items").withColumns(
+        {c: F.col(c).cast("string") for c in ("snapshot", "bucket")})
+
+
 def read_diary(spark: SparkSession, path: str) -> DataFrame:
     """Entries with their order in the file; a localised value may be a plain string."""
     return diary_entries(spark.read.option("wholetext", True).text(path))
@@ -90,8 +97,8 @@ _LOCALISED = ("bean_name", "roaster", "story", "summary")
 
 def diary_entries(documents: DataFrame) -> DataFrame:
     """``value`` holds whole diary documents, entries in a list.  Bilingual members
-    are read as JSON text first, so both forms of them are accepted."""
-    loose = schemas.DIARY_ENTRY.replace("MAP<STRING, STRING>", "STRING")
+    are read as VARIANT, whose kind says which form of them it is."""
+    loose = schemas.DIARY_ENTRY.replace("MAP<STRING, STRING>", "VARIANT")
     parsed = F.from_json("value", f"struct<entries: array<struct<{_with_colons(loose)}>>>")
     rows = unnest(documents, parsed["entries"], "ord", "e").select("ord", "e.*")
     rows = rows.withColumns({c: localised(F.col(c)) for c in _LOCALISED})

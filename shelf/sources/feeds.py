@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf import schemas
-from shelf import vocabulary as V
 from shelf.functions import prices, roast, rules
 from shelf.functions.text import blank, clean_text, filled, unnest, with_page_text
 from shelf.functions.urls import site_root
 from shelf.operators.extract import as_products
 from shelf.operators.grouping import title_groups
+from shelf.session import written
 
 SHOP_COLUMNS = ("price_variant_filter", "skip_sources", "tag_aliases")
 _SHOP_TYPES = ("string", "array<string>", "map<string,array<string>>")
@@ -71,42 +71,48 @@ def collection_products(payloads: DataFrame, details: DataFrame | None = None,
 def with_details(rows: DataFrame, details: DataFrame) -> DataFrame:
     """Look up the product detail: drop what is out of stock, take its AUD price.
 
-    Only the variants that the rules read are kept before the join.
+    Only the variants that the rules read are kept before the join.  Of several
+    captures of a handle the first counts, by ``candidate_ord`` where details have one
+    (they are then kept apart by host variant) and else by ``url``.
     """
-    read = details.where("http_status = 200").select(
-        "roaster", "handle", F.from_json("body", schemas.DETAIL)["product"]["variants"].alias("dv"))
-    read = read.groupBy("roaster", "handle").agg(F.max("dv").alias("dv"))
-    joined = rows.join(read, ["roaster", "handle"], "left")
+    read = details.where("http_status = 200")
+    keys = ["roaster", "handle"] + ["candidate_ord"] * ("candidate_ord" in read.columns and "candidate_ord" in rows.columns)
+    order = F.col("url") if "url" in read.columns else F.xxhash64("body")
+    read = read.select(*keys, order.alias("_at"), F.from_json("body", schemas.DETAIL)["product"]["variants"].alias("dv"))
+    read = read.groupBy(*keys).agg(F.min_by("dv", "_at").alias("dv"))
+    joined = rows.join(read, keys, "left")
     return joined.where(~prices.out_of_stock(F.col("dv"))).withColumn(
         "price", prices.detail_price(F.col("dv"), F.col("price_variant_filter"), F.col("price"))
     ).drop("dv")
 
 
-def _read_pages(payloads: DataFrame, schema: str, pages: int, size: int) -> DataFrame:
-    """Products of a paged feed.
+def _read_pages(payloads: DataFrame, schema: str, pages: int | None, size: int | None) -> DataFrame:
+    """Products of a paged feed: of every captured page, in page order.
 
-    Reading stops at the first page that is refused, empty or short; a page that
-    is no list voids the source.  Where it stops is found on a table without the
-    bodies, which is joined back.
+    A page that is no list voids the source.  A body is parsed once; whether it is a
+    list is seen from its first character.  ``pages`` and ``size``, off by default,
+    stop after so many pages and behind the first page that is refused or shorter.
     """
     key = ["roaster", "strategy", "candidate_ord"]
-    is_list = F.coalesce(F.ltrim("body").startswith("["), F.lit(False))
-    marked = payloads.where(F.col("page") <= pages).withColumns({
-        "_refused": ~F.col("http_status").eqNullSafe(200),
-        "_n": F.when(is_list, F.json_array_length("body")),
-    })
-    stop = marked.select(*key, "page", "_refused", "_n").groupBy(*key).agg(
-        F.min(F.when(F.col("_refused") | (F.col("_n") < size), F.col("page"))).alias("_stop"),
-        F.min(F.when(~F.col("_refused") & F.col("_n").isNull(), F.col("page"))).alias("_void"))
-    stop = stop.where(F.col("_void").isNull() | (F.col("_void") > F.col("_stop"))).drop("_void")
-    read = marked.where(~F.col("_refused") & (F.col("_n") > 0)).join(stop, key)
-    read = read.where(F.col("page") <= F.coalesce(F.col("_stop"), F.lit(pages)))
-    rows = unnest(
-        read, F.from_json("body", schema), "pos", "p", *key, "page", "listing_url", *SHOP_COLUMNS)
-    return rows.withColumn("ord", ((F.col("page") - 1) * size + F.col("pos")).cast("int"))
-
-
-def woo_products(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.API_PAGE_SIZE) -> DataFrame:
+    good = F.col("http_status").eqNullSafe(200)
+    wanted = payloads if pages is None else payloads.where(F.col("page") <= pages)
+    read = wanted.where(good).withColumn("_list", F.from_json("body", schema)).withColumn(
+        "_list", F.when(F.coalesce(F.ltrim("body").startswith("["), F.lit(False)), F.col("_list"))).drop("body")
+    read = written(read, "pages")
+    void = read.where("_list IS NULL").groupBy(*key).agg(F.min("page").alias("_void"))
+    if size is None:
+        read = read.join(void.select(*key), key, "left_anti")
+    else:
+        ends = read.select(*key, "page", (F.size("_list") < size).alias("_end")).unionByName(
+            wanted.where(~good).select(*key, "page", F.lit(True).alias("_end")))
+        stop = ends.groupBy(*key).agg(F.min(F.when(F.col("_end"), F.col("page"))).alias("_stop"))
+        stop = stop.join(void, key, "left").where("_void IS NULL OR _void > _stop").drop("_void")
+        read = read.join(stop, key).where("_stop IS NULL OR page <= _stop").drop("_stop")
+    rows = unnest(read, "_list", "pos", "p", *key, "page", "listing_url", *SHOP_COLUMNS)
+    return rows.withColumn("ord", F.shiftleft(F.col("page").cast("long"), 32) + F.col("pos"))
+
+
+def woo_products(payloads: DataFrame, pages: int | None = None, size: int | None = None) -> DataFrame:
     """Products of a paged store feed, those of one title taken together.
 
     The first product of a title speaks for it, even if that one is sold out;
@@ -142,8 +148,7 @@ def woo_products(payloads: DataFrame, pages: int = V.API_PAGES, size: int = V.AP
         shown_roast=roast.category_roast(F.col("espresso_seen"), F.col("filter_seen")))
 
 
-def wordpress_products(payloads: DataFrame, pages: int = V.API_PAGES,
-                    size: int = V.API_PAGE_SIZE) -> DataFrame:
+def wordpress_products(payloads: DataFrame, pages: int | None = None, size: int | None = None) -> DataFrame:
     """Products of a paged feed of plain posts."""
     rows = _read_pages(payloads, schemas.WORDPRESS, pages, size).withColumns({
         "title": clean_text(F.col("p.title.rendered")), "product_url": clean_text(F.col("p.link"))})
@@ -159,34 +164,54 @@ def wordpress_products(payloads: DataFrame, pages: int = V.API_PAGES,
 
 # --- reasons ---------------------------------------------------------------------------
 
-_NAMES = {
-    "collection": ("shopify_json", "no_products"), "discovered_collection": ("shopify_json", "no_products"),
-    "all_products": ("shopify_json", "no_products"), "woo": ("woocommerce", "no_products"),
-    "wordpress": ("wp_product", "no_items"),
-}
-
-
 def feed_reasons(payloads: DataFrame, items: DataFrame) -> DataFrame:
-    """Why a feed gave no items: (roaster, strategy, candidate_ord, reason)."""
+    """Why a feed gave no items: (roaster, strategy, candidate_ord, reason).
+
+    A feed that gave items is left out before any body is read.  All-products feeds of
+    one host are one source with several addresses: their reason lists each address
+    that was refused, or says that none had results.
+    """
     key = ["roaster", "strategy", "candidate_ord"]
-    prefix = F.create_map(*[F.lit(x) for n, (p, _) in _NAMES.items() for x in (n, p)])[F.col("strategy")]
-    empty = F.create_map(*[F.lit(x) for n, (_, e) in _NAMES.items() for x in (n, e)])[F.col("strategy")]
-    # 'products' of a collection, the list itself of the paged feeds; NULL: not readable
-    paged = F.col("strategy").isin("woo", "wordpress")
+    kind = F.col("strategy")
+    paged, whole = kind.isin("woo", "wordpress"), kind == "all_products"
+    lost = payloads.join(items.select(*key).distinct(), key, "left_anti")
+    # a source of several addresses has items if any of them has
+    host = F.floor(F.col("candidate_ord") / 100)
+    some = items.where(whole).select("roaster", host.alias("_host")).distinct()
+    lost = lost.withColumn("_host", host)
+    lost = lost.join(some.withColumn("strategy", F.lit("all_products")), ["roaster", "strategy", "_host"], "left_anti")
     root = F.when(paged, F.col("body")).otherwise(F.get_json_object("body", "$.products"))
-    readable = F.when(paged, F.ltrim("body").startswith("[")).otherwise(
-        F.get_json_object("body", "$").isNotNull())
-    state = payloads.select(
-        *key, "page", "url", "http_status", prefix.alias("prefix"), empty.alias("none"),
-        readable.alias("readable"), F.coalesce(F.json_array_length(root), F.lit(0)).alias("n"))
+    state = lost.select(
+        *key, "_host", "page", "url", "http_status", F.json_array_length(root).alias("_n"),
+        F.json_array_length("body").isNotNull().alias("_is_list"),
+        # a whole-document check: broken JSON has no root
+        F.try_parse_json("body").isNotNull().alias("_is_json"))
+    name = F.when(kind == "woo", "woocommerce").when(kind == "wordpress", "wp_product").otherwise("shopify_json")
+    none = F.when(kind == "wordpress", "no_items").otherwise("no_products")
+    refused = F.concat_ws("_", name, F.lit("http"), F.col("http_status").cast("string"))
+    first = F.min_by(F.struct("http_status", "url"), "page")
+    groups = state.groupBy("roaster", "strategy", "_host", "candidate_ord").agg(
+        first.alias("_first"), F.min(F.when(F.col("http_status") != 200, F.col("page"))).alias("_refused_at"),
+        F.min("page").alias("_at"), F.coalesce(F.max("_n"), F.lit(0)).alias("_most"),
+        F.bool_or((F.col("http_status") == 200) & ~F.coalesce("_is_json", F.lit(False))).alias("_broken"),
+        F.bool_or((F.col("http_status") == 200) & ~F.coalesce("_is_list", F.lit(False))).alias("_no_list"))
+    groups = groups.withColumns({"http_status": F.col("_first.http_status"), "url": F.col("_first.url")})
     code = (
         F.when(F.col("url").isNull(), F.lit("not_a_collection_url"))
-        .when(F.col("http_status") != 200,
-              F.concat_ws("_", "prefix", F.lit("http"), F.col("http_status").cast("string")))
-        .when(~F.coalesce("readable", F.lit(False)), F.concat_ws(
-            "_", "prefix", F.when(F.col("strategy").isin("woo", "wordpress"), "invalid_payload")
-            .otherwise("error")))
-        .when(F.col("n") == 0, F.concat_ws("_", "prefix", "none"))
-        .otherwise(F.concat_ws("_", "prefix", F.lit("no_parsed_items"))))
-    worst = state.groupBy(*key).agg(F.min_by(code, F.col("page")).alias("reason"))
-    return worst.join(items.select(*key).distinct(), key, "left_anti")
+        .when(F.col("_refused_at") == F.col("_at"), refused)
+        .when(F.col("_broken"), F.concat_ws("_", name, F.lit("error")))
+        .when(paged & F.col("_no_list"), F.concat_ws("_", name, F.lit("invalid_payload")))
+        .when(F.col("_most") == 0, F.concat_ws("_", name, none))
+        .otherwise(F.concat_ws("_", name, F.lit("no_parsed_items"))))
+    single = groups.where(~whole).select(*key, code.alias("reason"))
+    # an address of many: its status, or that it is broken; no products is not told
+    told = F.when(F.col("http_status") != 200, F.concat(F.lit("http_"), F.col("http_status").cast("string"))).when(
+        F.col("_broken"), F.lit("error"))
+    address = F.struct("candidate_ord", F.concat("url", F.lit(":"), told).alias("told"))
+    many = groups.where(whole).groupBy("roaster", "strategy", "_host").agg(
+        F.min("candidate_ord").alias("candidate_ord"),
+        F.array_sort(F.collect_list(F.when(told.isNotNull(), address))).alias("_told"))
+    many = many.select(*key, F.when(
+        F.size("_told") > 0, F.concat(F.lit("shopify_all_json_failed: "), F.array_join("_told.told", "; "))).otherwise(
+        F.lit("shopify_all_json_no_results")).alias("reason"))
+    return single.unionByName(many)

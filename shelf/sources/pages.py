@@ -26,15 +26,19 @@ def with_page_title(df: DataFrame, html: Column, out: str = "title") -> DataFram
     return with_page_text(df, **{out: F.when(plain_text(meta) != "", meta).otherwise(heading)})
 
 
-def _element(class_pattern: str, depth: int = 3) -> str:
-    """First element with such a class; its text may nest the same tag ``depth`` deep.
+_VOID = r"(?!(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b)"
+
+
+def _element(class_pattern: str, depth: int = 24) -> str:
+    """First element with such a class; its text may nest the same tag ``depth`` deep,
+    and of one that nests deeper or is never closed all that follows is read.
     The loops are possessive, so long pages need no deep recursion."""
     flat = r"[^<]*+(?:<(?!/?\1\b)[^<]*+)*+"
     inner = flat
     for _ in range(depth):
         inner = rf"{flat}(?:<\1\b[^>]*+>{inner}</\1\s*>{flat})*+"
-    return (rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*?\sclass\s*=\s*(?:"{class_pattern.format(q='"')}"|"""
-            rf"""'{class_pattern.format(q="'")}')[^>]*>({inner})</\1\s*>""")
+    return (rf"""(?is)<{_VOID}([a-z][a-z0-9]*)\b[^>]*?\sclass\s*=\s*(?:"{class_pattern.format(q='"')}"|"""
+            rf"""'{class_pattern.format(q="'")}')[^>]*>((?:{inner}(?=</\1\s*>))|.*)""")
 
 
 _TOKEN = r"(?:[^{{q}}]*\s)?{name}(?:\s[^{{q}}]*)?"
@@ -65,7 +69,7 @@ def page_products(pages: DataFrame) -> DataFrame:
 
     Needs roaster, listing_url, product_url, http_status, content_type, html.
     """
-    fetched = F.coalesce(F.col("http_status") == 200, F.lit(False))
+    fetched = F.coalesce((F.col("http_status") >= 100) & (F.col("http_status") < 400), F.lit(False))
     feed = rules.is_feed(F.col("content_type"))
     rows = pages.withColumns({
         "_state": F.when(~fetched, "page").when(feed, "feed").otherwise("html"),
@@ -147,8 +151,8 @@ def listing_reasons(listings: DataFrame, links: DataFrame, items: DataFrame, str
     return rows.select("roaster", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def sitemap_links(products: DataFrame, max_urls: int | None = V.SITEMAP_URL_LIMIT) -> DataFrame:
-    """The first product addresses of every site in the order they were found."""
+def sitemap_links(products: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """The product addresses of every site, or the first ``max_urls`` found."""
     from shelf.operators.select import top_per_group
 
     if max_urls is None:

@@ -25,11 +25,14 @@ def follow_arrivals(stream: DataFrame, folder: str, keys: Sequence[str], by: str
 
     def on_batch(batch: DataFrame, number: int) -> None:
         fresh = batch.select(*columns).distinct()
-        both = fresh
         if number > 0:
             known = spark.read.schema(fresh.schema).parquet(f"{folder}/state/batch={number - 1}")
             fresh = fresh.join(known, columns, "left_anti")
-            both = known.unionByName(fresh)
+        # all that follows reads them again
+        path = f"{folder}/fresh/batch={number}"
+        fresh.write.mode("overwrite").parquet(path)
+        fresh = spark.read.schema(fresh.schema).parquet(path)
+        both = known.unionByName(fresh) if number > 0 else fresh
         flagged = arrivals_by_snapshot(both, keys, by).join(fresh, columns, "left_semi")
         flagged.write.mode("overwrite").parquet(f"{folder}/arrivals/batch={number}")
         newest(both, by, 2).select(*columns).write.mode("overwrite").parquet(
