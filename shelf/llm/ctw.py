@@ -43,6 +43,8 @@ DEPTH, TOP = 6, 2
 SHARDS, SLOTS = 256, 1 << 23
 #: Words looked up by broadcast, 16 bytes each.
 FREQUENT = 200_000
+#: Bits of a worker's table of grams already scored: 32 MB.
+REMEMBERED = 21
 #: Bytes worked on at once.
 CHUNK = 4 << 20
 #: Stand-ins that never occur in UTF-8: before a text, and after it.
@@ -229,6 +231,9 @@ class Model:
 
     def __init__(self, short: np.ndarray, value: np.ndarray, check: np.ndarray):
         self.short, self.value, self.check = short, value, check
+        # no gram has all bits set
+        self.seen_key = np.full(1 << REMEMBERED, np.iinfo(np.uint64).max, np.uint64)
+        self.seen_value = np.zeros(1 << REMEMBERED)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log probability of each byte in its context."""
@@ -236,24 +241,39 @@ class Model:
         context = (grams >> _U(8) << _U(8))
         total = np.zeros(len(grams))
         for k in range(8):
-            bits = (symbol >> _U(8 - k)) | _U(1 << k)
-            node = context | bits
-            p = self.short[(node & _mask(TOP)).astype(np.int64)].astype(np.float64)
-            for depth in range(TOP + 1, DEPTH + 1):
-                at, check = _slots(shard, node & _mask(depth), depth, len(self.value))
+            node = context | (symbol >> _U(8 - k)) | _U(1 << k)
+            p = np.empty(len(grams))
+            # the deepest node there is decides; most are found at once
+            rest = np.arange(len(grams))
+            for depth in range(DEPTH, TOP, -1):
+                at, check = _slots(shard[rest], node[rest] & _mask(depth), depth, len(self.value))
                 hit = self.check[at] == check
-                p[hit] = (self.value[at[hit]] + 0.5) / 65536
+                p[rest[hit]] = (self.value[at[hit]] + 0.5) / 65536
+                rest = rest[~hit]
+            p[rest] = self.short[(node[rest] & _mask(TOP)).astype(np.int64)]
             p = np.clip(p, 1e-5, 1 - 1e-5)
             total += np.log10(np.where((symbol >> _U(7 - k)) & _U(1) == 1, p, 1 - p))
         return total
 
+    def _remembered(self, grams: np.ndarray) -> np.ndarray:
+        """As :meth:`log10`, with the grams last seen kept in a table of fixed size."""
+        slot = ((grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - REMEMBERED)).astype(np.int64)
+        out = self.seen_value[slot]
+        new = np.flatnonzero(self.seen_key[slot] != grams)
+        if len(new):
+            own, first, at = np.unique(grams[new], return_index=True, return_inverse=True)
+            value = self.log10(own)
+            out[new] = value[at]
+            slot = slot[new[first]]
+            self.seen_key[slot], self.seen_value[slot] = own, value
+        return out
+
     def scores(self, texts: list[str]) -> list[float]:
         out: list[float] = []
         for own in _chunks(texts):
             each = [codes(t) for t in own]
-            seen, at = np.unique(np.concatenate(each), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum([len(c) for c in each])[:-1]])
-            out += np.add.reduceat(self.log10(seen)[at], starts).tolist()
+            out += np.add.reduceat(self._remembered(np.concatenate(each)), starts).tolist()
         return out
 
 
