@@ -101,14 +101,22 @@ def collect(config: DataFrame, products: DataFrame, reasons: DataFrame) -> DataF
     """Per shop the items of its first source that has any; a shop without gets
     one error row that tells why.  Fields are read only for what was chosen.
 
-    ``reasons``: roaster, candidate_ord, listing_url, strategy, reason - at most
-    a few per shop, so joining their texts stays small.
+    ``reasons``: roaster, candidate_ord, listing_url, strategy, reason, of feeds
+    (``feeds.feed_reasons``), listings and sitemaps (``pages.listing_reasons``,
+    ``pages.sitemap_reasons``) - at most a few per shop and handle, so joining their
+    texts stays small.
     """
     chosen = extract.items(chosen_source(products))
     named = config.where("listing_url IS NOT NULL")
     lost = named.join(products.select("roaster").distinct(), "roaster", "left_anti")
     told = reasons.withColumn("host", host_of(F.col("candidate_ord"))).withColumn(
         "rank", priority(F.col("strategy"), F.col("host")))
+    # what was tried with discovered handles is one message, behind all others
+    handles = F.array_sort(F.collect_list(F.struct("candidate_ord", "reason")))
+    discovery = told.where("strategy = 'discovered_collection'").groupBy("roaster", "host", "listing_url").agg(
+        F.concat(F.lit("handle_discovery="), F.array_join(F.transform(handles, lambda h: h["reason"]), "; ")).alias("reason"))
+    told = told.where("strategy <> 'discovered_collection'").unionByName(
+        discovery.withColumn("rank", F.lit(1 << 30)), allowMissingColumns=True)
     told = told.groupBy("roaster", "host", "listing_url").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("rank", "reason"))),
                                  lambda r: r["reason"]), " | ").alias("told"))

@@ -318,6 +318,35 @@ def link_driven_sources(spark, sf_dir):
         F.count_if(F.col("error") == "product_page_error: not captured").alias("n_missing"))
 
 
+@query("link_reasons", f"""
+WITH {_CASES}, shops AS (SELECT DISTINCT p_partkey // 50 AS n FROM cases)
+SELECT 'html_listing' AS strategy, 'shop ' || n AS roaster,
+       CASE n % 4 WHEN 1 THEN 'listing_page_error' WHEN 2 THEN 'listing_page_no_product_links' ELSE 'listing_page_no_valid_products' END AS reason
+FROM shops WHERE n % 4 > 0
+UNION ALL SELECT 'sitemap', 'shop ' || n, CASE n % 4 WHEN 1 THEN 'sitemap_no_product_urls'
+  ELSE 'sitemap_no_valid_products: sitemap_http_404:https://shop.example.com/' || n || '/sm_1.xml' END
+FROM shops WHERE n % 4 IN (1, 3)""")
+def link_reasons(spark, sf_dir):
+    # shops by number: 0 answers, 1 refuses its lists, 2 links nothing, 3 refuses its pages and a file
+    shop = F.substring_index("roaster", " ", -1).cast("int") % 4
+    refused = F.floor(F.col("p_partkey") / 50) % 4 == 3
+    captured = part_pages(spark, sf_dir).withColumn("http_status", F.when(refused, 404).otherwise(F.col("http_status")))
+    captured = captured.drop("p_partkey", "p_size")
+    listings = part_listings(spark, sf_dir, "/products/", False).withColumns({
+        "http_status": F.when(shop == 1, 500).otherwise(200), "html": F.when(shop == 2, "<p>none</p>").otherwise(F.col("html"))})
+    links = written(pages.listing_links(listings, "html_listing"), "links")
+    listed = pages.listing_reasons(listings, links, pages.linked_products(links, captured, "html_listing"), "html_listing")
+    docs, seeds = part_sitemaps(spark, sf_dir)
+    number = F.regexp_extract("url", r"com/(\d+)/", 1).cast("int") % 4
+    broken = ((number == 1) & F.col("url").endswith("sitemap.xml")) | ((number == 3) & F.col("url").endswith("sm_1.xml"))
+    found, errors = crawl.expand_sitemaps(docs.withColumn("http_status", F.when(broken, 404).otherwise(200)), seeds)
+    links = pages.sitemap_links(found).select(
+        F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord", F.col("url").alias("product_url"))
+    told = pages.sitemap_reasons(seeds, errors, found, pages.linked_products(links, captured, "sitemap"))
+    return listed.withColumn("strategy", F.lit("html_listing")).unionByName(
+        told.withColumn("strategy", F.lit("sitemap"))).select("strategy", "roaster", "reason")
+
+
 def part_sitemaps(spark, sf_dir):
     """Per shop an index file that names two files (and itself), each with half the parts."""
     key = F.col("p_partkey")

@@ -151,6 +151,24 @@ def listing_reasons(listings: DataFrame, links: DataFrame, items: DataFrame, str
     return rows.select("roaster", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def sitemap_reasons(seeds: DataFrame, errors: DataFrame, found: DataFrame, items: DataFrame,
+                    count: int | None = None) -> DataFrame:
+    """Why the sitemaps of a site gave no valid items: (roaster, reason).  Seeds, errors
+    and found (site, ...) are of ``crawl.expand_sitemaps``, items of the pages behind;
+    with ``count`` only the first messages are told."""
+    from shelf.operators.quality import joined_errors
+
+    told = joined_errors(errors, ["site"], "ord", "error", count)
+    linked = found.groupBy("site").agg(F.count("*").alias("n_links"))
+    valid = items.groupBy(F.col("roaster").alias("site")).agg(F.count_if(F.col("status") == "ok").alias("n_ok"))
+    rows = seeds.select("site").distinct().join(linked, "site", "left").join(valid, "site", "left").join(told, "site", "left")
+    detail = F.coalesce(F.concat(F.lit(": "), "errors"), F.lit(""))
+    reason = (
+        F.when(F.col("n_links").isNull(), F.lit("sitemap_no_product_urls"))
+        .when(F.coalesce("n_ok", F.lit(0)) == 0, F.concat(F.lit("sitemap_no_valid_products"), detail)))
+    return rows.select(F.col("site").alias("roaster"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def sitemap_links(products: DataFrame, max_urls: int | None = None) -> DataFrame:
     """The product addresses of every site, or the first ``max_urls`` found."""
     from shelf.operators.select import top_per_group
