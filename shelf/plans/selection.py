@@ -9,6 +9,7 @@ from shelf.plans import collect as run
 from shelf.plans.extraction import text_of
 from shelf.plans.feeds import captured_feeds
 from shelf.plans.registry import query, table
+from shelf.session import written
 from shelf.sources import catalogue, feeds
 
 _ORDER = {"purchase": "collection", "view": "html_listing", "click": "all_products", "signup": "woo"}
@@ -252,6 +253,26 @@ def doc_validation(spark, sf_dir):
     return checked.select("event_id", "reject_reason").join(good_docs, "event_id", "left")
 
 
+@query("favourites_maps", """
+WITH k AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 'item' AS kind, 'a' AS key, '{"k":' || k || '}' AS value FROM k WHERE event_id % 3 <> 1
+UNION ALL SELECT event_id, 'item', 'b', '{}' FROM k WHERE event_id % 3 <> 1
+UNION ALL SELECT event_id, 'tombstone', 'c', CAST(CAST(k AS DOUBLE) + 0.5 AS VARCHAR) FROM k WHERE event_id % 3 <> 2
+UNION ALL SELECT event_id, 'updated', '', CASE WHEN event_id % 3 = 0 THEN k ELSE '0' END FROM k""")
+def favourites_maps(spark, sf_dir):
+    k, way = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+    items = F.when(way != 1, text_of('"items": {"a": ', F.col("props"), ', "b": {}}'))
+    graves = F.when(way != 2, text_of('"tombstones": {"c": ', k, ".5}"))
+    stamp = F.when(way == 0, text_of('"updated_at": ', k))
+    docs = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("{"), F.concat_ws(", ", items, graves, stamp), F.lit("}")).alias("body"))
+    read = written(catalogue.favourites(docs, "event_id"), "favourites")
+    kept = read.select("event_id", F.lit("item").alias("kind"), F.explode("items").alias("key", "value"))
+    gone = read.select("event_id", F.lit("tombstone"), F.explode("tombstones"))
+    when = read.select("event_id", F.lit("updated"), F.lit(""), F.col("updated_at").cast("string"))
+    return kept.union(gone.withColumn("value", F.col("value").cast("string"))).union(when)
+
+
 _HOUR = 3600
 
 

@@ -39,17 +39,33 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelf-")
 
 
+# folders that this process has named, for ``cleanup``
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is created there yet."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _FOLDERS.append(path)
+    return path
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this process has written.  A run calls this
+    when its results are written, for nothing made from them can be read any more."""
+    while _FOLDERS:
+        delete(spark, _FOLDERS.pop())
 
 
 def dropped(df: DataFrame) -> None:
     """Remove the folder of a table made by ``written``, once nothing reads it."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

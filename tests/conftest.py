@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from shelf.session import local_session  # noqa: E402
+from shelf.session import cleanup, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     session = local_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    cleanup(session)
     session.stop()
 
 
