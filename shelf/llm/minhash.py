@@ -9,7 +9,7 @@ tiles by the estimate from the registers, corrected for chance collisions, each
 handing on a spanning forest of its likely pairs, and in the last round all of them.
 Every link is confirmed on the full sets before it counts.
 
-Two classes at the limit of 0.85 share no band with a probability of 6e-9; that and
+Two classes at the limit of 0.85 share no band with a probability of 5e-9; that and
 the estimate's margin of five standard deviations are all that can lose a link.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with
@@ -27,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelf.llm.common import Workspace, map_texts, per_worker
+from shelf.llm.common import Workspace, map_texts, partitions, per_worker
 from shelf.llm.components import components
 
 WORDS = 5
-REGISTERS, ROWS, MANTISSA = 240, 6, 10
+REGISTERS, ROWS, MANTISSA = 480, 8, 10
 EMPTY = 0xFFFF
 #: Members of a bucket that are compared in one tile.
 TILE = 512
@@ -123,8 +123,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (same / count - chance) / (1 - chance), count
 
 
-def _likely(value: np.ndarray, count: np.ndarray, limit: float) -> np.ndarray:
-    return value >= limit - 5 * np.sqrt(limit * (1 - limit) / count)
+def _likely(value: np.ndarray, count: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: float) -> np.ndarray:
+    """Whether an estimate is less than five standard deviations below the limit.  The
+    registers are a sample without repeats of the union, so small sets are nearly exact."""
+    union = np.maximum((n_a + n_b) / (1 + limit), count)
+    deviation = np.sqrt(limit * (1 - limit) / count * (1 - count / union))
+    return value >= limit - 5 * deviation - 2 / np.maximum(union, 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -138,18 +142,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame, work: Workspace) -> DataFrame:
-    """(bucket, size, hub, rep): the members of the buckets that hold several classes;
-    of buckets with the same members one."""
+    """(bucket, band, size, hub, rep): the members of the buckets that hold several
+    classes; of buckets with the same members the one of the first band."""
     width = 2 * ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.struct(
         i.alias("i"), F.substr("registers", i * width + 1, F.lit(width)).alias("own"))))
     rows = classes.select("rep", band.alias("b")).where(F.col("b.own") != F.lit(b"\xff" * width))
-    keyed = work.write(rows.select("rep", F.xxhash64("b.i", "b.own").alias("bucket")), "bands")
+    keyed = work.write(rows.select("rep", F.col("b.i").alias("band"), F.xxhash64("b.i", "b.own").alias("bucket")), "bands")
     full = keyed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"),
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"),
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
-    once = work.write(full.groupBy("size", "hub", "x", "y").agg(F.min("bucket").alias("bucket")).drop("x", "y"), "buckets")
-    return work.write(keyed.join(once, "bucket").select("bucket", "size", "hub", "rep"), "members")
+    first = F.min(F.struct("band", "bucket"))
+    once = work.write(full.groupBy("size", "hub", "x", "y").agg(first.alias("b")).select("b.bucket", "b.band", "size", "hub"), "buckets")
+    return work.write(keyed.drop("band").join(once, "bucket").select("bucket", "band", "size", "hub", "rep"), "members")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -163,34 +168,45 @@ def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), REGISTERS) for c in ("ru", "rv"))
             value, count = estimate(a, b, batch["nu"].to_numpy(), batch["nv"].to_numpy())
-            yield batch.loc[_likely(value, count, limit), ["u", "v"]]
+            near = _likely(value, count, batch["nu"].to_numpy(), batch["nv"].to_numpy(), limit)
+            yield batch.loc[near, ["u", "v"]]
 
     return sized.select("u", "v", "nu", "nv", "ru", "rv").mapInPandas(likely, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, limit: float, work: Workspace, name: str) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = work.write(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    ids = work.write(ids, f"{name}-ids")
+def _confirmed(pairs: DataFrame, hubs: DataFrame, docs: DataFrame, limit: float, work: Workspace, name: str) -> DataFrame:
+    """The pairs whose full sets are similar enough.
+
+    Pairs are dealt to tasks by the hubs (rep, hub) of both, in 64 parts for each two
+    hubs, so a set goes once to a task and not once to each of its pairs."""
+    u, v = (hubs.select(F.col("rep").alias(c), F.col("hub").alias(f"h{c}")) for c in "uv")
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(8))
+    tasks = 16 * partitions(docs.sparkSession)
+    task = F.pmod(F.xxhash64("hu", "hv", part("u"), part("v")), F.lit(tasks)).alias("task")
+    pairs = work.write(pairs.join(u, "u").join(v, "v").select("u", "v", task), f"{name}-pairs")
+    needed = work.write(pairs.select("task", F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-needed")
+    ids = work.write(needed.select("doc_id").distinct(), f"{name}-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     own = work.write(map_texts(texts, ("doc_id",), "own binary", lambda: lambda t: [[shingle_set(x).tobytes() for x in t]]), f"{name}-sets")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["su"], batch["sv"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= limit * (len(a) + len(b) - both) - 1e-9)
-            yield batch.loc[good, ["u", "v"]]
+    def check(key, some: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        # rows that repeat a doc_id may have several sets
+        held: dict[int, list[np.ndarray]] = {}
+        for doc_id, raw in zip(sets["doc_id"], sets["own"], strict=True):
+            held.setdefault(doc_id, []).append(np.frombuffer(raw, np.uint64))
+
+        def alike(a, b):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= limit * (len(a) + len(b) - both) - 1e-9
+
+        good = [any(alike(a, b) for a in held[x] for b in held[y]) for x, y in zip(some["u"], some["v"], strict=True)]
+        return some.loc[good, ["u", "v"]]
 
-    met = pairs.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("su")), "u").join(
-        own.select(F.col("doc_id").alias("v"), F.col("own").alias("sv")), "v")
-    return work.write(met.select("u", "v", "su", "sv").mapInPandas(check, "u long, v long").distinct(), f"{name}-links")
+    dealt = needed.join(own, "doc_id").select("task", "doc_id", "own")
+    links = pairs.groupBy("task").cogroup(dealt.groupBy("task")).applyInPandas(check, "u long, v long")
+    return work.write(links.distinct(), f"{name}-links")
 
 
 def _forest(near: np.ndarray, value: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
@@ -212,8 +228,40 @@ def _forest(near: np.ndarray, value: np.ndarray, component: np.ndarray) -> list[
     return out
 
 
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which rows of registers agree and are not empty."""
+    same = ((a == b).reshape(len(a), -1, ROWS)).all(axis=2)
+    return (same & (a.reshape(len(a), -1, ROWS) != EMPTY).any(axis=2)).argmax(axis=1)
+
+
+def _tile_pairs(part: pd.DataFrame, limit: float, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Likely pairs of different components in one tile, and whether some are held
+    back: where there are many, those of a spanning forest have to do at first."""
+    a = np.frombuffer(b"".join(part["registers"]), "<u2").reshape(len(part), REGISTERS)
+    n, own, rep = part["n_shingles"].to_numpy(), part["component"].to_numpy(), part["rep"].to_numpy()
+    empty = (a == EMPTY).astype(np.float32)
+    no_one = empty @ empty.T
+    same = np.array([(a == row).sum(axis=1) for row in a]) - no_one
+    count = np.maximum(REGISTERS - no_one, 1)
+    zeros = _collision(n)
+    chance = zeros @ zeros.T / (1 << MANTISSA)
+    value = (same / count - chance) / (1 - chance)
+    near = _likely(value, count, n[:, None], n, limit) & (own[:, None] != own) & (rep[:, None] < rep)
+    near &= np.minimum(n[:, None], n) >= np.maximum(n[:, None], n) * limit
+    # a pair belongs to the first band that it shares, so no other bucket gives it again
+    i, j = np.nonzero(near)
+    for k in range(0, len(i), 20_000):
+        own_i, own_j = i[k:k + 20_000], j[k:k + 20_000]
+        near[own_i, own_j] = _first_band(a[own_i], a[own_j]) == part["band"].iat[0]
+    i, j = np.nonzero(near)
+    hold = not every and len(i) > 4 * len(part)
+    pairs = _forest(near, value, own) if hold else list(zip(i.tolist(), j.tolist(), strict=True))
+    return [(int(rep[x]), int(rep[y])) for x, y in pairs], hold
+
+
 def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, limit: float, every: bool) -> DataFrame:
-    """Likely pairs of different components within the buckets that hold several."""
+    """(u, v, bucket): likely pairs of different components within the buckets that hold
+    several; a row with a bucket instead says that a tile of it holds others back."""
     held = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
@@ -221,21 +269,23 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, limit:
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     rows = held.join(several, "bucket").withColumn("blocks", blocks).withColumn("block", block).withColumn("tile", tiles)
+    # many tiles share a task, few rows each; a tile's rows stay together
     rows = rows.join(classes.select("rep", "n_shingles", "registers"), "rep").select(
-        "bucket", "tile.i", "tile.j", "block", "rep", "component", "n_shingles", "registers")
+        F.pmod(F.xxhash64("bucket", "tile"), F.lit(16 * partitions(members.sparkSession))).alias("task"),
+        "bucket", "band", "tile.i", "tile.j", "rep", "component", "n_shingles", "registers")
 
     def compare(key, part: pd.DataFrame) -> pd.DataFrame:
-        a = np.frombuffer(b"".join(part["registers"]), "<u2").reshape(len(part), REGISTERS)
-        n, own, rep = part["n_shingles"].to_numpy(), part["component"].to_numpy(), part["rep"].to_numpy()
-        value, near = np.zeros((len(part), len(part)), np.float32), np.zeros((len(part), len(part)), bool)
-        for k in range(len(part)):
-            v, count = estimate(a[k], a, n[k:k + 1], n)
-            value[k] = v
-            near[k] = _likely(v, count, limit) & (own != own[k]) & (rep > rep[k]) & (np.minimum(n, n[k]) >= np.maximum(n, n[k]) * limit)
-        pairs = list(zip(*np.nonzero(near), strict=True)) if every else _forest(near, value, own)
-        return pd.DataFrame({"u": [rep[i] for i, _ in pairs], "v": [rep[j] for _, j in pairs]}, dtype=np.int64)
+        found: set[tuple[int, int]] = set()
+        held_back: set[int] = set()
+        for (bucket, _, _), tile in part.groupby(["bucket", "i", "j"], sort=False):
+            pairs, hold = _tile_pairs(tile, limit, every)
+            found.update(pairs)
+            if hold:
+                held_back.add(bucket)
+        out = [(u, v, None) for u, v in found] + [(None, None, b) for b in held_back]
+        return pd.DataFrame(out, columns=["u", "v", "bucket"], dtype=object).astype("Int64")
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+    return rows.groupBy("task").applyInPandas(compare, "u long, v long, bucket long").distinct()
 
 
 def near_components(docs: DataFrame, limit: float = 0.85) -> DataFrame:
@@ -247,21 +297,24 @@ def near_components(docs: DataFrame, limit: float = 0.85) -> DataFrame:
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "classes")
     members = buckets(classes, work)
     stars = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _confirmed(_estimated(stars, classes, limit), docs, limit, work, "stars")
+    hubs = work.write(members.groupBy("rep").agg(F.min("hub").alias("hub")), "hubs")
+    links = _confirmed(_estimated(stars, classes, limit), hubs, docs, limit, work, "stars")
     labels, tested = components(links, work, "components"), stars
     number, every = 0, False
     while True:
-        pairs = _left_over(members, labels, classes, limit, every)
-        pairs = work.write(pairs.join(tested, ["u", "v"], "left_anti"), f"round{number}")
+        likely = work.write(_left_over(members, labels, classes, limit, every), f"likely{number}")
+        pairs = work.write(likely.where("u IS NOT NULL").select("u", "v").join(tested, ["u", "v"], "left_anti"), f"round{number}")
         found = not pairs.isEmpty()
         if found:
-            more = _confirmed(pairs, docs, limit, work, f"round{number}")
+            more = _confirmed(pairs, hubs, docs, limit, work, f"round{number}")
             tested = tested.unionByName(pairs)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = components(links, work, f"components{number}")
-        if every:  # all likely pairs are tested now
+        held = likely.where("bucket IS NOT NULL").select("bucket").distinct()
+        if held.isEmpty():  # all likely pairs are tested now
             break
+        members = members.join(held, "bucket", "left_semi")  # the other buckets are done with
         number += 1
         every = not found or number >= FOREST_ROUNDS
     named = work.write(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
