@@ -10,7 +10,7 @@ streams the matching statistics of all places from the samples: where a run begi
 length shared with the suffix before is compared, and it falls by one with each place up
 to the next sample.  Places with a length of ``LENGTH`` or more, and their partners,
 are repeated.  A gram with very many contexts is cut into blocks, and what a block does
-not find repeated is compared between the blocks by its 128-bit hash.
+not find repeated is compared between the blocks by two 64-bit hashes.
 
 Defined cases: null and empty texts have no bytes, and their checksum is that of nothing;
 texts shorter than ``LENGTH`` lose nothing; rows that repeat an id and a text are two
@@ -180,27 +180,64 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.drop("wanted_id", "wanted_key")
 
 
+def _window_hashes(body: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """Two hashes of the strings of a body that start at ``at``."""
+    raw = np.frombuffer(body, np.uint8)
+    out = []
+    for own in (raw, raw ^ np.uint8(0xA5)):  # other digits give another polynomial
+        sums, inverse = _sums(own)
+        out.append(mix((sums[at + length] - sums[at]) * inverse[at] + _U(len(out))))
+    return np.array(out, np.uint64)
+
+
 def _resolve(shards: DataFrame, length: int) -> DataFrame:
     """anchor, ctx, first, last: repeated windows of each context, from its first; and,
-    of grams in several blocks, the windows not found so with their hashes x, y."""
+    of grams in several blocks, each different window of a block, by range of its hash,
+    in ``packed``: two hashes, context and place."""
     def index(key, part: pd.DataFrame) -> pd.DataFrame:
         parts = [bytes(b) for b in part["body"]]
         runs = RunIndex(parts)
         marked = runs.repeated(length)
-        rows = []
+        rows, left = [], {}
         for anchor, ctx, blocks, body, start in zip(part["anchor"], part["ctx"], part["blocks"], parts, runs.starts, strict=True):
             own = marked[start:start + len(body) - length + 1]
             rows += [(anchor, ctx, a, b, None, None) for a, b in _ranges(own)]
-            if blocks > 1 and not own.all():
-                sums, inverse = _sums(np.frombuffer(body, np.uint8))
-                at = np.flatnonzero(~own)
-                x = mix((sums[at + length] - sums[at]) * inverse[at]).view(np.int64).tolist()
-                rows += [(anchor, ctx, i, i, h, int.from_bytes(hashlib.blake2b(body[i:i + length], digest_size=8).digest(), "little", signed=True))
-                         for i, h in zip(at.tolist(), x, strict=True)]
-        out = pd.DataFrame(rows, columns=["anchor", "ctx", "first", "last", "x", "y"])
-        return out.astype({"x": "Int64", "y": "Int64"})
+            if blocks > 1:
+                at = np.arange(len(own))
+                x, y = _window_hashes(body, at, length)
+                left.setdefault((anchor, blocks), []).append(np.array([x, y, np.full(len(at), ctx).view(np.uint64), at.astype(np.uint64)]))
+        for (anchor, blocks), own in left.items():
+            four = np.concatenate(own, axis=1)
+            # of a string that the block has several times, one is enough for the others
+            order = np.lexsort((four[1], four[0]))
+            fresh = np.concatenate([[True], (four[:2, order[1:]] != four[:2, order[:-1]]).any(axis=0)])
+            four = four[:, order[fresh]]
+            meets = four[0] % _U(4 * blocks)
+            rows += [(anchor, None, None, None, int(r), np.ascontiguousarray(four[:, meets == r]).tobytes()) for r in np.unique(meets)]
+        out = pd.DataFrame(rows, columns=["anchor", "ctx", "first", "last", "meets", "packed"], dtype=object)
+        return out.astype({c: "Int64" for c in ("anchor", "ctx", "first", "last", "meets")})
+
+    return shards.groupBy("shard").applyInPandas(index, "anchor long, ctx long, first int, last int, meets int, packed binary")
+
+
+def _meet(found: DataFrame) -> DataFrame:
+    """Windows that blocks have in common, one range of hashes at a time."""
+    def compare(key, part: pd.DataFrame) -> pd.DataFrame:
+        four = np.concatenate([np.frombuffer(p, np.uint64).reshape(4, -1) for p in part["packed"]], axis=1)
+        order = np.lexsort((four[1], four[0]))
+        same = (four[:2, order[1:]] == four[:2, order[:-1]]).all(axis=0)
+        again = np.zeros(len(order), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        own = four[:, order[again]]
+        rows = []
+        for ctx in np.unique(own[2]):
+            at = np.sort(own[3][own[2] == ctx]).astype(np.int64)
+            cut = np.flatnonzero(np.diff(at, prepend=-9) != 1)
+            rows += [(key[0], int(ctx.view(np.int64)), int(at[i]), int(at[j - 1])) for i, j in zip(cut, [*cut[1:], len(at)], strict=True)]
+        return pd.DataFrame(rows, columns=["anchor", "ctx", "first", "last"])
 
-    return shards.groupBy("shard").applyInPandas(index, "anchor long, ctx long, first int, last int, x long, y long")
+    return found.where("packed IS NOT NULL").groupBy("anchor", "meets").applyInPandas(compare, "anchor long, ctx long, first int, last int")
 
 
 def repeated_windows(docs: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
@@ -244,11 +281,9 @@ def repeated_windows(docs: DataFrame, work: Workspace, length: int = LENGTH) ->
         "c.shard", "c.anchor", "c.ctx", "c.blocks", F.expr(f"substring(raw, c.lo + 1, c.hi - c.lo + {length})").alias("body"))
     cuts = cuts.dropDuplicates(["anchor", "ctx"])  # a document whose row is repeated gives its cuts twice
     found = work.write(_resolve(cuts, length), "found")
-    between = found.where("x IS NOT NULL")
-    again = between.groupBy("anchor", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    more = between.join(again, ["anchor", "x", "y"]).select("anchor", "ctx", "first", "last")
+    more = _meet(found)
     whole = held.where("copies > 1").select("anchor", "ctx", F.lit(0).alias("first"), (F.col("one.hi") - F.col("one.lo")).alias("last"))
-    matched = found.where("x IS NULL").select("anchor", "ctx", "first", "last").unionByName(more).unionByName(whole)
+    matched = found.where("packed IS NULL").select("anchor", "ctx", "first", "last").unionByName(more).unionByName(whole)
     matched = work.write(matched.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "matched")
     placed = rows.join(matched, ["anchor", "ctx"]).select("doc_id", "text_key", F.explode("ranges").alias("r"), "lo")
     return work.write(placed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(
