@@ -106,6 +106,11 @@ def _matches(item, doc, free_i, free_d, length) -> list[tuple[int, int, int]]:
     return sorted(found.values(), key=lambda x: (-x[0], x[1], x[2]))
 
 
+def _places(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the table that a seed sets."""
+    return seeds % _U(BITS), (seeds >> _U(30)) % _U(BITS)
+
+
 def _item_seeds(hashes: np.ndarray, least: int) -> np.ndarray:
     return runs(hashes, min(least, len(hashes)))
 
@@ -131,7 +136,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
         table = np.zeros(BITS, bool)
         for batch in batches:
             for own in batch["seeds"]:
-                table[np.asarray(own, np.int64).view(np.uint64) % _U(BITS)] = True
+                for at in _places(np.asarray(own, np.int64).view(np.uint64)):
+                    table[at] = True
         yield pd.DataFrame({"bits": [base64.b85encode(np.packbits(table).tobytes())]})
 
     table = np.zeros(BITS // 8, np.uint8)
@@ -147,7 +153,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
             for text in texts:
                 w = words(text)
                 h = np.concatenate([runs(w, n) for n in lengths]) if lengths else w[:0]
-                h = np.unique(h[known[h % _U(BITS)]])
+                one, two = _places(h)
+                h = np.unique(h[known[one] & known[two]])
                 held.append(w.tobytes() if len(h) else None)
                 hits.append(h.view(np.int64) if len(h) else None)
             return [held, hits]
@@ -158,7 +165,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     found = work.write(looked.where("words IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "candidates")
     item_seeds = items.select("item_id", F.explode("seeds").alias("seed"))
     pairs = found.select("row", F.explode("seeds").alias("seed")).join(item_seeds, "seed").select("row", "item_id").distinct()
-    met = pairs.join(found.select("row", "doc_id", "words"), "row").join(items.select("item_id", "item"), "item_id")
+    # items first, while rows are small: then documents are dealt by row, never by item
+    met = pairs.join(items.select("item_id", "item"), "item_id").join(found.select("row", "doc_id", "words"), "row")
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
