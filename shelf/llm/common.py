@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelf.session import shared_folder
+from shelf.session import delete, new_folder
 
 #: White space of the contracts: blank and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,7 +48,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+        self.folder = new_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -62,9 +60,7 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Remove one table, or all of them, once nothing reads them."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path(name) if name else self.folder)
 
 
 def partitions(spark: SparkSession) -> int:
