@@ -46,7 +46,7 @@ FREQUENT = 200_000
 #: Bits of a worker's table of grams already scored: 32 MB.
 REMEMBERED = 21
 #: Bytes worked on at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Stand-ins that never occur in UTF-8: before a text, and after it.
 START, STOP = 0xFE, 0xFF
 #: Kind of a counted row: byte contexts, words, and documents.
