@@ -43,8 +43,8 @@ DEPTH, TOP = 6, 2
 SHARDS, SLOTS = 256, 1 << 23
 #: Words looked up by broadcast, 16 bytes each.
 FREQUENT = 200_000
-#: Bits of a worker's table of grams already scored: 32 MB.
-REMEMBERED = 21
+#: Bits of a worker's table of grams already scored: 16 MB.
+REMEMBERED = 20
 #: Bytes worked on at once.
 CHUNK = 2 << 20
 #: Stand-ins that never occur in UTF-8: before a text, and after it.
@@ -112,9 +112,9 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 held[WORDS].append(np.unique(np.concatenate([word_hashes(t) for t in own]), return_counts=True))
                 # what a task holds at once is bounded; the rest is added up later
                 for kind in held:
-                    if len(held[kind]) >= 8:
+                    if len(held[kind]) >= 4:
                         held[kind] = [_merged(held[kind])]
-                        if len(held[kind][0][0]) > 3_000_000:
+                        if len(held[kind][0][0]) > 1_500_000:
                             yield from rows(kind)
         for kind in held:
             yield from rows(kind)
@@ -353,6 +353,20 @@ def _top(sums: pd.DataFrame):
     return levels, short.ravel(), handed
 
 
+def _frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The words from the least power of two on that at most ``most`` words reach.  A
+    sorted limit would send that many words of every task to the driver."""
+    size = F.floor(F.log2("n")).cast("int")
+    sizes = sorted(words.groupBy(size.alias("size")).count().collect(), reverse=True)
+    least, total = 63, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["size"]
+    return words.where(size >= least)
+
+
 def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame:
     """One row per document: doc_id, the column ``held_out``, n_tokens, n_known,
     train_tokens, base_score, score.  Rows with ``held_out`` are not learned from."""
@@ -363,7 +377,7 @@ def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame
     in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counted.where(F.col("kind") == ENDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, kinds = in_words + ends, distinct + (ends > 0)
-    often = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    often = _frequent(words).toPandas().sort_values("key")
     model = train(counted, work, slots)
     shared = spark.sparkContext.broadcast((
         model.short, model.value, model.check, often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
