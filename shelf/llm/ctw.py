@@ -8,11 +8,12 @@ are counted.  Trees under the last three bytes are weighted in shards, the top o
 is put together from their sums, and a second pass gives each node its mixture over
 all depths from the root.
 
-Scoring needs the whole model in each task, so it has a fixed size whatever the corpus:
-all nodes of two context bytes and less exactly, and a hash table of ``SLOTS`` deeper
-nodes.  Where nodes want one slot the one seen more often has it, and the other is
-predicted from its next shorter context; this is a property of the model's size, not of
-what is counted.  Probabilities of the bytes in a context sum to one in any case.
+Scoring looks every context up in the whole model, which stays dealt over its shards.
+Documents are taken in blocks; the different grams of a block (at most about ``SLOTS``
+for the memory of a task) are sent to their shards, the shard finds each in its complete
+levels, and the answers meet the texts of their block again.  Nothing is left out or
+predicted from a shorter context than the deepest one that was counted.  Probabilities
+of the bytes in a context sum to one.
 
 Word counts for the unigram base go the same way: the counts of all training documents
 are one table; the most frequent words are looked up from a broadcast table of fixed size
@@ -32,15 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelf.llm.common import Workspace, map_texts, text_of
+from shelf.llm.common import Workspace, partitions, text_of
 from shelf.llm.minhash import mix, word_hashes
 
 DEPTH, TOP = 6, 2
-#: Shards of the deeper nodes, and slots of the hash table: 4 bytes each, 32 MB.
-SHARDS, SLOTS = 256, 1 << 23
+#: Shards of the deeper nodes, and different grams after which a block of documents
+#: is closed: 8 bytes each, 32 MB.
+SHARDS, SLOTS = 256, 1 << 22
 #: Words looked up by broadcast, 16 bytes each.
 FREQUENT = 200_000
 #: Bits of a worker's table of grams already scored: 16 MB.
@@ -51,6 +56,10 @@ CHUNK = 2 << 20
 START, STOP = 0xFE, 0xFF
 #: Kind of a counted row: byte contexts, words, and documents.
 GRAMS, WORDS, ENDS = 0, 1, 2
+#: Rows between blocks and shards.  A shard's own row comes before those of blocks, the
+#: texts of a block after its answers.
+SENT = "block long, shard int, data binary, more binary"
+MODEL, TEXTS = -1, 1 << 30
 
 _U = np.uint64
 
@@ -220,49 +229,85 @@ def _shard_of(grams: np.ndarray) -> np.ndarray:
     return (mix((grams >> _U(8)) & _U(0xFFFFFF)) & _U(SHARDS - 1)).astype(np.int64)
 
 
-def _slots(shard: np.ndarray, keys: np.ndarray, depth: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys * _U(2) + _U(1) + (_U(depth) << _U(60)))
-    return shard * (slots // SHARDS) + (h % _U(slots // SHARDS)).astype(np.int64), (h >> _U(48)).astype(np.uint16) | np.uint16(1)
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The different values, sorted.  (np.unique hashes, which is slower here.)"""
+    x = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-class Model:
-    """What scoring needs: ``short``, the probability of a one for all nodes of two
-    context bytes; ``value`` and ``check``, the hash table of deeper nodes."""
+def _packed(grams: np.ndarray) -> bytes:
+    """Sorted grams, their bytes by place, compressed."""
+    planes = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8).T)
+    return len(grams).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "shard", "data", "more"])
+
+
+def _questions(block: int, grams: np.ndarray) -> list[tuple]:
+    """Rows (block, shard, packed grams, nothing) of sorted grams."""
+    shard = _shard_of(grams)
+    order = np.argsort(shard, kind="stable")
+    own, first = np.unique(shard[order], return_index=True)
+    return [(block, int(s), _packed(g), None) for s, g in zip(own, np.split(grams[order], first[1:]), strict=True)]
 
-    def __init__(self, short: np.ndarray, value: np.ndarray, check: np.ndarray):
-        self.short, self.value, self.check = short, value, check
+
+def _by_depth(steps: list[tuple]) -> dict[int, list]:
+    """By depth and bit (keys, probability of a one) of what :func:`mixtures` gives."""
+    out: dict[int, list] = {}
+    for depth, keys, p, _ in steps:
+        out.setdefault(depth, []).append((keys, p))
+    return out
+
+
+def gram_scores(grams: np.ndarray, levels: dict[int, list]) -> np.ndarray:
+    """Log probability of each byte in its context, from the deepest nodes there are."""
+    symbol, context = grams & _U(255), grams >> _U(8) << _U(8)
+    total = np.zeros(len(grams))
+    for k in range(8):
+        node = context | (symbol >> _U(8 - k)) | _U(1 << k)
+        p, rest = np.full(len(grams), 0.5), np.arange(len(grams))
+        for depth in sorted(levels, reverse=True):
+            keys, value = levels[depth][k]
+            if not len(keys) or not len(rest):
+                continue
+            own = node[rest] & _mask(depth)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = keys[at] == own
+            p[rest[hit]] = value[at[hit]]
+            rest = rest[~hit]
+        total += np.log10(np.where((symbol >> _U(7 - k)) & _U(1) == 1, p, 1 - p))
+    return total
+
+
+class Book:
+    """The answers that one block has: sorted grams with their scores."""
+
+    def __init__(self, answers: list[tuple[bytes, bytes]]):
+        keys = np.concatenate([_unpacked(g) for g, _ in answers])
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.concatenate([np.frombuffer(v) for _, v in answers])[order]
         # no gram has all bits set
         self.seen_key = np.full(1 << REMEMBERED, np.iinfo(np.uint64).max, np.uint64)
         self.seen_value = np.zeros(1 << REMEMBERED)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each byte in its context."""
-        symbol, shard = grams & _U(255), _shard_of(grams)
-        context = (grams >> _U(8) << _U(8))
-        total = np.zeros(len(grams))
-        for k in range(8):
-            node = context | (symbol >> _U(8 - k)) | _U(1 << k)
-            p = np.empty(len(grams))
-            # the deepest node there is decides; most are found at once
-            rest = np.arange(len(grams))
-            for depth in range(DEPTH, TOP, -1):
-                at, check = _slots(shard[rest], node[rest] & _mask(depth), depth, len(self.value))
-                hit = self.check[at] == check
-                p[rest[hit]] = (self.value[at[hit]] + 0.5) / 65536
-                rest = rest[~hit]
-            p[rest] = self.short[(node[rest] & _mask(TOP)).astype(np.int64)]
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            total += np.log10(np.where((symbol >> _U(7 - k)) & _U(1) == 1, p, 1 - p))
-        return total
-
-    def _remembered(self, grams: np.ndarray) -> np.ndarray:
-        """As :meth:`log10`, with the grams last seen kept in a table of fixed size."""
+        """The score of each gram; those last seen are kept in a table of fixed size."""
         slot = ((grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - REMEMBERED)).astype(np.int64)
         out = self.seen_value[slot]
         new = np.flatnonzero(self.seen_key[slot] != grams)
         if len(new):
             own, first, at = np.unique(grams[new], return_index=True, return_inverse=True)
-            value = self.log10(own)
+            value = self.values[np.searchsorted(self.keys, own)]
             out[new] = value[at]
             slot = slot[new[first]]
             self.seen_key[slot], self.seen_value[slot] = own, value
@@ -273,13 +318,62 @@ class Model:
         for own in _chunks(texts):
             each = [codes(t) for t in own]
             starts = np.concatenate([[0], np.cumsum([len(c) for c in each])[:-1]])
-            out += np.add.reduceat(self._remembered(np.concatenate(each)), starts).tolist()
+            out += np.add.reduceat(self.log10(np.concatenate(each)), starts).tolist()
         return out
 
 
+class Model:
+    """The counted grams by shard, and what is above them: ``top``, the nodes of two
+    context bytes and less, and ``handed``, what they hand down."""
+
+    def __init__(self, sharded: DataFrame, top: dict[int, list], handed: list[tuple], slots: int):
+        self.sharded, self.slots = sharded, slots
+        self.shared = sharded.sparkSession.sparkContext.broadcast((top, handed))
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """The rows ``asked`` (SENT) with the scores of their grams in ``more``."""
+        shared, most = self.shared, self.slots
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top, handed = shared.value
+            at, levels, held, size = None, top, [], 0
+
+            def told():
+                grams = [_unpacked(data) for _, data in held]
+                every = _distinct(grams)
+                score = gram_scores(every, levels)
+                # one by one, so that a batch does not hold them all
+                for (block, data), own in zip(held, grams, strict=True):
+                    yield _sent([(block, at, data, score[np.searchsorted(every, own)].tobytes())])
+
+            for batch in batches:
+                for block, shard, data, more in zip(*batch.columns, strict=True):
+                    block, shard, data = block.as_py(), shard.as_py(), data.as_py()
+                    if shard != at or size >= most:
+                        yield from told()
+                        held, size = [], 0
+                    if shard != at:
+                        at, levels = shard, top
+                    if block == MODEL:
+                        own, _ = weigh(np.frombuffer(data, np.uint64), np.frombuffer(more.as_py(), np.int64), TOP + 1)
+                        levels = top | _by_depth(_drained(own, handed)[0])
+                    else:
+                        held.append((block, data))
+                        size += int.from_bytes(data[:8], "little")
+            yield from told()
+
+        own = self.sharded.select(F.lit(MODEL).cast("long").alias("block"), "shard", F.col("grams").alias("data"), F.col("counts").alias("more"))
+        met = own.unionByName(asked).repartition(partitions(asked.sparkSession), "shard")
+        return met.sortWithinPartitions("shard", "block").mapInArrow(answer, SENT)
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """Log probability of each byte in its context, for a few grams of the driver."""
+        asked = self.sharded.sparkSession.createDataFrame(_questions(0, _distinct([grams])), SENT)
+        return Book([(r.data, r.more) for r in self.answers(asked).collect()]).log10(grams)
+
+
 def train(counted: DataFrame, work: Workspace, slots: int = SLOTS) -> Model:
-    """The model of a table of counts (kind, key, n)."""
-    spark = counted.sparkSession
+    """The model of a table of counts (kind, key, n).  ``slots``: see :func:`score_texts`."""
     grams = counted.where(F.col("kind") == GRAMS).select("key", "n")
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,37 +396,12 @@ def train(counted: DataFrame, work: Workspace, slots: int = SLOTS) -> Model:
     sharded = work.write(sharded, "shards")
     zipped = sharded.select(F.explode(F.arrays_zip("bit", "up", "n0", "n1", "s")).alias("x")).select("x.*")
     top = zipped.groupBy("bit", "up").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "s")]).orderBy("bit", "up").toPandas()
-    levels, short, handed = _top(top)
-    shared = spark.sparkContext.broadcast(handed)
-
-    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for shard, own, n in batch.itertuples(index=False):
-                levels, _ = weigh(np.frombuffer(own, np.uint64), np.frombuffer(n, np.int64), TOP + 1)
-                steps, _ = _drained(levels, shared.value)
-                depth = np.concatenate([np.full(len(k), d) for d, k, _, _ in steps])
-                keys, p, seen = (np.concatenate([s[i] for s in steps]) for i in (1, 2, 3))
-                at, check = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint16)
-                for d in np.unique(depth):
-                    own_d = depth == d
-                    at[own_d], check[own_d] = _slots(np.zeros(int(own_d.sum()), np.int64), keys[own_d], int(d), slots)
-                order = np.argsort(seen, kind="stable")  # of one slot the last, most seen, stays
-                value, held = np.zeros(slots // SHARDS, np.uint16), np.zeros(slots // SHARDS, np.uint16)
-                value[at[order]] = np.clip(p[order] * 65536, 0, 65535).astype(np.uint16)
-                held[at[order]] = check[order]
-                yield pd.DataFrame({"shard": [shard], "value": [value.tobytes()], "held": [held.tobytes()]})
-
-    value, check = np.zeros(slots, np.uint16), np.zeros(slots, np.uint16)
-    blocks = sharded.select("shard", "grams", "counts").mapInPandas(second_pass, "shard int, value binary, held binary")
-    for row in work.write(blocks, "blocks").toLocalIterator():
-        own = slice(row.shard * (slots // SHARDS), (row.shard + 1) * (slots // SHARDS))
-        value[own], check[own] = np.frombuffer(row.value, np.uint16), np.frombuffer(row.held, np.uint16)
-    return Model(short, value, check)
+    return Model(sharded, *_top(top), slots)
 
 
 def _top(sums: pd.DataFrame):
-    """The nodes of TOP context bytes and less, from the sums of the shards: levels,
-    the dense table of probabilities, and what the level of TOP hands down."""
+    """The nodes of TOP context bytes and less, from the sums of the shards, by depth
+    and bit, and what the level of TOP hands down."""
     levels: dict[int, list] = {d: [] for d in range(TOP + 1)}
     for k in range(8):
         own = sums[sums["bit"] == k]
@@ -346,11 +415,36 @@ def _top(sums: pd.DataFrame):
                 n0, n1, s = (np.bincount(at, weights=w, minlength=len(keys)) for w in (n0, n1, value))
     none = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * 8
     steps, handed = _drained(levels, none)
-    short = np.full((256,) * (TOP + 1), 0.5, np.float16)
-    for depth, keys, p, _ in steps:
-        at = [((keys >> _U(8 * i)) & _U(255)).astype(np.int64) for i in range(depth, -1, -1)]
-        short[(slice(None),) * (TOP - depth) + tuple(at)] = p
-    return levels, short.ravel(), handed
+    return _by_depth(steps), handed
+
+
+def blocks(docs: DataFrame, keep: tuple[str, ...], slots: int) -> DataFrame:
+    """Rows SENT of blocks of documents: their texts with the columns ``keep``, and for
+    each shard the different grams of the block."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            at = 0
+            for own in _chunks(texts):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(at, len(own))
+                at += len(own)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                yield _sent([(block, TEXTS, sink.getvalue().to_pybytes(), None)])
+                held.append(_distinct([codes(t) for t in own]))
+                size += len(held[-1])
+                if size >= 2 * slots or len(held) >= 16:
+                    held = [_distinct(held)]
+                    size = len(held[0])
+                    if size >= slots:
+                        yield from (_sent([q]) for q in _questions(block, held[0]))
+                        block, held, size = block + 1, [], 0
+        if held:
+            yield from (_sent([q]) for q in _questions(block, _distinct(held)))
+
+    return docs.select(text_of().alias("own text"), *keep).mapInArrow(cut, SENT)
 
 
 def _frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
@@ -369,7 +463,8 @@ def _frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
 
 def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame:
     """One row per document: doc_id, the column ``held_out``, n_tokens, n_known,
-    train_tokens, base_score, score.  Rows with ``held_out`` are not learned from."""
+    train_tokens, base_score, score.  Rows with ``held_out`` are not learned from.
+    ``slots``: the different grams that a task holds at once, about; no result depends on it."""
     spark = docs.sparkSession
     work = Workspace(spark, "ctw")
     counted = work.write(count_corpus(docs.where(~F.col(held_out))), "counts")
@@ -379,15 +474,20 @@ def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame
     tokens, kinds = in_words + ends, distinct + (ends > 0)
     often = _frequent(words).toPandas().sort_values("key")
     model = train(counted, work, slots)
-    shared = spark.sparkContext.broadcast((
-        model.short, model.value, model.check, often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-
-    def scorer():
-        *tables, known, n = shared.value
-        model = Model(*tables)
+    sent = work.write(blocks(docs, ("doc_id", held_out), slots), "blocks")
+    texts = sent.where(F.col("shard") == TEXTS)
+    number = max(partitions(spark), texts.select("block").distinct().count())
+    met = model.answers(sent.where(F.col("shard") != TEXTS)).unionByName(texts).repartition(number, "block").sortWithinPartitions("block", "shard")
+    shared = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+    kept = docs.select("doc_id", held_out).schema.fields
+    out = T.StructType(kept + T.StructType.fromDDL("n_tokens long, part double, seen long, rest array<long>, score double").fields)
+    types = [f.type for f in to_arrow_schema(out)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = shared.value
         log_n = np.log10(n + 1.0)
 
-        def each(texts: list[str]) -> list[list]:
+        def each(texts: list[str], book: Book) -> list[list]:
             count, part, seen, rest = [], [], [], []
             for t in texts:
                 w = word_hashes(t).view(np.int64)
@@ -397,12 +497,22 @@ def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame
                 part.append(float(log_n[at[hit]].sum()) if hit.any() else 0.0)
                 seen.append(int(hit.sum()))
                 rest.append(w[~hit])
-            return [count, part, seen, rest, model.scores(texts)]
-
-        return each
+            return [count, part, seen, rest, book.scores(texts)]
 
-    looked = map_texts(docs, ("doc_id", held_out), "n_tokens long, part double, seen long, rest array<long>, score double", scorer, rows=1024)
-    looked = work.write(looked.withColumn("row", F.monotonically_increasing_id()), "scored")
+        held, book = [], None
+        for batch in batches:
+            for _, shard, data, more in zip(*batch.columns, strict=True):
+                if shard.as_py() != TEXTS:
+                    held.append((data.as_py(), more.as_py()))
+                    continue
+                if held:  # the first texts of a block
+                    book, held = Book(held), []
+                for part in pa.ipc.open_stream(data.as_py()):
+                    new = each(part.column(0).to_pylist(), book)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[1:], *[pa.array(c, type=t) for c, t in zip(new, types[len(kept):], strict=True)]], names=out.names)
+
+    looked = work.write(met.mapInArrow(score, out).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = looked.select("row", F.explode("rest").alias("key")).join(words, "key")
     rare = rest.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("rare"))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)

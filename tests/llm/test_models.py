@@ -143,3 +143,32 @@ def test_language_model_empty(spark):
 def test_folds(spark):
     docs = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 7 for r in docs.withColumn("f", fold(docs, 7)).collect())
+
+
+def test_language_model_scores_with_all_that_was_counted(spark, documents):
+    """Each score is that of the whole tree, however few grams a task may hold."""
+    docs = documents.limit(300).select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    rows = [(r.doc_id, r.text or "", r.held_out) for r in docs.collect()]
+    fixed = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    grams, n = np.unique(np.concatenate([ctw.codes(t) for _, t, held in rows if not held]), return_counts=True)
+    levels, _ = ctw.weigh(grams, n, 0)
+    none = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * 8
+    p = {}
+    for at, (depth, keys, own, _) in enumerate(ctw.mixtures(levels, none)):
+        p |= {(depth, at % 8, int(key)): x for key, x in zip(keys, own, strict=True)}
+
+    def naive(text):
+        total = 0.0
+        for gram in ctw.codes(text).tolist():
+            byte, context = gram & 255, gram >> 8 << 8
+            for k in range(8):
+                node = context | byte >> (8 - k) | 1 << k
+                found = [x for d in range(7) if (x := p.get((d, k, node & ((1 << 8 * (d + 1)) - 1)))) is not None]
+                one = found[-1] if found else 0.5
+                total += math.log10(one if byte >> (7 - k) & 1 else 1 - one)
+        return total
+
+    wanted = {i: naive(t) for i, t, _ in rows}
+    for slots in (1 << 12, 1 << 22):
+        got = {r.doc_id: r.score for r in ctw.score_texts(fixed, "held_out", slots=slots).collect()}
+        assert got.keys() == wanted.keys() and all(math.isclose(got[i], wanted[i], rel_tol=1e-9) for i in wanted)
