@@ -64,12 +64,17 @@ def page_price(html: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(F.coalesce(stated, *shown), F.lit("0")), prices.dollar_price(text))
 
 
+def was_fetched() -> Column:
+    """Whether a page was captured with a status that is no error."""
+    return F.coalesce((F.col("http_status") >= 100) & (F.col("http_status") < 400), F.lit(False))
+
+
 def page_products(pages: DataFrame) -> DataFrame:
     """Product pages to products with a status: ok, skip or error.
 
     Needs roaster, listing_url, product_url, http_status, content_type, html.
     """
-    fetched = F.coalesce((F.col("http_status") >= 100) & (F.col("http_status") < 400), F.lit(False))
+    fetched = was_fetched()
     feed = rules.is_feed(F.col("content_type"))
     rows = pages.withColumns({
         "_state": F.when(~fetched, "page").when(feed, "feed").otherwise("html"),
@@ -112,7 +117,7 @@ def listing_links(listings: DataFrame, strategy: str) -> DataFrame:
     read (HTML listings); feed paths go (shop listings)."""
     _, links = LINKS[strategy]
     rows = unnest(
-        listings.where("http_status = 200"), links(F.col("listing_url"), F.col("html")),
+        listings.where(was_fetched()), links(F.col("listing_url"), F.col("html")),
         "ord", "product_url",
         *[c for c in listings.columns if c not in ("html", "http_status", "content_type")])
     path = url_path(F.col("product_url"))
@@ -144,7 +149,7 @@ def listing_reasons(listings: DataFrame, links: DataFrame, items: DataFrame, str
     rows = listings.select("roaster", "http_status").join(linked, "roaster", "left").join(
         valid, "roaster", "left")
     reason = (
-        F.when(~F.col("http_status").eqNullSafe(200), F.lit(
+        F.when(~was_fetched(), F.lit(
             "listing_page_error" if strategy == "html_listing" else "shop_slug_listing_error"))
         .when(F.coalesce("n_links", F.lit(0)) == 0, F.lit(f"{name}_no_product_links"))
         .when(F.coalesce("n_ok", F.lit(0)) == 0, F.lit(f"{name}_no_valid_products")))

@@ -207,3 +207,14 @@ def test_collection_run_over_links_and_sitemaps(spark):
         ("M", "Two espresso", "Huila, Colombia", "Washed", "9.50", "ok", ""),
         ("W", "", "", "", "", "error", "unknown_scrape_error"),
     ]
+
+
+def test_listings_are_read_unless_their_status_is_an_error(spark):
+    html = '<a href="/products/one">1</a>'
+    rows = [(str(status), f"https://{status}.com/", status, html) for status in (200, 203, 206, 404, 500)] + [("none", "https://n.com/", None, html)]
+    listings = spark.createDataFrame(rows, "roaster string, listing_url string, http_status int, html string")
+    links = pages.listing_links(listings, "html_listing")
+    assert {r.roaster for r in links.collect()} == {"200", "203", "206"}
+    items = links.select("roaster", F.lit("ok").alias("status"))
+    reasons = pages.listing_reasons(listings, links, items, "html_listing").collect()
+    assert {tuple(r) for r in reasons} == {(x, "listing_page_error") for x in ("404", "500", "none")}
