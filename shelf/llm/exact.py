@@ -8,7 +8,8 @@ moves) and what is new is appended.  Running a batch twice appends nothing.
 Defined cases: a null text is the empty text, so null and empty texts are one
 group; a null doc_id sorts last and stays only if all its group have none; rows
 that repeat a doc_id and its text count in ``group_size`` and are one document, of
-which :func:`deduplicate` keeps one row; an empty table gives no rows; other
+which :func:`deduplicate` keeps one row; ``group_size`` and ``keep_id`` are those of the
+first batch that had the text, and later batches leave them as they are; an empty table gives no rows; other
 columns, whatever their names, are carried by :func:`deduplicate`.
 """
 
@@ -54,16 +55,22 @@ class DigestIndex:
         fresh.select("digest", "keep_id", "group_size").write.insertInto(self.name)
 
 
+def hot_rows(digests: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the index for texts that are frequent in this batch, whatever their
+    size in the index: at most 1/HOT_SHARE."""
+    most = max(1.0, digests.count() * HOT_SHARE)
+    often = digests.groupBy("digest").count().where(F.col("count") > most).select("digest")
+    return rows.join(F.broadcast(often), "digest", "left_semi")
+
+
 def look_up(digests: DataFrame, index: DigestIndex) -> DataFrame:
     """Each document with the row of its text in the index."""
     rows = index.rows()
-    most = digests.count() * HOT_SHARE
-    hot = rows.where(F.col("group_size") > max(1.0, most))
-    known = rows.where(F.col("group_size") <= max(1.0, most))
+    hot = hot_rows(digests, rows)
     common = digests.join(F.broadcast(hot.select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))), "digest", "left")
     found = common.where(F.col("hot_size").isNotNull()).select(
         "doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
-    rest = common.where(F.col("hot_size").isNull()).select("doc_id", "digest").join(known.hint("merge"), "digest")
+    rest = common.where(F.col("hot_size").isNull()).select("doc_id", "digest").join(rows.hint("merge"), "digest")
     return found.unionByName(rest.select("doc_id", "digest", "keep_id", "group_size")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 

@@ -41,6 +41,15 @@ def test_index_is_persistent(spark, docs_of):
     assert index.rows().count() == 3
 
 
+def test_hot_texts_are_those_of_the_batch(spark, docs_of):
+    index = exact.DigestIndex(spark, "digests_hot", Workspace(spark, "test").path("index"), 4)
+    exact.exact_groups(docs_of([(i, str(i // 2)) for i in range(60)]), index=index).collect()
+    digests = docs_of([(100, "1"), (101, "2"), (102, "2")]).select("doc_id", exact.digest(F.col("text")).alias("digest"))
+    assert exact.hot_rows(digests, index.rows()).count() == 1
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.look_up(digests, index).collect()}
+    assert got == {100: (2, 2, False), 101: (4, 2, False), 102: (4, 2, False)}
+
+
 TURNS = [
     (1, 0, "user", "hi ### x"), (1, 1, "assistant", r"\### Assistant: </turn> ok"), (1, 2, "assistant", "a\\"),
     (1, 3, "assistant", ""), (1, 4, "user", "\n</turn>\n### user: "), (2, None, None, None), (3, 1, "a: b\\", "x\\\\</turn>### ### "),
