@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ from shelf.llm.tokens import tokenizer_path
 
 #: Pieces that one packing task holds, about 50 bytes each.
 PIECES_A_TASK = 20_000
-#: Exchanges at most; each that gains nothing ends them.
-EXCHANGES = 4
+#: Room in a sequence's number for the round, and for its place in a part.
+ROUND_BITS, PLACE_BITS = 10, 24
+#: White space in a row from which on a text is left to the tokenizer file's own library.
+LONG_BLANK = 50_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACE = f"{_PIECE}, part long, bin long, offset long, room long, gap long"
@@ -47,22 +50,33 @@ def _encoder(path: str):
     """A function from a text to its ids as an array of unsigned 32-bit numbers.
 
     The file's vocabulary is run by the faster of two libraries when it says the same
-    in both: byte-level, merges in the order of their ids, no normaliser."""
+    in both: byte-level, merges in the order of their ids, no normaliser.  Texts with a
+    very long run of white space, which only the file's own library takes, go to that."""
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as file:
         made = json.load(file)
-    ranks = _merge_ranks(made)
-    if ranks is None:
-        from tokenizers import Tokenizer
+    ranks, tokenizer = _merge_ranks(made), Tokenizer.from_file(path)
+
+    def own(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-        tokenizer = Tokenizer.from_file(path)
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    if ranks is None:
+        return own
     import public_tokenizers
     import tiktoken
 
     added = {x["content"]: x["id"] for x in made["added_tokens"]}
     encoding = tiktoken.Encoding(
         "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    blank = re.compile(r"\s{%d}" % LONG_BLANK)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_BLANK and blank.search(text):
+            return own(text)
+        return encoding.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def _merge_ranks(made: dict) -> dict[bytes, int] | None:
@@ -188,14 +202,16 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id:
     pieces = cut.drop("ids")
     placed = work.write(_pack_each(_dealt(pieces, pieces.count(), 0), capacity), "round0")
     done, before = [], None
-    for number in range(EXCHANGES + 1):
+    for number in range(1 << ROUND_BITS):
         # bins without room stay; of parts with a gap all others take part
-        numbered = placed.withColumn("sequence_id", F.shiftleft(F.col("part") * (EXCHANGES + 1) + number, 32) + F.col("bin"))
+        numbered = placed.withColumn(
+            "sequence_id", F.shiftleft(F.shiftleft("part", ROUND_BITS) + number, PLACE_BITS) + F.col("bin"))
         open_pieces = placed.where("gap > 0 AND room > 0").select(*pieces.columns)
         state = placed.agg(
             F.sum(F.expr("int(gap > 0 AND room > 0)")), F.sum(F.expr("CASE WHEN gap > 0 THEN room * length END")),
             F.countDistinct(F.expr("CASE WHEN gap > 0 AND room > 0 THEN struct(part, bin) END"))).first()
-        if number == EXCHANGES or not state[0] or (before is not None and state[2] >= before):
+        # an exchange that leaves as many sequences open as before has gained nothing
+        if not state[0] or (before is not None and state[2] >= before) or number + 1 == 1 << ROUND_BITS:
             done.append(numbered)
             break
         done.append(numbered.where("NOT (gap > 0 AND room > 0)"))

@@ -99,3 +99,12 @@ def test_bound_and_best_fit(sizes):
 
     bins, _, room = packing.best_fit_decreasing(sizes, 20)
     assert packing.lower_bound(sizes, 20) <= least(sizes.tolist(), []) <= len(room)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "　", " \n"])
+def test_very_long_runs_of_white_space(docs_of, library, blank):
+    text = "a" + blank * 1_000_000 + "b"
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(tokens.tokenizer_path())(text).tolist() == ids
+    packed = packing.pack(docs_of([(1, text), (2, "c")])).toPandas()
+    assert packed[packed["doc_id"] == 1]["length"].sum() == len(ids) + 1
