@@ -7,10 +7,13 @@ and are grouped by the shorter key.  The grouping that finds a level's nodes als
 up members, children, leaves and saved text, so every level is grouped once, and copies
 of a conversation are one row from the first grouping on.
 
-A conversation's keys are kept in blocks of ``BLOCK`` levels, and a row on its way up
-carries the keys of one block only.  Where a block ends, a node's smallest member, of
-which there is one row, gives the keys of the next.  Levels are written as they are
-found.
+A conversation's keys are kept in blocks of levels, and a row on its way up carries the
+keys of one block only.  Where a block ends, a node's smallest member, of which there is
+one row, gives the keys of the next.  Conversations that end at one node are one row
+before anything else.  In the blocks below the first one, subtrees are many: as long as
+the largest has at most ``SUBTREE`` rows, which is counted, each is peeled by itself and
+a block is one job.  Otherwise, and in the first block, a level is one grouping, with
+its rows reduced before the shuffle.  What is found is written.
 
 Defined cases: a null role or text is empty; turns are in order of (turn, digest of role
 and text) with null first, so ties and repeated rows have one order; a conversation
@@ -21,7 +24,6 @@ read.  The digests of a conversation's turns, 60 bytes each, have to fit into a
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,8 +35,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelf.llm.common import Workspace
 
-#: Levels whose keys a row carries at once.
-BLOCK = 16
+#: Levels of the first block, and of those below, whose keys a row carries at once.
+BLOCKS = (16, 64)
+#: Rows of a block's subtree that one task may peel.
+SUBTREE = 20_000
 #: A parent with more than this share of all nodes as children is looked up by
 #: broadcast; there are at most 1/share of them.
 HOT_SHARE = 1e-3
@@ -42,8 +46,9 @@ HOT_SHARE = 1e-3
 CHUNK = 65_536
 
 _ROOT = hashlib.sha256(b"").digest()
-_PATH = "conv_id long, n_turns int, block int, keys array<binary>, lengths array<long>"
+_PATH = "conv_id long, n_turns int, block int, ends boolean, keys array<binary>, lengths array<long>"
 _COUNTS = ("n_convs", "n_children", "n_leaves", "saved_tokens", "n_ends")
+_NODE = "key binary, parent_key binary, conv_id long, depth long, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
 def sequences(turns: DataFrame) -> DataFrame:
@@ -70,7 +75,17 @@ def with_shared_head(conversations: DataFrame, leader: Column, head: Column) ->
         F.slice("turns", F.col("head") + 1, F.size("turns"))).alias("turns"))
 
 
-def _paths(conversations: DataFrame, block: int) -> DataFrame:
+def _low(block: int, sizes: tuple[int, int]) -> int:
+    """The level above a block."""
+    return 0 if block == 0 else sizes[0] + sizes[1] * (block - 1)
+
+
+def _last_block(depth: int, sizes: tuple[int, int]) -> int:
+    """The block that a depth is in; the root is in the first."""
+    return 0 if depth <= sizes[0] else 1 + (depth - sizes[0] - 1) // sizes[1]
+
+
+def _paths(conversations: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """The keys of each conversation's prefixes, a row for each block of levels.  A block
     begins with the key of the level above it; ``lengths`` are those of its own levels."""
     schema = T.StructType.fromDDL(_PATH)
@@ -85,9 +100,9 @@ def _paths(conversations: DataFrame, block: int) -> DataFrame:
                     for digest in digests:
                         key = hashlib.sha256(key + digest).digest()
                         keys.append(key)
-                    for b in range(max(1, -(-n // block))):
-                        low, high = b * block, min(n, (b + 1) * block)
-                        rows.append((conv_id, n, b, keys[low:high + 1], lengths[low:high]))
+                    for b in range(_last_block(n, sizes) + 1):
+                        low, high = _low(b, sizes), min(n, _low(b + 1, sizes))
+                        rows.append((conv_id, n, b, n <= high, keys[low:high + 1], lengths[low:high]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
                     if rows else [pa.array([], type=f.type) for f in arrow], schema=arrow)
@@ -99,11 +114,13 @@ def _level(rows: DataFrame, depth: int) -> DataFrame:
     """The nodes of a level from its conversations and the stripped nodes below it."""
     members = F.sum("n_convs")
     last = F.coalesce(F.element_at(F.any_value("lengths"), -1), F.lit(0)) if depth else F.lit(0)
-    return rows.groupBy(F.element_at("keys", -1).alias("key")).agg(
+    nodes = rows.groupBy(F.element_at("keys", -1).alias("key")).agg(
         F.min("conv_id").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.any_value("keys").alias("keys"),
         F.any_value("lengths").alias("lengths"), members.alias("n_convs"), F.sum("n_children").alias("n_children"),
         F.greatest(F.sum("n_leaves"), F.lit(1)).alias("n_leaves"),
         (F.sum("saved_tokens") + (members - 1) * last).alias("saved_tokens"), F.sum("n_ends").alias("n_ends"))
+    parent = F.element_at("keys", -2) if depth else F.lit(None).cast("binary")
+    return nodes.withColumn("parent_key", parent)
 
 
 def _stripped(nodes: DataFrame) -> DataFrame:
@@ -114,34 +131,71 @@ def _stripped(nodes: DataFrame) -> DataFrame:
         "n_leaves", "saved_tokens", F.lit(0).cast("long").alias("n_ends"))
 
 
-def prefix_trie(conversations: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _peeled(rows: DataFrame, low: int) -> DataFrame:
+    """All nodes of a block, each subtree below level ``low`` peeled by itself."""
+    schema = T.StructType.fromDDL(_NODE)
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        levels: dict[int, dict[bytes, list]] = {}
+
+        def meet(keys: list, lengths: list, conv_id: int, counts: list[int]) -> None:
+            node = levels.setdefault(low + len(lengths), {}).setdefault(keys[-1], [keys, lengths, conv_id, [0] * len(counts)])
+            node[2] = min(node[2], conv_id)
+            node[3] = [a + b for a, b in zip(node[3], counts, strict=True)]
+
+        for row in table.to_pylist():
+            meet(row["keys"], row["lengths"], row["conv_id"], [row[c] for c in _COUNTS])
+        out = []
+        for depth in range(max(levels), low, -1):
+            for key, (keys, lengths, conv_id, (n, children, leaves, saved, ends)) in levels.get(depth, {}).items():
+                leaves, saved = max(leaves, 1), saved + (n - 1) * lengths[-1]
+                out.append((key, keys[-2], conv_id, depth, n, children, leaves, saved, ends))
+                if depth > low + 1:
+                    meet(keys[:-1], lengths[:-1], conv_id, [n, 1, leaves, saved, 0])
+        return pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return rows.groupBy("top").applyInArrow(run, schema)
+
+
+def prefix_trie(conversations: DataFrame, sizes: tuple[int, int] = BLOCKS, subtree: int = SUBTREE) -> tuple[DataFrame, DataFrame]:
     """The nodes and the members of the trie of ``conversations`` (conv_id, ``turns`` as
     :func:`sequences` gives them; each conv_id once).
 
     Nodes: key, conv_id (the smallest member), depth, parent_conv_id, parent_key, n_convs,
     n_children, n_leaves, saved_tokens, n_ends.  Members: conv_id and the ``key`` of the
     node it ends at."""
-    work = Workspace(conversations.sparkSession, "trie")
-    paths = work.write(_paths(conversations, block).sortWithinPartitions("block"), "paths")
+    spark = conversations.sparkSession
+    work = Workspace(spark, "trie")
+    paths = work.write(_paths(conversations, sizes).sortWithinPartitions("block"), "paths")
+    members = paths.where("ends").select("conv_id", F.element_at("keys", -1).alias("key"))
     deepest = paths.agg(F.max("n_turns")).first()[0]
-    levels, below = [], None
-    for number in reversed(range(0 if deepest is None else max(1, -(-deepest // block)))):
-        own, low = paths.where(F.col("block") == number), number * block
+    columns, found, below = T.StructType.fromDDL(_NODE).names, [], None
+    for block in reversed(range(0 if deepest is None else _last_block(deepest, sizes) + 1)):
+        low, own = _low(block, sizes), paths.where(F.col("block") == block)
+        ended = own.where("ends").groupBy(F.element_at("keys", -1).alias("key")).agg(
+            F.min("conv_id").alias("conv_id"), F.any_value("keys").alias("keys"), F.any_value("lengths").alias("lengths"),
+            F.count(F.lit(1)).alias("n_convs"), *[F.lit(0).cast("long").alias(c) for c in _COUNTS[1:4]], F.count(F.lit(1)).alias("n_ends"))
+        rows = ended.drop("key")
         if below is not None:
-            below = below.drop("keys", "lengths").join(own.select("conv_id", "keys", "lengths"), "conv_id")
-        for depth in range(min(deepest, low + block), low - (number == 0), -1):
-            ended = own.where(F.col("n_turns") == depth).select("conv_id", "keys", "lengths", *[
-                F.lit(n).cast("long").alias(c) for c, n in zip(_COUNTS, (1, 0, 0, 0, 1), strict=True)])
-            rows = ended if below is None else ended.unionByName(below)
-            nodes = work.write(_level(rows, depth), f"level{depth}")
-            levels.append(nodes.withColumn("parent_key", F.element_at("keys", -2) if depth else F.lit(None).cast("binary")))
-            below = _stripped(nodes)
-    members = paths.where(f"block = greatest(0, ceil(n_turns / {block}) - 1)").select("conv_id", F.element_at("keys", -1).alias("key"))
-    if not levels:
-        empty = _level(paths.withColumns({c: F.lit(0).cast("long") for c in _COUNTS}).limit(0), 0)
-        levels = [empty.where("false").withColumn("parent_key", F.lit(None).cast("binary"))]
-    nodes = functools.reduce(DataFrame.unionByName, [x.drop("keys", "lengths") for x in levels])
-    return _with_parents(nodes), members
+            rows = rows.unionByName(below.select("conv_id", *_COUNTS).join(own.select("conv_id", "keys", "lengths"), "conv_id"))
+        rows = work.write(rows.withColumn("top", F.element_at("keys", 1)), f"rows{block}")
+        if block and rows.groupBy("top").count().agg(F.max("count")).first()[0] <= subtree:
+            nodes = work.write(_peeled(rows, low), f"nodes{block}")
+            found.append(f"nodes{block}")
+        else:
+            stripped = None
+            for depth in range(min(deepest, _low(block + 1, sizes)), low - (block == 0), -1):
+                at = rows.where(F.size("lengths") == depth - low).drop("top")
+                nodes = work.write(_level(at if stripped is None else at.unionByName(stripped), depth), f"level{depth}")
+                found.append(f"level{depth}")
+                stripped = _stripped(nodes)
+        below = _stripped(nodes.where(F.col("depth") == low + 1).withColumns({"keys": F.array("parent_key"), "lengths": F.array(F.lit(0))}))
+    if found:
+        nodes = spark.read.schema(_NODE).parquet(*[work.path(x) for x in found])
+    else:
+        nodes = spark.createDataFrame([], _NODE)
+    return _with_parents(nodes.select(*columns)), members
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ def plain(conversations):
     for conv_id, turns in conversations.items():
         for d in range(len(turns) + 1):
             nodes.setdefault(tuple(turns[:d]), []).append(conv_id)
+    parents = {p[:-1] for p in nodes if p}
     out = []
     for prefix, members in nodes.items():
         below = [p for p in nodes if p[:len(prefix)] == prefix]
@@ -29,14 +30,14 @@ def plain(conversations):
         out.append((
             min(members), len(prefix), min(nodes[prefix[:-1]]) if prefix else None, len(members),
             sum(len(p) == len(prefix) + 1 for p in below),
-            sum(not any(q[:-1] == p and q for q in nodes) for p in below),
+            sum(p not in parents for p in below),
             sum((len(nodes[p]) - 1) * len(p[-1][1]) for p in below if p),
             hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-def found(conversations, block):
-    nodes, members = trie.prefix_trie(conversations, block)
+def found(conversations, sizes=trie.BLOCKS, subtree=trie.SUBTREE):
+    nodes, members = trie.prefix_trie(conversations, sizes, subtree)
     rows = nodes.join(trie.ends_digests(members), "key", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)), "n_ends").collect()
@@ -55,26 +56,26 @@ ODD = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2
        (5, 0, "a", "tie"), (9, 0, "1", "2:"), (10, 0, "12", ":"), (None, 0, "user", "hi"), (-7, 0, "user", "é中\U0001f600"), (-8, 0, "user", "é中\U0001f600")]
 
 
-@pytest.mark.parametrize("block", [1, 2, 16])
-def test_odd_rows(spark, block):
+@pytest.mark.parametrize("sizes", [(1, 1), (2, 1), (16, 64)])
+def test_odd_rows(spark, sizes):
     turns = spark.createDataFrame([(*r, "k", 1) for r in ODD], SCHEMA)
-    assert found(trie.sequences(turns), block) == plain(by_conversation(ODD))
+    assert found(trie.sequences(turns), sizes) == plain(by_conversation(ODD))
 
 
-@pytest.mark.parametrize("block,longest", [(3, 9), (4, 4), (2, 12)])
-def test_random_trees(spark, block, longest):
-    rng = random.Random(block)
+@pytest.mark.parametrize("sizes,longest,subtree", [((3, 2), 9, 1000), ((4, 4), 4, 1000), ((2, 5), 12, 1000), ((2, 3), 9, 5)])
+def test_random_trees(spark, sizes, longest, subtree):
+    rng = random.Random(longest)
     rows = [(c, t, rng.choice("ua"), rng.choice(["", "x", "yy"])) for c in range(60) for t in range(rng.randint(1, longest))]
     rows += [(100 + c, t, "u", "same") for c in range(50) for t in range(longest)]
     turns = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
-    assert found(trie.sequences(turns), block) == plain(by_conversation(rows))
+    assert found(trie.sequences(turns), sizes, subtree) == plain(by_conversation(rows))
 
 
 def test_members_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(trie, "CHUNK", 20)
     rows = [(c, 0, "u", "same") for c in range(500)]
     turns = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
-    assert found(trie.sequences(turns), 16) == plain(by_conversation(rows))
+    assert found(trie.sequences(turns)) == plain(by_conversation(rows))
 
 
 def test_hot_parent(spark):
@@ -90,7 +91,7 @@ def test_shared_heads(spark):
     own = trie.sequences(turns)
     got = {r.conv_id: len(r.turns) for r in trie.with_shared_head(own, F.expr("conv_id - conv_id % 100"), F.lit(2)).collect()}
     assert got == {0: 3, 1: 4, 105: 0}  # nobody leads 105, so its head is gone
-    assert found(trie.with_shared_head(own, F.expr("conv_id - conv_id % 100"), F.lit(2)), 16) == plain({
+    assert found(trie.with_shared_head(own, F.expr("conv_id - conv_id % 100"), F.lit(2))) == plain({
         0: [("u", "a0"), ("u", "a1"), ("u", "a2")], 1: [("u", "a0"), ("u", "a1"), ("u", "b2"), ("u", "b3")], 105: []})
 
 
@@ -98,3 +99,9 @@ def test_empty(spark):
     turns = spark.createDataFrame([], SCHEMA)
     nodes, members = trie.prefix_trie(trie.sequences(turns))
     assert nodes.count() == 0 and trie.ends_digests(members).count() == 0
+
+
+def test_deep_conversation(spark):
+    rows = [(c, t, "u", "same" if t < 150 - 20 * c else f"{c} {t}") for c in range(3) for t in range(180 - c)]
+    turns = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
+    assert found(trie.sequences(turns)) == plain(by_conversation(rows))
