@@ -102,19 +102,6 @@ def test_query_needs_a_text(spark):
         browse.facet_filter(spark.range(1), query="x")
 
 
-def test_old_writes_expire(spark):
-    from shelf.streaming.keyed import kept_writes
-
-    log = spark.createDataFrame(
-        [("a", "x", 1, False, 0, "2024-01-01"), ("b", "x", 1, False, 0, "2024-01-01"), ("b", "y", 2, False, 1, "2026-01-01"),
-         ("c", "x", 1, False, 1, "2026-01-01"), ("c", "x", 2, True, 2, "2026-01-02")],
-        "code string, key string, ts int, deleted boolean, batch int, day string")
-    log = log.withColumn("written_at", F.to_timestamp("day")).drop("day")
-    kept = kept_writes(log, ["code", "key"], "code", F.to_timestamp(F.lit("2026-06-01")))
-    # 'a' has written nothing for over a year; 'b' has, so its old key stays; 'c' deleted its key
-    assert {(r.code, r.key) for r in kept.collect()} == {("b", "x"), ("b", "y")}
-
-
 def test_cleanup(spark):
     from shelf import session
 
