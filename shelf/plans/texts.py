@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions import rules, text, urls
-from shelf.operators import crawl, select
+from shelf.operators import crawl, phrases, select
 from shelf.plans.registry import query, table
 from shelf.sources.pages import with_page_title
 from shelf.vocabulary import BLOCKED_PATTERNS, BLOCKED_PHRASES
@@ -46,6 +46,53 @@ def phrase_exclusion(spark, sf_dir):
         "kind", "id", rules.is_blocked(F.col("text"), pattern).alias("blocked"))
 
 
+# a list of tens of thousands: the standing one, what texts begin with, and names with a number
+_NUMBERS = 25
+_LISTED = f"""
+texts AS (
+  SELECT 'document' AS kind, doc_id AS id, {_MATCH.format('text')} AS m FROM documents
+  UNION ALL SELECT 'part', p_partkey, {_MATCH.format("p_name || ' ' || p_type")} FROM part),
+listed AS (
+  SELECT DISTINCT phrase FROM (
+    SELECT unnest([{', '.join(repr(p) for p in _PHRASES)}]) AS phrase
+    UNION ALL SELECT array_to_string(string_split(m, ' ')[1:3], ' ') FROM texts WHERE kind = 'document'
+    UNION ALL SELECT p_name || ' ' || k FROM part, range(1, {_NUMBERS + 1}) r(k)) WHERE phrase <> ''),
+words AS (SELECT kind, id, string_split(m, ' ') AS w FROM texts),
+grams AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 7) s(n) WHERE i + n - 1 <= len(w)),
+hits AS (SELECT kind, id, count(*) AS n_phrases, min(phrase) AS first_phrase FROM grams SEMI JOIN listed USING (phrase) GROUP BY 1, 2)"""
+
+
+def listed_texts(spark, sf_dir):
+    """The texts, and a list of tens of thousands of phrases made of the tables."""
+    documents = table(spark, sf_dir, "documents")
+    part = table(spark, sf_dir, "part")
+    texts = documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").union(
+        part.select(F.lit("part"), "p_partkey", F.concat_ws(" ", "p_name", "p_type")))
+    standing = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in _PHRASES])).alias("phrase"))
+    begins = documents.select(F.array_join(F.slice(F.split(text.match_text(F.col("text")), " "), 1, 3), " "))
+    numbered = part.select("p_name", F.explode(F.sequence(F.lit(1), F.lit(_NUMBERS))).alias("k")).select(
+        F.concat_ws(" ", "p_name", F.col("k").cast("string")))
+    return texts, standing.union(begins).union(numbered)
+
+
+@query("phrase_dictionary", f"WITH {_LISTED} SELECT kind, id, n_phrases, first_phrase FROM hits")
+def phrase_dictionary(spark, sf_dir):
+    texts, listed = listed_texts(spark, sf_dir)
+    hits = phrases.phrase_hits(texts, listed, ["kind", "id"])
+    return hits.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"))
+
+
+@query("phrase_dictionary_exclusion", f"""
+WITH {_LISTED}
+SELECT kind, id, hits.id IS NOT NULL OR {' OR '.join(f"regexp_matches(m, '{p}')" for p in BLOCKED_PATTERNS)} AS blocked
+FROM texts LEFT JOIN hits USING (kind, id)""")
+def phrase_dictionary_exclusion(spark, sf_dir):
+    texts, listed = listed_texts(spark, sf_dir)
+    return phrases.with_blocked(texts, listed, ["kind", "id"], patterns=BLOCKED_PATTERNS)
+
+
 @query("entity_exclusion", """
 SELECT p_partkey, p_brand, p_name FROM part
 WHERE NOT (p_brand = 'Brand#3' AND regexp_matches(p_name, '\\b(ring|bolt)\\b')) AND lower(p_brand) <> 'brand#7'""")
