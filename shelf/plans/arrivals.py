@@ -8,9 +8,9 @@ from shelf.functions.text import key_text
 from shelf.operators import diff, publish, select
 from shelf.plans.registry import query, table
 from shelf.plans.views import HIDDEN_SHOP, OFFERS, newest_offers, offers, shipped
-from shelf.session import new_folder
+from shelf.session import new_folder, written
 from shelf.sinks import files
-from shelf.sources import catalogue
+from shelf.sources import catalogue, documents
 
 _PUBLISHED = f"""
 WITH {OFFERS},
@@ -177,6 +177,23 @@ def snapshot_scan(spark, sf_dir):
         "snapshot", "roaster", F.col("ord").cast("long").alias("ord"), "is_new").distinct()
 
 
+@query("snapshot_documents", f"""
+WITH {OFFERS}
+SELECT 'coffee_list_' || snapshot || '.json' AS snapshot, snapshot AS generated_at,
+       CAST(row_number() OVER (PARTITION BY snapshot ORDER BY ord) - 1 AS INT) AS ord, roaster, source_url, bean_name, status,
+       key NOT IN (SELECT key FROM keyed WHERE age = 2) AS is_new
+FROM (SELECT *, url AS source_url FROM keyed WHERE age = 1)""")
+def snapshot_documents(spark, sf_dir):
+    # a document for every month; only the newest two are opened
+    folder = new_folder(spark, "documents")
+    files.write_documents(offers(spark, sf_dir), folder)
+    recent = select.newest(documents.read_documents(spark, folder, newest=2), "snapshot", 2)
+    recent = written(recent.withColumns(diff.publish_key()), "recent")
+    return diff.flag_new(recent.where("age = 1"), recent.where("age = 2"), list(diff.publish_key())).select(
+        "snapshot", "generated_at", "ord", "roaster", "source_url",
+        F.regexp_replace("bean_name", " +", " ").alias("bean_name"), "status", "is_new")
+
+
 @query("published_sink", _PUBLISHED + """
 SELECT roaster, bean_name, url, price_aud, key NOT IN (SELECT key FROM before) AS is_new,
        (SELECT count(*) FROM shown) AS total, '2026-02-27 20:01' AS generated_at,

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions.text import clean_text
-from shelf.session import dropped, written
 from shelf.operators.publish import (
     in_publish_order, publish_stats, published_shops, snapshot_summary, with_bucket,
 )
+from shelf.schemas import ITEM_COLUMNS
+from shelf.session import dropped, written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CSV_COLUMNS = [
     "roaster", "bean_name", "roast_profile", "origin", "price_aud", "process", "varietal",
@@ -69,3 +78,42 @@ def read_csv(spark, folder: str) -> DataFrame:
     schema = ", ".join(f"{c} STRING" for c in CSV_COLUMNS)
     rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
     return rows.na.fill("")
+
+
+def write_documents(items: DataFrame, folder: str, snapshot: str = "snapshot", order: str = "ord") -> DataFrame:
+    """Snapshots as one JSON document each, ``coffee_list_<snapshot>.json``: (file, items).
+
+    A document cannot be cut, so one task writes it, but row by row: nothing of it is
+    held but the row.  Files of repeated tasks replace each other.
+    """
+    texts = items.select(
+        F.col(snapshot).alias("_name"), F.col(order).alias("_ord"),
+        F.to_json(F.struct(*ITEM_COLUMNS), {"ignoreNullFields": "false"}).alias("_item"))
+
+    def write(batches):
+        name, out, number = None, None, 0
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
+            pyarrow.fs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+
+        def close():
+            out.write(b"\n]}\n")
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [f"coffee_list_{name}.json"], "items": pa.array([number], pa.int64())})
+
+        for batch in batches:
+            for own, item in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != name or out is None:
+                    if out is not None:
+                        yield close()
+                    name, number = own, 0
+                    out = fs.open_output_stream(f"{root}/coffee_list_{own}.json")
+                    out.write(b'{"generated_at": ' + json.dumps(own).encode() + b', "items": [\n')
+                out.write((b",\n" if number else b"") + item.encode())
+                number += 1
+        if out is not None:
+            yield close()
+
+    # the rows of the result are the files, so it is written to run the tasks once
+    return written(texts.repartition("_name").sortWithinPartitions("_name", "_ord").mapInArrow(
+        write, "file string, items long"), "documents")
