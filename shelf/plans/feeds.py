@@ -232,8 +232,11 @@ def part_pages(spark, sf_dir, path="/products/"):
         key,
         text_of('<meta property="product:price:amount" content="', price, '">'),
         text_of('<script type="application/ld+json">{"offers": {"price" : "', price, '"}}</script>'),
-        text_of('<div class="cart">$0</div><p class="price main"><span>was</span> <b>$', price, "</b></p>"),
-        text_of('<i>$1</i><span class="woocommerce-Price-amount"><bdi><span>$</span>', price, "</bdi></span>"),
+        # elements that nest their own tag 40 deep, and some that are never closed
+        F.when(size % 2 == 0, text_of('<div class="cart">$0</div><p class="price main"><span>was</span> <b>$', price, "</b></p>")).otherwise(
+            text_of('<i>$0</i><DIV class="price">', "<div>x</div><div>" * 40, "$", price, "</div >" * 40, "</div><div>$2</div>")),
+        F.when(size % 2 == 0, text_of('<i>$1</i><span class="woocommerce-Price-amount"><bdi><span>$</span>', price, "</bdi></span>")).otherwise(
+            text_of('<i>$1</i><span class="woocommerce-Price-amount"><span><bdi>$</span><span><span>', price)),
         text_of('<div class="the-price-box">$0</div><p>only $ ', price, " each</p>").alias("x"))
     html = text_of(
         "<!DOCTYPE html><html><head><title>", F.col("p_type"), "</title>", head, "<style>.price{}</style></head><body>",

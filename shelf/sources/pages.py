@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions import prices, rules
-from shelf.functions.text import blank, filled, plain_text, unnest, with_page_text
+from shelf.functions.text import blank, filled, let, plain_text, unnest, with_page_text
 from shelf.functions.urls import product_links, shop_links, url_path
 from shelf.operators.extract import as_products
 
@@ -29,26 +29,46 @@ def with_page_title(df: DataFrame, html: Column, out: str = "title") -> DataFram
 _VOID = r"(?!(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b)"
 
 
-def _element(class_pattern: str, depth: int = 24) -> str:
-    """First element with such a class; its text may nest the same tag ``depth`` deep,
-    and of one that nests deeper or is never closed all that follows is read.
-    The loops are possessive, so long pages need no deep recursion."""
-    flat = r"[^<]*+(?:<(?!/?\1\b)[^<]*+)*+"
-    inner = flat
-    for _ in range(depth):
-        inner = rf"{flat}(?:<\1\b[^>]*+>{inner}</\1\s*>{flat})*+"
-    return (rf"""(?is)<{_VOID}([a-z][a-z0-9]*)\b[^>]*?\sclass\s*=\s*(?:"{class_pattern.format(q='"')}"|"""
-            rf"""'{class_pattern.format(q="'")}')[^>]*>((?:{inner}(?=</\1\s*>))|.*)""")
+def _opening(class_pattern: str) -> str:
+    """The first start tag with such a class, and all that follows it."""
+    return (rf"""(?is)<{_VOID}([a-z][^\s/>]*)(?=[\s/>])[^>]*?\sclass\s*=\s*(?:"{class_pattern.format(q='"')}"|"""
+            rf"""'{class_pattern.format(q="'")}')[^>]*>(.*)""")
 
 
 _TOKEN = r"(?:[^{{q}}]*\s)?{name}(?:\s[^{{q}}]*)?"
 _PRICE_ELEMENTS = [
-    _element(_TOKEN.format(name="price")),
-    _element(_TOKEN.format(name="woocommerce-Price-amount")),
-    _element(r"[^{q}]*price[^{q}]*"),
+    _opening(_TOKEN.format(name="price")),
+    _opening(_TOKEN.format(name="woocommerce-Price-amount")),
+    _opening(r"[^{q}]*price[^{q}]*"),
 ]
 
 
+def element_text(name: Column, rest: Column) -> Column:
+    """What stands in an element: of all that follows its start tag, the part up to the
+    end tag that closes it, however deep its own name nests in it.  An element that is never
+    closed holds all that follows.
+
+    The text is cut before every tag; tags of that name raise or lower a running depth,
+    and the first piece that brings it to none is the end."""
+    pieces = F.split(rest, "(?=</?[A-Za-z])")
+
+    def step(state: Column, piece: Column) -> Column:
+        tag = F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][^\s/>]*)", 1))
+        change = F.when(tag == name, 1).when(tag == F.concat(F.lit("/"), name), -1).otherwise(0)
+        depth = F.when(state.depth > 0, state.depth + change).otherwise(state.depth)
+        return F.struct(depth.alias("depth"), F.when(depth > 0, state.n + 1).otherwise(state.n).alias("n"))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    return let(pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, step).n), ""))
+
+
+def _shown_price(html: Column, opening: str) -> Column:
+    """The first dollar amount in the first element of a kind; NULL without one."""
+    name = F.lower(F.regexp_extract(html, opening, 1))
+    inner = F.when(name != "", element_text(name, F.regexp_extract(html, opening, 2)))
+    return filled(prices.dollar_price(plain_text(inner)))
+
+
 def page_price(html: Column, text: Column) -> Column:
     """Price tag of the page, then its JSON-LD, then price elements, then any
     dollar amount.  A plain '0' is tried again on the whole text."""
@@ -57,10 +77,7 @@ def page_price(html: Column, text: Column) -> Column:
     stated = F.coalesce(
         filled(plain_text(_meta(html, "product:price:amount"))),
         filled(F.regexp_extract(ld, r'"price"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)"?', 1)))
-    shown = [
-        F.nullif(filled(prices.dollar_price(plain_text(F.regexp_extract(html, e, 2)))), F.lit("0"))
-        for e in _PRICE_ELEMENTS
-    ]
+    shown = [F.nullif(_shown_price(html, e), F.lit("0")) for e in _PRICE_ELEMENTS]
     return F.coalesce(F.nullif(F.coalesce(stated, *shown), F.lit("0")), prices.dollar_price(text))
 
 

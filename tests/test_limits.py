@@ -56,6 +56,20 @@ def test_nested_price(spark, deep):
     assert one(spark, pages.page_price(F.lit(html), F.lit("$1"))) == "12.50"
 
 
+def test_element_ends(spark):
+    cases = {
+        '<div class="price"><div>no</div></div><p>$3</p>': "3",  # it ends before the amount; the page is read
+        '<div class="price"><div>no</div><p>$4</p>': "4",  # never closed
+        "<span class='price'><span-x>$5</span-x></span>$9": "5",  # another name that begins alike
+        '<div class="price">' + "<div>" * 300 + "</div>" * 300 + "</div><b class=price-b>x</b>$7": "7",
+        '<img class="price"><b class="x price">$8</b>': "8",
+        '<div class="price"></span></p>$6</div>$1': "6",
+        '<div\nclass="price"\n>$6</DIV\n>$1': "6"}
+    for html, want in cases.items():
+        first = one(spark, pages.page_price(F.lit(html), F.lit(html)))
+        assert first == want, html[:60]
+
+
 def test_long_values_are_kept(spark):
     land = "Colombia " + "Huila " * 40
     row = spark.createDataFrame([(f"Origin: {land}; Process: Washed", "", ["PROCESS: x"])], "text string, body string, tags array<string>")
