@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest(df: DataFrame, by: str, count: int = 2) -> DataFrame:
+def newest(df: DataFrame, by: str, count: int = 2, names: Sequence[str] | None = None) -> DataFrame:
     """Rows of the newest ``count`` snapshots, with ``age`` 1 for the newest.
 
     The ``count`` names are looked up first and then filtered on as literals, so
     a table partitioned by ``by`` is pruned before anything is read, and no join
-    is needed.
+    is needed.  ``names``, where all of them are known, as from the folders of a
+    table (``statistics.partition_names``), saves the look-up.
     """
-    names = [r[0] for r in df.select(by).distinct().orderBy(F.desc(by)).limit(count).collect()]
+    if names is not None:
+        names = sorted(names, reverse=True)[:count]
+    else:
+        names = [r[0] for r in df.select(by).distinct().orderBy(F.desc(by)).limit(count).collect()]
     age = F.lit(None).cast("int")
     for place, name in reversed(list(enumerate(names, 1))):
         age = F.when(F.col(by) == F.lit(name), F.lit(place)).otherwise(age)

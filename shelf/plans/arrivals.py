@@ -10,7 +10,7 @@ from shelf.plans.registry import query, table
 from shelf.plans.views import HIDDEN_SHOP, OFFERS, newest_offers, offers, shipped
 from shelf.session import new_folder, written
 from shelf.sinks import files
-from shelf.sources import catalogue, documents
+from shelf.sources import catalogue, documents, statistics
 
 _PUBLISHED = f"""
 WITH {OFFERS},
@@ -172,7 +172,8 @@ def snapshot_scan(spark, sf_dir):
     # snapshots as the sink writes them; only the folders of the newest two are read
     folder = new_folder(spark, "snapshots")
     files.write_snapshot(offers(spark, sf_dir), folder)
-    recent = select.newest(catalogue.written_snapshots(spark, folder), "snapshot", 2).withColumns(diff.publish_key())
+    snapshots = catalogue.written_snapshots(spark, folder)
+    recent = select.newest(snapshots, "snapshot", 2, statistics.partition_names(snapshots, "snapshot")).withColumns(diff.publish_key())
     return diff.flag_new(recent.where("age = 1"), recent.where("age = 2"), list(diff.publish_key())).select(
         "snapshot", "roaster", F.col("ord").cast("long").alias("ord"), "is_new").distinct()
 

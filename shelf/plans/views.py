@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelf.operators.select import newest
 from shelf.plans.registry import table
 from shelf.session import written
+from shelf.sources.statistics import newest_periods
 
 ROAST_OF_TYPE = {
     "ECONOMY": "filter", "SMALL": "espresso", "PROMO": "omni", "STANDARD": "Filter",
@@ -57,11 +58,11 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The newest snapshot and the one before.  Two dates are looked up; the rows since
-    the earlier one are a range on the raw date, which is pushed to the scan."""
-    months = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("m")).distinct()
-    since = min((r.m for r in months.orderBy(F.desc("m")).limit(2).collect()), default=None)
-    recent = shipped(spark, sf_dir, F.lit(since).cast("timestamp_ntz"))
+    """The newest snapshot and the one before.  Two dates are looked up in the files'
+    statistics; the rows since the earlier one are a range on the raw date, which is pushed
+    to the scan."""
+    since = min(newest_periods(table(spark, sf_dir, "lineitem"), "l_shipdate"), default=None)
+    recent = shipped(spark, sf_dir, F.lit(None if since is None else since.isoformat(sep=" ")).cast("timestamp_ntz"))
     # both ages are read, and more than once
     rows = written(as_offers(newest(recent, "snapshot", 2), table(spark, sf_dir, "part")), "offers")
     return rows.where("age = 1"), rows.where("age = 2")
