@@ -3,37 +3,68 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions.text import unnest
 from shelf.functions.urls import same_site, url_path
-from shelf.session import written
+from shelf.session import new_folder, written
+
+
+class Bucketed:
+    """Tables whose rows lie in files by the hash of a column, so that they join on it
+    where they lie.  Their names are dropped at the end; files stay for what reads them."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.folder = new_folder(spark, "bucketed")
+        self.names: dict[str, str] = {}
+
+    def append(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        own = self.names.setdefault(name, f"{name}_{uuid.uuid4().hex}")
+        df.write.mode("append").bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.folder}/{name}").saveAsTable(own)
+        return self.spark.table(own)
+
+    def __enter__(self) -> Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for own in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {own}")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes reached from the seeds with their depth.  Each level joins the
-    frontier to the edges and drops what was seen, so cycles end; levels are
-    written out to keep the plan short.  Goes on until nothing new is found, or for
-    ``max_depth`` levels."""
-    seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
-    frontier = seen
-    for depth in itertools.count(1):
-        if max_depth is not None and depth > max_depth:
-            break
-        found = (
-            frontier.select(F.col("node").alias("src")).join(edges, "src")
-            .select(F.col("dst").alias("node")).distinct()
-            .join(seen.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = written(found, "level")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    """Nodes reached from the seeds with their depth.  Goes on until nothing new is
+    found, or for ``max_depth`` levels, so cycles end.
+
+    Edges are dealt out once, by their source, and nodes by themselves as they are found.
+    A level joins its frontier to the edges, and what that gives to all nodes seen, where they
+    lie; only the nodes that the level finds are moved.  Of the nodes seen, a filter on
+    the depth reads the files of one level.
+    """
+    spark = edges.sparkSession
+    with Bucketed(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))) as tables:
+        links = tables.append(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "edges", "src")
+        first = seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0))
+        seen = tables.append(first, "seen", "node")
+        for depth in itertools.count(1):
+            if max_depth is not None and depth > max_depth:
+                break
+            level = tables.append(found_from(links, seen, depth), "seen", "node")
+            if level.where(F.col("depth") == depth).isEmpty():
+                break
+            seen = level
+        return spark.read.schema(seen.schema).parquet(f"{tables.folder}/seen")
+
+
+def found_from(links: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """The nodes behind the frontier, the level before ``depth``, that were not seen."""
+    frontier = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
+    found = frontier.join(links, "src").select(F.col("dst").alias("node")).distinct()
+    return found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
 
 
 def sitemap_locs(body):

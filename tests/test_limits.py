@@ -50,6 +50,33 @@ def test_reach_goes_on(spark):
     assert crawl.reach(edges, seeds).count() == 9 and crawl.reach(edges, seeds, 3).count() == 4
 
 
+def test_levels_join_where_they_lie(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with crawl.Bucketed(spark, 4) as tables:
+            links = tables.append(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), "edges", "src")
+            seen = tables.append(spark.createDataFrame([("a", 0)], "node string, depth int"), "seen", "node")
+            seen = tables.append(spark.createDataFrame([("b", 1)], "node string, depth int"), "seen", "node")
+            found = crawl.found_from(links, seen, 2)
+            assert [tuple(r) for r in found.collect()] == [("c", 2)]
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            # the one exchange is that of the nodes found
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2
+            assert "EqualTo(depth,1)" in plan
+            names = list(tables.names.values())
+        assert not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_reach_of_odd_rows(spark):
+    edges = spark.createDataFrame([("a", "a"), ("a", None), (None, "z"), ("a", "b"), ("a", "b"), ("b", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,), ("x",)], "node string")
+    assert {tuple(r) for r in crawl.reach(edges, seeds).collect()} == {("a", 0), ("x", 0), ("b", 1)}
+    assert crawl.reach(edges, seeds.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("deep", [1, 4, 9, 40])
 def test_nested_price(spark, deep):
     html = f'<p>$1</p><div class="price">{"<div>" * deep}$12.50{"</div>" * deep}</div><div>$3</div>'
