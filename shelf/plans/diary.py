@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions import localised as L
-from shelf.operators import browse
+from shelf.operators import browse, search
 from shelf.plans.arrivals import _PUBLISHED, published
 from shelf.plans.extraction import choose, text_of
 from shelf.plans.registry import query, table
@@ -110,15 +110,41 @@ SELECT doc_id, source FROM documents
 WHERE contains(lower('X' || source || ' ' || text || ' ' || lang || ' Label ' || lang), 'the of')
    OR contains(lower('X' || source || ' ' || text || ' ' || lang || ' Label ' || lang), 'de label de')""")
 def diary_search(spark, sf_dir):
-    entries = table(spark, sf_dir, "documents").select(
+    rows = searched(spark, sf_dir).withColumn("search", browse.diary_search_text())
+    found = F.contains("search", F.lit("the of")) | F.contains("search", F.lit("de label de"))
+    return rows.where(found).select("doc_id", "source")
+
+
+def searched(spark, sf_dir):
+    """Documents as bilingual entries."""
+    return table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.create_map(F.lit("zh"), text_of("X", F.col("source")), F.lit("en"), F.lit("")).alias("bean_name"),
         F.create_map(F.lit("en"), "text").alias("roaster"), F.array(F.create_map(F.lit("en"), "lang")).alias("tags"),
         F.array(F.struct(F.lit("i").alias("icon"), F.create_map(
             F.lit("en"), "lang", F.lit("zh"), F.lit("Label")).alias("label"))).alias("flavours"))
-    text = browse.diary_search_text()
-    rows = entries.withColumn("search", text)
-    found = F.contains("search", F.lit("the of")) | F.contains("search", F.lit("de label de"))
-    return rows.where(found).select("doc_id", "source")
+
+
+# what is searched for: pieces of every twentieth text, some of them short, in any case
+_TERMS = """
+terms AS (
+  SELECT DISTINCT lower(trim(t)) AS term FROM (
+    SELECT ' ' || upper(substr(text, 5, 14)) || ' ' AS t FROM documents WHERE doc_id % 20 = 0
+    UNION ALL SELECT substr(text, 3, 2) FROM documents WHERE doc_id % 20 = 0
+    UNION ALL SELECT 'nowhere to be found ' || doc_id FROM documents WHERE doc_id % 20 = 0) WHERE trim(t) <> '')"""
+
+
+@query("search_index", f"""
+WITH {_TERMS},
+texts AS (SELECT doc_id, lower('X' || source || ' ' || text || ' ' || lang || ' Label ' || lang) AS h FROM documents)
+SELECT term, count(*) AS n_found, min(doc_id) AS first_id, sum(doc_id) AS ids FROM terms JOIN texts ON contains(h, term) GROUP BY 1""")
+def search_index(spark, sf_dir):
+    index = search.TrigramIndex.build(searched(spark, sf_dir), browse.diary_search_text(), "doc_id")
+    some = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    terms = some.select(F.explode(F.array(
+        F.concat(F.lit(" "), F.upper(F.substring("text", 5, 14)), F.lit(" ")), F.substring("text", 3, 2),
+        F.concat(F.lit("nowhere to be found "), "doc_id"))).alias("term"))
+    return index.search_all(terms).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_found"), F.min("id").alias("first_id"), F.sum("id").alias("ids"))
 
 
 _LEVELS = "['low', 'medium', 'high', 'odd', NULL]"
