@@ -12,7 +12,6 @@ from shelf.functions.urls import url_path
 
 _TAG = r"(?d)^\s*([A-Za-z][A-Za-z /]*?)\s*[:._]\s*(.+)$"
 _PLACEHOLDER = "^[A-Z][A-Z0-9 /]+$"
-_FIELD_OF_KEY = {key: field for field, keys in V.TAG_KEYS.items() for key in keys}
 
 
 # --- tags ---------------------------------------------------------------------
@@ -30,7 +29,7 @@ def alias_pairs(aliases: Column) -> Column:
 
 def tag_fields(tags: Column, aliases: Column | None = None) -> Column:
     """Struct of the four fields from ``KEY: v`` / ``KEY_v`` / ``Key.v`` tags."""
-    lookup = F.create_map(*[F.lit(x) for kv in _FIELD_OF_KEY.items() for x in kv])
+    lookup = F.create_map(*[F.lit(x) for kv in V.TAG_KEYS.items() for x in kv])
     pairs = alias_pairs(aliases) if aliases is not None else None
 
     def parse(tag):

@@ -58,14 +58,27 @@ def detail_price(variants: Column, size: Column, base: Column) -> Column:
     return F.coalesce(F.when(aud, let(of_size(variants, size), lowest)), base)
 
 
+#: Beyond so many places a unit moves every amount that fits into a decimal out of it.
+_PLACES = 38
+
+
 def minor_unit_price(raw: Column, minor: Column) -> Column:
     """Digits in minor units to two decimals, halves up; '' if not all digits.
 
-    The point is moved in the text, so digits and units of any number do: only the
-    digit behind the second decimal decides whether one cent is added.  Negative units
-    multiply.  Amounts beyond 38 digits are given without the rounding.
+    Amounts of up to 18 digits with units from 0 to 18 are decimals.  Others have the point
+    moved in the text, so digits of any number do; amounts beyond 38 digits are given
+    without the rounding.  A unit that leaves nothing of the digits gives 0.00; negative units
+    multiply, by up to 38 places, and beyond give ''.
     """
-    raw, unit = F.btrim(blank(raw)), F.coalesce(minor, F.lit(2)).cast("int")
+    raw, unit = F.btrim(blank(raw)), F.coalesce(minor, F.lit(2)).cast("long")
+    ten = F.element_at(F.array(*[F.lit("1" + "0" * k).cast("decimal(20,0)") for k in range(19)]), unit.cast("int") + 1)
+    short = (raw.try_cast("decimal(18,0)") / ten).cast(MONEY).cast("string")
+    easy = (F.length(raw) <= 18) & unit.between(0, 18)
+    return F.when(~raw.rlike("^[0-9]+$"), "").when(easy, short).when(unit < -_PLACES, "").otherwise(
+        _moved_point(raw, F.least(unit, F.length(raw) + 3).cast("int")))
+
+
+def _moved_point(raw: Column, unit: Column) -> Column:
     digits = F.concat(raw, F.repeat(F.lit("0"), F.greatest(-unit, F.lit(0))))
     digits = F.lpad(digits, F.greatest(F.length(digits), unit + 1), "0")
     places = F.greatest(unit, F.lit(0))
@@ -74,7 +87,7 @@ def minor_unit_price(raw: Column, minor: Column) -> Column:
     down = F.concat(whole, F.lit("."), F.substring(rest, 1, 2))
     up = F.substring(rest, 3, 1) >= "5"
     more = (down.try_cast(MONEY) + F.lit("0.01").cast("decimal(3,2)")).try_cast(MONEY).cast("string")
-    return F.when(raw.rlike(r"^\d+$"), F.when(up, F.coalesce(more, down)).otherwise(down)).otherwise("")
+    return F.when(up, F.coalesce(more, down)).otherwise(down)
 
 
 def sold_out(variants: Column) -> Column:

@@ -8,12 +8,13 @@ through Arrow, and only the rows that need them: every other row sends NULL.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from shelf import vocabulary as V
 
@@ -39,6 +40,18 @@ def _text_udf(change):
     return F.pandas_udf(over, StringType())
 
 
+def _unescape_lists():
+    """Entities that are closed by a semicolon decoded in all texts of a list."""
+    closed = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+    def over(lists: pd.Series) -> pd.Series:
+        one = lambda t: re.sub(closed, lambda m: html.unescape(m[0]), t)
+        return lists.map(lambda texts: [None if t is None else one(t) for t in texts], na_action="ignore")
+
+    return F.pandas_udf(over, ArrayType(StringType()))
+
+
+unescape_all = _unescape_lists()
 _unescape = _text_udf(lambda t: html.unescape(t))
 _unescape_nfkc = _text_udf(lambda t: unicodedata.normalize("NFKC", html.unescape(t)))
 

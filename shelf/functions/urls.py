@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.functions.text import blank, filled, let, unescape_slashes
+from shelf.functions.text import blank, filled, let, unescape_all, unescape_slashes
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -104,7 +104,9 @@ def product_url(base: Column, ref: Column, markers=tuple(V.PRODUCT_PATHS)) -> Co
 
 def _addresses(base: Column, refs: Column, to_url) -> Column:
     """Distinct addresses of distinct links, first seen first."""
-    found = let(base_parts(base), lambda b: F.transform(F.array_distinct(refs), lambda r: to_url(b, r)))
+    # the links are bound from outside, as a lambda's body may not hold what goes through Arrow
+    both = F.struct(base_parts(base).alias("base"), F.array_distinct(refs).alias("refs"))
+    found = let(both, lambda x: F.transform(x.refs, lambda r: to_url(x.base, r)))
     return F.array_distinct(F.array_compact(found))
 
 
@@ -127,21 +129,20 @@ def _unquoted(values: Column) -> Column:
 
 
 def _decoded(refs: Column) -> Column:
-    """Distinct links with their entities decoded: numbers up to 255, some names, and
-    '&amp;' last, so that it starts no other entity."""
-    def number(code):
-        hexed = F.conv(F.regexp_extract(code, r"(?i)#x([0-9a-f]+)", 1), 16, 10)
-        return F.coalesce(filled(F.regexp_extract(code, r"#([0-9]+)", 1)), hexed).cast("int")
+    """Distinct links with their entities decoded, once.  Plain ones are decoded by
+    expressions, '&amp;' last, so that it starts no other; rows with any other entity go
+    through Arrow."""
+    plain = "|".join(V.LINK_ENTITIES)
+    rare = rf"&(?!(?:amp|{plain});)(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
     def decode(r):
-        codes = F.array_distinct(F.regexp_extract_all(r, F.lit(r"(?i)&#(?:[0-9]{1,4}|x[0-9a-f]{1,3});"), F.lit(0)))
-        r = F.aggregate(codes, r, lambda done, code: F.when(
-            number(code) < 256, F.replace(done, code, F.char(number(code)))).otherwise(done))
         for name, char in V.LINK_ENTITIES.items():
             r = F.replace(r, F.lit(f"&{name};"), F.lit(char))
         return F.replace(r, F.lit("&amp;"), F.lit("&"))
 
-    return F.transform(F.array_distinct(refs), lambda r: F.when(F.contains(r, F.lit("&")), decode(r)).otherwise(r))
+    refs = F.array_distinct(refs)
+    some = unescape_all(F.when(F.exists(refs, lambda r: r.rlike(rare)), refs))
+    return F.coalesce(some, F.transform(refs, lambda r: F.when(F.contains(r, F.lit("&")), decode(r)).otherwise(r)))
 
 
 def product_links(base: Column, html: Column, markers=tuple(V.PRODUCT_PATHS)) -> Column:

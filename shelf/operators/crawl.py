@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.functions.text import unnest
-from shelf.functions.urls import same_site, url_path
+from shelf.functions.text import squeeze, strip_tags, unescape_all, unnest
+from shelf.functions.urls import same_site, site_root, url_path
 from shelf.session import new_folder, written
 
 
@@ -68,15 +68,12 @@ def found_from(links: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
 
 
 def sitemap_locs(body):
-    """Addresses in ``<loc>`` elements, in document order."""
+    """Addresses in ``<loc>`` elements, in document order, cleaned as any text is.
+    Bodies with an entity other than that of the ampersand go through Arrow."""
     raw = F.regexp_extract_all(body, F.lit("(?is)<loc>(.*?)</loc>"), F.lit(1))
-    return F.transform(raw, lambda u: clean_plain(u))
-
-
-def clean_plain(c):
-    """Trimmed address with its ampersands decoded; usable inside a lambda."""
-    c = F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), "<[^>]+>", " ")
-    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
+    rare = unescape_all(F.when(F.exists(raw, lambda u: u.rlike("&(?!amp;)[#A-Za-z]")), raw))
+    plain = F.transform(raw, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+    return F.transform(F.coalesce(rare, plain), lambda u: squeeze(strip_tags(u)))
 
 
 def robots_sitemaps(body):
@@ -86,12 +83,20 @@ def robots_sitemaps(body):
     return F.filter(found, lambda u: u != "")
 
 
-def robots_seeds(robots: DataFrame) -> DataFrame:
+def robots_seeds(robots: DataFrame, after: int = len(V.SITEMAP_FILES)) -> DataFrame:
     """Seeds for ``expand_sitemaps`` from captured robots files (site, listing_url,
-    http_status, body): the files they name, in order, before the usual places."""
+    http_status, body): the files they name, in order, behind the usual places."""
     named = unnest(
         robots.where("http_status = 200"), robots_sitemaps(F.col("body")), "pos", "url", "site", "listing_url")
-    return named.groupBy("site", "listing_url", "url").agg(F.min("pos").alias("ord"))
+    return named.groupBy("site", "listing_url", "url").agg((F.min("pos") + after).alias("ord"))
+
+
+def usual_seeds(sites: DataFrame) -> DataFrame:
+    """Seeds for ``expand_sitemaps``: the places where a site (site, listing_url) has its
+    sitemaps if it says nothing."""
+    root = site_root(F.col("listing_url"))
+    places = F.array(*[F.concat(root, F.lit(f"/{name}")) for name in V.SITEMAP_FILES])
+    return sites.select("site", "listing_url", F.posexplode(places).alias("ord", "url"))
 
 
 def is_sitemap(url):

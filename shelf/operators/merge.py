@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
@@ -36,37 +36,30 @@ def _units(text: Column) -> Column:
 
 
 def _is_json(body: Column) -> Column:
-    """One JSON value and nothing behind it: it has to be one element of a list and one
-    member of an object alike.  Repeated keys are fine."""
+    """One value and nothing behind it: it has to be one element of a list and one member
+    of an object alike."""
     one = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
     member = F.get_json_object(F.concat(F.lit('{"d":'), body, F.lit(',"e":0}')), "$.e") == "0"
     return F.coalesce(one & member, F.lit(False))
 
 
-def _loose_shape(body: Column) -> Column:
-    """The shape rule for a document that repeats keys, of which the last counts."""
-    doc = F.from_json(body, "struct<items: string, tombstones: string>")
-    values = lambda c: F.map_values(F.from_json(c, "map<string,string>"))
-    graves = doc["tombstones"]
-    return F.forall(values(doc["items"]), lambda v: F.coalesce(v.startswith("{"), F.lit(False))) & (
-        graves.isNull() | (graves.startswith("{") & F.forall(
-            values(graves), lambda v: F.coalesce(F.abs(v.try_cast("double")) < F.lit(float("inf")), F.lit(False)))))
-
-
 def reject_reason(code: Column, body: Column, max_chars: int = V.MAX_BODY_CHARS) -> Column:
     """Why a favourites document is refused; NULL if it is good.  ``max_chars`` counts
-    16-bit units, as the service that stores the documents does."""
+    16-bit units, as the service that stores the documents does.
+
+    Of a repeated key the last value counts, for which the session's parser of variants
+    is told to keep it."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     doc = F.try_parse_json(blank(body))
     items = F.try_variant_get(doc, "$.items", "map<string,variant>")
     graves = F.try_variant_get(doc, "$.tombstones", "variant")
     grave_values = F.map_values(F.try_variant_get(doc, "$.tombstones", "map<string,variant>"))
     good = F.forall(F.map_values(items), _is_object) & (
         graves.isNull() | (_is_object(graves) & F.forall(grave_values, _is_finite)))
-    good = F.when(doc.isNotNull(), good).otherwise(_loose_shape(body))
     return (
         F.when(~F.coalesce(code.rlike(V.CODE_PATTERN), F.lit(False)), "bad_code")
         .when(_units(blank(body)) > max_chars, "too_large")
-        .when(~_is_json(blank(body)), "bad_json")
+        .when(doc.isNull() | ~_is_json(blank(body)), "bad_json")
         .when(~F.coalesce(good, F.lit(False)), "bad_shape")
     )
 

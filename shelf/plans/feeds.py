@@ -158,7 +158,8 @@ single AS (
   SELECT shop, strategy, state, CASE strategy WHEN 'woo' THEN 'woocommerce' WHEN 'wordpress' THEN 'wp_product' ELSE 'shopify_json' END AS p
   FROM candidates WHERE strategy <> 'all_products'),
 many AS (
-  SELECT shop, state, string_agg('https://s' || shop || '.example.com:' || CASE state WHEN 1 THEN 'http_404' ELSE 'error' END, '; ') AS told
+  SELECT shop, state, string_agg('https://s' || shop || '.example.com:' || CASE state WHEN 1 THEN 'http_404' WHEN 2 THEN 'error'
+                                 ELSE 'no_products' END, '; ') AS told
   FROM candidates WHERE strategy = 'all_products' GROUP BY 1, 2)
 SELECT 'shop ' || shop AS roaster, strategy, CASE state
   WHEN 1 THEN p || '_http_404' WHEN 2 THEN p || '_error'
@@ -167,7 +168,7 @@ SELECT 'shop ' || shop AS roaster, strategy, CASE state
   ELSE p || '_no_parsed_items' END AS reason
 FROM single WHERE state > 0
 UNION ALL SELECT 'shop ' || shop, 'all_products',
-  CASE WHEN state IN (1, 2) THEN 'shopify_all_json_failed: ' || told ELSE 'shopify_all_json_no_results' END
+  CASE WHEN state <> 4 THEN 'shopify_all_json_failed: ' || told ELSE 'shopify_all_json_no_results' END
 FROM many WHERE state > 0""")
 def payload_reasons(spark, sf_dir):
     captured = captured_feeds(spark, sf_dir)
@@ -434,16 +435,21 @@ def inventory_filter(spark, sf_dir):
 
 
 @query("minor_unit_price", """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN
-    CAST(CAST(CAST(round(o_totalprice * 100) AS BIGINT) / 100.0 AS DECIMAL(18, 2)) AS VARCHAR)
-  WHEN 2 THEN CAST(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DECIMAL(18, 2)) AS VARCHAR)
-  ELSE CAST(CAST(CAST(round(o_totalprice * 100) AS BIGINT) * 10 / 1000.0 AS DECIMAL(18, 2)) AS VARCHAR) END AS price_aud
-FROM orders""")
+WITH cents AS (SELECT o_orderkey, o_orderkey % 8 AS way, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)
+SELECT o_orderkey, CASE way WHEN 0 THEN '' WHEN 4 THEN '' WHEN 1 THEN CAST(CAST(c / 100.0 AS DECIMAL(18, 2)) AS VARCHAR)
+  WHEN 2 THEN CAST(CAST(c AS DECIMAL(18, 2)) AS VARCHAR) WHEN 3 THEN CAST(CAST(c * 10 / 1000.0 AS DECIMAL(18, 2)) AS VARCHAR)
+  WHEN 5 THEN '0.00' WHEN 6 THEN c || '000.00' ELSE CAST(CAST(c // 100 AS DECIMAL(18, 2)) AS VARCHAR) END AS price_aud
+FROM cents""")
 def minor_unit_price(spark, sf_dir):
     cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
-    way = F.col("o_orderkey") % 4
-    raw = F.when(way == 0, F.concat(F.lit("-"), cents)).when(way == 3, F.concat(cents, F.lit("0 "))).otherwise(cents)
-    minor = F.when(way == 2, F.lit(0)).when(way == 3, F.lit(3))
+    way = F.col("o_orderkey") % 8
+    # among them the greatest and least units there are, and more digits than a number has
+    raw = (
+        F.when(way == 0, F.concat(F.lit("-"), cents)).when(way == 3, F.concat(cents, F.lit("0 ")))
+        .when(way == 7, F.concat(F.floor(cents.cast("long") / 100).cast("string"), F.lit("0" * 20))).otherwise(cents))
+    minor = (
+        F.when(way == 2, F.lit(0)).when(way == 3, F.lit(3)).when(way == 4, F.lit(-2147483648)).when(way == 5, F.lit(2147483647))
+        .when(way == 6, F.lit(-3)).when(way == 7, F.lit(20)))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", prices.minor_unit_price(raw, minor).alias("price_aud"))
 

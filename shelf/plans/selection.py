@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelf.functions import urls
 from shelf.operators import crawl, merge, quality, select
 from shelf.plans import collect as run
 from shelf.plans.extraction import text_of
-from shelf.plans.feeds import captured_feeds
+from shelf.plans.feeds import _LISTED, captured_feeds
 from shelf.plans.registry import query, table
 from shelf.session import written
-from shelf.sources import catalogue, feeds
+from shelf.sources import catalogue, feeds, pages
 
 _ORDER = {"purchase": "collection", "view": "html_listing", "click": "all_products", "signup": "woo"}
 _STRATEGY = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 6 END"
@@ -88,42 +89,65 @@ def error_summary(spark, sf_dir):
     return quality.joined_errors(failed, ["user_id"], "event_id", "message", 4)
 
 
-@query("collection_run", """
-WITH listed AS (
-  SELECT *, p_partkey // 700 AS shop FROM part),
-paged AS (SELECT * FROM listed),
-pairs AS (SELECT shop, p_partkey // 2 AS pair, bool_or(p_size % 3 <> 0) AS in_stock FROM paged GROUP BY 1, 2)
-SELECT 'shop ' || shop AS roaster, 'collection' AS strategy, count(*) AS n_items, '' AS error
-FROM listed WHERE shop % 4 = 0 AND p_size <> 2 AND p_size % 3 <> 0 GROUP BY shop
-UNION ALL SELECT 'shop ' || shop, 'woo', count(*), '' FROM pairs WHERE shop % 4 = 1 AND in_stock GROUP BY shop
-UNION ALL SELECT 'shop ' || shop, 'wordpress', count(*), '' FROM paged WHERE shop % 4 = 2 AND p_size <> 2 GROUP BY shop
-UNION ALL SELECT DISTINCT 'shop ' || shop, NULL, 1, 'https://s' || shop || '.example.com/collections/coffee => shopify_json_http_404'
-  || ' | woocommerce_http_404 | wp_product_http_404' FROM listed WHERE shop % 4 = 3
-UNION ALL SELECT DISTINCT 'shop without ' || shop, NULL, 1, 'missing_url' FROM listed WHERE shop % 5 = 2""")
+@query("collection_run", f"""
+WITH {_LISTED},
+pairs AS (
+  SELECT shop, p_partkey // 2 AS pair, min(p_partkey) AS p_partkey, bool_or(p_size % 3 <> 0) AS in_stock,
+         bool_or(p_size % 2 = 1) AS esp, bool_or(p_size % 2 = 0) AS fil FROM paged GROUP BY 1, 2),
+numbered AS (SELECT *, CAST(shop AS INT) % 4 AS way FROM listed)
+SELECT 'shop ' || shop AS roaster, 'collection' AS strategy, p_name || ' & ' || p_partkey AS bean_name,
+       'https://s' || shop || '.example.com/products/p-' || p_partkey AS source_url, 'filter' AS roast_profile, price AS price_aud,
+       term AS process, 'Lot ' || p_size || ', Kenya' AS origin, 'plum' AS flavour_profile, '' AS error
+FROM numbered WHERE way = 0 AND p_size <> 2 AND p_size % 3 <> 0
+UNION ALL
+SELECT 'shop ' || g.shop, 'woo', 'Pair ' || pair, 'https://s' || g.shop || '.example.com/shop/' || g.p_partkey,
+       CASE WHEN esp AND fil THEN 'omni' WHEN esp THEN 'espresso' ELSE 'filter' END, price, term, '', '', ''
+FROM pairs g JOIN numbered p ON p.p_partkey = g.p_partkey WHERE way = 1 AND in_stock
+UNION ALL
+SELECT 'shop ' || shop, 'wordpress', p_name || ' & ' || p_partkey, 'https://s' || shop || '.example.com/product/' || p_partkey,
+       'espresso', price, '', 'Peru', '', '' FROM numbered WHERE way = 2 AND p_size <> 2
+UNION ALL
+SELECT DISTINCT 'shop ' || shop, NULL, '', 'https://s' || shop || '.example.com/collections/coffee', '', '', '', '', '',
+       'https://s' || shop || '.example.com/collections/coffee => shopify_json_http_404 | woocommerce_http_404 | wp_product_http_404'
+       || ' | handle_discovery=' || CASE CAST(shop AS INT) % 3 WHEN 0 THEN 'handle_discovery_error' WHEN 1 THEN 'handle_discovery_no_candidates'
+            ELSE 'coffee-beans:shopify_json_http_404; tea:shopify_json_no_products' END FROM numbered WHERE way = 3
+UNION ALL SELECT DISTINCT 'shop without ' || shop, NULL, '', '', '', '', '', '', '', 'missing_url' FROM listed WHERE CAST(shop AS INT) % 5 = 2""")
 def collection_run(spark, sf_dir):
     captured = captured_feeds(spark, sf_dir)
     payloads = captured["collection"].unionByName(captured["woo"]).unionByName(captured["wordpress"])
     # shop 0 answers everything, 1 only the paged feeds, 2 only posts, 3 nothing, and so on
-    number = F.substring_index("roaster", " ", -1).try_cast("int") % 4
+    number = F.substring_index("roaster", " ", -1).try_cast("int")
     answers = (
-        F.when(number == 0, True).when(number == 1, F.col("strategy") != "collection")
-        .when(number == 2, F.col("strategy") == "wordpress").otherwise(False))
+        F.when(number % 4 == 0, True).when(number % 4 == 1, F.col("strategy") != "collection")
+        .when(number % 4 == 2, F.col("strategy") == "wordpress").otherwise(False))
     payloads = payloads.withColumn("http_status", F.when(answers, 200).otherwise(404))
     switches = {"shopify_collection_handle": F.lit(None).cast("string"),
                 "price_variant_filter": F.lit("250g"), "force_html_listing": F.lit(False),
-                "force_woo_api": number == 1, "skip_sources": F.lit(None).cast("array<string>"),
+                "force_woo_api": number % 4 == 1, "skip_sources": F.lit(None).cast("array<string>"),
                 "tag_aliases": F.lit(None).cast("map<string,array<string>>")}
     config = payloads.select("roaster", "listing_url").distinct().withColumns(switches)
     # besides them, every fifth shop once more without an address
-    nameless = config.where(F.substring_index("roaster", " ", -1).cast("int") % 5 == 2).withColumns({
+    nameless = config.where(number % 5 == 2).withColumns({
         "roaster": F.replace("roaster", F.lit("shop "), F.lit("shop without ")),
         "listing_url": F.lit(None).cast("string"), "force_woo_api": F.lit(False)})
+    # the shops that answer nothing have listings: refused, without a handle, or with two that fail
+    silent = config.where(number % 4 == 3).select(
+        "roaster", "listing_url", F.lit(0).alias("candidate_ord"), F.when(number % 3 == 0, 404).otherwise(200).alias("http_status"),
+        F.when(number % 3 == 2, '<a href="/collections/tea">t</a><a href="/collections/All">a</a><a href="/collections/coffee-beans-">c</a>')
+        .otherwise('<a href="/collections/all">a</a>').alias("html"))
+    handles = pages.discovered_handles(silent).select(
+        "roaster", F.lit("discovered_collection").alias("strategy"), (F.col("rank") - 1).alias("candidate_ord"), F.lit(1).alias("page"),
+        "listing_url", urls.collection_json_url(F.col("listing_url"), F.col("handle")).alias("url"),
+        F.when(F.col("handle") == "tea", 200).otherwise(404).alias("http_status"),
+        F.lit("application/json").alias("content_type"), F.lit('{"products": []}').alias("body"))
+    payloads = payloads.unionByName(handles)
     config = config.unionByName(nameless)
     products = run.source_products(config, payloads)
     addresses = payloads.select("roaster", "strategy", "candidate_ord", "listing_url").distinct()
     reasons = feeds.feed_reasons(payloads, products).join(addresses, ["roaster", "strategy", "candidate_ord"])
-    return run.collect(config, products, reasons).groupBy("roaster", "strategy").agg(
-        F.count("*").alias("n_items"), F.max("error").alias("error"))
+    reasons = reasons.unionByName(pages.discovery_reasons(silent))
+    return run.collect(config, products, reasons).select(
+        "roaster", "strategy", "bean_name", "source_url", "roast_profile", "price_aud", "process", "origin", "flavour_profile", "error")
 
 
 # --- quality -------------------------------------------------------------------------------
@@ -236,9 +260,14 @@ def doc_validation(spark, sf_dir):
     code = F.md5(F.col("user_id").cast("string"))
     good = text_of('{"items": {"a": ', F.col("props"), '}, "tombstones": {"b": ', k, '.5e0}, "updated_at": ', k, "}")
     body = (
-        F.when(way == 2, F.when(F.col("event_id") % 20 == 2, text_of("{", F.col("props"))).otherwise(F.concat(good, F.lit(" trailing"))))
-        .when(way == 3, text_of('{"items": {"a": ', k, "}}"))
-        .when(way == 4, text_of('{"items": {}, "tombstones": {"b": "', k, '"}}'))
+        # not closed, with more behind it, or in quotes that JSON has not
+        F.when(way == 2, F.when(F.col("event_id") % 20 == 2, text_of("{", F.col("props"))).when(
+            F.col("event_id") % 40 == 12, F.concat(good, F.lit(" trailing"))).otherwise(text_of("{'items': {'a': {'n': ", k, "}}}")))
+        # of a repeated member the last counts, and it has to have the shape
+        .when(way == 3, F.when(F.col("event_id") % 20 == 3, text_of('{"items": {"a": ', k, "}}")).otherwise(
+            text_of('{"items": {"a": {}}, "tombstones": {}, "tombstones": {"b": "', k, '"}}')))
+        .when(way == 4, F.when(F.col("event_id") % 20 == 4, text_of('{"items": {}, "tombstones": {"b": "', k, '"}}')).otherwise(
+            text_of('{"items": {"a": {}}, "items": {"a": ', F.col("props"), '}, "tombstones": null}')))
         .when(way == 5, text_of("[", good, "]"))
         .when(way == 6, text_of('{"items": {"a": ', F.col("props"), '}, "tombstones": null}'))
         .when(way == 7, F.concat(good, F.repeat(F.lit("\U0001f600"), 500)))

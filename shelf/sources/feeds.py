@@ -169,7 +169,8 @@ def feed_reasons(payloads: DataFrame, items: DataFrame) -> DataFrame:
 
     A feed that gave items is left out before any body is read.  All-products feeds of
     one host are one source with several addresses: their reason lists each address
-    that was refused, or says that none had results.
+    that was refused, broken or empty, or says that none had results.  The reason of a
+    discovered collection begins with its handle.
     """
     key = ["roaster", "strategy", "candidate_ord"]
     kind = F.col("strategy")
@@ -193,7 +194,8 @@ def feed_reasons(payloads: DataFrame, items: DataFrame) -> DataFrame:
     groups = state.groupBy("roaster", "strategy", "_host", "candidate_ord").agg(
         first.alias("_first"), F.min(F.when(F.col("http_status") != 200, F.col("page"))).alias("_refused_at"),
         F.min("page").alias("_at"), F.coalesce(F.max("_n"), F.lit(0)).alias("_most"),
-        F.bool_or((F.col("http_status") == 200) & ~F.coalesce("_is_json", F.lit(False))).alias("_broken"),
+        # what was never captured failed, as what is no JSON
+        F.bool_or(F.col("http_status").isNull() | (F.col("http_status") == 200) & ~F.coalesce("_is_json", F.lit(False))).alias("_broken"),
         F.bool_or((F.col("http_status") == 200) & ~F.coalesce("_is_list", F.lit(False))).alias("_no_list"))
     groups = groups.withColumns({"http_status": F.col("_first.http_status"), "url": F.col("_first.url")})
     code = (
@@ -203,10 +205,12 @@ def feed_reasons(payloads: DataFrame, items: DataFrame) -> DataFrame:
         .when(paged & F.col("_no_list"), F.concat_ws("_", name, F.lit("invalid_payload")))
         .when(F.col("_most") == 0, F.concat_ws("_", name, none))
         .otherwise(F.concat_ws("_", name, F.lit("no_parsed_items"))))
+    handle = F.regexp_extract("url", "/collections/([^/]+)/products.json", 1)
+    code = F.when((kind == "discovered_collection") & (handle != ""), F.concat(handle, F.lit(":"), code)).otherwise(code)
     single = groups.where(~whole).select(*key, code.alias("reason"))
-    # an address of many: its status, or that it is broken; no products is not told
+    # an address of many: its status, that it is broken, or that it lists nothing
     told = F.when(F.col("http_status") != 200, F.concat(F.lit("http_"), F.col("http_status").cast("string"))).when(
-        F.col("_broken"), F.lit("error"))
+        F.col("_broken"), F.lit("error")).when(F.col("_most") == 0, F.lit("no_products"))
     address = F.struct("candidate_ord", F.concat("url", F.lit(":"), told).alias("told"))
     many = groups.where(whole).groupBy("roaster", "strategy", "_host").agg(
         F.min("candidate_ord").alias("candidate_ord"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from shelf import vocabulary as V
 from shelf.functions import prices, rules
 from shelf.functions.text import blank, filled, let, plain_text, unnest, with_page_text
-from shelf.functions.urls import product_links, shop_links, url_path
+from shelf.functions.urls import collection_handles, handle_score, product_links, shop_links, url_path
 from shelf.operators.extract import as_products
+from shelf.operators.select import top_per_group
 
 
 def _meta(html: Column, prop: str) -> Column:
@@ -143,6 +144,24 @@ def listing_links(listings: DataFrame, strategy: str) -> DataFrame:
     return rows.where(~F.contains(F.lower(path), F.lit("/feed")))
 
 
+def discovered_handles(listings: DataFrame, count: int = V.HANDLE_LIMIT) -> DataFrame:
+    """The collection handles of listing pages (roaster, listing_url, candidate_ord,
+    http_status, html) that are worth a try, with their ``rank``: those that sound most like
+    coffee first, shorter ones and then the first seen on ties."""
+    rows = unnest(listings.where(was_fetched()), collection_handles(F.col("html")), "ord", "handle", "roaster", "listing_url", "candidate_ord")
+    order = [handle_score(F.col("handle")).desc(), F.length("handle"), F.col("ord")]
+    return top_per_group(rows, ["roaster", "candidate_ord"], order, count)
+
+
+def discovery_reasons(listings: DataFrame) -> DataFrame:
+    """Why listing pages gave no handles: (roaster, strategy, candidate_ord, reason, listing_url)."""
+    reason = F.when(~was_fetched(), "handle_discovery_error").when(
+        F.size(collection_handles(blank(F.col("html")))) == 0, "handle_discovery_no_candidates")
+    return listings.select(
+        "roaster", F.lit("discovered_collection").alias("strategy"), "candidate_ord", reason.alias("reason"), "listing_url"
+    ).where("reason IS NOT NULL")
+
+
 def linked_products(links: DataFrame, pages: DataFrame, strategy: str) -> DataFrame:
     """Products behind links; a page that was not captured gives an error row.
     Pages: url, http_status, content_type, html.
@@ -193,8 +212,6 @@ def sitemap_reasons(seeds: DataFrame, errors: DataFrame, found: DataFrame, items
 
 def sitemap_links(products: DataFrame, max_urls: int | None = None) -> DataFrame:
     """The product addresses of every site, or the first ``max_urls`` found."""
-    from shelf.operators.select import top_per_group
-
     if max_urls is None:
         return products
     return top_per_group(

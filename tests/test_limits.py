@@ -130,9 +130,30 @@ def test_links(spark):
     assert found[:2] == ["https://s.example.com/products/one", "https://s.example.com/products/two"] and len(found) == 3
 
 
+def test_entities_in_links(spark):
+    html = ('<a href="/products/caf&#8217;e">x</a><a href="/products/a&eacute;b">y</a><a href="/products/c&amp;eacute;d">z</a>'
+            '<a href="/products/one?a=1&copy=2">q</a>')
+    found = one(spark, urls.product_links(F.lit("https://s.example.com/list"), F.lit(html)))
+    assert found == ["https://s.example.com/products/caf’e", "https://s.example.com/products/aéb",
+                     "https://s.example.com/products/c&eacute", "https://s.example.com/products/one"]
+    body = "<loc> https://s.com/products/a&eacute;b </loc><LOC>https://s.com/p?a=1&amp;b=2</LOC><loc>https://s.com/<b>x</b></loc>"
+    assert one(spark, crawl.sitemap_locs(F.lit(body))) == ["https://s.com/products/aéb", "https://s.com/p?a=1&b=2", "https://s.com/ x"]
+
+
+@pytest.mark.parametrize("raw,unit,want", [
+    ("1234", None, "12.34"), ("1234", 2147483647, "0.00"), ("1234", -2147483648, ""), ("5", 3, "0.01"), ("4", 3, "0.00"), ("5", 1, "0.50"),
+    ("0", 0, "0.00"), ("9" * 30, 29, "10.00"), ("9" * 18, 18, "1.00"), ("7", -3, "7000.00"), ("1" * 50, 48, "11.11"), ("", 2, ""), ("-1", 2, ""),
+    ("007", 2, "0.07"), ("999", 5, "0.01"), ("4999", 6, "0.00"), ("1", 19, "0.00"), (" 12 ", 0, "12.00")])
+def test_minor_units(spark, raw, unit, want):
+    assert one(spark, prices.minor_unit_price(F.lit(raw), F.lit(unit).cast("int"))) == want
+
+
 def test_document_rules(spark):
     code = F.lit("0" * 32)
     for body, want in (('{"items":{"a":{}}} trailing', "bad_json"), ('{"items":{"a":1},"items":{"a":{}}}', None), ('{"items":{"a":1}}', "bad_shape"),
+                       ("{'items':{}}", "bad_json"), ('{"items":{"a":{}},"tombstones":{},"tombstones":{"k":"1"}}', "bad_shape"),
+                       ('{"items":{},"items":{"a":{}},"tombstones":null}', "bad_shape"), ('{"items":{"a":"{"},"items":{"a":"{b"}}', "bad_shape"),
+                       ('{"items":{"a":1},"items":{"a":{}},"tombstones":{"k":1e400}}', "bad_shape"), ("null", "bad_shape"), ("", "bad_json"),
                        ('{"items":{"a":{},"a":{}}}', None), ("{}] [{}", "bad_json"), ('{"items":{}', "bad_json")):
         assert one(spark, merge.reject_reason(code, F.lit(body))) == want, body
     assert one(spark, merge.reject_reason(code, F.lit('{"items":{"a":{"t":"\U0001f600"}}}'), 25)) == "too_large"
