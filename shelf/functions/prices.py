@@ -74,20 +74,28 @@ def minor_unit_price(raw: Column, minor: Column) -> Column:
     ten = F.element_at(F.array(*[F.lit("1" + "0" * k).cast("decimal(20,0)") for k in range(19)]), unit.cast("int") + 1)
     short = (raw.try_cast("decimal(18,0)") / ten).cast(MONEY).cast("string")
     easy = (F.length(raw) <= 18) & unit.between(0, 18)
+    # bound once: the steps below use them many times
+    odd = F.struct(raw.alias("raw"), F.least(unit, F.length(raw) + 3).cast("int").alias("unit"))
     return F.when(~raw.rlike("^[0-9]+$"), "").when(easy, short).when(unit < -_PLACES, "").otherwise(
-        _moved_point(raw, F.least(unit, F.length(raw) + 3).cast("int")))
+        let(odd, lambda x: _moved_point(x.raw, x.unit)))
 
 
 def _moved_point(raw: Column, unit: Column) -> Column:
-    digits = F.concat(raw, F.repeat(F.lit("0"), F.greatest(-unit, F.lit(0))))
-    digits = F.lpad(digits, F.greatest(F.length(digits), unit + 1), "0")
     places = F.greatest(unit, F.lit(0))
-    whole = F.regexp_replace(F.substr(digits, F.lit(1), F.length(digits) - places), "^0+(?=.)", "")
-    rest = F.rpad(F.substr(digits, F.length(digits) - places + 1), F.greatest(places, F.lit(3)), "0")
-    down = F.concat(whole, F.lit("."), F.substring(rest, 1, 2))
-    up = F.substring(rest, 3, 1) >= "5"
-    more = (down.try_cast(MONEY) + F.lit("0.01").cast("decimal(3,2)")).try_cast(MONEY).cast("string")
-    return F.when(up, F.coalesce(more, down)).otherwise(down)
+    padded = F.concat(raw, F.repeat(F.lit("0"), F.greatest(-unit, F.lit(0))))
+    digits = let(padded, lambda d: F.lpad(d, F.greatest(F.length(d), unit + 1), "0"))
+
+    def parts(d):
+        whole = F.regexp_replace(F.substr(d, F.lit(1), F.length(d) - places), "^0+(?=.)", "")
+        rest = F.rpad(F.substr(d, F.length(d) - places + 1), F.greatest(places, F.lit(3)), "0")
+        return F.struct(whole.alias("whole"), rest.alias("rest"))
+
+    def rounded(p):
+        down = F.concat(p.whole, F.lit("."), F.substring(p.rest, 1, 2))
+        more = (down.try_cast(MONEY) + F.lit("0.01").cast("decimal(3,2)")).try_cast(MONEY).cast("string")
+        return F.when(F.substring(p.rest, 3, 1) >= "5", F.coalesce(more, down)).otherwise(down)
+
+    return let(let(digits, parts), rounded)
 
 
 def sold_out(variants: Column) -> Column:
