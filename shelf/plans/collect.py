@@ -6,11 +6,14 @@ variant 0 is the configured address, 1 the one with 'www.' toggled.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
-from shelf.operators import extract
+from shelf.functions.urls import other_www, site_root
+from shelf.operators import crawl, extract
 from shelf.session import written
 from shelf.sources import catalogue, feeds, pages
 
@@ -65,23 +68,56 @@ def source_products(config: DataFrame, payloads: DataFrame, details: DataFrame |
         .unionByName(feeds.collection_products(of("all_products"), whole_shop=True))
         .unionByName(feeds.woo_products(of("woo")))
         .unionByName(feeds.wordpress_products(of("wordpress"))))
+    links = []
     if listings is not None:
         for name in pages.LINKS:
             own = listings.where(F.col("strategy") == name).join(allow, ["roaster", "strategy"])
-            links = written(pages.listing_links(feeds.with_shops(own, config), name), "links")
-            products = products.unionByName(pages.linked_products(links, captured_pages, name))
+            links.append(pages.listing_links(feeds.with_shops(own, config), name))
     if sitemap_found is not None:
         # which host variant's sitemaps they are; the configured one if nothing is said
         known = "candidate_ord" in sitemap_found.columns
         host = (F.col("candidate_ord") if known else F.lit(0)).alias("candidate_ord")
-        links = pages.sitemap_links(sitemap_found).select(
+        found = pages.sitemap_links(sitemap_found).select(
             F.col("site").alias("roaster"), "listing_url", "ord", F.col("url").alias("product_url"),
             host, F.lit("sitemap").alias("strategy"))
-        links = feeds.with_shops(links.join(allow, ["roaster", "strategy"]), config)
-        products = products.unionByName(pages.linked_products(links, captured_pages, "sitemap"))
+        links.append(feeds.with_shops(found.join(allow, ["roaster", "strategy"]), config))
+    if links:
+        # all links together, so that each captured page is read once
+        every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), links)
+        products = products.unionByName(pages.linked_products(written(every, "links"), captured_pages))
     return pages.not_skipped(written(products, "products"))
 
 
+def host_variants(config: DataFrame) -> DataFrame:
+    """The addresses to try for a shop: the configured one and the one with 'www.' toggled."""
+    named = config.where("listing_url IS NOT NULL").select("roaster", "listing_url")
+    other = named.withColumn("listing_url", other_www(F.col("listing_url"))).where("listing_url IS NOT NULL")
+    return named.withColumn("candidate_ord", F.lit(0)).unionByName(other.withColumn("candidate_ord", F.lit(HOST)))
+
+
+def sitemap_source(config: DataFrame, documents: DataFrame, captured_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sitemap strategy as one run over captured documents (url, http_status, body), for
+    both host variants: the usual places and what robots files name, the files they lead
+    to, the product pages, and why there are none.
+
+    Returns products, skipped pages included, and reasons (roaster, strategy, candidate_ord,
+    listing_url, reason).  Both variants are one expansion, told apart by their site.
+    """
+    site = F.struct("roaster", "candidate_ord").alias("site")
+    sites = written(host_variants(config).select(site, "listing_url"), "sites")
+    robots = sites.withColumn("url", F.concat(site_root(F.col("listing_url")), F.lit("/robots.txt"))).join(documents, "url")
+    seeds = crawl.usual_seeds(sites).unionByName(crawl.robots_seeds(robots), allowMissingColumns=True)
+    found, errors = crawl.expand_sitemaps(documents, seeds.select("site", "listing_url", "url", "ord"))
+    found = written(found, "found")
+    links = feeds.with_shops(
+        pages.sitemap_links(found).join(sites, "site").select(
+            "site.*", "listing_url", "ord", F.col("url").alias("product_url"), F.lit("sitemap").alias("strategy")), config)
+    products = written(pages.linked_products(written(links, "links"), captured_pages), "products")
+    judged = products.select(F.struct("roaster", "candidate_ord").alias("roaster"), "status")
+    told = pages.sitemap_reasons(sites, errors, found, judged).withColumnRenamed("roaster", "site").join(sites, "site")
+    return products, told.select("site.*", F.lit("sitemap").alias("strategy"), "listing_url", "reason")
+
+
 def chosen_source(products: DataFrame) -> DataFrame:
     """Per shop the products of its first strategy that has any; where a strategy
     has several candidates, of the one with most rows, the earlier on ties.

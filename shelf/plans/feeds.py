@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -222,8 +224,9 @@ def config_join(spark, sf_dir):
 
 # --- pages ------------------------------------------------------------------------------
 
-def part_pages(spark, sf_dir, path="/products/"):
-    """Every part as a captured product page."""
+def part_pages(spark, sf_dir, *paths):
+    """Every part as a captured product page, under each of the paths."""
+    path = F.col("path")
     key, size = F.col("p_partkey"), F.col("p_size")
     price = F.col("p_retailprice").cast("decimal(10,2)").cast("string")
     head = choose(
@@ -244,7 +247,8 @@ def part_pages(spark, sf_dir, path="/products/"):
         heading, "<!-- Process: Honey -->", cost, "<p>Process: ", pick(TERMS, size), "</p><p>Roast&nbsp;: espresso</p></body></html>")
     url = text_of("https://shop.example.com", path, F.when(size == 7, F.lit("gift-card-")).otherwise(F.lit("")),
                   key.cast("string"))
-    return table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").withColumn("path", F.explode(F.array(*[F.lit(p) for p in paths or ("/products/",)])))
+    return parts.select(
         key, size, url.alias("url"), F.when(size % 10 == 1, 404).otherwise(200).alias("http_status"),
         F.when(size % 10 == 0, "application/RSS+xml").otherwise("text/html").alias("content_type"), html.alias("html"))
 
@@ -298,35 +302,41 @@ def part_listings(spark, sf_dir, path, escaped):
 
 
 @query("link_driven_sources", f"""
-WITH {_CASES}, strategies(strategy) AS (VALUES ('html_listing'), ('shop_slug'), ('sitemap'))
-SELECT strategy, 'shop ' || (p_partkey // 50) AS roaster, count(*) AS n_items,
-       count(*) FILTER (WHERE state = 'html' AND title <> '' AND p_size % 10 <> 2) AS n_ok,
-       count(*) FILTER (WHERE p_size % 10 = 2) AS n_missing
-FROM cases, strategies WHERE state NOT IN ('feed', 'blocked') GROUP BY 1, 2""")
+WITH {_CASES}, strategies(strategy, path) AS (VALUES ('html_listing', '/products/'), ('shop_slug', '/shop/'), ('sitemap', '/products/')),
+linked AS (
+  SELECT *, 'shop ' || (p_partkey // 50) AS roaster, state = 'page' OR p_size % 10 = 2 AS lost,
+         'https://shop.example.com' || CASE strategy WHEN 'sitemap' THEN '/' ELSE '/list/' || (p_partkey // 50) END AS listing
+  FROM cases, strategies WHERE state NOT IN ('feed', 'blocked'))
+SELECT strategy, roaster, CASE WHEN lost THEN listing ELSE 'https://shop.example.com' || path || p_partkey END AS source_url,
+  CASE WHEN lost THEN '' ELSE title END AS bean_name, CASE WHEN lost THEN '' ELSE price END AS price_aud,
+  CASE WHEN lost OR title = '' THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN p_size % 10 = 2 THEN 'product_page_error: not captured' WHEN lost THEN 'product_page_error: 404'
+       WHEN title = '' THEN 'missing_product_title' ELSE '' END AS error
+FROM linked""")
 def link_driven_sources(spark, sf_dir):
-    out = None
+    return linked_items(spark, sf_dir).select("strategy", "roaster", "source_url", F.col("title").alias("bean_name"),
+                                              F.col("price").alias("price_aud"), "status", "error")
+
+
+def linked_items(spark, sf_dir):
+    """The links of all three strategies, whose pages are read together."""
+    links = []
     for strategy, path in (("html_listing", "/products/"), ("shop_slug", "/shop/")):
-        captured = part_pages(spark, sf_dir, path).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
         listings = part_listings(spark, sf_dir, path, strategy == "shop_slug")
-        links = written(pages.listing_links(listings, strategy), "links")
-        found = pages.linked_products(links, captured, strategy)
-        out = found if out is None else out.unionByName(found)
+        links.append(pages.listing_links(listings, strategy).withColumn("strategy", F.lit(strategy)))
     found, _ = crawl.expand_sitemaps(*part_sitemaps(spark, sf_dir))
-    links = pages.sitemap_links(found).select(
+    links.append(pages.sitemap_links(found).select(
         F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord",
-        F.col("url").alias("product_url"))
-    captured = part_pages(spark, sf_dir).where("p_size % 10 <> 2").drop("p_partkey", "p_size")
-    products = written(out.unionByName(pages.linked_products(links, captured, "sitemap")), "products")
-    return pages.not_skipped(products).groupBy("strategy", "roaster").agg(
-        F.count("*").alias("n_items"), F.count_if(F.col("status") == "ok").alias("n_ok"),
-        F.count_if(F.col("error") == "product_page_error: not captured").alias("n_missing"))
+        F.col("url").alias("product_url"), F.lit("sitemap").alias("strategy")))
+    links = written(functools.reduce(lambda a, b: a.unionByName(b), links), "links")
+    captured = part_pages(spark, sf_dir, "/products/", "/shop/").where("p_size % 10 <> 2").drop("p_partkey", "p_size")
+    return pages.not_skipped(written(pages.linked_products(links, captured), "products"))
 
 
 @query("link_reasons", f"""
 WITH {_CASES}, shops AS (SELECT DISTINCT p_partkey // 50 AS n FROM cases)
-SELECT 'html_listing' AS strategy, 'shop ' || n AS roaster,
-       CASE n % 4 WHEN 1 THEN 'listing_page_error' WHEN 2 THEN 'listing_page_no_product_links' ELSE 'listing_page_no_valid_products' END AS reason
-FROM shops WHERE n % 4 > 0
+SELECT s.strategy, 'shop ' || n AS roaster, s.name || CASE n % 4 WHEN 1 THEN '_error' WHEN 2 THEN '_no_product_links' ELSE '_no_valid_products' END AS reason
+FROM shops, (VALUES ('html_listing', 'listing_page'), ('shop_slug', 'shop_slug_listing')) AS s(strategy, name) WHERE n % 4 > 0
 UNION ALL SELECT 'sitemap', 'shop ' || n, CASE n % 4 WHEN 1 THEN 'sitemap_no_product_urls'
   ELSE 'sitemap_no_valid_products: sitemap_http_404:https://shop.example.com/' || n || '/sm_1.xml' END
 FROM shops WHERE n % 4 IN (1, 3)""")
@@ -334,21 +344,27 @@ def link_reasons(spark, sf_dir):
     # shops by number: 0 answers, 1 refuses its lists, 2 links nothing, 3 refuses its pages and a file
     shop = F.substring_index("roaster", " ", -1).cast("int") % 4
     refused = F.floor(F.col("p_partkey") / 50) % 4 == 3
-    captured = part_pages(spark, sf_dir).withColumn("http_status", F.when(refused, 404).otherwise(F.col("http_status")))
-    captured = captured.drop("p_partkey", "p_size")
-    listings = part_listings(spark, sf_dir, "/products/", False).withColumns({
-        "http_status": F.when(shop == 1, 500).otherwise(200), "html": F.when(shop == 2, "<p>none</p>").otherwise(F.col("html"))})
-    links = written(pages.listing_links(listings, "html_listing"), "links")
-    listed = pages.listing_reasons(listings, links, pages.linked_products(links, captured, "html_listing"), "html_listing")
+    captured = part_pages(spark, sf_dir, "/products/", "/shop/").withColumn(
+        "http_status", F.when(refused, 404).otherwise(F.col("http_status"))).drop("p_partkey", "p_size")
     docs, seeds = part_sitemaps(spark, sf_dir)
     number = F.regexp_extract("url", r"com/(\d+)/", 1).cast("int") % 4
     broken = ((number == 1) & F.col("url").endswith("sitemap.xml")) | ((number == 3) & F.col("url").endswith("sm_1.xml"))
     found, errors = crawl.expand_sitemaps(docs.withColumn("http_status", F.when(broken, 404).otherwise(200)), seeds)
-    links = pages.sitemap_links(found).select(
-        F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord", F.col("url").alias("product_url"))
-    told = pages.sitemap_reasons(seeds, errors, found, pages.linked_products(links, captured, "sitemap"))
-    return listed.withColumn("strategy", F.lit("html_listing")).unionByName(
-        told.withColumn("strategy", F.lit("sitemap"))).select("strategy", "roaster", "reason")
+    lists, links = {}, [pages.sitemap_links(found).select(
+        F.col("site").alias("roaster"), F.lit("https://shop.example.com/").alias("listing_url"), "ord",
+        F.col("url").alias("product_url"), F.lit("sitemap").alias("strategy"))]
+    for strategy, path in (("html_listing", "/products/"), ("shop_slug", "/shop/")):
+        lists[strategy] = part_listings(spark, sf_dir, path, strategy == "shop_slug").withColumns({
+            "http_status": F.when(shop == 1, 500).otherwise(203), "html": F.when(shop == 2, "<p>none</p>").otherwise(F.col("html"))})
+        links.append(pages.listing_links(lists[strategy], strategy).withColumn("strategy", F.lit(strategy)))
+    links = written(functools.reduce(lambda a, b: a.unionByName(b), links), "links")
+    items = written(pages.linked_products(links, captured), "products")
+    told = pages.sitemap_reasons(seeds, errors, found, items.where("strategy = 'sitemap'")).withColumn("strategy", F.lit("sitemap"))
+    for strategy, listings in lists.items():
+        own = F.col("strategy") == strategy
+        told = told.unionByName(pages.listing_reasons(listings, links.where(own), items.where(own), strategy).withColumn(
+            "strategy", F.lit(strategy)))
+    return told.select("strategy", "roaster", "reason")
 
 
 def part_sitemaps(spark, sf_dir):

@@ -8,7 +8,7 @@ from shelf.functions import urls
 from shelf.operators import crawl, merge, quality, select
 from shelf.plans import collect as run
 from shelf.plans.extraction import text_of
-from shelf.plans.feeds import _LISTED, captured_feeds
+from shelf.plans.feeds import _CASES, _LISTED, captured_feeds, part_pages
 from shelf.plans.registry import query, table
 from shelf.session import written
 from shelf.sources import catalogue, feeds, pages
@@ -150,6 +150,47 @@ def collection_run(spark, sf_dir):
         "roaster", "strategy", "bean_name", "source_url", "roast_profile", "price_aud", "process", "origin", "flavour_profile", "error")
 
 
+@query("sitemap_run", f"""
+WITH {_CASES},
+parts AS (SELECT *, p_partkey // 50 AS n, 'https://' || CASE WHEN p_partkey // 50 % 2 = 1 THEN 'www.' ELSE '' END || 's' || (p_partkey // 50)
+                 || '.example.com' AS root FROM cases)
+SELECT 'shop ' || n AS roaster, 'sitemap' AS strategy, CASE WHEN state = 'page' THEN root || '/list' ELSE root || '/products/' || p_partkey END AS source_url,
+       CASE WHEN state = 'page' THEN '' ELSE title END AS bean_name, CASE WHEN state = 'page' THEN '' ELSE price END AS price_aud,
+       CASE WHEN state = 'page' OR title = '' THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN state = 'page' THEN 'product_page_error: 404' WHEN title = '' THEN 'missing_product_title' ELSE '' END AS error
+FROM parts WHERE n % 5 <> 4 AND state NOT IN ('feed', 'blocked')
+UNION ALL
+SELECT DISTINCT 'shop ' || n, NULL, 'https://s' || n || '.example.com/list', '', '', 'error',
+       'https://s' || n || '.example.com/list => sitemap_no_product_urls || https://www.s' || n || '.example.com/list => sitemap_no_product_urls'
+FROM parts WHERE n % 5 = 4""")
+def sitemap_run(spark, sf_dir):
+    # every second shop answers with 'www.' only; every third names its files in robots.txt;
+    # every fifth has no files at all
+    n = F.floor(F.col("p_partkey") / 50).cast("int")
+    root = text_of("https://", F.when(n % 2 == 1, "www.").otherwise(""), "s", n.cast("string"), ".example.com")
+    slug = text_of(F.when(F.col("p_size") == 7, "gift-card-").otherwise(""), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", n.alias("n"), root.alias("root"), F.concat("root", F.lit("/products/"), slug).alias("url"))
+    shop = rows.groupBy("n", "root").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(F.lit("<loc>"), "url", F.lit("</loc>")))), "").alias("locs"))
+    shop = shop.where("n % 5 <> 4")
+    hidden = F.col("n") % 3 == 0
+    file = F.when(hidden, F.lit("/hidden/list.xml")).otherwise("/product-sitemap1.xml")
+    docs = shop.select(F.concat("root", file).alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("body")).union(
+        shop.where(hidden).select(F.concat("root", F.lit("/robots.txt")), F.concat(
+            F.lit("User-agent: *\r\nsitemap: "), "root", F.lit("/hidden/index\n"))).union(
+            shop.where(hidden).select(F.concat("root", F.lit("/hidden/index")), F.concat(F.lit("<loc>"), "root", F.lit("/hidden/list.xml</loc>"))))
+    ).withColumn("http_status", F.lit(200))
+    moved = F.concat("root", F.regexp_extract("url", "com(/.*)", 1))
+    captured = part_pages(spark, sf_dir).withColumn("root", root).withColumn("url", moved).select("url", "http_status", "content_type", "html")
+    config = rows.select(text_of("shop ", F.col("n").cast("string")).alias("roaster"),
+                         text_of("https://s", F.col("n").cast("string"), ".example.com/list").alias("listing_url")).distinct().withColumns({
+        "price_variant_filter": F.lit(None).cast("string"), "skip_sources": F.lit(None).cast("array<string>"),
+        "tag_aliases": F.lit(None).cast("map<string,array<string>>")})
+    products, reasons = run.sitemap_source(config, docs, captured)
+    return run.collect(config, pages.not_skipped(products), reasons).select(
+        "roaster", "strategy", "source_url", "bean_name", "price_aud", "status", "error")
+
+
 # --- quality -------------------------------------------------------------------------------
 
 def judged_documents(spark, sf_dir):

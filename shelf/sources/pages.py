@@ -87,11 +87,9 @@ def was_fetched() -> Column:
     return F.coalesce((F.col("http_status") >= 100) & (F.col("http_status") < 400), F.lit(False))
 
 
-def page_products(pages: DataFrame) -> DataFrame:
-    """Product pages to products with a status: ok, skip or error.
-
-    Needs roaster, listing_url, product_url, http_status, content_type, html.
-    """
+def with_page_facts(pages: DataFrame) -> DataFrame:
+    """What a captured page says by itself: its state (page, if there is none; feed; html),
+    title, text and price.  Needs http_status, content_type, html."""
     fetched = was_fetched()
     feed = rules.is_feed(F.col("content_type"))
     rows = pages.withColumns({
@@ -99,6 +97,12 @@ def page_products(pages: DataFrame) -> DataFrame:
         "html": F.when(fetched & ~feed, blank(F.col("html"))).otherwise(""),
     })
     rows = with_page_text(with_page_title(rows, F.col("html")), text=F.col("html"))
+    return rows.withColumn("price", page_price(F.col("html"), F.col("text"))).drop("html", "content_type")
+
+
+def judged_products(rows: DataFrame) -> DataFrame:
+    """Pages with their facts to products with a status: ok, skip or error.  Needs roaster,
+    listing_url, product_url besides."""
     blocked = rules.is_blocked_for(F.col("roaster"), F.concat_ws(" ", "title", "product_url"), cleaned=True)
     rows = rows.withColumn("_state", F.when(
         (F.col("_state") == "html") & blocked, "blocked").otherwise(F.col("_state")))
@@ -115,12 +119,19 @@ def page_products(pages: DataFrame) -> DataFrame:
         .when(untitled, "missing_product_title").otherwise(""))
     rows = rows.withColumns({
         "status": status, "error": error, "body": F.col("text"),
-        "price": page_price(F.col("html"), F.col("text")),
         "source_url": F.when(F.col("_state") == "page", F.col("listing_url")).otherwise(F.col("product_url")),
     })
     return as_products(rows)
 
 
+def page_products(pages: DataFrame) -> DataFrame:
+    """Product pages to products with a status.
+
+    Needs roaster, listing_url, product_url, http_status, content_type, html.
+    """
+    return judged_products(with_page_facts(pages))
+
+
 # --- sources that follow links --------------------------------------------------------
 
 LINKS = {
@@ -162,15 +173,21 @@ def discovery_reasons(listings: DataFrame) -> DataFrame:
     ).where("reason IS NOT NULL")
 
 
-def linked_products(links: DataFrame, pages: DataFrame, strategy: str) -> DataFrame:
+def linked_products(links: DataFrame, pages: DataFrame, strategy: str | None = None) -> DataFrame:
     """Products behind links; a page that was not captured gives an error row.
-    Pages: url, http_status, content_type, html.
+    Pages: url, http_status, content_type, html.  Links of several strategies, told apart by
+    a column of that name, are best handed in together: a page is read once, whichever
+    shops and strategies link it, and its facts go out to all its links.
 
     Skipped pages are still there: dropping them here would make Spark work out
     every page's status twice.  Write the table, then use ``not_skipped``.
     """
-    found = links.join(pages.withColumnRenamed("url", "product_url"), "product_url", "left")
-    return page_products(found.withColumn("strategy", F.lit(strategy)))
+    if strategy is not None:
+        links = links.withColumn("strategy", F.lit(strategy))
+    wanted = links.select("product_url").distinct()
+    facts = with_page_facts(wanted.join(pages.withColumnRenamed("url", "product_url"), "product_url", "left"))
+    # the facts lie by address already, so only the links are moved
+    return judged_products(links.join(facts, "product_url"))
 
 
 def not_skipped(products: DataFrame) -> DataFrame:
