@@ -236,10 +236,14 @@ def with_fields(df: DataFrame, *, text: str, body: str, tags: str | None = None,
         else:
             value = F.when(given != "", given).otherwise(let(loose, GUARDS[f]))
         df = df.withColumn(names.get(f, f), value)
-    # what a guard refused stays to be seen: the structured value, by field
-    refused = F.map_filter(F.map_from_arrays(
-        F.array(*[F.lit(names.get(f, f)) for f in V.FIELDS]),
-        F.array(*[F.when((F.col("_raw")[f] != "") & (F.col(f"_{f}") == ""), F.col("_raw")[f]) for f in V.FIELDS])),
-        lambda _, v: v.isNotNull())
+    # what a guard refused stays to be seen, by field: the structured value, and under
+    # '<field>_text' what the free text had instead
+    def entry(f, suffix, value, gone):
+        return F.struct(F.lit(names.get(f, f) + suffix).alias("key"), F.when(gone & (value != ""), value).alias("value"))
+
+    lost = {f: F.col(names.get(f, f)) == "" for f in V.FIELDS}
+    entries = [entry(f, "", F.col("_raw")[f], F.col(f"_{f}") == "") for f in V.FIELDS]
+    entries += [entry(f, "_text", F.btrim(F.col(f"_free_{f}")), lost[f]) for f in V.FIELDS]
+    refused = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.value.isNotNull()))
     df = df.withColumn("refused", refused)
     return df.drop("_raw", *[f"_{f}" for f in V.FIELDS], *[f"_free_{f}" for f in V.FIELDS])

@@ -34,7 +34,8 @@ def as_products(rows: DataFrame, **given: Column | None) -> DataFrame:
 
 
 def items(products: DataFrame, keep=("strategy", "candidate_ord", "ord")) -> DataFrame:
-    """Catalogue items.  Products that were refused carry no fields.
+    """Catalogue items.  Products that were refused carry no fields.  ``refused``, beside
+    the item, holds values that the fields' guards did not take.
 
     This is the costly step, so choose between sources before it.
     """
@@ -49,4 +50,5 @@ def items(products: DataFrame, keep=("strategy", "candidate_ord", "ord")) -> Dat
         "bean_name": F.col("title"), "price_aud": F.col("price"), "roast_profile": only(roast),
         **{c: only(F.col(c)) for c in ("origin", "process", "varietal", "flavour_profile")},
     }
-    return rows.select(*keep, *[given.get(c, F.col(c)).alias(c) for c in schemas.ITEM_COLUMNS])
+    refused = F.when(usable, F.col("refused"))
+    return rows.select(*keep, *[given.get(c, F.col(c)).alias(c) for c in schemas.ITEM_COLUMNS], refused.alias("refused"))

@@ -260,3 +260,23 @@ def roast_profile(spark, sf_dir):
         roast.listed_roast(F.col("title"), F.col("variants"), F.col("tags")), roast.roast_of_text(F.col("text")))
     return rows.select("p_partkey", profile.alias("roast_profile")).withColumn(
         "colour", roast.roast_colour(F.col("roast_profile")))
+
+
+@query("refused_values", """
+SELECT p_partkey, 'origin' AS field, 'Lot ' || p_size AS value, '' AS kept FROM part WHERE p_size % 3 <> 0
+UNION ALL SELECT p_partkey, 'process', 'Odd way ' || p_size, CASE WHEN p_size % 2 = 0 THEN 'Honey' ELSE '' END FROM part
+UNION ALL SELECT p_partkey, 'process_text', 'Odd text', '' FROM part WHERE p_size % 2 = 1""")
+def refused_values(spark, sf_dir):
+    from shelf.operators.extract import PRODUCT, items
+
+    # labels that no guard takes, and free text that is taken for every second part
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    given = {
+        "roaster": F.lit("a shop"), "strategy": F.lit("collection"), "candidate_ord": F.lit(0), "ord": F.col("p_partkey"),
+        "title": F.lit("A bean"), "status": F.lit("ok"), "error": F.lit(""),
+        "tags": F.array(text_of("Origin: Lot ", size, F.when(F.col("p_size") % 3 == 0, ", Kenya").otherwise("")), text_of("Process: Odd way ", size)),
+        "body": F.lit(""), "text": F.when(F.col("p_size") % 2 == 0, F.lit("Process: Honey")).otherwise(text_of("Process: Odd text ", key))}
+    rows = table(spark, sf_dir, "part").select(*[given.get(c, F.lit("" if t == "string" else None)).cast(t).alias(c) for c, t in PRODUCT.items()])
+    found = items(rows)
+    return found.select(F.col("ord").alias("p_partkey"), "origin", "process", F.explode("refused").alias("field", "value")).select(
+        "p_partkey", "field", "value", F.when(F.col("field") == "origin", F.col("origin")).otherwise(F.col("process")).alias("kept"))
