@@ -4,10 +4,12 @@ A document's set are its distinct five-word shingles, as 64-bit hashes.  The has
 dealt over registers; each keeps the smallest as its number of leading zeros and ten
 bits behind them.  Documents with one set are one class, and classes that agree in
 all registers of a band are candidates.  Per bucket of a band they are first compared
-with one hub.  What is left in buckets that still hold several components is compared in
-tiles by the estimate from the registers, corrected for chance collisions, each tile
-handing on a spanning forest of its likely pairs, and in the last round all of them.
-Every link is confirmed on the full sets before it counts.
+with one hub.  Buckets that still hold several components are joined into clusters by the
+members they share.  A cluster is compared as a whole where that takes fewer rows than its
+buckets do one by one, so a group of near copies, which fills a bucket of every band, is
+gone over once.  Either is compared in tiles by the estimate from the registers, corrected
+for chance collisions, each tile handing on a spanning forest of its likely pairs, and in
+the last round all of them.  Every link is confirmed on the full sets before it counts.
 
 Two classes at the limit of 0.85 share no band with a probability of 5e-9; that and
 the estimate's margin of five standard deviations are all that can lose a link.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf.llm.common import Workspace, map_texts, partitions, per_worker
@@ -36,6 +38,8 @@ EMPTY = 0xFFFF
 #: Members of a bucket that are compared in one tile.
 TILE = 512
 FOREST_ROUNDS = 3
+#: Stands for the band of a bucket that is a whole cluster.
+CLUSTER = -1
 #: Ids up to this number are broadcast to pick out texts, 16 MB; more are joined.
 BROADCAST_IDS = 2_000_000
 HOT_SHARE = 1e-3
@@ -154,7 +158,10 @@ def buckets(classes: DataFrame, work: Workspace) -> DataFrame:
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
     first = F.min(F.struct("band", "bucket"))
     once = work.write(full.groupBy("size", "hub", "x", "y").agg(first.alias("b")).select("b.bucket", "b.band", "size", "hub"), "buckets")
-    return work.write(keyed.drop("band").join(once, "bucket").select("bucket", "band", "size", "hub", "rep"), "members")
+    members = work.write(keyed.drop("band").join(once, "bucket").select("bucket", "band", "size", "hub", "rep"), "members")
+    work.drop("bands")
+    work.drop("buckets")
+    return members
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -206,7 +213,10 @@ def _confirmed(pairs: DataFrame, hubs: DataFrame, docs: DataFrame, limit: float,
 
     dealt = needed.join(own, "doc_id").select("task", "doc_id", "own")
     links = pairs.groupBy("task").cogroup(dealt.groupBy("task")).applyInPandas(check, "u long, v long")
-    return work.write(links.distinct(), f"{name}-links")
+    links = work.write(links.distinct(), f"{name}-links")
+    for part in ("pairs", "needed", "ids", "sets"):
+        work.drop(f"{name}-{part}")
+    return links
 
 
 def _forest(near: np.ndarray, value: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
@@ -248,9 +258,10 @@ def _tile_pairs(part: pd.DataFrame, limit: float, every: bool) -> tuple[list[tup
     value = (same / count - chance) / (1 - chance)
     near = _likely(value, count, n[:, None], n, limit) & (own[:, None] != own) & (rep[:, None] < rep)
     near &= np.minimum(n[:, None], n) >= np.maximum(n[:, None], n) * limit
-    # a pair belongs to the first band that it shares, so no other bucket gives it again
+    # a pair belongs to the first band that it shares, so no other bucket gives it again;
+    # a cluster has all its pairs
     i, j = np.nonzero(near)
-    for k in range(0, len(i), 20_000):
+    for k in range(0, len(i) if part["band"].iat[0] != CLUSTER else 0, 20_000):
         own_i, own_j = i[k:k + 20_000], j[k:k + 20_000]
         near[own_i, own_j] = _first_band(a[own_i], a[own_j]) == part["band"].iat[0]
     i, j = np.nonzero(near)
@@ -259,16 +270,45 @@ def _tile_pairs(part: pd.DataFrame, limit: float, every: bool) -> tuple[list[tup
     return [(int(rep[x]), int(rep[y])) for x, y in pairs], hold
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their components, of the buckets that hold several of them."""
+    held = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    return held.join(several, "bucket")
+
+
+def _tiled(size: Column) -> Column:
+    """Rows that comparing so many members in tiles takes."""
+    return size * F.ceil(size / TILE)
+
+
+def clustered(members: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """The unsettled members, in their buckets or, where that is less work, in one bucket for
+    all buckets that share members."""
+    left = work.write(_unsettled(members, labels).drop("component"), "left")
+    own = components(left.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), work, "clusters")
+    named = work.write(left.join(own.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("component", "cluster"), "named-left")
+    apart = named.where("rep = hub").groupBy("cluster").agg(F.sum(_tiled(F.col("size"))).alias("apart"))
+    whole = own.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    whole = work.write(whole.join(apart, "cluster").where(_tiled(F.col("n")) <= F.col("apart")).select("cluster", "n"), "whole")
+    one = own.withColumnRenamed("component", "cluster").join(whole, "cluster").select(
+        F.xxhash64("cluster", F.lit("cluster")).alias("bucket"), F.lit(CLUSTER).alias("band"), F.col("n").alias("size"),
+        F.col("cluster").alias("hub"), F.col("node").alias("rep"))
+    rest = named.join(whole.select("cluster"), "cluster", "left_anti").select(*one.columns)
+    out = work.write(one.unionByName(rest), "clustered")
+    for name in ("left", "named-left", "whole"):
+        work.drop(name)
+    return out
+
+
 def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, limit: float, every: bool) -> DataFrame:
     """(u, v, bucket): likely pairs of different components within the buckets that hold
     several; a row with a bucket instead says that a tile of it holds others back."""
-    held = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     block = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    rows = held.join(several, "bucket").withColumn("blocks", blocks).withColumn("block", block).withColumn("tile", tiles)
+    rows = _unsettled(members, labels).withColumn("blocks", blocks).withColumn("block", block).withColumn("tile", tiles)
     # many tiles share a task, few rows each; a tile's rows stay together
     rows = rows.join(classes.select("rep", "n_shingles", "registers"), "rep").select(
         F.pmod(F.xxhash64("bucket", "tile"), F.lit(16 * partitions(members.sparkSession))).alias("task"),
@@ -295,11 +335,16 @@ def near_components(docs: DataFrame, limit: float = 0.85) -> DataFrame:
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = work.write(filled.groupBy("set_key", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "classes")
+    # from here on the registers are those of the classes
+    signed = work.write(signed.drop("registers"), "keys")
+    work.drop("signatures")
     members = buckets(classes, work)
-    stars = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = work.write(members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
     hubs = work.write(members.groupBy("rep").agg(F.min("hub").alias("hub")), "hubs")
     links = _confirmed(_estimated(stars, classes, limit), hubs, docs, limit, work, "stars")
     labels, tested = components(links, work, "components"), stars
+    members = clustered(members, labels, work)
+    work.drop("members")
     number, every = 0, False
     while True:
         likely = work.write(_left_over(members, labels, classes, limit, every), f"likely{number}")
