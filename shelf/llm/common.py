@@ -46,9 +46,13 @@ class Workspace:
     """Tables that one run writes under the shared folder, so that what follows
     neither recomputes them nor depends on an executor that may be lost."""
 
+    #: All that this process has made, in order.
+    made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = new_folder(spark, name)
+        Workspace.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"

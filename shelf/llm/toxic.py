@@ -319,7 +319,10 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that are not toxic, with all their columns."""
+    """The rows that are not toxic, with all their columns: all of them if the model has
+    learned no unit, as without labels of both kinds."""
+    if not model.table.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.lowest))
     top, logistic = _scorer(shared), model.logistic
 
