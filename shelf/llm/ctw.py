@@ -44,14 +44,14 @@ from shelf.llm.minhash import mix, word_hashes
 
 DEPTH, TOP = 6, 2
 #: Shards of the deeper nodes, and different grams after which a block of documents
-#: is closed: 8 bytes each, 32 MB.
-SHARDS, SLOTS = 256, 1 << 22
+#: is closed: 8 bytes each, 24 MB.
+SHARDS, SLOTS = 256, 3 << 20
 #: Words looked up by broadcast, 16 bytes each.
 FREQUENT = 200_000
 #: Bits of a worker's table of grams already scored: 16 MB.
 REMEMBERED = 20
 #: Bytes worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Stand-ins that never occur in UTF-8: before a text, and after it.
 START, STOP = 0xFE, 0xFF
 #: Kind of a counted row: byte contexts, words, and documents.
@@ -355,7 +355,9 @@ class Model:
                     if shard != at:
                         at, levels = shard, top
                     if block == MODEL:
-                        own, _ = weigh(np.frombuffer(data, np.uint64), np.frombuffer(more.as_py(), np.int64), TOP + 1)
+                        own = _unpacked(data)
+                        counts = pa.decompress(more.as_py(), decompressed_size=8 * len(own), codec="zstd", asbytes=True)
+                        own, _ = weigh(own, np.frombuffer(counts, np.int64), TOP + 1)
                         levels = top | _by_depth(_drained(own, handed)[0])
                     else:
                         held.append((block, data))
@@ -388,7 +390,7 @@ def train(counted: DataFrame, work: Workspace, slots: int = SLOTS) -> Model:
         _, sums = weigh(own, n, TOP + 1)
         flat = [np.concatenate(x) for x in zip(*[(np.full(len(s[0]), k, np.float64), *s) for k, s in enumerate(sums)], strict=True)]
         return pd.DataFrame({
-            "shard": [key[0]], "grams": [own.tobytes()], "counts": [n.astype(np.int64).tobytes()],
+            "shard": [key[0]], "grams": [_packed(own)], "counts": [pa.compress(n.astype(np.int64), codec="zstd", asbytes=True)],
             "bit": [flat[0].astype(np.int64)], "up": [flat[1].view(np.int64)], "n0": [flat[2]], "n1": [flat[3]], "s": [flat[4]]})
 
     sharded = grams.mapInArrow(shard_of, "shard int, key long, n long").groupBy("shard").applyInPandas(
@@ -463,24 +465,26 @@ def _frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
 
 def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame:
     """One row per document: doc_id, the column ``held_out``, n_tokens, n_known,
-    train_tokens, base_score, score.  Rows with ``held_out`` are not learned from.
+    train_tokens, base_score, score, n_bytes, bits_per_byte (the code length of the text over
+    its bytes; null for an empty text).  Rows with ``held_out`` are not learned from.
     ``slots``: the different grams that a task holds at once, about; no result depends on it."""
     spark = docs.sparkSession
     work = Workspace(spark, "ctw")
     counted = work.write(count_corpus(docs.where(~F.col(held_out))), "counts")
-    words = counted.where(F.col("kind") == WORDS).select("key", "n")
+    words = work.write(counted.where(F.col("kind") == WORDS).select("key", "n"), "words")
     in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counted.where(F.col("kind") == ENDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, kinds = in_words + ends, distinct + (ends > 0)
     often = _frequent(words).toPandas().sort_values("key")
     model = train(counted, work, slots)
+    work.drop("counts")  # the shards have them
     sent = work.write(blocks(docs, ("doc_id", held_out), slots), "blocks")
     texts = sent.where(F.col("shard") == TEXTS)
     number = max(partitions(spark), texts.select("block").distinct().count())
     met = model.answers(sent.where(F.col("shard") != TEXTS)).unionByName(texts).repartition(number, "block").sortWithinPartitions("block", "shard")
     shared = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
     kept = docs.select("doc_id", held_out).schema.fields
-    out = T.StructType(kept + T.StructType.fromDDL("n_tokens long, part double, seen long, rest array<long>, score double").fields)
+    out = T.StructType(kept + T.StructType.fromDDL("n_tokens long, part double, seen long, rest array<long>, n_bytes long, score double").fields)
     types = [f.type for f in to_arrow_schema(out)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +501,7 @@ def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame
                 part.append(float(log_n[at[hit]].sum()) if hit.any() else 0.0)
                 seen.append(int(hit.sum()))
                 rest.append(w[~hit])
-            return [count, part, seen, rest, book.scores(texts)]
+            return [count, part, seen, rest, [len(t.encode()) for t in texts], book.scores(texts)]
 
         held, book = [], None
         for batch in batches:
@@ -518,4 +522,5 @@ def score_texts(docs: DataFrame, held_out: str, slots: int = SLOTS) -> DataFrame
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(tokens + kinds + 1)
     return looked.drop("rest").join(rare, "row", "left").select(
         "doc_id", held_out, "n_tokens", (F.col("seen") + F.coalesce("rare", F.lit(0)) + int(ends > 0)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes",
+        F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

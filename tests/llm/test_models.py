@@ -82,6 +82,8 @@ def test_language_model(spark, documents):
     for i, own in words.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
+        size = len((dict(rows)[i] or "").encode())
+        assert r.n_bytes == size and (r.bits_per_byte is None if not size else math.isclose(r.bits_per_byte, -r.score * math.log2(10) / size))
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     size = sum(len(t.encode()) + 1 for i, t in rows if t and i % 7 == 2)
