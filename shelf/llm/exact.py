@@ -83,9 +83,12 @@ def exact_groups(docs: DataFrame, buckets: int | None = None, index: DigestIndex
     spark = docs.sparkSession
     work = Workspace(spark, "exact")
     digests = work.write(docs.select("doc_id", digest(text_of()).alias("digest")), "digests")
-    index = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}", work.path("index"), buckets or partitions(spark))
-    index.add(digests)
-    return look_up(digests, index)
+    own = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}", work.path("index"), buckets or partitions(spark))
+    own.add(digests)
+    found = look_up(digests, own)
+    if index is None:  # the name goes; the files are read by what was returned
+        spark.sql(f"DROP TABLE {own.name}")
+    return found
 
 
 def deduplicate(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -14,6 +14,14 @@ def test_groups(docs_of):
                    (None, 3, 3, False), (6, 6, 1, True)}
 
 
+def test_no_table_is_left_behind(spark, docs_of):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = exact.exact_groups(docs_of(ROWS), 3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and found.count() == len(ROWS)
+
+
 def test_deduplicate_keeps_rows_whole(docs_of):
     docs = docs_of(ROWS)
     kept = exact.deduplicate(docs)
