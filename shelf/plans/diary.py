@@ -125,12 +125,12 @@ def searched(spark, sf_dir):
 
 
 # what is searched for: pieces of every twentieth text, some of them short, in any case
-_TERMS = """
+_TERMS = r"""
 terms AS (
-  SELECT DISTINCT lower(trim(t)) AS term FROM (
+  SELECT DISTINCT lower(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS term FROM (
     SELECT ' ' || upper(substr(text, 5, 14)) || ' ' AS t FROM documents WHERE doc_id % 20 = 0
     UNION ALL SELECT substr(text, 3, 2) FROM documents WHERE doc_id % 20 = 0
-    UNION ALL SELECT 'nowhere to be found ' || doc_id FROM documents WHERE doc_id % 20 = 0) WHERE trim(t) <> '')"""
+    UNION ALL SELECT 'nowhere to be found ' || doc_id FROM documents WHERE doc_id % 20 = 0) WHERE regexp_matches(t, '\S'))"""
 
 
 @query("search_index", f"""
