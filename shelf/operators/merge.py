@@ -1,22 +1,15 @@
-"""Favourites: validation, last-write-wins merge; cool-down over events."""
+"""Favourites: validation, last-write-wins merge."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf import vocabulary as V
 from shelf.functions.text import blank
 
-# the helpers used inside tasks travel with them, so executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # --- favourites documents ---------------------------------------------------------
 
 
@@ -90,122 +83,3 @@ def micros(ts: Column | str) -> Column:
     """Microseconds of a time without zone, the same in every session zone."""
     local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
     return F.unix_micros(local.cast("timestamp"))
-
-
-# --- cool-down -----------------------------------------------------------------------
-
-def _accepted(times: np.ndarray, last: float, gap: float) -> list[int]:
-    """Positions accepted in a sorted run, given the last accepted time before it."""
-    found = []
-    at = int(np.searchsorted(times, last + gap, side="left"))
-    while at < len(times):
-        found.append(at)
-        at = int(np.searchsorted(times, times[at] + gap, side="left"))
-    return found
-
-
-def _last_accepted(times: np.ndarray, gap: float) -> list[int]:
-    """For each event of a sorted run, the last one accepted if it is the first.  One
-    pass from the end: what follows an event is settled before it."""
-    after = np.searchsorted(times, times + gap, side="left").tolist()
-    last = times.tolist()
-    for i in range(len(last) - 1, -1, -1):
-        if after[i] < len(last):
-            last[i] = last[after[i]]
-    return last
-
-
-def _runs(batches, key: str, columns: Sequence[str]):
-    """Runs of one (key, span) in batches sorted by both, as arrays; a run may go
-    over batches.  Yields (key value, span, arrays)."""
-    run, parts = None, []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys, spans = batch[key].to_numpy(), batch["_span"].to_numpy()
-        starts = np.flatnonzero(
-            np.concatenate([[True], (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])]))
-        arrays = [batch[c].to_numpy() for c in columns]
-        for a, b in zip(starts, [*starts[1:], len(batch)]):
-            if run != (keys[a], spans[a]):
-                if run is not None:
-                    yield *run, [np.concatenate(x) for x in zip(*parts)]
-                run, parts = (keys[a], spans[a]), []
-            # a part of a run is kept as it came, so a long run is put together once
-            parts.append([x[a:b] for x in arrays])
-    if run is not None:
-        yield *run, [np.concatenate(x) for x in zip(*parts)]
-
-
-def _in_batches(rows, columns: list[str], size: int = 10_000):
-    """Row tuples as frames of a fair size."""
-    some = []
-    for row in rows:
-        some.append(row)
-        if len(some) == size:
-            yield pd.DataFrame(some, columns=columns)
-            some = []
-    if some:
-        yield pd.DataFrame(some, columns=columns)
-
-
-def cooldown(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int = V.COOLDOWN_SECONDS,
-             span_gaps: int = 1440) -> DataFrame:
-    """Events (key, tie) accepted under a cool-down that counts from the last accepted.
-
-    The rule is a recurrence per key.  To keep a busy key out of one task, its
-    time line is cut into spans of ``span_gaps`` cool-downs:
-
-    1. each span says, for every event that could be its first accepted one,
-       which event would be its last - only events within one cool-down of the
-       span's start can differ, so this is a small table;
-    2. a pass over that table in time order gives the last accepted time before
-       every span (rows stream through, one number is carried);
-    3. each span is then resolved by itself.
-    """
-    gap = gap_seconds * 1_000_000
-    span = gap * span_gaps
-    never = -(1 << 62)
-    types = dict(events.dtypes)
-    key_type, tie_type = types[key], types[tie]
-
-    def ends(batches):
-        def rows():
-            for k, at, (times,) in _runs(batches, key, ["_t"]):
-                head = int(np.searchsorted(times, int(at) * span + gap, side="left"))
-                firsts = times[:head + 1]
-                yield k, int(at), firsts.tolist(), _last_accepted(times, gap)[:head + 1]
-        yield from _in_batches(rows(), [key, "_span", "_firsts", "_lasts"])
-
-    def entries(batches):
-        current, last = None, never
-        for batch in batches:
-            before = []
-            for k, firsts, lasts in zip(batch[key], batch["_firsts"], batch["_lasts"]):
-                if k != current:
-                    current, last = k, never
-                before.append(last)
-                at = int(np.searchsorted(np.asarray(firsts), last + gap, side="left"))
-                if at < len(firsts):
-                    last = int(lasts[at])
-            yield pd.DataFrame({key: batch[key], "_span": batch["_span"], "_before": before})
-
-    def resolve(batches):
-        def rows():
-            for k, _, (times, ties, before) in _runs(batches, key, ["_t", tie, "_before"]):
-                for i in _accepted(times, int(before[0]), gap):
-                    yield k, ties[i]
-        yield from _in_batches(rows(), [key, tie])
-
-    rows = events.select(key, tie, micros(F.col(ts).cast("timestamp_ntz")).alias("_t")).withColumn(
-        "_span", F.floor(F.col("_t") / F.lit(span)).cast("long"))
-    table = (
-        rows.select(key, "_span", "_t").repartition(key, "_span").sortWithinPartitions(key, "_span", "_t")
-        .mapInPandas(ends, f"`{key}` {key_type}, _span long, _firsts array<long>, _lasts array<long>"))
-    before = (
-        table.repartition(key).sortWithinPartitions(key, "_span")
-        .mapInPandas(entries, f"`{key}` {key_type}, _span long, _before long"))
-    return (
-        rows.join(before, [key, "_span"])
-        .repartition(key, "_span").sortWithinPartitions(key, "_span", "_t", tie)
-        .mapInPandas(resolve, f"`{key}` {key_type}, `{tie}` {tie_type}"))

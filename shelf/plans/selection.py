@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelf.functions import urls
+from shelf.operators import cooldown as cooling
 from shelf.operators import crawl, merge, quality, select
 from shelf.plans import collect as run
 from shelf.plans.extraction import text_of
@@ -357,7 +358,7 @@ accepted AS (
 SELECT user_id, event_id FROM accepted""")
 def cooldown(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return merge.cooldown(events, "user_id", "ts", "event_id", 18 * _HOUR, span_gaps=4).select(
+    return cooling.cooldown(events, "user_id", "ts", "event_id", 18 * _HOUR, span_gaps=4).select(
         "user_id", "event_id")
 
 

@@ -1,26 +1,20 @@
 """The cool-down as a stream whose busy keys are dealt over tasks.
 
-A key's time line is cut into spans.  What a span does to a key is a step function from
-the last event accepted before it to the last one accepted in it, and these functions
-are what passes through the state, not the events:
+As in the batch (``operators.cooldown``), a key's time line is cut into spans, and what
+passes through the state are the spans' step functions, not the events:
 
-1. a batch's events are dealt by (key, span), sorted and written; each span gives its
-   function, for which only events within one cool-down of its start matter.  Only the
-   newest span that earlier batches had of a key can hold the last accepted event, and
-   of that one all events do;
+1. a batch's events are written, and each span gives its function.  Only the newest
+   span that earlier batches had of a key can hold the last accepted event, and of that one
+   all events count;
 2. the functions run as a stream of their own through a state of one number per key,
    which says for every span what was accepted last before it;
 3. the spans are resolved, each by itself, with that number.
-
-Both passes over events hold a batch of rows at a time, however many a key or span has.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import deque
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -29,158 +23,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from shelf import vocabulary as V
+from shelf.operators.cooldown import FUNCTION, NEVER, SPAN, functions_of, name_of, passed_on, resolved
 from shelf.streaming.base import landing, rocksdb_state, run_available
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NEVER = -(1 << 62)
-
-
-class StepFunction:
-    """From the last time accepted before a span to the last one accepted in it, built from
-    the span's times as they come in order.
-
-    Events of the span's first cool-down, and the one behind them, can be the first one
-    accepted; those are the starts.  Each start leads a chain of accepted events.  Chains
-    that meet go on as one and keep their order, so the starts of a chain are a range of
-    all starts, which may run over the end to the beginning."""
-
-    def __init__(self, begin: int, gap: int):
-        self.end, self.gap = begin + gap, gap
-        self.parts: list[np.ndarray] = []
-        #: Chains that have accepted a second event: (last time, first start, last start).
-        self.chains: deque[tuple[int, int, int]] | None = None
-
-    def _close(self, time: int) -> None:
-        """The first event behind the first cool-down: there are no more starts."""
-        self.starts = np.unique(np.concatenate([*self.parts, [time]]))
-        self.ahead = len(self.starts) - 1  # starts that are still alone, before the chains
-        self.alone = int(np.searchsorted(self.starts[:-1], time - self.gap, side="right"))
-        self.chains = deque([(time, self.ahead, (self.alone or self.ahead + 1) - 1)])
-
-    def take(self, times: np.ndarray) -> None:
-        at = 0
-        if self.chains is None:
-            at = int(np.searchsorted(times, self.end, side="left"))
-            self.parts.append(times[:at])
-            if at == len(times):
-                return
-            self._close(int(times[at]))
-        while True:
-            alone = self.alone < self.ahead
-            due = (int(self.starts[self.alone]) if alone else self.chains[0][0]) + self.gap
-            at += int(np.searchsorted(times[at:], due, side="left"))
-            if at == len(times):
-                return
-            time, low, high = int(times[at]), None, None
-            if alone:
-                low = self.alone
-                self.alone += int(np.searchsorted(self.starts[low:self.ahead], time - self.gap, side="right"))
-                high = self.alone - 1
-            while self.alone == self.ahead and self.chains and self.chains[0][0] + self.gap <= time:
-                _, first, high = self.chains.popleft()
-                low = first if low is None else low
-            self.chains.append((time, low, high))
-
-    def steps(self) -> tuple[list[int], list[int]]:
-        """Rising times up to which a start has the same effect, and the last time
-        accepted then.  A start behind all of them accepts nothing."""
-        if self.chains is None:
-            times = np.unique(np.concatenate([*self.parts, np.zeros(0, np.int64)])).tolist()
-            return times, times
-        end = len(self.starts) - 1
-        ranges = [(i, int(self.starts[i])) for i in range(self.alone, self.ahead)]
-        for last, low, high in self.chains:
-            ranges.append((high, last))
-            if low > high:  # the range runs over the end
-                ranges.append((end, last))
-        ranges.sort()
-        return [int(self.starts[i]) for i, _ in ranges], [last for _, last in ranges]
-
-
-class FullFunction:
-    """The same for a span that may itself hold the last accepted event: all its events
-    are starts.  Chains are followed for all of them at once, by doubling."""
-
-    def __init__(self, gap: int):
-        self.gap, self.parts = gap, [np.zeros(0, np.int64)]
-
-    def take(self, times: np.ndarray) -> None:
-        self.parts.append(times)
-
-    def steps(self) -> tuple[list[int], list[int]]:
-        times = np.unique(np.concatenate(self.parts))
-        after = np.searchsorted(times, times + self.gap, side="left")
-        chain = np.where(after < len(times), after, np.arange(len(times)))
-        while not np.array_equal(further := chain[chain], chain):
-            chain = further
-        last = times[chain]
-        change = np.concatenate([last[1:] != last[:-1], np.ones(min(1, len(last)), bool)])
-        return times[change].tolist(), last[change].tolist()
-
-
-def _parts(batches, by: list[str]):
-    """Stretches of rows with equal ``by`` in sorted batches: (values, is it new, rows)."""
-    current = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = [batch[c].to_numpy() for c in by]
-        differs = np.zeros(len(batch) - 1, bool)
-        for k in keys:
-            differs |= k[1:] != k[:-1]
-        starts = [0, *(np.flatnonzero(differs) + 1).tolist()]
-        for a, b in zip(starts, [*starts[1:], len(batch)]):
-            values = tuple(k[a] for k in keys)
-            yield values, values != current, batch.iloc[a:b]
-            current = values
-
-
-def _functions(gap: int, span: int):
-    """Events in order of (name, span, time), before those of a name's newest span so far
-    a mark, to a row for each span."""
-    columns = ["name", "batch", "span", "starts", "lasts"]
-
-    def run(batches):
-        done, step, values = [], None, None
-        for own, new, rows in _parts(batches, ["name", "batch", "span"]):
-            mark = rows["mark"].to_numpy()
-            if new:
-                if step is not None:
-                    done.append((*values, *step.steps()))
-                values, step = own, FullFunction(gap) if mark[0] else StepFunction(int(own[2]) * span, gap)
-            step.take(rows["at"].to_numpy()[~mark])
-            if len(done) >= 1000:
-                yield pd.DataFrame(done, columns=columns)
-                done = []
-        if step is not None:
-            done.append((*values, *step.steps()))
-        if done:
-            yield pd.DataFrame(done, columns=columns)
-
-    return run
-
-
-def _resolver(gap: int, columns: list[str]):
-    """Events in order of (name, batch, span, time), before each span a row that gives
-    what was accepted last, to the accepted events."""
-    def run(batches):
-        last = NEVER
-        for _, new, rows in _parts(batches, ["name", "batch", "span"]):
-            mark = rows["mark"].to_numpy()
-            if new:
-                last = int(rows["at"].iloc[0]) if mark[0] else NEVER
-            rows, kept = rows[~mark], []
-            times, at = rows["at"].to_numpy(), 0
-            while (at := at + int(np.searchsorted(times[at:], last + gap, side="left"))) < len(times):
-                kept.append(at)
-                last = int(times[at])
-                at += 1
-            if kept:
-                yield rows.iloc[kept][columns]
-
-    return run
-
 
 def _carrier(gap: int):
     class Carrier(StatefulProcessor):
@@ -196,8 +43,7 @@ def _carrier(gap: int):
             out = []
             for batch, span, starts, lasts in zip(spans["batch"], spans["span"], spans["starts"], spans["lasts"], strict=True):
                 out.append((key[0], int(batch), int(span), last))
-                at = int(np.searchsorted(np.asarray(starts, np.int64), last + gap, side="left"))
-                last = max(last, int(lasts[at])) if at < len(starts) else last
+                last = passed_on(last, gap, starts, lasts)
             if last != before:
                 self.last.update((last,))
             yield pd.DataFrame(out, columns=["name", "batch", "span", "at"])
@@ -208,9 +54,6 @@ def _carrier(gap: int):
     return Carrier()
 
 
-_SPAN = "name string, batch long, span long"
-
-
 def follow_cooldown(events: DataFrame, key: str, time: str, tie: str, on_batch, folder: str,
                     gap_seconds: int = V.COOLDOWN_SECONDS, span_gaps: int = 64) -> None:
     """Hand accepted events to ``on_batch``.  ``time`` is in microseconds, ``tie`` orders
@@ -225,7 +68,7 @@ def follow_cooldown(events: DataFrame, key: str, time: str, tie: str, on_batch,
 
     def deal(batch: DataFrame, number: int) -> None:
         named = batch.withColumns({
-            "name": F.to_json(F.struct(F.col(key).alias("k"))), "batch": F.lit(number).cast("long"),
+            "name": name_of(key), "batch": F.lit(number).cast("long"),
             "span": F.floor(F.col(time) / F.lit(span)).cast("long"), "at": F.col(time).cast("long")})
         named.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
         rows = rows_of(number).select("name", "batch", "span", "at", F.lit(False).alias("mark"))
@@ -235,8 +78,7 @@ def follow_cooldown(events: DataFrame, key: str, time: str, tie: str, on_batch,
             newest = newest.unionByName(before)
             rows = rows.unionByName(before.select(
                 "name", F.lit(number).cast("long").alias("batch"), "span", F.lit(0).cast("long").alias("at"), F.lit(True).alias("mark")))
-        functions = rows.repartition("name", "span").sortWithinPartitions("name", "span", F.desc("mark"), "at").mapInPandas(
-            _functions(gap, span), f"{_SPAN}, starts array<long>, lasts array<long>").where(F.size("starts") > 0)
+        functions = functions_of(rows, gap, span)
         functions.write.mode("overwrite").parquet(f"{folder}/spans/batch={number}")
         newest.groupBy("name").agg(F.max("span").alias("span")).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
 
@@ -244,19 +86,15 @@ def follow_cooldown(events: DataFrame, key: str, time: str, tie: str, on_batch,
         before = before.persist()
         try:
             for number in sorted(r[0] for r in before.select("batch").distinct().collect()):
-                marks = before.where(F.col("batch") == number).withColumn("mark", F.lit(True))
-                rows = rows_of(number).withColumn("mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-                sort = ["name", "batch", "span", F.desc("mark"), "at", tie]
-                kept = rows.repartition("name", "span").sortWithinPartitions(*sort).mapInPandas(
-                    _resolver(gap, columns), events.schema)
+                kept = resolved(rows_of(number), before.where(F.col("batch") == number), gap, columns, events.schema, tie)
                 on_batch(kept, number)
         finally:
             before.unpersist()
 
     run_available(events, deal, f"{folder}/checkpoint-rows")
     with rocksdb_state(spark):
-        spans = landing(spark, f"{folder}/spans", f"{_SPAN}, starts array<long>, lasts array<long>")
+        spans = landing(spark, f"{folder}/spans", FUNCTION)
         carried = spans.groupBy("name").transformWithStateInPandas(
-            statefulProcessor=_carrier(gap), outputStructType=T.StructType.fromDDL(f"{_SPAN}, at long"),
+            statefulProcessor=_carrier(gap), outputStructType=T.StructType.fromDDL(f"{SPAN}, at long"),
             outputMode="Append", timeMode="None")
         run_available(carried, resolve, f"{folder}/checkpoint-spans")

@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from shelf.functions import prices, roast, text, urls
-from shelf.operators import crawl, diff, merge, publish, select
+from shelf.operators import cooldown as cooling
+from shelf.operators import crawl, diff, publish, select
 from shelf.plans import collect
 from shelf.sources import catalogue, pages
 
@@ -86,7 +87,7 @@ def test_cooldown_against_brute_force(spark):
                 last = t
     df = spark.createDataFrame(rows, "k int, i int, t int").select("k", "i", F.timestamp_seconds("t").alias("ts"))
     for spans in (1, 3, 1440):
-        got = {r.i for r in merge.cooldown(df, "k", "ts", "i", 60, span_gaps=spans).collect()}
+        got = {r.i for r in cooling.cooldown(df, "k", "ts", "i", 60, span_gaps=spans).collect()}
         assert got == want
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelf.operators import cooldown
 from shelf.session import new_folder
 from shelf.streaming import base, expiring, spans
 
@@ -69,13 +70,13 @@ def test_step_functions(full):
     for _ in range(3000):
         gap, begin, n = rng.choice([1, 3, 7, 20, 50]), rng.randint(0, 5) * 100, rng.randint(0, 40)
         times = sorted(rng.randint(begin, begin + rng.choice([5, 60, 300, 900])) for _ in range(n))
-        f, array, cuts = spans.FullFunction(gap) if full else spans.StepFunction(begin, gap), np.array(times, np.int64), sorted(rng.randint(0, n) for _ in range(3))
+        f, array, cuts = cooldown.FullFunction(gap) if full else cooldown.StepFunction(begin, gap), np.array(times, np.int64), sorted(rng.randint(0, n) for _ in range(3))
         for a, b in zip([0, *cuts], [*cuts, n]):
             if b > a:
                 f.take(array[a:b])
         starts, lasts = f.steps()
         assert starts == sorted(starts)
-        for last in [spans.NEVER, *[rng.randint(begin - 60, begin + (900 if full else -1)) for _ in range(6)]]:
+        for last in [cooldown.NEVER, *[rng.randint(begin - 60, begin + (900 if full else -1)) for _ in range(6)]]:
             at = int(np.searchsorted(np.asarray(starts, np.int64), last + gap))
             assert (lasts[at] if at < len(starts) else last) == chain(times, last, gap)
 
@@ -89,7 +90,7 @@ def test_cooldown_over_spans(spark):
         stream, "who", "t", "id", base.append_batches(f"{folder}/kept"), folder, gap, 8))
     want = set()
     for who in ("hot", None, "a"):
-        last = spans.NEVER
+        last = cooldown.NEVER
         for rows in steps:
             for t, i in sorted((t, i) for w, t, i in rows if w == who):
                 if t >= last + gap * 1_000_000:
