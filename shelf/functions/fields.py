@@ -137,9 +137,7 @@ def _captured(text: Column, pattern: str, stops: str) -> Column:
 
 def origin_from_text(text: Column) -> Column:
     """Label, else 'from …' with a country in it, else the countries named."""
-    stops = "[.|;]| process| variety| roast"
-    labelled = _captured(text, r"(?:origin|country)\s*[:\-]\s*([A-Za-z ,/&]+)", stops)
-    grown = _captured(text, r"(?:from|grown in)\s+([A-Za-z ,/&]+)", stops)
+    labelled, grown = _captured(text, *V.ORIGIN_LABEL), _captured(text, *V.ORIGIN_PHRASE)
     grown = F.regexp_extract(grown, "(?is)^.*(?:" + "|".join(V.COUNTRIES) + r").*\z", 0)
     titles = sorted((c.upper() if c == "png" else c.title(), c) for c in V.COUNTRIES)
     named = let(F.lower(text), lambda low: F.concat_ws(
@@ -163,10 +161,7 @@ def _process_terms(text: Column) -> Column:
 
 def process_from_text(text: Column, title: Column | None = None, url: Column | None = None) -> Column:
     """Label, else terms of the title, of the address, of the text."""
-    labelled = _captured(
-        text, r"process(?:ing)?\s*[:\-]\s*([A-Za-z ,/&-]+)", "[.|;]| origin| variety| roast"
-    )
-    tries = [labelled]
+    tries = [_captured(text, *V.PROCESS_LABEL)]
     if title is not None:
         tries.append(_process_terms(title))
     if url is not None:
@@ -175,9 +170,7 @@ def process_from_text(text: Column, title: Column | None = None, url: Column | N
 
 
 def varietal_from_text(text: Column) -> Column:
-    stops = "[.;]| origin| process| roast| altitude| notes?"
-    pattern = r"(?:variet(?:al|y|ies)|cultivar)\s*[:\-]\s*([A-Za-z0-9 ,/&()+-]+)"
-    return blank(_captured(text, pattern, stops))
+    return blank(_captured(text, *V.VARIETAL_LABEL))
 
 
 def _note_candidate(raw: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,19 +189,17 @@ def shop_links(base: Column, html: Column) -> Column:
 
 def collection_handles(html: Column) -> Column:
     """Distinct collection handles of a page, first seen first."""
-    raw = _all(html, "(?i)/collections/([a-z0-9][a-z0-9-]*)", 1)
+    raw = _all(html, V.HANDLE_PATTERN, 1)
     handles = F.transform(raw, lambda h: F.btrim(F.lower(h), F.lit("-")))
     return F.array_distinct(F.filter(handles, lambda h: (h != "") & ~h.isin(V.HANDLE_DROPS)))
 
 
 def handle_score(handle: Column) -> Column:
-    def has(*parts):
-        test = F.lit(False)
-        for part in parts:
-            test = test | F.contains(handle, F.lit(part))
-        return test.cast("int")
+    """How much a handle sounds like coffee."""
+    def has(parts):
+        return functools.reduce(operator.or_, [F.contains(handle, F.lit(p)) for p in parts]).cast("int")
 
-    return has("coffee") * 5 + has("single", "origin") * 3 + has("bean") * 2 + has("shop")
+    return functools.reduce(operator.add, [has(parts) * more for parts, more in V.HANDLE_SCORES])
 
 
 # --- what to fetch for a shop -------------------------------------------------------
