@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelf.functions import fields, guards
 
+# --- fixed values: inputs and what has to come of them -------------------------------
 COMPONENTS = (
     "80% São Benedito Origin: Piatã, Bahia, Brazil Variety: Catuaí Processing Method: Pulped Natural "
     "Producers: Silvio Leite Relationship Length: Since 2020 20% San Antonio Origin: Inzá, Cauca, "
