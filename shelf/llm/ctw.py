@@ -44,8 +44,10 @@ from shelf.llm.minhash import mix, word_hashes
 
 DEPTH, TOP = 6, 2
 #: Shards of the deeper nodes, and different grams after which a block of documents
-#: is closed: 8 bytes each, 24 MB.
-SHARDS, SLOTS = 256, 3 << 20
+#: is closed: 8 bytes each, 20 MB.
+SHARDS, SLOTS = 256, 5 << 19
+#: Different grams, or words, that a task counts at once before it hands them on.
+COUNTED = 600_000
 #: Words looked up by broadcast, 16 bytes each.
 FREQUENT = 200_000
 #: Bits of a worker's table of grams already scored: 16 MB.
@@ -123,7 +125,7 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 for kind in held:
                     if len(held[kind]) >= 4:
                         held[kind] = [_merged(held[kind])]
-                        if len(held[kind][0][0]) > 1_500_000:
+                        if len(held[kind][0][0]) > COUNTED:
                             yield from rows(kind)
         for kind in held:
             yield from rows(kind)
