@@ -180,7 +180,7 @@ def snapshot_scan(spark, sf_dir):
 
 @query("snapshot_documents", f"""
 WITH {OFFERS}
-SELECT 'coffee_list_' || snapshot || '.json' AS snapshot, snapshot AS generated_at,
+SELECT 'list_' || snapshot || '.json' AS snapshot, snapshot AS generated_at,
        CAST(row_number() OVER (PARTITION BY snapshot ORDER BY ord) - 1 AS INT) AS ord, roaster, source_url, bean_name, status,
        key NOT IN (SELECT key FROM keyed WHERE age = 2) AS is_new
 FROM (SELECT *, url AS source_url FROM keyed WHERE age = 1)""")

@@ -81,7 +81,7 @@ def read_csv(spark, folder: str) -> DataFrame:
 
 
 def write_documents(items: DataFrame, folder: str, snapshot: str = "snapshot", order: str = "ord") -> DataFrame:
-    """Snapshots as one JSON document each, ``coffee_list_<snapshot>.json``: (file, items).
+    """Snapshots as one JSON document each, ``list_<snapshot>.json``: (file, items).
 
     A document cannot be cut, so one task writes it, but row by row: nothing of it is
     held but the row.  Files of repeated tasks replace each other.
@@ -99,7 +99,7 @@ def write_documents(items: DataFrame, folder: str, snapshot: str = "snapshot", o
         def close():
             out.write(b"\n]}\n")
             out.close()
-            return pa.RecordBatch.from_pydict({"file": [f"coffee_list_{name}.json"], "items": pa.array([number], pa.int64())})
+            return pa.RecordBatch.from_pydict({"file": [f"list_{name}.json"], "items": pa.array([number], pa.int64())})
 
         for batch in batches:
             for own, item in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
@@ -107,7 +107,7 @@ def write_documents(items: DataFrame, folder: str, snapshot: str = "snapshot", o
                     if out is not None:
                         yield close()
                     name, number = own, 0
-                    out = fs.open_output_stream(f"{root}/coffee_list_{own}.json")
+                    out = fs.open_output_stream(f"{root}/list_{own}.json")
                     out.write(b'{"generated_at": ' + json.dumps(own).encode() + b', "items": [\n')
                 out.write((b",\n" if number else b"") + item.encode())
                 number += 1

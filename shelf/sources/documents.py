@@ -33,7 +33,7 @@ from shelf.schemas import ITEM_COLUMNS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NAMES = "coffee_list_*.json"
+NAMES = "list_*.json"
 RANGE_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
 BATCH_ROWS = 5000

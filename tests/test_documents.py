@@ -46,7 +46,7 @@ def test_documents_without_items():
 def test_only_the_newest_are_opened(spark, tmp_path):
     rng, bodies = random.Random(1), {}
     for i in range(100):
-        name = f"coffee_list_2026-01-01_{i:06d}.json"
+        name = f"list_2026-01-01_{i:06d}.json"
         body, raw = document(rng, 20)
         (tmp_path / name).write_bytes(raw if i >= 98 else b"{ broken")
         bodies[name] = body["items"]
@@ -70,7 +70,7 @@ def test_round_trip(spark, tmp_path):
 
     items = items.withColumns({c: F.lit("") for c in ITEM_COLUMNS if c not in items.columns})
     made = files.write_documents(items, str(tmp_path / "out")).collect()
-    assert sorted(tuple(r) for r in made) == [("coffee_list_2026-01.json", 5), ("coffee_list_2026-02.json", 1)]
+    assert sorted(tuple(r) for r in made) == [("list_2026-01.json", 5), ("list_2026-02.json", 1)]
     got = sorted((r.generated_at, r.ord, r.roaster, r.bean_name) for r in documents.read_documents(spark, str(tmp_path / "out")).collect())
     assert got == sorted(rows, key=lambda r: r[:2])
 
