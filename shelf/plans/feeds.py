@@ -11,7 +11,7 @@ from shelf.functions import fields, prices
 from shelf.operators import crawl, extract, select
 from shelf.plans.extraction import TERMS, choose, pick, sql_pick, text_of
 from shelf.plans.registry import query, table
-from shelf.session import written
+from shelf.session import spread, written
 from shelf.sources import catalogue, feeds, pages
 from shelf.functions.guards import origin_guard
 
@@ -247,7 +247,8 @@ def part_pages(spark, sf_dir, *paths):
         heading, "<!-- Process: Honey -->", cost, "<p>Process: ", pick(TERMS, size), "</p><p>Roast&nbsp;: espresso</p></body></html>")
     url = text_of("https://shop.example.com", path, F.when(size == 7, F.lit("gift-card-")).otherwise(F.lit("")),
                   key.cast("string"))
-    parts = table(spark, sf_dir, "part").withColumn("path", F.explode(F.array(*[F.lit(p) for p in paths or ("/products/",)])))
+    # a page takes a thousand times the work that the size of its row suggests
+    parts = spread(table(spark, sf_dir, "part")).withColumn("path", F.explode(F.array(*[F.lit(p) for p in paths or ("/products/",)])))
     return parts.select(
         key, size, url.alias("url"), F.when(size % 10 == 1, 404).otherwise(200).alias("http_status"),
         F.when(size % 10 == 0, "application/RSS+xml").otherwise("text/html").alias("content_type"), html.alias("html"))

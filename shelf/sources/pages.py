@@ -47,27 +47,36 @@ _PRICE_ELEMENTS = [
 def element_text(name: Column, rest: Column) -> Column:
     """What stands in an element: of all that follows its start tag, the part up to the
     end tag that closes it, however deep its own name nests in it.  An element that is never
-    closed holds all that follows.
+    closed holds all that follows.  Both columns are used several times, so bind them first.
 
-    The text is cut before every tag; tags of that name raise or lower a running depth,
-    and the first piece that brings it to none is the end."""
-    pieces = F.split(rest, "(?=</?[A-Za-z])")
+    The text is cut before the tags of that name alone; they raise or lower a running
+    depth, and the first piece that brings it to none is the end."""
+    quoted = F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    own = F.concat(F.lit("(?iu)(?=</?\\Q"), quoted, F.lit("\\E(?:[\\s/>]|</?[A-Za-z]|\\z))"))
+    # the blank in front keeps a tag that comes at once out of the first piece
+    pieces = F.split(F.concat(F.lit(" "), rest), own)
 
     def step(state: Column, piece: Column) -> Column:
-        tag = F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][^\s/>]*)", 1))
-        change = F.when(tag == name, 1).when(tag == F.concat(F.lit("/"), name), -1).otherwise(0)
+        change = F.when(piece.startswith("</"), -1).when(piece.startswith("<"), 1).otherwise(0)
         depth = F.when(state.depth > 0, state.depth + change).otherwise(state.depth)
         return F.struct(depth.alias("depth"), F.when(depth > 0, state.n + 1).otherwise(state.n).alias("n"))
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    return let(pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, step).n), ""))
+    inner = let(pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, start, step).n), "")).substr(F.lit(2), F.length(rest) + 1)
+    # a name that runs into another tag is no tag's, so nothing closes it
+    return F.when(name.rlike("<[A-Za-z]"), rest).otherwise(inner)
 
 
 def _shown_price(html: Column, opening: str) -> Column:
-    """The first dollar amount in the first element of a kind; NULL without one."""
-    name = F.lower(F.regexp_extract(html, opening, 1))
-    inner = F.when(name != "", element_text(name, F.regexp_extract(html, opening, 2)))
-    return filled(prices.dollar_price(plain_text(inner)))
+    """The first dollar amount in the first element of a kind; NULL without one or if it is
+    a plain '0'.  The page is searched once; all else looks at what was found."""
+    def inner(found: Column) -> Column:
+        parts = F.struct(F.lower(F.regexp_extract(found, r"(?i)^<([a-z][^\s/>]*)", 1)).alias("name"),
+                         F.regexp_extract(found, opening, 2).alias("rest"))
+        return F.when(found != "", let(parts, lambda x: element_text(x["name"], x["rest"])))
+
+    text = let(F.regexp_extract(html, opening, 0), inner)
+    return let(prices.dollar_price(plain_text(text)), lambda p: F.when(~p.isin("", "0"), p))
 
 
 def page_price(html: Column, text: Column) -> Column:
@@ -75,11 +84,11 @@ def page_price(html: Column, text: Column) -> Column:
     dollar amount.  A plain '0' is tried again on the whole text."""
     ld = F.regexp_extract(
         html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script""", 1)
-    stated = F.coalesce(
+    stated = [
         filled(plain_text(_meta(html, "product:price:amount"))),
-        filled(F.regexp_extract(ld, r'"price"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)"?', 1)))
-    shown = [F.nullif(_shown_price(html, e), F.lit("0")) for e in _PRICE_ELEMENTS]
-    return F.coalesce(F.nullif(F.coalesce(stated, *shown), F.lit("0")), prices.dollar_price(text))
+        filled(F.regexp_extract(ld, r'"price"\s*:\s*"?([0-9]+(?:\.[0-9]+)?)"?', 1))]
+    found = F.coalesce(*stated, *[_shown_price(html, e) for e in _PRICE_ELEMENTS])
+    return F.coalesce(let(found, lambda p: F.when(p != "0", p)), prices.dollar_price(text))
 
 
 def was_fetched() -> Column:

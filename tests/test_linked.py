@@ -78,3 +78,53 @@ def test_reasons_of_empty_and_missing_feeds(spark):
     assert got == {
         "s": "shopify_all_json_failed: https://s.com/0:no_products; https://s.com/1:http_404; https://s.com/2:error; https://s.com/3:no_products",
         "t": "shopify_all_json_no_results", "u": "woocommerce_error", "v": "tea:shopify_json_no_products"}
+
+
+def planned(df, phase="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), phase)().toString().split("== Initial Plan ==")[-1]
+
+
+def test_prices_are_looked_for_once(spark):
+    page = spark.createDataFrame([("<p class=price>$5</p>", "$7")], "html string, text string")
+    price = planned(page.select(pages.page_price(F.col("html"), F.col("text")).alias("price")))
+    # one search of the page, and one of what it found for what follows the start tag
+    assert price.count("woocommerce-Price-amount(?:") == 4  # in either kind of quotes
+    assert price.count("product:price:amount") == 1
+
+
+def test_odd_names_of_elements(spark):
+    cases = {
+        '<a\\E(b class="price"><a\\E(b>x</a\\E(b>$5</a\\E(b>$9': "5", '<a.c class="price"><abc></abc>$6</a.c>$9': "6",
+        '<a<b class="price">x</a<b>$7': "7", '<p class="price"></p>$8': "8", '<A class="price">x</a<b>$1': "1",
+        '<p class="price">$0</p><b class="price-x">$0</b>': "0"}
+    rows = spark.createDataFrame(list(cases), "string")
+    assert {r.value: r.p for r in rows.select("value", pages.page_price(F.col("value"), F.col("value")).alias("p")).collect()} == cases
+
+
+def test_pages_of_a_small_file_are_dealt_out(spark, sf_dir):
+    from shelf.plans.feeds import part_pages
+
+    assert part_pages(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def stored(df, folder):
+    """Read from files, whose size Spark knows."""
+    df.write.parquet(str(folder))
+    return df.sparkSession.read.parquet(str(folder))
+
+
+def test_no_page_goes_to_the_driver(spark, tmp_path):
+    captured = spark.createDataFrame([("https://s.com/products/1", 200, "text/html", "<h1>Bean</h1>")], PAGE)
+    links = spark.createDataFrame([("a", "sitemap", "https://s.com/list", 0, "https://s.com/products/1")],
+                                  "roaster string, strategy string, listing_url string, ord long, product_url string")
+    found = pages.linked_products(feeds.with_shops(stored(links, tmp_path / "links")), stored(captured, tmp_path / "pages"))
+    assert "Broadcast" not in planned(found, "executedPlan")
+
+
+def test_no_sitemap_goes_to_the_driver(spark, tmp_path):
+    from shelf.operators import crawl
+
+    docs = spark.createDataFrame([("https://a.com/sitemap.xml", 404, "x" * 9)], "url string, http_status int, body string")
+    seeds = spark.createDataFrame([("a", "https://a.com/", "https://a.com/sitemap.xml", 0)], "site string, listing_url string, url string, ord int")
+    _, errors = crawl.expand_sitemaps(stored(docs, tmp_path / "docs"), seeds)
+    assert "Broadcast" not in planned(errors, "executedPlan") and errors.first().error.startswith("sitemap_http_404")
