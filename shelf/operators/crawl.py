@@ -119,7 +119,8 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
 
     ``docs``: url, http_status, body.  ``seeds``: site, listing_url, url, ord.
     Returns (products: site, url, ord) and (errors: site, ord, error).
-    A site's files are numbered in the order they are found; all of them are opened,
+    Neither documents nor the files seen are handed to all executors, as the driver would
+    have to hold them all.  A site's files are numbered in the order they are found; all of them are opened,
     or with ``max_files`` at most so many.
     """
     order = Window.partitionBy("site").orderBy("ord", "pos")
@@ -131,7 +132,7 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
     products, errors = None, None
     while True:
         opened = level if max_files is None else level.where(F.col("ord") < max_files)
-        pages = opened.join(docs, "url", "left").withColumn(
+        pages = opened.join(docs.hint("merge"), "url", "left").withColumn(
             "locs", F.when(F.col("http_status") == 200, sitemap_locs(F.col("body"))))
         bad = pages.where(F.coalesce(F.size("locs"), F.lit(0)) <= 0).select(
             "site", "ord",
@@ -150,7 +151,7 @@ def expand_sitemaps(docs: DataFrame, seeds: DataFrame,
             .groupBy("site", "listing_url", F.col("loc").alias("url"))
             .agg(F.min(F.struct("ord", "pos")).alias("at"))
             .select("site", "listing_url", "url", "at.ord", "at.pos")
-            .join(seen.select("site", "url"), ["site", "url"], "left_anti"))
+            .join(seen.select("site", "url").hint("merge"), ["site", "url"], "left_anti"))
         known = seen.groupBy("site").agg(F.max("ord").alias("last"))
         files = files.withColumn("place", F.row_number().over(order))
         if max_files is not None:

@@ -105,7 +105,7 @@ def sitemap_source(config: DataFrame, documents: DataFrame, captured_pages: Data
     """
     site = F.struct("roaster", "candidate_ord").alias("site")
     sites = written(host_variants(config).select(site, "listing_url"), "sites")
-    robots = sites.withColumn("url", F.concat(site_root(F.col("listing_url")), F.lit("/robots.txt"))).join(documents, "url")
+    robots = sites.withColumn("url", F.concat(site_root(F.col("listing_url")), F.lit("/robots.txt"))).join(documents.hint("merge"), "url")
     seeds = crawl.usual_seeds(sites).unionByName(crawl.robots_seeds(robots), allowMissingColumns=True)
     found, errors = crawl.expand_sitemaps(documents, seeds.select("site", "listing_url", "url", "ord"))
     found = written(found, "found")
@@ -159,7 +159,7 @@ def collect(config: DataFrame, products: DataFrame, reasons: DataFrame) -> DataF
     told = told.groupBy("roaster").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("host", "listing_url", "told"))),
         lambda r: F.concat(r["listing_url"], F.lit(" => "), r["told"])), " || ").alias("error"))
-    failed = lost.join(told, "roaster", "left").select(*catalogue.error_item(
+    failed = lost.join(told.hint("merge"), "roaster", "left").select(*catalogue.error_item(
         F.coalesce("error", F.lit("unknown_scrape_error")), source_url=F.col("listing_url")))
     unnamed = catalogue.shops_without_address(config)
     return chosen.unionByName(failed.unionByName(unnamed), allowMissingColumns=True)

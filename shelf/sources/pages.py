@@ -188,15 +188,19 @@ def linked_products(links: DataFrame, pages: DataFrame, strategy: str | None = N
     a column of that name, are best handed in together: a page is read once, whichever
     shops and strategies link it, and its facts go out to all its links.
 
+    Pages are never handed to all executors: Spark takes a page for 20 bytes, whatever it
+    holds, and would gather every one of them on the driver first.
+
     Skipped pages are still there: dropping them here would make Spark work out
     every page's status twice.  Write the table, then use ``not_skipped``.
     """
     if strategy is not None:
         links = links.withColumn("strategy", F.lit(strategy))
     wanted = links.select("product_url").distinct()
-    facts = with_page_facts(wanted.join(pages.withColumnRenamed("url", "product_url"), "product_url", "left"))
+    pages = pages.withColumnRenamed("url", "product_url").hint("merge")
+    facts = with_page_facts(wanted.join(pages, "product_url", "left"))
     # the facts lie by address already, so only the links are moved
-    return judged_products(links.join(facts, "product_url"))
+    return judged_products(links.join(facts.hint("merge"), "product_url"))
 
 
 def not_skipped(products: DataFrame) -> DataFrame:
@@ -228,7 +232,7 @@ def sitemap_reasons(seeds: DataFrame, errors: DataFrame, found: DataFrame, items
     told = joined_errors(errors, ["site"], "ord", "error", count)
     linked = found.groupBy("site").agg(F.count("*").alias("n_links"))
     valid = items.groupBy(F.col("roaster").alias("site")).agg(F.count_if(F.col("status") == "ok").alias("n_ok"))
-    rows = seeds.select("site").distinct().join(linked, "site", "left").join(valid, "site", "left").join(told, "site", "left")
+    rows = seeds.select("site").distinct().join(linked, "site", "left").join(valid, "site", "left").join(told.hint("merge"), "site", "left")
     detail = F.coalesce(F.concat(F.lit(": "), "errors"), F.lit(""))
     reason = (
         F.when(F.col("n_links").isNull(), F.lit("sitemap_no_product_urls"))
