@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelf import vocabulary as V
 from shelf.functions import fields, guards, roast
 from shelf.plans.registry import query, table
+from shelf.session import spread
 
 TERMS = ["Washed", "Natural", "Honey", "Pulped Natural", "Anaerobic"]
 
@@ -276,7 +277,9 @@ def refused_values(spark, sf_dir):
         "title": F.lit("A bean"), "status": F.lit("ok"), "error": F.lit(""),
         "tags": F.array(text_of("Origin: Lot ", size, F.when(F.col("p_size") % 3 == 0, ", Kenya").otherwise("")), text_of("Process: Odd way ", size)),
         "body": F.lit(""), "text": F.when(F.col("p_size") % 2 == 0, F.lit("Process: Honey")).otherwise(text_of("Process: Odd text ", key))}
-    rows = table(spark, sf_dir, "part").select(*[given.get(c, F.lit("" if t == "string" else None)).cast(t).alias(c) for c, t in PRODUCT.items()])
+    rows = spread(table(spark, sf_dir, "part")).select(*[given.get(c, F.lit("" if t == "string" else None)).cast(t).alias(c) for c, t in PRODUCT.items()])
     found = items(rows)
-    return found.select(F.col("ord").alias("p_partkey"), "origin", "process", F.explode("refused").alias("field", "value")).select(
+    # the outer form, for before the plain one Spark works out all fields once more, to drop empty maps
+    listed = found.select(F.col("ord").alias("p_partkey"), "origin", "process", F.explode_outer("refused").alias("field", "value"))
+    return listed.where("field IS NOT NULL").select(
         "p_partkey", "field", "value", F.when(F.col("field") == "origin", F.col("origin")).otherwise(F.col("process")).alias("kept"))
