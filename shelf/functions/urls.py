@@ -144,7 +144,7 @@ def _decoded(refs: Column) -> Column:
         return F.replace(r, F.lit("&amp;"), F.lit("&"))
 
     refs = F.array_distinct(refs)
-    some = unescape_all(F.when(F.exists(refs, lambda r: r.rlike(rare)), refs))
+    some = unescape_all(let(refs, lambda x: F.when(F.exists(x, lambda r: r.rlike(rare)), x)))
     return F.coalesce(some, F.transform(refs, lambda r: F.when(F.contains(r, F.lit("&")), decode(r)).otherwise(r)))
 
 

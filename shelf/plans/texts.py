@@ -8,6 +8,7 @@ from shelf import vocabulary as V
 from shelf.functions import rules, text, urls
 from shelf.operators import crawl, phrases, select
 from shelf.plans.registry import query, table
+from shelf.session import spread
 from shelf.sources.pages import with_page_title
 from shelf.vocabulary import BLOCKED_PATTERNS, BLOCKED_PHRASES
 
@@ -67,7 +68,7 @@ hits AS (SELECT kind, id, count(*) AS n_phrases, min(phrase) AS first_phrase FRO
 def listed_texts(spark, sf_dir):
     """The texts, and a list of tens of thousands of phrases made of the tables."""
     documents = table(spark, sf_dir, "documents")
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     texts = documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").union(
         part.select(F.lit("part"), "p_partkey", F.concat_ws(" ", "p_name", "p_type")))
     standing = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in _PHRASES])).alias("phrase"))
@@ -238,7 +239,7 @@ def shop_slug_links(spark, sf_dir):
         F.lit('">o</a><a href="/shop/tag/'), slug, F.lit('">t</a><a href="'), slug, F.lit("-"),
         F.col("p_partkey").cast("string"), F.lit('">r</a><a href="/shop/a/b/c">deep</a>'))
     base = F.lit("https://www.shop.example.com/shop/")
-    return text.unnest(table(spark, sf_dir, "part"), urls.shop_links(base, html), "ord", "link", "p_partkey")
+    return text.unnest(spread(table(spark, sf_dir, "part")), urls.shop_links(base, html), "ord", "link", "p_partkey")
 
 
 @query("fetch_plan", """
