@@ -24,8 +24,10 @@ def phrase_words(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """The different phrases (phrase, words) that can occur in a normalised text: words of
     lower-case letters and digits.  Any other is in no text, as with a pattern."""
     plain = F.btrim(F.regexp_replace(F.col(phrase), r"(?U)\s+", " "))
-    return phrases.select(plain.alias("phrase")).where(
-        F.col("phrase").rlike("^[a-z0-9]+(?: [a-z0-9]+)*$")).distinct().withColumn("words", F.split("phrase", " "))
+    # as an array of none or one, for before a plain filter Spark makes the phrases twice
+    usable = F.filter(F.array(plain), lambda p: p.rlike("^[a-z0-9]+(?: [a-z0-9]+)*$"))
+    return phrases.select(F.explode_outer(usable).alias("phrase")).where("phrase IS NOT NULL").distinct().withColumn(
+        "words", F.split("phrase", " "))
 
 
 def filed(phrases: DataFrame, texts: DataFrame, words: str = "words") -> DataFrame:
