@@ -93,29 +93,38 @@ def _processor(owner: str, name: str, order: list[str], rest: list[str], deleted
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
 
+        def _store(self, pending: dict) -> None:
+            for k, state in pending.items():
+                self.latest.updateValue(k, state)
+
         def _frame(self, rows: list[dict]) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=[owner, name, *names, "expired"])
 
         def handleInputRows(self, key, rows, timerValues):
             # reduced before the shuffle, so a document's keys bound them
             batch = pd.concat(list(rows)).sort_values(["first_us", *order], kind="stable")
-            code, changed = key[0], {}
+            # every call on the state is a round trip: an owner without a time has no keys, and
+            # of a key's changes only the last one is written
+            code, changed, pending = key[0], {}, {}
             seen = self.seen.get()[0] if self.seen.exists() else None
-            before = seen
+            before, stored = seen, seen is not None
             for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
                 if seen is not None and row["first_us"] > seen + ttl:
+                    self._store(pending)
                     changed |= {x[name]: x for x in self._expire(code)}
+                    pending, stored = {}, False
                 seen = max(row["last_us"], seen if seen is not None else row["last_us"])
                 k, state = (row[name],), tuple(row[c] for c in names)
-                if self.latest.containsKey(k):
-                    held = dict(zip(names, self.latest.getValue(k)))
-                    if rank(row) <= rank(held):
-                        continue
-                self.latest.updateValue(k, state)
+                held = pending.get(k) or (self.latest.getValue(k) if stored else None)
+                if held is not None and rank(row) <= rank(dict(zip(names, held))):
+                    continue
+                pending[k] = state
                 changed[row[name]] = {owner: code, name: row[name], **dict(zip(names, state)), "expired": False}
+            self._store(pending)
             if seen != before:
                 self.seen.update((seen,))
-                self._stop_timers()
+                if stored:
+                    self._stop_timers()
                 self.handle.registerTimer((seen + ttl) // 1000 + 1)
             if changed:
                 yield self._frame(list(changed.values()))
