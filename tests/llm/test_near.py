@@ -83,6 +83,47 @@ def test_estimate():
         assert abs(np.mean(off)) < 0.015
 
 
+@pytest.mark.parametrize("size, limit", [(9, 0.85), (60, 0.85), (400, 0.85), (400, 0.8), (6000, 0.85)])
+def test_sketches_lose_no_link(size, limit):
+    r = np.random.default_rng(size)
+    for bits in (minhash.FIRST_BITS, minhash.BITS):
+        for _ in range(100):
+            both = r.integers(0, 1 << 63, int(np.ceil(size * limit)), dtype=np.uint64)
+            rest = r.integers(0, 1 << 63, size - len(both), dtype=np.uint64)
+            cut = r.integers(0, len(rest) + 1)
+            sets = [np.concatenate([both, x]) for x in (rest[:cut], rest[cut:])]
+            sketches = np.array([np.frombuffer(minhash.sketch(minhash.registers(s)), np.uint64).reshape(-1, 8)[:bits] for s in sets])
+            n = np.array([len(s) for s in sets])
+            found, held = minhash._tile_pairs(np.zeros(2, int), sketches, n, np.arange(2), np.array([7, 5]), limit * n.min() / n.max(), True)
+            assert found == {(5, 7)} and not len(held)
+
+
+def test_tiles_hold_back_for_a_forest():
+    own = np.array([np.frombuffer(minhash.sketch(minhash.registers(np.arange(1, 400, dtype=np.uint64))), np.uint64).reshape(-1, 8)] * 9)
+    args = np.array([0] * 2 + [1] * 7), own, np.full(9, 399), np.array([1, 1, 1, 1, 5, 6, 7, 8, 9]), np.arange(9), 0.85
+    found, held = minhash._tile_pairs(*args, False)
+    assert len(found) == 5 and held.tolist() == [1]
+    found, held = minhash._tile_pairs(*args, True)
+    assert len(found) == 20 and not len(held)
+
+
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Members of one large component come once, and the few others once in each block."""
+    monkeypatch.setattr(minhash, "TILE", 10)
+    count = {}
+    for n in (200, 800):
+        members = spark.range(n).selectExpr("1L AS bucket", f"{n}L AS size", "0L AS hub", "id AS rep")
+        labels = spark.range(n).selectExpr("id AS node", "if(id < 4, id, 4L) AS component")
+        assert minhash._tiles(members, None).count() == n
+        tiles = minhash._tiles(members, labels).collect()
+        count[n] = len(tiles)
+        where = {}
+        for t in tiles:
+            where.setdefault(t.rep, set()).add(t.tile)
+        assert all(where[a] & where[b] for a in range(4) for b in range(n))
+    assert count == {200: 196 + 4 * 20, 800: 796 + 4 * 80}
+
+
 def test_tiles():
     w = tiling.words
     item = w("a b c d e f g h i j")
