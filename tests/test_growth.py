@@ -26,6 +26,27 @@ def test_phrases_are_made_once(spark):
     assert "RLIKE" not in "".join(line for line in optimized(found).split("\n") if "Filter" in line and "Generate" not in line)
 
 
+def test_only_pieces_that_are_phrases_are_dealt_out(spark):
+    # every word is filed, at every place, and still only what is in the list leaves its text
+    listed = spark.range(2000).selectExpr("concat('w', id, ' w', (id * 7 + 1) % 2000, ' w', (id * 11 + 5) % 2000) AS phrase")
+    rows = spark.range(50).selectExpr("id", "concat_ws(' ', transform(sequence(0, 1999), i -> concat('w', (i * 3 + id) % 2000))) AS text")
+    rows = rows.union(spark.createDataFrame([(50, "w3 w22 w38, w3 w22 w38!"), (51, None)], "id long, text string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = phrases.phrase_hits(rows, listed, ["id"])
+        assert [tuple(r) for r in found.collect()] == [(50, "w3 w22 w38")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = optimized(found)
+    # words are not dealt out with their neighbours, and a filed table is read for the comparison only
+    assert "posexplode" not in plan and plan.count("Join") == 1 and "MapInArrow" in plan
+    plain = rows.selectExpr("id", "regexp_replace(coalesce(text, ''), '[^a-z0-9 ]', '') AS plain")
+    table = phrases.filed(phrases.phrase_words(listed), plain.selectExpr("split(plain, ' ') AS words"))
+    # of 100,000 words, each tried at up to three places
+    assert phrases._pieces(plain, ["id"], table).count() < 1000
+
+
 def test_links_of_a_small_file_are_dealt_out(spark, sf_dir):
     assert registry.QUERIES["shop_slug_links"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
