@@ -65,3 +65,36 @@ def test_postings_are_read_by_trigram(spark, texts):
     plan = index.search("hario v60")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gram," in plan
     assert search.TrigramIndex.build(texts.limit(0), F.lower("text"), "id").search("tea").count() == 0
+
+
+def test_many_terms_meet_a_text_once(spark):
+    # a term for every text, all of them with trigrams that every text has
+    rows = spark.range(300).selectExpr("id", "concat('abcabdabeabf', lpad(id, 4, '0'), 'cab dab eab fab') AS text")
+    index = search.TrigramIndex.build(rows, F.col("text"), "id")
+    stored = index._read("postings")
+    assert stored.count() < index.postings().count() / 5
+    assert {r.gram: r.n for r in index._read("counts").collect()} == {
+        r.gram: r.n for r in index.postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = index.search_all(rows.selectExpr("substr(text, 8, 12) AS term").union(rows.limit(1).selectExpr("'abcabd'")))
+    folders = {f.split("/")[-2].rsplit("-", 1)[0] for f in found.inputFiles()}
+    assert found.count() == 600 and "candidates" not in folders
+    assert found.where("term <> 'abcabd'").select("term", "id").distinct().count() == 300
+    # few texts have the rarest trigram of the only term, so only those are read
+    assert [tuple(r) for r in index.search_all(spark.createDataFrame([("0007cab",)], "term string")).collect()] == [("0007cab", 7)]
+
+
+def test_texts_that_share_an_id(spark):
+    rows = spark.createDataFrame([(1, "one tea"), (1, "tea two"), (1, "x"), (2, "tea 𝒳𝒴𝒵 é"), (None, "tea")], "id int, text string")
+    found = search.TrigramIndex.build(rows, F.col("text"), "id").search_all(
+        spark.createDataFrame([("tea",), ("𝒳𝒴𝒵",), ("𝒴",), ("te",), ("no tea",)], "term string"))
+    # as a join of postings with texts gives them; a null id meets nothing in one
+    assert sorted((r.term, r.id or 0) for r in found.collect()) == sorted(
+        [("tea", 1)] * 4 + [("tea", 2), ("𝒳𝒴𝒵", 2), ("𝒴", 2), ("te", 1), ("te", 1), ("te", 2), ("te", 0)])
+
+
+def test_pieces_of_wide_alphabets(spark):
+    texts = ["".join(chr(0x4E00 + (i * 7919 + k * 31) % 20000) for i in range(3000)) for k in range(40)] + ["", "ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for size in (1, 2, 3):
+        got = {(r.gram, i) for r in search.pieces(rows, size).collect() for i in r.ids}
+        assert got == {(t[j:j + size], k) for k, t in enumerate(texts) for j in range(len(t) - size + 1)}
