@@ -47,6 +47,11 @@ def test_only_pieces_that_are_phrases_are_dealt_out(spark):
     assert phrases._pieces(plain, ["id"], table).count() < 1000
 
 
+def test_hits_are_dealt_out_once(spark, sf_dir):
+    plan = registry.QUERIES["phrase_dictionary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(kind" in plan
+
+
 def test_links_of_a_small_file_are_dealt_out(spark, sf_dir):
     assert registry.QUERIES["shop_slug_links"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
